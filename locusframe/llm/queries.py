@@ -43,7 +43,38 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_sharding, op7_decontamination)}
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import read_model
+    from .token_output import read_documents, write_sequences
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = write_sequences(docs, read_model(public_tokenizers.path("byte_bpe_50k.json")), end_id=2)
+    return read_documents(files, docs.schema["doc_id"].dataType)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import digest_texts, read_model
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = digest_texts(docs, read_model(public_tokenizers.path("piece_bpe_32k.model")))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op4_token_output, op5_sharding, op7_decontamination, op8_simhash, op10_sentencepiece)
+}
 
 ORACLES = {
     "op1_line_dedup": """
