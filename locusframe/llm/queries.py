@@ -34,6 +34,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import fold_of
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit(docs.filter(fold_of(F.col("doc_id")) != 0).join(labels, "doc_id"))
+    out = score(docs, model)
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -43,6 +54,31 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+    from .shared import fold_of
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.filter(fold_of(F.col("doc_id")) != 0))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lm_scoring import score_documents
+    from .sentencepiece_codec import read_model
+    from .shared import fold_of
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    out = score_documents(docs, model, fold_of(F.col("doc_id")) != 1)
+    return out.select(
+        "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +97,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    out = judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +118,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op4_token_output, op5_sharding, op7_decontamination, op8_simhash, op10_sentencepiece)
+    for f in (
+        op1_line_dedup,
+        op2_language_id,
+        op3_lm_scoring,
+        op4_token_output,
+        op5_sharding,
+        op6_toxicity,
+        op7_decontamination,
+        op8_simhash,
+        op9_quality_rules,
+        op10_sentencepiece,
+    )
 }
 
 ORACLES = {
