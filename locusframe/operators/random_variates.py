@@ -1,0 +1,86 @@
+"""Seeded random variates: columns for uniform and normal draws, numpy for the rest."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..errors import EngineError
+
+
+def uniform(low: float, high: float, seed: int) -> Column:
+    """K2."""
+    return F.rand(seed) * (high - low) + low
+
+
+def normal(mean: float, variance: float, seed: int) -> Column:
+    """K3."""
+    return F.randn(seed) * float(np.sqrt(variance)) + mean
+
+
+def bernoulli(p: Column, seed: int) -> Column:
+    """K7: a fair coin where p is NaN."""
+    return F.rand(seed) < F.when(F.isnan(p), 0.5).otherwise(p)
+
+
+class Variates:
+    """One generator; seed 0 takes fresh entropy."""
+
+    def __init__(self, seed: int = 2023):
+        self.rng = np.random.default_rng(seed or None)
+
+    def chi_squared(self, df: float, scale: float = 1.0, size: int | None = None):
+        return self.rng.chisquare(df, size) * scale
+
+    def inverse_chi_squared(self, df: float, scale: float, size: int | None = None):
+        if df <= 0 or scale <= 0:
+            raise EngineError("df and scale must be positive")
+        return scale / self.rng.chisquare(df, size)
+
+    def gamma(self, shape: float, scale: float, size: int | None = None):
+        return self.rng.gamma(shape, scale, size)
+
+    def beta(self, a: float, b: float, size: int | None = None):
+        return self.rng.beta(a, b, size)
+
+    def categorical(self, p: np.ndarray, size: int | None = None):
+        p = np.nan_to_num(np.asarray(p, float))
+        return self.rng.choice(len(p), size, p=p / p.sum())
+
+    def normal_or_zero(self, mean: float, variance: float, p_zero: float, size: int):
+        return np.where(self.rng.random(size) < p_zero, 0.0, self.rng.normal(mean, np.sqrt(variance), size))
+
+    def dirichlet(self, alpha: np.ndarray, size: int | None = None):
+        return self.rng.dirichlet(alpha, size)
+
+    def truncated_normal(self, mean: float, sd: float, low: float = -np.inf, high: float = np.inf, size: int = 1):
+        """By rejection: from the normal where the interval is likely, else from an exponential tail."""
+        a, b = (low - mean) / sd, (high - mean) / sd
+        if b < -a:
+            return -self.truncated_normal(-mean, sd, -high, -low, size)
+        out = np.empty(0)
+        while len(out) < size:
+            if a < 2:
+                x = self.rng.standard_normal(4 * size)
+                ok = (x >= a) & (x <= b)
+            else:
+                rate = (a + np.sqrt(a * a + 4)) / 2
+                x = a + self.rng.exponential(1 / rate, 4 * size)
+                ok = (self.rng.random(4 * size) <= np.exp(-((x - rate) ** 2) / 2)) & (x <= b)
+            out = np.concatenate([out, x[ok]])
+        return mean + sd * out[:size]
+
+    def multivariate_normal(self, mean: np.ndarray, covariance: np.ndarray, size: int | None = None):
+        return self.rng.multivariate_normal(mean, covariance, size)
+
+    def wishart(self, df: int, scale: np.ndarray) -> np.ndarray:
+        """By Bartlett's decomposition."""
+        d = len(scale)
+        a = np.tril(self.rng.standard_normal((d, d)), -1)
+        a[np.diag_indices(d)] = np.sqrt(self.rng.chisquare(df - np.arange(d)))
+        b = np.linalg.cholesky(scale) @ a
+        return b @ b.T
+
+    def inverse_wishart(self, df: int, scale: np.ndarray) -> np.ndarray:
+        return np.linalg.inv(self.wishart(df, np.linalg.inv(scale)))

@@ -21,6 +21,7 @@ def build_session(master: str = "local[*]", partitions: int = 8, memory: str = "
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": memory,
     } | conf
     for key, value in settings.items():

@@ -1,0 +1 @@
+"""Nothing in the engine is unbounded, so there is no streaming operator; batch DataFrames cover all of it."""
