@@ -104,8 +104,9 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
                 if learn:
                     held.update(words)
                 else:
-                    for word in set(words).difference(held):
-                        held[word] = 0
+                    for word in words:
+                        if word not in held:
+                            held[word] = 0
                 if len(held) > _FLUSH:
                     yield rows()
                     held = Counter()
