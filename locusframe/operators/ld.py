@@ -256,7 +256,8 @@ def pseudo_summary(effects: DataFrame, eigen: DataFrame, n: int, train_share: fl
 
 def impute_sample_size(stats: DataFrame, tolerance: float = 0.01, outlier_sd: float = 3.0, most: int = 20) -> DataFrame:
     """Per-variant n = (v - 2pq b^2) / (2pq se^2) with v = median(2pq (n se^2 + b^2)); rows outside the median
-    +- 3 SD go, and the round repeats until the deviation settles. Only three numbers a round reach the driver."""
+    +- 3 SD go, and the round repeats until the deviation settles. Only three numbers a round reach the driver,
+    and a round's n comes from them and the first columns, so no round adds a shuffle to the next."""
     twopq = 2 * F.col("af") * (1 - F.col("af"))
     rows = stats.withColumn("twopq", twopq)
     sd_before = None

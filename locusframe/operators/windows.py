@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .filters import reindex
+
 
 def window_info(variants: DataFrame, width: int) -> DataFrame:
     """for each variant (chrom, pos, idx) the first index, last index and size of the run with
@@ -96,17 +98,16 @@ def bin_by_r2(variants: DataFrame, ld: DataFrame, threshold: float, group: str =
 
 
 def dense_codes(rows: DataFrame, key: str, name: str = "code") -> DataFrame:
-    """adds the 0-based rank of key among its different values; they are joined back, so no task ranks
-    all rows."""
-    values = rows.select(key).distinct()
-    return rows.join(values.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1), key)
+    """adds the 0-based rank of key among its different values; they are ranked over all partitions and
+    joined back, so no task ranks all rows or values."""
+    return rows.join(reindex(rows.select(key).distinct(), key, name=name), key)
 
 
 def first_seen_codes(rows: DataFrame, key: str, order: str, name: str = "code") -> DataFrame:
     """codes from 1 in the order in which keys are first seen."""
     first = rows.groupBy(key).agg(F.min(order).alias("__first"))
-    codes = first.withColumn(name, F.row_number().over(Window.orderBy("__first", key))).drop("__first")
-    return rows.join(codes, key)
+    codes = reindex(first, "__first", key, name=name).drop("__first")
+    return rows.join(codes.withColumn(name, F.col(name) + 1), key)
 
 
 def first_rows(rows: DataFrame, count: int, order: str = "ord") -> DataFrame:

@@ -369,14 +369,14 @@ def prefix_offsets(t):
     return W.running_offsets(pairs(t).groupBy("gene_id").agg(F.count("*").alias("n_pairs")), "n_pairs", "gene_id")
 
 
-@query("SELECT snp, CAST(dense_rank() OVER (ORDER BY brand) - 1 AS INTEGER) AS code FROM variants")
+@query("SELECT snp, dense_rank() OVER (ORDER BY brand) - 1 AS code FROM variants")
 def rank_bins(t):
     return W.dense_codes(variants(t), "brand").select("snp", "code")
 
 
 @query("""
 , f AS (SELECT brand, row_number() OVER (ORDER BY min(ord), brand) AS code FROM variants GROUP BY brand)
-SELECT snp, CAST(code AS INTEGER) AS code FROM variants JOIN f USING (brand)
+SELECT snp, code FROM variants JOIN f USING (brand)
 """)
 def first_seen_codes(t):
     return W.first_seen_codes(variants(t), "brand", "ord").select("snp", "code")
