@@ -15,13 +15,13 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.ipc
-import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,43 +38,52 @@ PART_BYTES = 32 << 20
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
+class _Words(dict):
+    """Ids of words, as bytes; a word is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[word] = self.encode(word if word[0] == "\n" else " " + word)
+        return ids
+
+
 class WordEncoder:
     """The tokenizers library behind a memory of words.
 
-    Byte-level pre-tokenization always cuts before a space that a non-space follows. Texts in which every
-    space is such a space are encoded word by word, each word once; the library encodes other texts whole.
+    Byte-level pre-tokenization always cuts before a space that a non-space follows, and around a single line
+    break. Texts whose only white space is of that kind are encoded word by word, each word once, where the
+    first word of a line takes the break before it along; the library encodes other texts whole.
     """
 
+    ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+    ODD_ASCII = [c for c in ODD if c.isascii()]
+
     def __init__(self, vocabulary: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(vocabulary)
-        self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.odd_space = re.compile(r" (?=\s|$)")
-        self.words: dict[str, bytes] = {}
-
-    def _all(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 1000):
-            done = self.library.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
-            out += [np.array(e.ids, self.kind).tobytes() for e in done]
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes of `kind`."""
-        for at in range(0, len(texts), 256):
-            block = texts[at : at + 256]
-            parts = [None if self.odd_space.search(t) else t.split(" ") for t in block]
-            need = {w for p in parts if p for w in p[1:]}
-            if len(self.words) + len(need) > REMEMBERED:
-                self.words.clear()
-            new = list(need.difference(self.words))
-            self.words.update(zip(new, self._all([" " + w for w in new]), strict=True))
-            firsts = self._all([t if p is None else p[0] for t, p in zip(block, parts, strict=True)])
-            get = self.words.__getitem__
-            for first, p in zip(firsts, parts, strict=True):
-                yield first if p is None else first + b"".join(map(get, p[1:]))
+        small = self.library.get_vocab_size() <= 1 << 16
+        self.kind = np.dtype("<u2" if small else "<u4")
+        self.code = "H" if small else "I"
+        self.words = _Words(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as little-endian bytes of `kind`."""
+        if "\n\n" in text or any(map(text.__contains__, self.ODD_ASCII if text.isascii() else self.ODD)):
+            return self._whole(text)
+        parts = text.replace("\n", " \n").split(" ")
+        if "" in parts:
+            return self._whole(text)
+        return self._whole(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -192,8 +201,8 @@ def write_sequences(
         writer, done = None, []
         end = np.array([end_id], encoder.kind).tobytes()
         for rows in batches:
-            texts = rows.column("text").to_pylist()
-            for doc, ids in zip(rows.column("doc").to_pylist(), encoder.encode(texts), strict=True):
+            for doc, text in zip(rows.column("doc").to_pylist(), rows.column("text"), strict=True):
+                ids = encoder.encode(text.as_py())
                 if writer is None:
                     fs, at = _filesystem(folder)
                     fs.create_dir(at, recursive=True)
