@@ -51,3 +51,16 @@ def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; lower() is the same and quicker where all characters are ASCII."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
+
+
+def hashed_sample(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
+    """At most `most` of the n rows, those with the smallest key, a 64-bit hash.
+
+    As keys are even, twice the rows wanted lie below a cut that n tells beforehand, so a task passes on few
+    rows, and the smallest are taken from those.
+    """
+    (name,) = fresh(rows, "sample_key")
+    keyed = rows.withColumn(name, key)
+    if n > 2 * most:
+        keyed = keyed.filter(F.col(name) <= -(1 << 63) + int((1 << 64) * (2 * most / n)))
+    return keyed.orderBy(name).limit(most).drop(name)

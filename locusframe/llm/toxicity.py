@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .shared import fresh, text_key
+from .shared import hashed_sample, text_key
 
 ROWS = 1 << 20
 ORDERS = (3, 4, 5)
@@ -109,22 +109,23 @@ def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
     return Model((a * model.difference).astype(np.float32), a * model.bias + b)
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 10_000) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 5_000) -> Model:
     """A model of rows with label 0 or 1; null labels are left out, null texts count as empty. Without rows: always 0.5."""
     ship_package(rows.sparkSession)
 
-    @F.pandas_udf("f array<int>, n array<int>")
+    @F.pandas_udf("f binary, n binary")
     def bag(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([np.unique(subwords(t), return_counts=True) for t in texts], columns=["f", "n"])
+        rows = [[x.astype("<u4").tobytes() for x in np.unique(subwords(t), return_counts=True)] for t in texts]
+        return pd.DataFrame(rows, columns=["f", "n"])
 
     text = F.coalesce(text_col, F.lit(""))
     rows = rows.filter(F.col(label_col).isin(0, 1))
-    chosen = rows.select(F.col(id_col).alias("id"), text.alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string"), text_key(text)).alias("key"))
-    chosen = chosen.orderBy("key", "id", "y").limit(max_rows)
+    named = rows.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.col(label_col).cast("int").alias("y"))
+    chosen = hashed_sample(named, F.xxhash64("id", text_key(F.col("text")), "y"), rows.count(), max_rows)
     sample = chosen.select(bag("text").alias("x"), "y").select("x.f", "x.n", "y").toPandas()
     if not len(sample):
         return Model(np.zeros(ROWS, np.float32), 0.0)
-    bags = list(zip(sample["f"], sample["n"], strict=True))
+    bags = [(np.frombuffer(f, "<u4"), np.frombuffer(n, "<u4")) for f, n in zip(sample["f"], sample["n"], strict=True)]
     y = sample["y"].to_numpy(int)
     aside = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     model = train([bags[k] for k in np.flatnonzero(~aside)], y[~aside])
