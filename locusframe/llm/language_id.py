@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .shared import fresh, text_key
+from .shared import fresh, hashed_sample, text_key
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -135,23 +135,23 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return df[:FEATURES], int(df[FEATURES])
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 6_000) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4_000) -> Model:
     """A model of rows that have a label and a text; no such row gives a model that always answers und."""
     ship_package(rows.sparkSession)
     rows = rows.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     df, n = document_frequencies(rows, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    @F.pandas_udf("f array<int>, n array<int>")
+    @F.pandas_udf("f binary, n binary")
     def features(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([ngram_counts(t) for t in texts], columns=["f", "n"])
+        return pd.DataFrame([[x.astype("<u4").tobytes() for x in ngram_counts(t)] for t in texts], columns=["f", "n"])
 
-    key = F.xxhash64(F.col("id").cast("string"), text_key(F.col("text")))
-    chosen = rows.orderBy(key, "id", "label").limit(max_rows)
+    chosen = hashed_sample(rows, F.xxhash64(F.col("id").cast("string"), text_key(F.col("text")), "label"), n, max_rows)
     sample = chosen.select(features("text").alias("x"), "label").select("x.f", "x.n", "label").toPandas()
     labels = sorted(sample["label"].unique())
     y = np.array([labels.index(v) for v in sample["label"]], int)
-    x = [(np.asarray(f, int), tfidf(np.asarray(f, int), np.asarray(c), idf)) for f, c in zip(sample["f"], sample["n"], strict=True)]
+    read = [(np.frombuffer(f, "<u4"), np.frombuffer(c, "<u4")) for f, c in zip(sample["f"], sample["n"], strict=True)]
+    x = [(f, tfidf(f, c, idf).astype(np.float32)) for f, c in read]
     aside = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     weights = fit_ftrl([x[k] for k in np.flatnonzero(~aside)], y[~aside], len(labels)) if len(labels) else np.zeros((FEATURES, 0))
     held = np.array([x[k][1] @ weights[x[k][0]] for k in np.flatnonzero(aside)]).reshape(-1, max(1, len(labels)))
