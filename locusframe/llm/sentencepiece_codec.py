@@ -28,6 +28,20 @@ SPACE = "▁"
 REMEMBERED = 400_000
 
 
+class _Words(dict):
+    """Ids of words; a word is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[word] = self.encode(word if word[0] == "\n" else SPACE + word)
+        return ids
+
+
 class Codec:
     """Encoder and decoder for one model, given as the bytes of its file."""
 
@@ -53,7 +67,7 @@ class Codec:
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if cuttable else r"(?s).+")
         self.plain_text = sp.normalize("ﬁ  X ½ ") == "▁ﬁ▁▁X ½▁"
         self.cuttable = cuttable
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(self._shown)
         self.pairs: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
 
@@ -164,15 +178,11 @@ class Codec:
         """Ids of text in parts; where single spaces part all words, each word is remembered."""
         if not text:
             return []
-        if not (self.plain_text and self.cuttable) or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+        # the first word of a line takes the break before it along
+        spaced = text.replace("\n", " \n")
+        if not (self.plain_text and self.cuttable) or "  " in spaced or spaced[0] == " " or text[-1] == " " or SPACE in text:
             return [self._shown(SPACE + text.replace(" ", SPACE) if self.plain_text else self.library.normalize(text))]
-        words, parts = self.words, text.split(" ")
-        for word in set(parts).difference(words):
-            if len(words) >= REMEMBERED:
-                words.clear()
-                return self.word_ids(text) if len(set(parts)) < REMEMBERED else [self._shown(SPACE + p) for p in parts]
-            words[word] = self._shown(SPACE + word)
-        return list(map(words.__getitem__, parts))
+        return list(map(self.words.__getitem__, spaced.split(" ")))
 
     def encode(self, text: str) -> list[int]:
         """Ids of text, without an end id."""
