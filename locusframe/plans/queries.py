@@ -243,11 +243,11 @@ def cis_window_filter(t):
 
 
 @query("""
-SELECT g.gene_id, min(v.pos) AS pos, arg_min(v.snp, v.pos) AS snp FROM genes g LEFT JOIN variants v ON v.chrom = g.chrom AND v.pos >= g.mid GROUP BY g.gene_id
+SELECT g.gene_id, coalesce(min(v.pos), -1) AS pos, coalesce(arg_min(v.snp, v.pos), 'none') AS snp FROM genes g LEFT JOIN variants v ON v.chrom = g.chrom AND v.pos >= g.mid GROUP BY g.gene_id
 """)
 def nearest_right(t):
     asked = genes(t).select(F.col("gene_id").alias("qid"), "chrom", F.col("mid").alias("at"))
-    return D.nearest_at_or_after(asked, variants(t), 100_000).select(F.col("qid").alias("gene_id"), "pos", "snp")
+    return D.nearest_at_or_after(asked, variants(t), 100_000).select(F.col("qid").alias("gene_id"), F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("snp", F.lit("none")).alias("snp"))
 
 
 @query("SELECT v.snp, count(DISTINCT m.gene_id) AS n_genes FROM variants v LEFT JOIN (SELECT p.snp, p.gene_id FROM pairs p JOIN variants v USING (snp) JOIN genes g ON g.gene_id = p.gene_id AND g.chrom = v.chrom) m USING (snp) GROUP BY v.snp")

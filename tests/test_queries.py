@@ -1,5 +1,7 @@
 """Every query against the same question in DuckDB, on the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,7 +22,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    clean = [[None if pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) else str(v) for v in row] for row in df.itertuples(index=False)]
+    clean = [[None if pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, numbers.Number) else str(v) for v in row] for row in df.itertuples(index=False)]
     return sorted(map(tuple, clean), key=str)
 
 
