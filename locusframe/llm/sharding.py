@@ -1,14 +1,14 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-Each shard owns `virtual` points of the ring. A row belongs to the first point clockwise of the hash of
-its id. Every point may hold only so many rows: the shards' bounds are the row count divided by the
-shards, rounded down or up so that they add up to all rows, and a shard's bound is dealt over its points
-in the same way. Rows that find their point full continue clockwise, first come first served in ring
-order, until a point has room. So the shards' row counts differ by one at most.
-
-Served in ring order, the row of rank r in point j stands at place r + max over points k <= j of
-(first place of k - first rank of k), where the ring is cut at a point into which nothing overflows. So
-counts per point are enough, and rows need no more than their rank inside a small cell of the ring.
+Each shard owns `virtual` points of the ring. A row belongs to the first point clockwise of the hash of its
+id. A shard may hold the row count divided by the shards, rounded down or up so that the bounds add up to all
+rows. Rows that find their shard full continue clockwise to the next point of a shard that has room, so the
+shards' row counts differ by one at most, and only the surplus of crowded shards leaves its place.
+
+This runs in rounds. In each, the rows still without a place go to their points on the ring of the shards
+with room; a shard takes rows in the order of a second hash until it is full, and the rest go into the next
+round. A round places all rows or fills a shard, so there are no more rounds than shards, and each after the
+first sees the surplus alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fresh
+from .shared import fresh, materialise
 
 #: Rows of one cell on average; a cell is the unit in which rows are ranked.
 CELL_ROWS = 2_000
@@ -33,9 +33,9 @@ def _points(spark: SparkSession, shards: int, virtual: int) -> DataFrame:
 
 
 def _arcs(points: DataFrame) -> DataFrame:
-    """(point, shard, node, bucket, low, high): the arc (low, high] of each point, once for each bucket it meets.
+    """(shard, low, high, open, bucket): the arc (low, high] of each point, once for each bucket it meets.
 
-    Points are numbered clockwise; the first also owns what lies beyond the last.
+    The first point also owns what lies beyond the last; an open arc includes its low end.
     """
     order = Window.orderBy("at", "shard", "node")
     ring = points.select(
@@ -43,8 +43,8 @@ def _arcs(points: DataFrame) -> DataFrame:
         F.max("at").over(Window.partitionBy()).alias("last"),
     )
     least, most = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
-    plain = ring.select("point", "shard", "node", F.coalesce("low", least).alias("low"), F.col("at").alias("high"), F.col("low").isNull().alias("open"))
-    beyond = ring.filter("point = 0").select("point", "shard", "node", F.col("last").alias("low"), most.alias("high"), F.lit(False).alias("open"))
+    plain = ring.select("shard", F.coalesce("low", least).alias("low"), F.col("at").alias("high"), F.col("low").isNull().alias("open"))
+    beyond = ring.filter("point = 0").select("shard", F.col("last").alias("low"), most.alias("high"), F.lit(False).alias("open"))
     arcs = plain.unionAll(beyond)
     return arcs.withColumn("bucket", F.explode(F.sequence(_bucket("low"), _bucket("high"))))
 
@@ -58,78 +58,63 @@ def assign_shards(
 ) -> DataFrame:
     """docs with shard (0 .. shards-1) and slot (gapless from 0 in each shard).
 
-    The hash is of the id; rows without id are spread by their text, null texts included. Rows
-    equal in id and text share a place of the ring and take successive slots. An empty table gives an empty
-    result; with fewer rows than shards, some shards stay empty. Other columns pass through (a column of
-    docs named shard or slot is replaced).
+    The hash is of the id; rows without id are spread by their text, null texts included. Rows equal in id
+    share a place of the ring and may part where their shard is full; rows equal in all columns are
+    interchangeable. An empty table gives an empty result; with fewer rows than shards, some shards stay
+    empty. Other columns pass through (a column of docs named shard or slot is replaced).
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    cells = max(1, docs.count() // CELL_ROWS)
-    bits = max(0, (cells - 1).bit_length())
-    at, th, cell, rank = fresh(docs, "ring_at", "ring_th", "ring_cell", "ring_rank")
+    total = docs.count()
+    bounds = {s: total // shards + (s < total % shards) for s in range(shards)}
+    room = dict(bounds)
+    bits = max(0, (total // (shards * CELL_ROWS)).bit_length())
+    at, turn = fresh(docs, "ring_at", "ring_turn")
     id_ = F.col(id_col)
-    keyed = docs.withColumn(th, F.xxhash64(text_col))
-    keyed = keyed.withColumn(at, F.when(id_.isNull(), F.col(th)).otherwise(F.xxhash64(id_.cast("string"))))
-    keyed = keyed.withColumn(cell, F.shiftright(F.col(at), 64 - bits) if bits else F.lit(0).cast("long"))
-
-    points = _points(spark, shards, virtual)
-    arcs = _arcs(points).select(*[F.col(c).alias(f"arc_{c}") for c in ("point", "bucket", "low", "high", "open")])
-    names = {c: n for c, n in zip(arcs.columns, fresh(docs, *arcs.columns), strict=True)}
-    arcs = arcs.withColumnsRenamed(names)
-    point, bucket, low, high, is_open = names.values()
-    # shards * virtual points and at most 2^12 more pieces: a fixed number of rows
-    inside = (F.shiftright(F.col(at), 64 - _BUCKET_BITS) == F.col(bucket)) & (F.col(at) <= F.col(high)) & ((F.col(at) > F.col(low)) | F.col(is_open))
-    placed = keyed.join(F.broadcast(arcs), inside).drop(bucket, low, high, is_open)
-
-    sizes = placed.groupBy(F.col(point).alias("point"), F.col(cell).alias("cell")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("point").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    layout = _layout(points, sizes.groupBy("point").agg(F.sum("n").alias("n")), shards, virtual)
-
-    shift, slots = _tables(layout)
-    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy(point, cell).orderBy(at, id_.cast("string"), th)))
-    p, c, s, m, place, b, lo, hi, base = fresh(docs, *[f"ring_{x}" for x in ("p", "c", "start", "shift", "place", "b", "lo", "hi", "base")])
-    starts = starts.select(F.col("point").alias(p), F.col("cell").alias(c), F.col("start").alias(s))
-    out = ranked.join(starts, (F.col(point) == F.col(p)) & (F.col(cell) == F.col(c))).drop(p, c)
-    out = out.join(F.broadcast(shift.select(F.col("point").alias(p), F.col("shift").alias(m), "step")), F.col(point) == F.col(p))
-    out = out.withColumn(place, F.col(m) + F.col(s) + F.col(rank) - 1)
-    slots = slots.select(F.col("bucket").alias(b), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("base").alias(base), F.col("shard"))
-    found = (F.floor(F.col(place) / F.col("step")) == F.col(b)) & (F.col(place) >= F.col(lo)) & (F.col(place) < F.col(hi))
-    out = out.join(F.broadcast(slots), found)
-    return out.withColumn("slot", F.col(base) + F.col(place) - F.col(lo)).drop(
-        at, th, cell, rank, point, p, s, m, "step", place, b, lo, hi, base
-    )
-
-
-def _layout(points: DataFrame, demand: DataFrame, shards: int, virtual: int) -> DataFrame:
-    """Each point with its bound, its first place and first rank, clockwise from a point without inflow."""
-    order = Window.orderBy("at", "shard", "node")
-    ring = points.withColumn("point", F.row_number().over(order) - 1).join(demand, "point", "left").fillna(0, ["n"])
-    every = Window.partitionBy()
-    total = F.sum("n").over(every)
-    own = F.floor(total / shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
-    ring = ring.withColumn("own", own)
-    ring = ring.withColumn("bound", F.floor(F.col("own") / virtual) + F.when(F.col("node") < F.col("own") % virtual, 1).otherwise(0))
-    over = F.sum(F.col("n") - F.col("bound")).over(Window.orderBy("point"))
-    ring = ring.withColumn("over", over)
-    ring = ring.withColumn("cut", F.min_by("point", F.struct("over", "point")).over(every))
-    ring = ring.withColumn("turn", F.pmod(F.col("point") - F.col("cut") - 1, F.lit(shards * virtual)))
-    so_far = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    ring = ring.withColumns(
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    pending = docs.withColumns(
         {
-            "lo": F.coalesce(F.sum("bound").over(so_far), F.lit(0)),
-            "first": F.coalesce(F.sum("n").over(so_far), F.lit(0)),
-            "base": F.coalesce(F.sum("bound").over(Window.partitionBy("shard").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "step": F.greatest(F.lit(1), F.min("bound").over(every)),
+            at: F.when(id_.isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_.cast("string"))),
+            # the order in which a full shard takes rows; rows equal in it are equal in every column
+            turn: F.xxhash64(F.lit("turn"), *hashable),
         }
     )
-    return ring.withColumn("lead", F.max(F.col("lo") - F.col("first")).over(Window.orderBy("turn")))
-
-
-def _tables(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(point, shift, step): what to add to a rank; (shard, bucket, lo, hi, base): the places of each point."""
-    shift = layout.select("point", (F.col("first") + F.col("lead")).alias("shift"), "step")
-    slots = layout.filter("bound > 0").select("shard", "lo", (F.col("lo") + F.col("bound")).alias("hi"), "base", "step")
-    spans = F.sequence(F.floor(F.col("lo") / F.col("step")), F.floor((F.col("hi") - 1) / F.col("step")))
-    return shift, slots.withColumn("bucket", F.explode(spans)).drop("step")
+    points = _points(spark, shards, virtual)
+    out = None
+    while True:
+        open_shards = [s for s in room if room[s]] or list(room)
+        placed, demand = _place(pending, points.filter(F.col("shard").isin(open_shards)), at, turn, bits)
+        shard_room, taken = (F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("shard")) for m in (room, {s: bounds[s] - room[s] for s in room}))
+        sized = placed.withColumn("slot", F.col("slot") + taken)
+        fits = F.col("slot") < taken + shard_room
+        kept = sized.filter(fits)
+        out = kept if out is None else out.unionByName(kept)
+        over = {s: max(0, demand.get(s, 0) - room[s]) for s in room}
+        room = {s: max(0, room[s] - demand.get(s, 0)) for s in room}
+        if not any(over.values()):
+            return out.drop(at, turn)
+        pending = materialise(sized.filter(~fits).drop("shard", "slot"), "shard-surplus")
+        bits = max(0, (sum(over.values()) // (shards * CELL_ROWS)).bit_length())
+
+
+def _place(rows: DataFrame, points: DataFrame, at: str, turn: str, bits: int) -> tuple[DataFrame, dict[int, int]]:
+    """rows with shard and slot, their 0-based rank in it by turn; and the rows of each shard.
+
+    Ranks are taken in cells of some CELL_ROWS rows, and cells are counted before; no task ranks a whole shard.
+    """
+    arcs = _arcs(points).select(*[F.col(c).alias(f"arc_{c}") for c in ("shard", "bucket", "low", "high", "open")])
+    names = {c: n for c, n in zip(arcs.columns, fresh(rows, *arcs.columns), strict=True)}
+    shard, bucket, low, high, is_open = names.values()
+    # shards * virtual points and at most 2^12 more pieces: a fixed number of rows
+    inside = (F.shiftright(F.col(at), 64 - _BUCKET_BITS) == F.col(bucket)) & (F.col(at) <= F.col(high)) & ((F.col(at) > F.col(low)) | F.col(is_open))
+    placed = rows.join(F.broadcast(arcs.withColumnsRenamed(names)), inside).drop(bucket, low, high, is_open)
+    cell, rank, s, c, start = fresh(placed, "ring_cell", "ring_rank", "ring_s", "ring_c", "ring_start")
+    placed = placed.withColumn(cell, F.shiftright(F.col(turn), 64 - bits) if bits else F.lit(0).cast("long"))
+    sizes = materialise(placed.groupBy(F.col(shard).alias(s), F.col(cell).alias(c)).agg(F.count("*").alias("n")), "shard-cells")
+    before = Window.partitionBy(s).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(s, c, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    demand = {r[0]: r[1] for r in sizes.groupBy(s).agg(F.sum("n")).collect()}
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy(shard, cell).orderBy(turn, at)))
+    joined = ranked.join(starts, (F.col(shard) == F.col(s)) & (F.col(cell) == F.col(c)))
+    out = joined.withColumns({"shard": F.col(shard), "slot": F.col(start) + F.col(rank) - 1})
+    return out.drop(shard, cell, rank, s, c, start), demand
