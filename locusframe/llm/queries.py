@@ -36,11 +36,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import fold_of
-    from .toxicity import fit, score
+    from .toxicity import fit, labelled_sample, score
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit(docs.filter(fold_of(F.col("doc_id")) != 0).join(labels, "doc_id"))
+    labels = _table(spark, sf_dir, "labels").filter(fold_of(F.col("doc_id")) != 0)
+    model = fit(labelled_sample(docs, labels))
     out = score(docs, model)
     return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 

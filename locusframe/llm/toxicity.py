@@ -109,6 +109,17 @@ def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
     return Model((a * model.difference).astype(np.float32), a * model.bias + b)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 5_000) -> DataFrame:
+    """docs of at most max_rows labels, those with the smallest hash of their id; their number bounds the broadcast.
+
+    The sample is drawn before the texts come in, so no text is shuffled. Labels other than 0 and 1 are left
+    out; an id with both has a row for each.
+    """
+    known = labels.select(id_col, label_col).filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).distinct()
+    chosen = hashed_sample(known, F.xxhash64(F.col(id_col).cast("string"), label_col), known.count(), max_rows)
+    return docs.join(F.broadcast(chosen), id_col)
+
+
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 5_000) -> Model:
     """A model of rows with label 0 or 1; null labels are left out, null texts count as empty. Without rows: always 0.5."""
     ship_package(rows.sparkSession)
