@@ -131,3 +131,28 @@ def test_same_as_sql(spark, name):
 def test_frequent_lines_count_every_salt(spark):
     rows = spark.range(500).select(F.lit(1).alias("host"), F.lit(2).alias("h"), (F.col("id") % 5).alias("salt"))
     assert Q.frequent_lines(rows, 499).count() == 5 and Q.frequent_lines(rows, 500).count() == 0
+
+
+def test_quality_limit_follows_the_host(spark):
+    body = lambda k: " ".join(f"d{k}x{j}" for j in range(60))
+    notice = " ".join(f"notice{j}" for j in range(80))
+
+    def table(times):
+        # of 100 different texts a round, 20 carry the notice and 2 a short line; in every round, one text has 30 copies
+        rows = []
+        for r in range(times):
+            for k in range(100):
+                head = notice if k < 20 else "a short line" if k < 22 else f"own{r}x{k}"
+                rows.append((1000 * r + k, f"{head}\n{body(1000 * r + k)}"))
+            rows += [(1000 * r + 500 + c, f"copied\n{body('c')}") for c in range(30)]
+        return frame(spark, rows)
+
+    def verdicts(docs):
+        return {r.doc_id: (r.kept, r.removed_words) for r in Q.judge(docs).collect()}
+
+    small, large, copied = verdicts(table(1)), verdicts(table(60)), verdicts(table(1).crossJoin(spark.range(120).select()))
+    assert all(small[k] == (False, 80) for k in range(20)) and all(small[k] == (True, 0) for k in small if k >= 20)
+    assert {k: v for k, v in large.items() if k < 1000} == small == copied
+    assert {v for k, v in large.items() if k % 1000 < 20} == {(False, 80)} and {v for k, v in large.items() if k % 1000 >= 20} == {(True, 0)}
+    texts = {r.doc_id: r.text for r in Q.clean_text(table(1)).collect()}
+    assert texts[0] == body(0) and texts[20].startswith("a short line") and texts[500].startswith("copied")
