@@ -1,21 +1,26 @@
-"""Small dense matrix helpers in numpy."""
+"""Positive-definite helpers for 2 x 2 matrices [[a, b], [c, d]] as columns."""
 
 from __future__ import annotations
 
-import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
-def is_symmetric(m: np.ndarray, tolerance: float = 1e-8) -> bool:
-    return m.shape[0] == m.shape[1] and bool(np.allclose(m, m.T, atol=tolerance))
+def is_symmetric(b: Column, c: Column, tolerance: float = 1e-8) -> Column:
+    return F.abs(b - c) <= tolerance
 
 
-def is_positive_definite(m: np.ndarray) -> bool:
-    return is_symmetric(m) and bool((np.linalg.eigvalsh(m) > 0).all())
+def is_positive_definite(a: Column, b: Column, c: Column, d: Column, tolerance: float = 1e-8) -> Column:
+    """Symmetric, and both leading minors are positive."""
+    return is_symmetric(b, c, tolerance) & (a > 0) & (a * d - b * c > 0)
 
 
-def make_positive_definite(m: np.ndarray, floor: float = 1e-6) -> np.ndarray:
-    """m with singular values that are not positive lifted to floor, symmetric."""
-    u, s, vt = np.linalg.svd((m + m.T) / 2)
-    s = np.where(np.sum(u * vt.T, axis=0) < 0, -s, s)
-    lifted = (u * np.where(s > 0, s, floor)) @ u.T
-    return (lifted + lifted.T) / 2
+def make_positive_definite(a: Column, b: Column, c: Column, d: Column, floor: float = 1e-6) -> dict[str, Column]:
+    """The symmetric part (a, b, d) with eigenvalues that are not positive lifted to floor."""
+    b = (b + c) / 2
+    middle, half = (a + d) / 2, F.sqrt((a - d) * (a - d) / 4 + b * b)
+    high, low = middle + half, middle - half
+    lifted = [F.when(x > 0, x).otherwise(floor) for x in (high, low)]
+    # (m - low) / (high - low) is the projection on the higher eigenvector
+    share = F.when(half > 0, (lifted[0] - lifted[1]) / (2 * half)).otherwise(0.0)
+    return {"a": share * (a - low) + lifted[1], "b": share * b, "d": share * (d - low) + lifted[1]}

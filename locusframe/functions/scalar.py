@@ -5,14 +5,78 @@ from __future__ import annotations
 import math
 import statistics
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 _NORMAL = statistics.NormalDist()
 
+# Coefficients, highest power first, of Cody's rational Chebyshev approximations of erf and erfc (1969).
+_ERF = (
+    (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+_ERFC_MID = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_ERFC_TAIL = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+# Coefficients, highest power first, of Wichura's algorithm AS 241 for the normal quantile (1988).
+_QUANTILE_MID = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+_QUANTILE_NEAR = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+)
+_QUANTILE_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e0, 5.46378491116411436990e0, 6.65790464350110377720e0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
+
+def _ratio(coefficients: tuple, x: Column) -> Column:
+    """One polynomial over the other."""
+    parts = []
+    for row in coefficients:
+        value = F.lit(row[0])
+        for c in row[1:]:
+            value = value * x + c
+        parts.append(value)
+    return parts[0] / parts[1]
+
+
+def _bound(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f names it; a long x would be copied into every place otherwise."""
+    return F.get(F.transform(F.array(x.cast("double")), f), F.lit(0))
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function on the JVM, right to some 15 digits, far tails included; null for null."""
+    return _bound(x, _erfc)
+
+
+def _erfc(x: Column) -> Column:
+    a = F.abs(x)
+    # exp(-a^2) from a cut at sixteenths, as rounding a^2 alone would lose digits of large a
+    cut = F.floor(a * 16) / 16
+    gauss = F.exp(-cut * cut) * F.exp(-(a - cut) * (a + cut))
+    inverse = 1 / (a * a)
+    tail = gauss / a * (1 / math.sqrt(math.pi) - inverse * _ratio(_ERFC_TAIL, inverse))
+    positive = F.when(a <= 0.46875, 1 - a * _ratio(_ERF, a * a)).when(a <= 4, gauss * _ratio(_ERFC_MID, a)).when(a < 27, tail).when(a.isNotNull(), 0.0)
+    return F.when(x < 0, 2 - positive).otherwise(positive)
+
+
+def _quantile_beyond_half(q: Column) -> Column:
+    """The normal quantile at 1/2 + q."""
+    small = 0.5 - F.abs(q)
+    r = F.sqrt(-F.log(small))
+    outer = F.when(r <= 5, _ratio(_QUANTILE_NEAR, r - 1.6)).otherwise(_ratio(_QUANTILE_FAR, r - 5))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(_QUANTILE_MID, 0.180625 - q * q)).when(F.abs(q) < 0.5, F.signum(q) * outer)
+
 
 def tokens(text: Column, separators: str = r" \t,") -> Column:
     """Parts between runs of separators, none of them empty."""
@@ -78,10 +142,9 @@ def is_number(text: Column) -> Column:
     return text.rlike("^[0-9]+$")
 
 
-@F.pandas_udf(DoubleType())
-def chi2_tail(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-squared with one degree of freedom, by erfc, so that it does not run out at 1e-16."""
-    return pd.Series([math.erfc(math.sqrt(v / 2)) if v >= 0 else None for v in x.astype(float)], dtype="float64")
+def chi2_tail(x: Column) -> Column:
+    """Upper tail of chi-squared with one degree of freedom, so that it does not run out at 1e-16; null below 0."""
+    return F.when(x >= 0, erfc(F.sqrt(x / 2)))
 
 
 def chi2_cut(p: float) -> float:
@@ -102,28 +165,33 @@ def chi2_quantile(p: float) -> float:
     return _NORMAL.inv_cdf((1 + p) / 2) ** 2 if 0 < p < 1 else (0.0 if p <= 0 else math.inf)
 
 
-@F.pandas_udf(DoubleType())
-def se_from_p(beta: pd.Series, p: pd.Series) -> pd.Series:
-    """|beta| over the square root of the chi-squared quantile at p (lower tail); 1e10 where p is 1."""
-    return pd.Series([1e10 if q == 1 else abs(b) / math.sqrt(chi2_quantile(q)) for b, q in zip(beta, p, strict=True)], dtype="float64")
+def se_from_p(beta: Column, p: Column) -> Column:
+    """|beta| over the square root of the chi-squared quantile at p (lower tail); 1e10 where p is 1, null where p is
+    null, 0 or outside [0, 1], as no finite error belongs to these."""
+    ratio = _bound(p, lambda v: F.when((v > 0) & (v < 1), _quantile_beyond_half(v / 2)))
+    return F.when(p == 1, 1e10).otherwise(F.abs(beta) / ratio)
 
 
-@F.pandas_udf(DoubleType())
-def p_from_z(z: pd.Series) -> pd.Series:
+def p_from_z(z: Column) -> Column:
     """Two-sided p-value."""
-    return pd.Series([math.erfc(abs(v) / math.sqrt(2)) for v in z.astype(float)], dtype="float64")
+    return erfc(F.abs(z) / math.sqrt(2))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
+def normal_cdf(x: Column) -> Column:
     """I13."""
-    return pd.Series([0.5 * math.erfc(-v / math.sqrt(2)) for v in x.astype(float)], dtype="float64")
+    return 0.5 * erfc(-x / math.sqrt(2))
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
+def normal_quantile(p: Column) -> Column:
     """I13; null outside (0, 1)."""
-    return pd.Series([_NORMAL.inv_cdf(v) if 0 < v < 1 else np.nan for v in p.astype(float)], dtype="float64")
+    return _bound(p, _normal_quantile)
+
+
+def _normal_quantile(p: Column) -> Column:
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    outer = F.when(r <= 5, _ratio(_QUANTILE_NEAR, r - 1.6)).otherwise(_ratio(_QUANTILE_FAR, r - 5))
+    q = p - 0.5
+    return F.when((p <= 0) | (p >= 1), None).when(F.abs(q) <= 0.425, q * _ratio(_QUANTILE_MID, 0.180625 - q * q)).otherwise(F.signum(q) * outer)
 
 
 def heterozygosity(af: Column) -> Column:
@@ -156,3 +224,10 @@ def scaled_effects(b: Column, se: Column, n: Column) -> dict[str, Column]:
 def named_value(names: Column, values: Column, key: str) -> Column:
     """The value that stands under key."""
     return F.try_element_at(F.map_from_arrays(names, values), F.lit(key))
+
+
+def largest(cutoffs: list[float]) -> float:
+    """The one of a list of cutoffs that holds."""
+    if not cutoffs:
+        raise ValueError("no cutoff is given")
+    return max(cutoffs)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .filters import reindex
+
 
 def biased_correlation(x: Column, y: Column) -> Column:
     """Covariance over n, variances over n-1, so (n-1)/n of the usual correlation."""
@@ -16,9 +18,25 @@ def biased_slope(x: Column, y: Column) -> Column:
     return F.covar_pop(x, y) / F.var_samp(x)
 
 
-def upper_median(x: Column) -> Column:
-    """Element floor(n/2) of the sorted values; for groups of bounded size."""
-    return F.get(F.sort_array(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int"))
+def upper_median(column: str) -> Column:
+    """Element floor(n/2) of a group's sorted values, nulls left out: the discrete median counted from above.
+    Aggregation keeps one counter for each different value of a group, not its rows."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+
+
+def exact_median(rows: DataFrame, column: str, upper: bool = False) -> float | None:
+    """The median of a whole column, or the element floor(n/2) of its sorted values; null if there is none.
+
+    The values alone are sorted over all partitions and numbered; one or two of them reach the driver.
+    """
+    known = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    placed = reindex(known, "x", name="at")
+    n = placed.count()
+    if not n:
+        return None
+    wanted = [n // 2] if upper else sorted({(n - 1) // 2, n // 2})
+    found = [r.x for r in placed.filter(F.col("at").isin(wanted)).select("x").collect()]
+    return sum(found) / len(found)
 
 
 def weighted_frequency(af: Column, n: Column) -> Column:
@@ -48,7 +66,10 @@ def chromosome_ranges(variants: DataFrame) -> DataFrame:
 
 
 def ld_row_stats(ld: DataFrame, n: int) -> DataFrame:
-    """For each row i of (i, j, r): sum of r, of r squared, and the sampling variance."""
+    """For each row i of the whole matrix (i, j, r): sum of r, of r squared, and the sampling variance.
+
+    ld holds both sides of the diagonal; mirrored() of operators/ld.py makes them from i <= j.
+    """
     r2 = F.col("r") * F.col("r")
     return ld.groupBy("i").agg(F.sum("r").alias("ld_sum"), F.sum(r2).alias("ldsc"), F.sum((1 - r2) * (1 - r2) / n).alias("sampling_var"))
 
@@ -65,8 +86,8 @@ def variance_parts(var_y: Column, h2: Column | float, random_share: Column | flo
 
 
 def regressed_sample_size(beta: Column, se: Column) -> Column:
-    """-1 / slope of se^2 on beta^2 - se^2."""
-    return -1 / F.regr_slope(se * se, beta * beta - se * se)
+    """-1 / slope of se^2 on beta^2 - se^2, cut to a whole number."""
+    return (-1 / F.regr_slope(se * se, beta * beta - se * se)).cast("long")
 
 
 def input_summary(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..errors import EngineError, require_rows
 from ..functions.scalar import chi2_cut, minor_frequency
+from ..storage import materialise
 
 
 def include_ids(rows: DataFrame, listed: DataFrame, key: str = "snp") -> DataFrame:
@@ -31,12 +32,23 @@ def include_one(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def include_block(variants: DataFrame, blocks: DataFrame, number: int) -> DataFrame:
-    """Variants within the block of a 1-based number, both ends included."""
-    block = blocks.filter(F.col("ord") == number - 1).select(
-        F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end")
-    )
+    """Variants of the block of a 1-based number: those that name it, where variants have block_id and some do,
+    else those within it by position, both ends included."""
+    block = blocks.filter(F.col("ord") == number - 1).limit(1)
+    if "block_id" in variants.columns:
+        named = variants.join(F.broadcast(block.select("block_id")), "block_id", "left_semi")
+        if not named.isEmpty():
+            return named
+    spans = block.select(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     inside = (F.col("chrom") == F.col("b_chrom")) & F.col("pos").between(F.col("b_start"), F.col("b_end"))
-    return variants.join(F.broadcast(block.limit(1)), inside, "left_semi")
+    return variants.join(F.broadcast(spans), inside, "left_semi")
+
+
+def include_matched_blocks(variants: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Variants with a known block_id, and the blocks that have one, with start_idx, end_idx and n_snps by idx."""
+    mine = variants.join(blocks.select("block_id"), "block_id", "left_semi")
+    about = mine.groupBy("block_id").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("n_snps"))
+    return mine, blocks.join(about, "block_id")
 
 
 def tag_skeleton(variants: DataFrame, listed: DataFrame) -> DataFrame:
@@ -102,17 +114,20 @@ def keep_individuals(people: DataFrame, *needed: DataFrame, keep: DataFrame | No
 
 def gwas_qc(
     gwas: DataFrame, reference: DataFrame, max_af_diff: float = 0.2, min_maf: float = 0.0, max_maf: float = 0.0,
-    max_p: float = 1.0, outlier_sd: float = 3.0,
+    max_p: float = 1.0, outlier_sd: float | None = None,
 ) -> DataFrame:
     """C17: gwas with reason: the first rule that a row breaks, else null.
 
-    In order: allele, af_diff, fixed, maf, p, n_outlier, no_effect. The sample-size rule compares with the
-    median and deviation of the rows that broke none of the rules before it.
+    In order: allele, af_diff, fixed, maf, p, n_outlier, no_effect. A missing frequency is the reference's, turned
+    round where the alleles are swapped. The sample-size rule holds only with outlier_sd; it compares with the
+    median and deviation of the known sizes of rows that broke none of the rules before it, and passes unknown ones.
     """
+    from .aggregates import exact_median
     from .joins import align_alleles
 
     ref = reference.select("snp", F.col("a1").alias("ref_a1"), F.col("a2").alias("ref_a2"), F.col("af").alias("ref_af"))
     rows = align_alleles(gwas.join(ref, "snp"), keep_inconsistent=True)
+    rows = rows.withColumn("af", F.coalesce("af", F.when(F.col("orient") == -1, 1 - F.col("ref_af")).otherwise(F.col("ref_af"))))
     mafs = [minor_frequency(F.col(c)) for c in ("af", "ref_af")]
     few = [m < min_maf for m in mafs] if min_maf else []
     many = [m > max_maf for m in mafs] if max_maf else []
@@ -124,31 +139,46 @@ def gwas_qc(
         .when(F.col("af").isin(0.0, 1.0), "fixed").when(off, "maf").when(F.col("p") > max_p, "p")
     )
     rows = rows.withColumn("reason", reason)
-    median, sd = rows.filter("reason is null").agg(F.median("n"), F.stddev_samp("n")).first()
-    outlier = F.abs(F.col("n") - median) > outlier_sd * sd if sd is not None else F.lit(False)
+    outlier = F.lit(False)
+    if outlier_sd is not None:
+        sound = rows.filter("reason is null and n is not null").select(F.col("n").cast("double").alias("n"))
+        median, sd = exact_median(sound, "n"), sound.agg(F.stddev_samp("n")).first()[0]
+        if sd is not None:
+            outlier = F.abs(F.col("n") - median) > outlier_sd * sd
     reason = F.coalesce("reason", F.when(outlier, "n_outlier").when(F.col("b").isNull(), "no_effect"))
     return rows.withColumn("reason", reason)
 
 
-def reindex(rows: DataFrame, *order: str, name: str = "idx", group: tuple[str, ...] = ()) -> DataFrame:
-    """Dense 0-based index in the order given, within each group or over all rows.
+def running_sum(rows: DataFrame, order: tuple[str, ...], measure: Column | None, name: str) -> DataFrame:
+    """Adds name: the sum of measure (1 where None) over the rows before, in the order given over all rows.
 
-    Without groups the rows are sorted over all partitions; each partition then adds the count of those before
-    it, so no task sees more than its own range.
+    The rows are sorted over all partitions and written once, each with its place, so that the sums of whole
+    partitions and the rows they are added to come from the same files. A task sees its own range only, and
+    one number a partition is broadcast.
     """
+    sized = rows.withColumn("__size", F.lit(1).cast("long") if measure is None else measure)
+    placed = materialise(sized.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("__part", F.shiftright("__mid", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition
+    sums = placed.groupBy("__part").agg(F.sum("__size").alias("__sum"))
+    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    if measure is None:
+        own = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    else:
+        within = Window.partitionBy("__part").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
+        own = F.coalesce(F.sum("__size").over(within), F.lit(0))
+    out = placed.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__own"))
+    return out.drop("__size", "__mid", "__part", "__own", "__start")
+
+
+def reindex(rows: DataFrame, *order: str, name: str = "idx", group: tuple[str, ...] = ()) -> DataFrame:
+    """Dense 0-based index in the order given, within each group or over all rows; ties in any order."""
     if group:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
     if not order:
         raise EngineError("an order is needed")
-    placed = rows.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("__mid"), 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a partition
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    return joined.withColumn(name, F.col("__start") + own).drop("__mid", "__part", "__start")
+    return running_sum(rows, order, None, name)
 
 
 def is_proximal(chrom: Column, at: Column, other_chrom: Column, other_at: Column, window: float) -> Column:
@@ -157,12 +187,22 @@ def is_proximal(chrom: Column, at: Column, other_chrom: Column, other_at: Column
 
 
 def drop_constant(genotypes: DataFrame, dosage: str = "dosage", least: float = 1e-6) -> DataFrame:
-    """Variants whose dosages differ."""
+    """Variants whose dosages differ by `least` or more; missing ones do not count."""
     return genotypes.filter(F.array_max(dosage) - F.array_min(dosage) >= least)
 
 
+def require_polymorphic(genotypes: DataFrame, dosage: str = "dosage") -> DataFrame:
+    """Genotypes, or an error that names a variant of one dosage only."""
+    known = F.array_compact(dosage)
+    flat = genotypes.filter((F.size(known) == 0) | (F.array_max(known) == F.array_min(known))).select("snp").first()
+    if flat is not None:
+        raise EngineError(f"variant {flat.snp} has no variation")
+    return genotypes
+
+
 def annotation_members(members: DataFrame, variants: DataFrame) -> DataFrame:
-    """Members of annotations that are in variants, with the share of all variants that each label has."""
-    kept = members.join(variants.select("snp"), "snp", "left_semi")
+    """Members (label, snp) of annotations that are in variants (snp, af), with twopq, and with the share of all
+    variants that each label has."""
+    kept = members.join(variants.select("snp", (2 * F.col("af") * (1 - F.col("af"))).alias("twopq")), "snp")
     share = kept.groupBy("label").agg((F.count("*") / F.lit(variants.count())).alias("fraction"))
     return kept.join(share, "label")

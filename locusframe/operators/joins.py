@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import require_rows
+from ..errors import EngineError, require_rows
 
 
 def align_alleles(rows: DataFrame, beta: str = "b", af: str = "af", keep_inconsistent: bool = False) -> DataFrame:
@@ -39,14 +39,14 @@ def map_to_blocks(variants: DataFrame, blocks: DataFrame, margin: int = 0, least
     """Each variant with its block. Blocks have ord, block_id, chrom, start and end.
 
     A variant on a shared border belongs to the block that comes first; blocks with fewer than `least`
-    variants go; none mapped is an error.
+    variants go; none mapped is an error where the caller asks for rows. The positions are joined once.
     """
     spans = blocks.select(F.col("ord").alias("block_ord"), "block_id", "chrom", "start", "end")
     hits = interval_join(variants, spans, margin)
-    first = hits.groupBy("snp").agg(F.min("block_ord").alias("block_ord"))
-    mine = hits.join(first, ["snp", "block_ord"], "left_semi")
-    enough = mine.groupBy("block_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("block_id")
-    return mine.join(enough, "block_id", "left_semi")
+    rest = [c for c in hits.columns if c != "snp"]
+    mine = hits.groupBy("snp").agg(F.min_by(F.struct(*rest), "block_ord").alias("__row")).select("snp", "__row.*")
+    of_block = Window.partitionBy("block_id")
+    return mine.withColumn("__n", F.count("*").over(of_block)).filter(F.col("__n") >= least).drop("__n")
 
 
 def map_to_genes(variants: DataFrame, genes: DataFrame, window_mb: float = 0.1, least: int = 2) -> DataFrame:
@@ -99,22 +99,37 @@ def gene_phenotypes(people: DataFrame, gene_pheno: DataFrame) -> DataFrame:
 
 
 def align_to_reference_genes(reference: DataFrame, pairs: DataFrame, max_missing: float = 0.3) -> DataFrame:
-    """The reference's (gene_id, snp) with the pairs' beta, se and n where there are some.
+    """The reference's (gene_id, snp, any more) with the pairs' beta, se and n where there are some.
 
-    Genes that lack more than max_missing of their variants go; typed tells which pairs were there.
+    af is the pairs' where that is above 0, else the reference's, if either has one; flipped is the pairs'. Genes that
+    the pairs lack, and those that lack more than max_missing of their variants, go; typed tells which pairs were there.
     """
-    rows = reference.select("gene_id", "snp").join(pairs.select("gene_id", "snp", "beta", "se", "n"), ["gene_id", "snp"], "left")
-    rows = rows.withColumn("typed", F.col("beta").isNotNull())
+    taken = [c for c in ("beta", "se", "n", "af", "flipped") if c in pairs.columns]
+    own = pairs.select("gene_id", "snp", *[F.col(c).alias(f"__{c}") for c in taken], F.lit(True).alias("__typed"))
+    rows = reference.join(pairs.select("gene_id").distinct(), "gene_id", "left_semi").join(own, ["gene_id", "snp"], "left")
+    for c in taken:
+        value = F.col(f"__{c}")
+        if c == "af":
+            value = F.coalesce(F.when(value > 0, value), F.col("af") if "af" in reference.columns else F.lit(None).cast("double"))
+        rows = rows.withColumn(c, value).drop(f"__{c}")
+    rows = rows.withColumn("typed", F.coalesce("__typed", F.lit(False))).drop("__typed")
     missing = rows.groupBy("gene_id").agg(F.avg((~F.col("typed")).cast("int")).alias("missing"))
     return rows.join(missing.filter(F.col("missing") <= max_missing).select("gene_id"), "gene_id", "left_semi")
 
 
+def check_positions(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """Rows, or an error that names a variant whose position differs from the reference's."""
+    other = reference.select("snp", F.col("pos").alias("__pos"))
+    off = rows.join(other, "snp").filter(F.col("pos") != F.col("__pos")).select("snp").first()
+    if off is not None:
+        raise EngineError(f"variant {off.snp} has another position in the reference")
+    return rows
+
+
 def lookup(rows: DataFrame, dimension: DataFrame, key: str, strict: bool = False) -> DataFrame:
     """Equi-join by id; strict makes an id without a match an error."""
     if strict:
         lost = rows.join(dimension.select(key), key, "left_anti").select(key).first()
         if lost is not None:
-            from ..errors import EngineError
-
             raise EngineError(f"{key} {lost[0]} is unknown")
     return require_rows(rows.join(dimension, key), key) if strict else rows.join(dimension, key)

@@ -1,7 +1,8 @@
 """Correlation (LD) matrices, their decompositions and what is computed through them.
 
-Genotypes are rows (snp, idx, dosage array); a matrix is (i, j, r) with i <= j unless said otherwise. Dense
-work is done in tiles of variants or in one region at a time, both of bounded size.
+Genotypes are rows (snp, idx, dosage array); a matrix is (i, j, r) with i <= j unless said otherwise, and mirrored()
+gives both sides. Products are computed in tiles of variants, of bounded size. Decompositions and solutions need the
+whole matrix of a region in one task: regions are LD blocks or cis windows, some thousands of variants at most.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
+from ..storage import materialise
+from .aggregates import exact_median
+
 TILE = 512
 
 
@@ -33,60 +38,144 @@ def correlation(dosages: list) -> np.ndarray:
     return z @ z.T
 
 
-def ld_pairs(genotypes: DataFrame, tile: int = TILE, least_r2: float = 0.0, band: int | None = None) -> DataFrame:
+def _products(a: pd.DataFrame, b: pd.DataFrame, with_spread: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Index arrays, r, and with_spread the jackknife variance of r, of every pair of two tiles.
+
+    Leaving out person k turns r into n/(n-1) (r - z_ik z_jk), so the variance over k needs but the product of squares.
+    """
+    za, zb = standardised(list(a["dosage"])), standardised(list(b["dosage"]))
+    r, n = za @ zb.T, za.shape[1]
+    spread = n / (n - 1) * ((za * za) @ (zb * zb).T - r * r / n) if with_spread else None
+    return a["idx"].to_numpy()[:, None], b["idx"].to_numpy()[None, :], r, spread
+
+
+def near_tiles(rows: DataFrame, along: str, reach: float) -> DataFrame:
+    """(lo, hi), lo <= hi: pairs of tiles t with variants of one chromosome less than reach apart in along.
+
+    One row a tile and chromosome is joined, by bins of positions, so tiles of different ends of a chromosome never meet.
+    """
+    spans = rows.groupBy("t", "chrom").agg(F.min(along).alias("low"), F.max(along).alias("high"))
+    spans = materialise(spans, "ld-tiles")
+    extent, tiles = spans.agg(F.max("high") - F.min("low"), F.count("*")).first()
+    width = max(reach, float(extent or 0) / (4 * tiles + 1), 1e-9)
+    first, last = (F.floor((F.col(c) + sign * reach / 2) / width) for c, sign in (("low", -1), ("high", 1)))
+    cut = spans.withColumn("bin", F.explode(F.sequence(first, last)))
+    a, b = (cut.select("chrom", "bin", *[F.col(c).alias(c + k) for c in ("t", "low", "high")]) for k in "12")
+    close = (F.col("t1") <= F.col("t2")) & (F.col("low1") - F.col("high2") < reach) & (F.col("low2") - F.col("high1") < reach)
+    return a.join(b, ["chrom", "bin"]).filter(close).select(F.col("t1").alias("lo"), F.col("t2").alias("hi")).distinct()
+
+
+def ld_pairs(
+    genotypes: DataFrame, tile: int = TILE, least_r2: float = 0.0, band: int | None = None, *, reach: float | None = None, along: str = "pos", jackknife: bool = False
+) -> DataFrame:
     """(i, j, r) for i <= j, by tiles of variants: each tile pair is one group of 2 * tile rows.
 
-    least_r2 drops small values inside the task, before they are shuffled; band keeps |i - j| <= band, and tile
-    pairs out of it are never formed. Without both the result has n^2 / 2 rows, as a full matrix has.
+    least_r2 drops small values inside the task, before they are shuffled, but for the diagonal and for pairs with a
+    variant whose skeleton is true, where genotypes have that column. band keeps |i - j| <= band, reach keeps variants of
+    one chromosome less than reach apart in the column along; tile pairs out of these are never formed. Without any the
+    result has n^2 / 2 rows, as a full matrix has. jackknife adds jackknife_var, each r's leave-one-out variance.
     """
-    rows = genotypes.select("idx", "dosage").withColumn("t", F.floor(F.col("idx") / tile).cast("long"))
-    last = rows.agg(F.max("t")).first()[0] or 0
-    reach = last if band is None else -(-band // tile)
-    # the pairs of tiles that tile t is in, as the lower or as the upper one
-    mates = F.transform(F.sequence(F.greatest(F.lit(0), F.col("t") - reach), F.least(F.lit(last), F.col("t") + reach)), lambda u: F.struct(F.least(F.col("t"), u).alias("lo"), F.greatest(F.col("t"), u).alias("hi")))
-    dealt = rows.withColumn("m", F.explode(mates)).select("idx", "dosage", "t", "m.lo", "m.hi")
+    marked = "skeleton" in genotypes.columns
+    places = ["chrom", along] if reach is not None else []
+    rows = genotypes.select("idx", "dosage", *places, *(["skeleton"] if marked else [])).withColumn("t", F.floor(F.col("idx") / tile).cast("long"))
+    if reach is not None:
+        tiles = near_tiles(rows, along, reach)
+        ends = tiles.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("t"))
+        dealt = rows.join(ends, "t")
+    else:
+        last = rows.agg(F.max("t")).first()[0] or 0
+        span = last if band is None else -(-band // tile)
+        # the pairs of tiles that tile t is in, as the lower or as the upper one
+        mates = F.transform(F.sequence(F.greatest(F.lit(0), F.col("t") - span), F.least(F.lit(last), F.col("t") + span)), lambda u: F.struct(F.least(F.col("t"), u).alias("lo"), F.greatest(F.col("t"), u).alias("hi")))
+        dealt = rows.withColumn("m", F.explode(mates)).select(*rows.columns, "m.lo", "m.hi")
+    names = ["i", "j", "r", *(["jackknife_var"] if jackknife else [])]
 
     def product(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
         lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
         a, b = rows[rows["t"] == lo], rows[rows["t"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "r": []})
-        r = standardised(list(a["dosage"])) @ standardised(list(b["dosage"])).T
-        i, j = a["idx"].to_numpy()[:, None], b["idx"].to_numpy()[None, :]
-        keep = (i <= j) & ((r * r >= least_r2) | (i == j))
-        keep = keep if band is None else keep & (j - i <= band)
+            return pd.DataFrame({c: [] for c in names})
+        i, j, r, spread = _products(a, b, jackknife)
+        keep = r * r >= least_r2
+        if marked:
+            keep |= a["skeleton"].to_numpy(bool)[:, None] | b["skeleton"].to_numpy(bool)[None, :]
+        keep = (i <= j) & (keep | (i == j))
+        if band is not None:
+            keep &= j - i <= band
+        if reach is not None:
+            keep &= (a["chrom"].to_numpy()[:, None] == b["chrom"].to_numpy()) & (np.abs(a[along].to_numpy(float)[:, None] - b[along].to_numpy(float)) < reach)
         at = np.nonzero(keep)
-        return pd.DataFrame({"i": i[at[0], 0], "j": j[0, at[1]], "r": r[at]})
+        out = {"i": i[at[0], 0], "j": j[0, at[1]], "r": r[at]}
+        return pd.DataFrame(out | ({"jackknife_var": spread[at]} if jackknife else {}))
 
-    return dealt.groupBy("lo", "hi").applyInPandas(product, "i long, j long, r double")
+    return dealt.groupBy("lo", "hi").applyInPandas(product, "i long, j long, r double" + (", jackknife_var double" if jackknife else ""))
 
 
-def region_ld(genotypes: DataFrame, region: str = "region") -> DataFrame:
-    """(region, i, j, r) with places within each region, i <= j. Regions are LD blocks or cis windows."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        r = correlation(list(rows["dosage"]))
-        i, j = np.triu_indices(len(rows))
-        idx = rows["idx"].to_numpy()
-        return pd.DataFrame({region: key[0], "i": idx[i], "j": idx[j], "r": r[i, j]})
+def region_ld(genotypes: DataFrame, region: str = "region", tile: int = TILE) -> DataFrame:
+    """(region, i, j, r) of the pairs of each region, i <= j, by tiles of its variants; a variant alone has r = 1.
 
+    Variants are dealt to a region's tiles by hash, so no task holds more than two tiles, whatever the region's size.
+    """
     kind = genotypes.schema[region].dataType.simpleString()
-    return genotypes.select(region, "idx", "dosage").groupBy(region).applyInPandas(one, f"{region} {kind}, i long, j long, r double")
+    rows = genotypes.select(region, "idx", "dosage")
+    sizes = rows.groupBy(region).agg(F.count("*").alias("size"), F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(sizes, region).withColumn("t", F.pmod(F.xxhash64("idx"), F.col("tiles")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct(F.least("t", u).alias("lo"), F.greatest("t", u).alias("hi")))
+    dealt = dealt.withColumn("m", F.explode(mates)).select(region, "idx", "dosage", "size", "t", "m.lo", "m.hi")
+
+    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["t"] == key[1]], rows[rows["t"] == key[2]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({region: [], "i": [], "j": [], "r": []})
+        i, j, r, _ = _products(a, b, False)
+        if rows["size"].iloc[0] == 1:
+            r = np.ones((1, 1))
+        keep = np.nonzero((i <= j) if key[1] == key[2] else np.ones(r.shape, bool))
+        x, y = i[keep[0], 0], j[0, keep[1]]
+        return pd.DataFrame({region: key[0], "i": np.minimum(x, y), "j": np.maximum(x, y), "r": r[keep]})
+
+    return dealt.groupBy(region, "lo", "hi").applyInPandas(product, f"{region} {kind}, i long, j long, r double")
 
 
-def sparse(ld: DataFrame, n: int, least_r: float | None = None, chi2: float = 10.0, strict: bool = False) -> DataFrame:
-    """The diagonal and entries with |r| >= least_r, or r^2 n >= chi2 (> with strict)."""
+def mirrored(ld: DataFrame) -> DataFrame:
+    """Both sides of the diagonal from i <= j, each entry once."""
+    other = [F.col("j").alias("i"), F.col("i").alias("j"), *[c for c in ld.columns if c not in ("i", "j")]]
+    return ld.select("i", "j", *[c for c in ld.columns if c not in ("i", "j")]).unionAll(ld.filter("i <> j").select(*other))
+
+
+def matrix_rows(ld: DataFrame) -> DataFrame:
+    """(i, js, rs): each row of a mirrored matrix as arrays in column order, one row of the matrix a row."""
+    cells = F.sort_array(F.collect_list(F.struct("j", "r")))
+    return ld.groupBy("i").agg(cells.alias("c")).select("i", F.col("c.j").alias("js"), F.col("c.r").alias("rs"))
+
+
+def dense_rows(ld: DataFrame) -> DataFrame:
+    """(i, first, values): each row of a mirrored matrix from its first to its last column, zero where it has none."""
+    rows = matrix_rows(ld).select("i", F.element_at("js", 1).alias("first"), F.element_at("js", -1).alias("last"), F.map_from_arrays("js", "rs").alias("m"))
+    filled = F.transform(F.sequence("first", "last"), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return rows.select("i", "first", filled.alias("values"))
+
+
+def sparse(ld: DataFrame, n: int, least_r: float | None = None, chi2: float = 10.0, strict: bool = False, skeleton: DataFrame | None = None) -> DataFrame:
+    """The diagonal and entries with |r| >= least_r, or r^2 n >= chi2 (> with strict). With skeleton (idx),
+    the columns of its variants stay too, so that a mirrored matrix need not be symmetric."""
     score = F.abs(F.col("r")) if least_r is not None else F.col("r") * F.col("r") * n
     bound = least_r if least_r is not None else chi2
-    return ld.filter((F.col("i") == F.col("j")) | ((score > bound) if strict else (score >= bound)))
+    keep = (F.col("i") == F.col("j")) | ((score > bound) if strict else (score >= bound))
+    if skeleton is None:
+        return ld.filter(keep)
+    marks = skeleton.select(F.col("idx").alias("j")).distinct().withColumn("__kept", F.lit(True))
+    return ld.join(marks, "j", "left").filter(keep | F.coalesce("__kept", F.lit(False))).select(ld.columns)
 
 
-def band_by_r(ld: DataFrame, least_r: float) -> DataFrame:
-    """In each row i all entries up to its outermost |r| > least_r, the diagonal at least."""
-    far = ld.filter(F.abs("r") > least_r).groupBy("i").agg(F.max("j").alias("far"))
-    return ld.join(far, "i", "left").filter(F.col("j") <= F.coalesce("far", "i")).drop("far")
+def band_by_r(ld: DataFrame, least_r: float | None = None, *, n: int | None = None, chi2: float = 10.0) -> DataFrame:
+    """In each row i of a mirrored matrix all entries between its outermost |r| > least_r, or r^2 n > chi2, on
+    either side, the diagonal at least."""
+    far = F.abs("r") > least_r if least_r is not None else F.col("r") * F.col("r") * n > chi2
+    ends = ld.filter(far).groupBy("i").agg(F.min("j").alias("__low"), F.max("j").alias("__high"))
+    inside = F.col("j").between(F.least(F.coalesce("__low", "i"), "i"), F.greatest(F.coalesce("__high", "i"), "i"))
+    return ld.join(ends, "i", "left").filter(inside).drop("__low", "__high")
 
 
 def band_by_distance(ld: DataFrame, variants: DataFrame, width: int) -> DataFrame:
@@ -104,6 +193,11 @@ def shrink_constants(map_n: float = 183.0) -> tuple[float, float]:
     return (1 / h) / (2 * map_n + 1 / h), 2 * map_n
 
 
+def shrink_reach(ne: float = 11_490.672741, cut: float = 1e-5, map_n: float = 183.0) -> float:
+    """From how many cM on every entry is cut to zero."""
+    return -math.log(cut) * shrink_constants(map_n)[1] * 100 / (4 * ne)
+
+
 def shrink(ld: DataFrame, variants: DataFrame, ne: float = 11_490.672741, cut: float = 1e-5, map_n: float = 183.0) -> DataFrame:
     """Shrunk (i, j, r). variants: idx, gen_pos in cM, twopq as each variant's variance.
 
@@ -195,6 +289,14 @@ def impute_region(rows: pd.DataFrame, r: np.ndarray, delta: float = 0.1) -> pd.D
     return out.assign(imputed=~typed)
 
 
+def _in_region(rows: pd.DataFrame, e: pd.Series) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows whose variants an eigen row has, by name, and their low-rank correlation."""
+    at = {s: k for k, s in enumerate(e["snps"])}
+    rows = rows[rows["snp"].isin(at)].sort_values("snp").reset_index(drop=True)
+    u = np.asarray(e["vectors"]).reshape(e["k"], e["m"])[:, [at[s] for s in rows["snp"]]]
+    return rows, u.T @ (np.asarray(e["values"])[:, None] * u)
+
+
 def impute_summary(stats: DataFrame, eigen: DataFrame, delta: float = 0.1, region: str = "region") -> DataFrame:
     """Stats (region, snp, af, beta, se, n; beta null where not typed) filled through each region's eigen row."""
     kind = stats.schema[region].dataType.simpleString()
@@ -204,13 +306,8 @@ def impute_summary(stats: DataFrame, eigen: DataFrame, delta: float = 0.1, regio
         cols = [region, "snp", "af", "beta", "se", "n", "p", "imputed"]
         if not len(rows) or not len(low):
             return pd.DataFrame(columns=cols)
-        e = low.iloc[0]
-        u = np.asarray(e["vectors"]).reshape(e["k"], e["m"])
-        at = {s: k for k, s in enumerate(e["snps"])}
-        rows = rows[rows["snp"].isin(at)].sort_values("snp").reset_index(drop=True)
+        rows, r = _in_region(rows, low.iloc[0])
         rows = rows.assign(typed=rows["beta"].notna(), p=np.nan)
-        u = u[:, [at[s] for s in rows["snp"]]]
-        r = u.T @ (np.asarray(e["values"])[:, None] * u)
         filled = impute_region(rows, r, delta)
         own = filled["p"].isna() & filled["beta"].notna()
         filled.loc[own, "p"] = [math.erfc(abs(x) / math.sqrt(2)) for x in filled.loc[own, "beta"] / filled.loc[own, "se"]]
@@ -220,6 +317,15 @@ def impute_summary(stats: DataFrame, eigen: DataFrame, delta: float = 0.1, regio
     return wanted.groupBy(region).cogroup(eigen.groupBy(region)).applyInPandas(one, out)
 
 
+def align_and_impute(reference: DataFrame, pairs: DataFrame, eigen: DataFrame, max_missing: float = 0.3, delta: float = 0.1) -> DataFrame:
+    """A43, A45, D9 with J9: the reference's pairs (gene_id, snp, af), the effects of those that are typed and imputed ones
+    for the rest, through each gene's eigen row (region is the gene). Genes without an eigen row go."""
+    from .joins import align_to_reference_genes
+
+    rows = align_to_reference_genes(reference, pairs, max_missing)
+    return impute_summary(rows.withColumnRenamed("gene_id", "region"), eigen, delta).withColumnRenamed("region", "gene_id")
+
+
 def project_effects(effects: DataFrame, eigen: DataFrame, region: str = "region") -> DataFrame:
     """w = values^-1/2 U' b of each region: (region, component, w)."""
     kind = effects.schema[region].dataType.simpleString()
@@ -235,6 +341,23 @@ def project_effects(effects: DataFrame, eigen: DataFrame, region: str = "region"
     return effects.select(region, "snp", "b").groupBy(region).cogroup(eigen.groupBy(region)).applyInPandas(one, f"{region} {kind}, component int, w double")
 
 
+def projection_matrix(eigen: DataFrame, variances: DataFrame | None = None, region: str = "region") -> DataFrame:
+    """Q = values^1/2 U' of each region as (region, component, snp, q), zero entries included; with variances
+    (snp, twopq), of unscaled genotypes, its columns are multiplied by sqrt(2pq)."""
+    kind = eigen.schema[region].dataType.simpleString()
+
+    def rows(batches):
+        for batch in batches:
+            for e in batch.to_dict("records"):
+                q = np.sqrt(np.asarray(e["values"]))[:, None] * np.asarray(e["vectors"]).reshape(e["k"], e["m"])
+                yield pd.DataFrame({region: e[region], "component": np.repeat(np.arange(e["k"]), e["m"]), "snp": list(e["snps"]) * e["k"], "q": q.ravel()})
+
+    out = eigen.mapInPandas(rows, f"{region} {kind}, component int, snp string, q double")
+    if variances is None:
+        return out
+    return out.join(variances.select("snp", "twopq"), "snp").select(region, "component", "snp", (F.col("q") * F.sqrt("twopq")).alias("q"))
+
+
 def pseudo_summary(effects: DataFrame, eigen: DataFrame, n: int, train_share: float = 0.9, seed: int = 2023, region: str = "region") -> DataFrame:
     """Training and validation effects of each variant: train = b + sqrt(1/n_t - 1/n) U values^1/2 e."""
     kind = effects.schema[region].dataType.simpleString()
@@ -254,72 +377,122 @@ def pseudo_summary(effects: DataFrame, eigen: DataFrame, n: int, train_share: fl
     return effects.select(region, "snp", "b").groupBy(region).cogroup(eigen.groupBy(region)).applyInPandas(one, out)
 
 
-def impute_sample_size(stats: DataFrame, tolerance: float = 0.01, outlier_sd: float = 3.0, most: int = 20) -> DataFrame:
-    """Per-variant n = (v - 2pq b^2) / (2pq se^2) with v = median(2pq (n se^2 + b^2)); rows outside the median
-    +- 3 SD go, and the round repeats until the deviation settles. Only three numbers a round reach the driver,
-    and a round's n comes from them and the first columns, so no round adds a shuffle to the next."""
-    twopq = 2 * F.col("af") * (1 - F.col("af"))
-    rows = stats.withColumn("twopq", twopq)
-    sd_before = None
+def impute_sample_size(stats: DataFrame, tolerance: float = 0.01, outlier_sd: float = 3.0, most: int = 50, settle: bool = True) -> DataFrame:
+    """Per-variant n = (v - 2pq b^2) / (2pq se^2) with v = median(2pq n (n se^2 + b^2)) / median(n). Rows farther than
+    outlier_sd deviations of the new n from the median of the old n go, and the round repeats with the new n until the
+    deviation changes by tolerance at most.
+
+    Rounds that end unsettled are an error, unless settle is false. Medians are exact, of columns sorted over all
+    partitions; three numbers a round reach the driver, and each round's rows are written.
+    """
+    names = stats.columns
+    rows = stats.withColumn("__tpq", 2 * F.col("af") * (1 - F.col("af"))).withColumn("n", F.col("n").cast("double"))
+    before = 0.0
     for _ in range(most):
-        y = F.col("twopq") * (F.col("n") * F.col("se") * F.col("se") + F.col("b") * F.col("b"))
-        v = rows.agg(F.median(y)).first()[0]
-        if v is None:
-            break
-        rows = rows.withColumn("n", (F.lit(v) - F.col("twopq") * F.col("b") * F.col("b")) / (F.col("twopq") * F.col("se") * F.col("se")))
-        median, sd = rows.agg(F.median("n"), F.stddev_samp("n")).first()
-        if sd is None:
-            break
-        rows = rows.filter(F.abs(F.col("n") - median) <= outlier_sd * sd)
-        if sd_before is not None and abs(sd - sd_before) <= tolerance:
-            break
-        sd_before = sd
-    return rows.drop("twopq")
-
-
-def sparse_equations(stats: DataFrame, ld: DataFrame, var_p: float) -> tuple[DataFrame, DataFrame]:
-    """Variants (idx, d, twopq, zy) and the scaled matrix (i, j, zz): d = var_p / (se^2 + b^2 / n) over n stands
-    for each variant's sum of squares, zz = r sqrt(d_i d_j), zy = d b."""
-    d = var_p / (F.col("se") * F.col("se") + F.col("b") * F.col("b") / F.col("n"))
-    rows = stats.withColumn("d", d).withColumns({"twopq": F.col("d") / F.col("n"), "zy": F.col("d") * F.col("b")})
-    a, b = (rows.select(F.col("idx").alias(x), F.col("d").alias(f"d_{x}")) for x in ("i", "j"))
-    zz = ld.join(a, "i").join(b, "j").select("i", "j", (F.col("r") * F.sqrt(F.col("d_i") * F.col("d_j"))).alias("zz"))
-    return rows, zz
-
-
-def jackknife_variance(genotypes: DataFrame, ld: DataFrame) -> DataFrame:
-    """(i, jackknife_var): the leave-one-out variance of each kept pair's r, summed over row i.
-
-    Standardised rows make the left-out product a plain difference, so no matrix is formed again.
+        b2, var = F.col("b") * F.col("b"), F.col("se") * F.col("se")
+        ypy = exact_median(rows.select((F.col("__tpq") * F.col("n") * (F.col("n") * var + b2)).alias("y")), "y")
+        size = exact_median(rows, "n")
+        if ypy is None or not size:
+            return rows.select(names)
+        new = (F.lit(ypy / size) - F.col("__tpq") * b2) / (F.col("__tpq") * var)
+        rows = materialise(rows.withColumn("n", new), "sample-size")
+        sd = rows.agg(F.stddev_samp("n")).first()[0] or 0.0
+        rows = rows.filter(F.col("n").between(size - outlier_sd * sd, size + outlier_sd * sd))
+        if abs(sd - before) <= tolerance:
+            return rows.select(names)
+        before = sd
+    if settle:
+        raise EngineError(f"the sample sizes have not settled after {most} rounds")
+    return rows.select(names)
+
+
+def mixed_model_equations(stats: DataFrame, ld: DataFrame, n_ref: int, overlap: bool = False, noscale: bool = True) -> dict[str, DataFrame]:
+    """The parts of the mixed-model equations. stats: idx, n, af, b, se; ld: a mirrored matrix (i, j, r).
+
+    var_p is the upper median of 2pq (n se^2 + b^2) from the given frequencies. Then d = var_p / (se^2 + b^2 / n),
+    twopq = d / n, tss = d (n se^2 + b^2), and d becomes n where genotypes are scaled (noscale false).
+    `variants`: idx, d, twopq, tss, zz_diag, zy, chisq, ld_score, sampling_var and zx, the row sum of zz; `zz`: (i, j, zz) with
+    zz = r sqrt(d_i d_j); `totals`: one row (var_p, ypy, n_median, xx, xy). sampling_var is (n + n_ref) / m of the row's
+    sampling variance, none with overlap, and the share of the m variants that the row has no entry for.
+    """
+    n, b2, var = F.col("n").cast("double"), F.col("b") * F.col("b"), F.col("se") * F.col("se")
+    given = stats.select("idx", n.alias("n"), "b", "se", (2 * F.col("af") * (1 - F.col("af")) * (n * var + b2)).alias("__v"))
+    given = materialise(given, "mme-stats")
+    var_p, n_median = exact_median(given, "__v", upper=True), exact_median(given, "n", upper=True)
+    ypy = exact_median(given.select((F.col("__v") * F.col("n")).alias("y")), "y", upper=True)
+    m = given.count()
+    d = F.lit(var_p) / (var + b2 / F.col("n"))
+    rows = given.withColumn("d", d).withColumn("twopq", F.col("d") / F.col("n")).withColumn("tss", F.col("d") * (F.col("n") * var + b2))
+    rows = rows if noscale else rows.withColumn("d", F.col("n"))
+    rows = rows.drop("__v", "se")
+    of_i, of_j = (rows.select(F.col("idx").alias(x), F.col("d").alias(f"__d{x}")) for x in ("i", "j"))
+    zz = materialise(ld.join(of_i, "i").join(of_j, "j").select("i", "j", "r", (F.col("r") * F.sqrt(F.col("__di") * F.col("__dj"))).alias("zz")), "mme-zz")
+    r2 = F.col("r") * F.col("r")
+    about = zz.groupBy(F.col("i").alias("idx")).agg(
+        F.sum(F.when(F.col("i") == F.col("j"), F.col("zz"))).alias("zz_diag"), F.sum("zz").alias("zx"), F.sum(r2).alias("ld_score"),
+        F.sum((1 - r2) * (1 - r2) / n_ref).alias("__sampling"), F.count("*").alias("__entries"),
+    )
+    rows = rows.join(about, "idx", "left").withColumn("zy", F.col("zz_diag") * F.col("b") * (F.lit(1.0) if noscale else F.sqrt("twopq")))
+    own = F.lit(0.0) if overlap else (F.col("n") + n_ref) / F.lit(m) * F.col("__sampling")
+    rows = rows.withColumn("chisq", F.col("zy") * F.col("b")).withColumn("sampling_var", own + (F.lit(m) - F.col("__entries")) / F.lit(m))
+    rows = materialise(rows.drop("__sampling", "__entries", "n", "b"), "mme-variants")
+    totals = rows.agg(F.lit(var_p).alias("var_p"), F.lit(ypy).alias("ypy"), F.lit(n_median).alias("n_median"), F.sum("zx").alias("xx"), F.sum("zy").alias("xy"))
+    return {"variants": rows, "zz": zz.select("i", "j", "zz"), "totals": totals}
+
+
+def jackknife_variance(genotypes: DataFrame, **kept: object) -> DataFrame:
+    """(i, jackknife_var): the leave-one-out variance of each kept pair's r, the diagonal's too, summed over row i of the
+    whole matrix. kept: least_r2, band, reach and the like of ld_pairs, in whose tiles the variances are computed.
+
+    The standardisation is held fixed while a person is left out, as the method has it; nothing is standardised anew.
     """
-    rows = genotypes.select("idx", "dosage")
-    a, b = (rows.select(F.col("idx").alias(x), F.col("dosage").alias(f"g_{x}")) for x in ("i", "j"))
-    pairs = ld.select("i", "j").join(a, "i").join(b, "j")
-
-    def spread(batches):
-        for part in batches:
-            out = []
-            for x, y in zip(part["g_i"], part["g_j"], strict=True):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                n = len(x)
-                sx, sy, sxx, syy, sxy = x.sum() - x, y.sum() - y, (x * x).sum() - x * x, (y * y).sum() - y * y, (x * y).sum() - x * y
-                m = n - 1
-                cov, vx, vy = sxy - sx * sy / m, sxx - sx * sx / m, syy - sy * sy / m
-                r = np.divide(cov, np.sqrt(vx * vy), out=np.zeros(n), where=vx * vy > 0)
-                out.append((n - 1) / n * ((r - r.mean()) ** 2).sum())
-            yield pd.DataFrame({"i": part["i"], "v": out})
-
-    return pairs.mapInPandas(spread, "i long, v double").groupBy("i").agg(F.sum("v").alias("jackknife_var"))
-
-
-def resample_effects(rows: pd.DataFrame, r: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
-    """Each variant's z from all others (leave one out), and beta and se at sample size aim_n."""
+    return mirrored(ld_pairs(genotypes, jackknife=True, **kept)).groupBy("i").agg(F.sum("jackknife_var").alias("jackknife_var"))
+
+
+def resample_region(rows: pd.DataFrame, r: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
+    """Each variant's z from all others (leave one out), and beta and se at sample size aim_n; the variance is the
+    upper median of the others'. Where there is no other variant both are null."""
+    m = len(rows)
+    if m < 2:
+        return rows.assign(beta_new=np.nan, se_new=np.nan)
     z = (rows["beta"] / rows["se"]).to_numpy(float)
     n, twopq = rows["n"].to_numpy(float), (2 * rows["af"] * (1 - rows["af"])).to_numpy(float)
-    inverse = np.linalg.inv(r + delta * np.eye(len(z)))
+    inverse = np.linalg.inv(r + delta * np.eye(m))
     # the left-out prediction follows from the full inverse
     fitted = z - (inverse @ z) / np.diag(inverse)
     spread = twopq * (n * rows["se"].to_numpy(float) ** 2 + rows["beta"].to_numpy(float) ** 2)
-    v = np.sort(spread)[len(spread) // 2]
+    order = np.argsort(spread, kind="stable")
+    rank, ranked, at = np.argsort(order), spread[order], (m - 1) // 2
+    v = np.where(at < rank, ranked[at], ranked[min(at + 1, m - 1)])
     base = np.sqrt(twopq * (aim_n + fitted**2))
     return rows.assign(beta_new=fitted * np.sqrt(v) / base, se_new=np.sqrt(v) / base)
+
+
+def rescale_region(rows: pd.DataFrame, r: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
+    """Beta and se at sample size aim_n by the expected product of both studies' z, from the LD score and the overlap
+    of the two samples, over the known z; null where that is 0."""
+    z = (rows["beta"] / rows["se"]).to_numpy(float)
+    n, twopq = rows["n"].to_numpy(float), (2 * rows["af"] * (1 - rows["af"])).to_numpy(float)
+    both = np.sqrt(n * aim_n)
+    product = both * (r.sum(axis=0) + delta) / len(rows) + np.minimum(n, aim_n) / both
+    z2 = np.divide(product, z, out=np.full(len(z), np.nan), where=z != 0)
+    base = np.sqrt(twopq * (aim_n + z2**2))
+    return rows.assign(beta_new=z2 / base, se_new=1 / base)
+
+
+def resample_effects(stats: DataFrame, eigen: DataFrame, aim_n: float, *, by_score: bool = False, delta: float = 0.1, region: str = "region") -> DataFrame:
+    """Stats (region, snp, af, beta, se, n) with beta_new and se_new at sample size aim_n, through each region's eigen
+    row: by leave-one-out imputation, or by_score. Variants that the eigen row lacks go."""
+    kind = stats.schema[region].dataType.simpleString()
+    cols = [region, "snp", "af", "beta", "se", "n"]
+    method = rescale_region if by_score else resample_region
+
+    def one(key: tuple, rows: pd.DataFrame, low: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(low):
+            return pd.DataFrame(columns=[*cols, "beta_new", "se_new"])
+        rows, r = _in_region(rows, low.iloc[0])
+        return method(rows, r, aim_n, delta)[[*cols, "beta_new", "se_new"]]
+
+    out = f"{region} {kind}, snp string, af double, beta double, se double, n double, beta_new double, se_new double"
+    wanted = stats.select(region, "snp", "af", "beta", "se", F.col("n").cast("double").alias("n"))
+    return wanted.groupBy(region).cogroup(eigen.groupBy(region)).applyInPandas(one, out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,8 @@ def split_ranges(spark: SparkSession, n: int, parts: int) -> DataFrame:
     size = -(-n // parts)
     rows = spark.range(parts).select((F.col("id") + 1).alias("part"), (F.col("id") * size + 1).alias("first"), F.least(F.lit(n), (F.col("id") + 1) * size).alias("last"))
     return rows.filter(F.col("first") <= F.col("last"))
+
+
+def part_of(idx: Column, n: int, parts: int) -> Column:
+    """H5: the 0-based part of a 0-based index, by the ranges of split_ranges."""
+    return F.floor(idx / max(1, -(-n // parts)))

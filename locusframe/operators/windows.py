@@ -1,7 +1,7 @@
 """Window and ordered-scan operators.
 
-Greedy scans whose next step depends on the one before run in pandas, one chromosome or component at a time;
-all else is a window expression.
+Greedy scans whose next step depends on the one before run in pandas: pruning and binning one connected component
+of links at a time, tumbling windows one chromosome's different positions at a time. All else is a window expression.
 """
 
 from __future__ import annotations
@@ -10,45 +10,82 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .filters import reindex
+from ..errors import EngineError
+from ..storage import materialise
+from .filters import reindex, running_sum
 
 
 def window_info(variants: DataFrame, width: int) -> DataFrame:
     """for each variant (chrom, pos, idx) the first index, last index and size of the run with
-    |distance| < width // 2 on its chromosome."""
+    |distance| < width // 2 on its chromosome.
+
+    Chromosomes are cut at bins of positions, each with those of its neighbours that its own may reach, so no
+    task holds a chromosome and a row is in two bins at most.
+    """
     reach = width // 2 - 1
-    near = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-reach, reach)
-    return variants.select(
+    if reach < 0:
+        raise EngineError(f"a window of {width} reaches nothing")
+    size = max(1000, 4 * reach)
+    own = F.floor(F.col("pos") / size)
+    bins = F.sequence(F.floor((F.col("pos") - reach) / size), F.floor((F.col("pos") + reach) / size))
+    near = Window.partitionBy("chrom", "__bin").orderBy("pos").rangeBetween(-reach, reach)
+    spread = variants.withColumn("__bin", F.explode(bins)).select(
         "*", F.min("idx").over(near).alias("window_start"), F.count("*").over(near).alias("window_size"), F.max("idx").over(near).alias("window_end")
     )
+    return spread.filter(F.col("__bin") == own).drop("__bin")
 
 
 def tumbling_windows(variants: DataFrame, width: int) -> DataFrame:
-    """adds window, a number from 0 on each chromosome; a variant farther than width from the window's first
-    variant opens the next. The scan needs a chromosome's rows in order, in one task; there are few of them."""
-    schema = T.StructType([*variants.schema.fields, T.StructField("window", T.IntegerType())])
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "snp"], kind="stable").reset_index(drop=True)
-        pos = rows["pos"].to_numpy()
-        window = np.zeros(len(pos), np.int32)
-        at = number = 0
+    """adds window, numbered from 0 over all chromosomes; a variant farther than width from the window's first
+    variant, or on the next chromosome, opens the next.
+
+    Where a window starts depends on all before it. That chain runs over the different positions of one chromosome,
+    so a task holds as many numbers as the chromosome has positions, however many rows there are; rows meet the few
+    windows by position bins.
+    """
+
+    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        pos = np.sort(rows["pos"].to_numpy())
+        starts, at = [], 0
         while at < len(pos):
-            end = int(np.searchsorted(pos, pos[at] + width, side="right"))
-            window[at:end] = number
-            at, number = end, number + 1
-        return rows.assign(window=window)
+            starts.append(at)
+            at = int(np.searchsorted(pos, pos[at] + width, side="right"))
+        ends = [pos[k - 1] for k in starts[1:]] + [pos[-1]]
+        return pd.DataFrame({"chrom": key[0], "number": range(len(starts)), "start": pos[starts], "end": ends})
+
+    places = variants.select(F.col("chrom").cast("int").alias("chrom"), F.col("pos").cast("long").alias("pos")).distinct()
+    local = materialise(places.groupBy("chrom").applyInPandas(scan, "chrom int, number int, start long, end long"), "windows")
+    before = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a chromosome
+    offsets = local.groupBy("chrom").count().select("chrom", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    spans = local.join(F.broadcast(offsets), "chrom").select("chrom", "start", "end", (F.col("number") + F.col("first")).cast("int").alias("window"))
+    from .joins import interval_join
 
-    return variants.groupBy("chrom").applyInPandas(scan, schema)
+    return interval_join(variants, spans).drop("start", "end")
 
 
 def running_offsets(rows: DataFrame, size: str, order: str) -> DataFrame:
-    """adds offset, the sum of size over the rows before; for tables of one row a gene or shard."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    """adds offset, the sum of size over the rows before."""
+    return running_sum(rows, (order,), F.col(size), "offset")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(idx, root) of every end of links (i, j): root is the least idx that it is linked to, over any number of links.
+
+    Labels pass to neighbours and then jump to their label's label, so a chain takes few rounds; rounds are written.
+    """
+    both = materialise(links.select("i", "j").unionAll(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "links")
+    labels = materialise(both.groupBy(F.col("i").alias("idx")).agg(F.least(F.min("j"), F.first("i")).alias("root")), "labels")
+    while True:
+        near = both.join(labels.withColumnsRenamed({"idx": "j", "root": "near"}), "j").groupBy(F.col("i").alias("idx")).agg(F.min("near").alias("near"))
+        step = labels.join(near, "idx").select("idx", F.least("root", "near").alias("to"), F.col("root").alias("old"))
+        jump = step.join(labels.withColumnsRenamed({"idx": "to", "root": "further"}), "to", "left")
+        new = materialise(jump.select("idx", F.least("to", F.coalesce("further", "to")).alias("root"), "old"), "labels")
+        labels = new.select("idx", "root")
+        if new.filter("root <> old").isEmpty():
+            return labels
 
 
 def eigen_shares(values: DataFrame) -> DataFrame:
@@ -58,43 +95,68 @@ def eigen_shares(values: DataFrame) -> DataFrame:
     return positive.withColumn("share", F.sum("lambda").over(down) / F.sum("lambda").over(Window.partitionBy("region")))
 
 
-def prune_by_r2(variants: DataFrame, ld: DataFrame, threshold: float, group: str = "chrom") -> DataFrame:
-    """variants left by the greedy scan: for i in order and each later j with r^2 above the threshold, the one
-    with the larger p goes (i on a tie). variants: group, idx, p; ld: i < j, r."""
-    links = ld.filter((F.col("r") * F.col("r") > threshold) & (F.col("i") < F.col("j")))
-    mine = links.join(variants.select(F.col(group).alias("of_group"), F.col("idx").alias("i")), "i")
-    schema = variants.select(group, "idx").schema
+def _strong(ld: DataFrame, threshold: float) -> DataFrame:
+    """Links (i, j), i < j, with r squared above the threshold, each once."""
+    ends = ld.filter((F.col("r") * F.col("r") > threshold) & (F.col("i") != F.col("j")))
+    return materialise(ends.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct(), "strong-links")
 
-    def scan(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        p = dict(zip(rows["idx"], rows["p"], strict=True))
-        gone = set()
-        for i, j in sorted(zip(pairs["i"], pairs["j"], strict=True)):
-            if j in p and j not in gone:
-                gone.add(j if p[j] > p[i] else i)
-        return rows.loc[~rows["idx"].isin(gone), [group, "idx"]]
 
-    kept = variants.groupBy(group).cogroup(mine.groupBy("of_group")).applyInPandas(scan, schema)
-    return variants.join(kept, [group, "idx"], "left_semi")
+def prune_by_r2(variants: DataFrame, ld: DataFrame, threshold: float) -> DataFrame:
+    """variants left by the greedy scan. variants: idx, p; ld: i, j, r, one side of the diagonal or both.
 
-
-def bin_by_r2(variants: DataFrame, ld: DataFrame, threshold: float, group: str = "chrom") -> DataFrame:
-    """F8: (group, idx, bin): in index order every j with r^2(i, j) above the threshold takes i's label; labels are
-    then numbered densely within the group."""
-    links = ld.filter(F.col("r") * F.col("r") > threshold)
-    mine = links.join(variants.select(F.col(group).alias("of_group"), F.col("idx").alias("i")), "i")
-    schema = T.StructType([*variants.select(group, "idx").schema.fields, T.StructField("bin", T.IntegerType())])
+    For each i in order that still stands when its turn comes, and each j that still stands, on either side and with
+    r^2 above the threshold: the one with the larger p goes, i on a tie; i ends its row even once it has gone. The
+    dense branch of the rule; a component of links is one task, and a variant without a link stays.
+    """
+    links = _strong(ld, threshold)
+    roots = connected(links)
+    members = roots.join(variants.select("idx", F.col("p").cast("double").alias("p")), "idx")
+    pairs = links.join(roots.select(F.col("idx").alias("i"), F.col("root").alias("of_root")), "i")
 
     def scan(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        label = {k: k for k in sorted(rows["idx"])}
-        for i, js in pairs.sort_values(["i", "j"]).groupby("i")["j"]:
-            for j in js:
-                if j in label:
-                    label[j] = label[i]
-        number = {v: k for k, v in enumerate(sorted(set(label.values())))}
-        out = rows[[group, "idx"]].copy()
-        return out.assign(bin=[number[label[k]] for k in out["idx"]])
-
-    return variants.groupBy(group).cogroup(mine.groupBy("of_group")).applyInPandas(scan, schema)
+        p = dict(zip(rows["idx"], rows["p"], strict=True))
+        near: dict[int, list[int]] = {}
+        for i, j in zip(pairs["i"], pairs["j"], strict=True):
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        gone = set()
+        for i in sorted(p):
+            if i in gone:
+                continue
+            for j in sorted(near.get(i, ())):
+                if j in p and j not in gone:
+                    gone.add(j if p[i] < p[j] else i)
+        return pd.DataFrame({"idx": sorted(gone)}, dtype="int64")
+
+    gone = members.groupBy("root").cogroup(pairs.groupBy("of_root")).applyInPandas(scan, "idx long")
+    return variants.join(gone, "idx", "left_anti")
+
+
+def bin_by_r2(variants: DataFrame, ld: DataFrame, threshold: float) -> DataFrame:
+    """F8: (idx, bin): in index order every j, smaller ones too, with r^2(i, j) above the threshold takes i's label of
+    that moment; labels are then numbered densely from 1. A component of links is one task."""
+    links = _strong(ld, threshold)
+    pairs = links.join(connected(links).withColumnRenamed("idx", "i"), "i")
+
+    def scan(pairs: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[int]] = {}
+        for i, j in zip(pairs["i"], pairs["j"], strict=True):
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        label = {k: k for k in sorted(near)}
+        for i in sorted(near):
+            for j in near[i]:
+                label[j] = label[i]
+        return pd.DataFrame({"idx": list(label), "label": list(label.values())})
+
+    labels = pairs.groupBy("root").applyInPandas(scan, "idx long, label long")
+    rows = variants.select("idx").join(labels, "idx", "left").withColumn("label", F.coalesce("label", "idx"))
+    return dense_codes(rows, "label", "bin").select("idx", (F.col("bin") + 1).alias("bin"))
+
+
+def window_bins(rows: DataFrame, key: str = "window") -> DataFrame:
+    """(code, size, first): window ids coded densely from 0, with their sizes and least member."""
+    return dense_codes(rows, key).groupBy("code").agg(F.count("*").alias("size"), F.min("snp").alias("first"))
 
 
 def dense_codes(rows: DataFrame, key: str, name: str = "code") -> DataFrame:

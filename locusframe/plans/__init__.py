@@ -1 +1,3 @@
-"""Whole pipelines and the queries over the driver's tables."""
+"""Conversions from end to end, and every operator as a query."""
+
+from . import format_queries as format_queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, require_rows
@@ -13,6 +14,7 @@ from ..operators import merges as H
 from ..sinks import writers as K
 from ..sources import binary as B
 from ..sources import text as R
+from ..storage import materialise
 
 Study = dict[str, DataFrame]
 
@@ -31,11 +33,79 @@ def load_study(spark: SparkSession, kind: str, path: str, folder: str = "", refe
     raise EngineError(f"unknown kind {kind}")
 
 
+def load_studies(spark: SparkSession, paths: list[str], reference: DataFrame | None = None) -> tuple[list[Study], dict[str, str]]:
+    """The BESD sets that can be read, and the reason for each of the others."""
+    found, failed = [], {}
+    for path in paths:
+        try:
+            study = load_study(spark, "besd", path, reference=reference)
+            require_rows(study["pairs"], "pairs")
+            found.append(study)
+        except (AnalysisException, EngineError, OSError) as e:
+            failed[path] = str(e)
+    return found, failed
+
+
+def load_gwas(spark: SparkSession, path: str, reference: DataFrame, impute_n: bool = False, **quality: float) -> DataFrame:
+    """The rows of a .ma file that pass all rules of quality control against the reference (snp, a1, a2, af), effects
+    turned to its alleles; impute_n replaces their sample sizes (J11). quality: the parameters of gwas_qc."""
+    rows = C.gwas_qc(R.read_table(spark, "ma", path), reference, **quality)
+    kept = require_rows(rows.filter("reason is null"), "matched variants").drop("reason")
+    return L.impute_sample_size(kept) if impute_n else kept
+
+
+def load_aligned_pairs(spark: SparkSession, kind: str, path: str, reference: DataFrame, eigen: DataFrame, variants: DataFrame | None = None, max_missing: float = 0.3) -> DataFrame:
+    """Pairs of a BESD set or pair table aligned to the reference's genes (gene_id, snp, af), missing ones imputed
+    through each gene's eigen row. With variants (snp, pos), a variant at another position is an error."""
+    study = load_study(spark, kind, path)
+    if variants is not None:
+        D.check_positions(study["variants"], variants)
+    extra = [c for c in ("af", "flipped") if c in study["variants"].columns]
+    pairs = study["pairs"].join(study["variants"].select("snp", *extra), "snp", "left")
+    return L.align_and_impute(reference, pairs, eigen, max_missing)
+
+
+def load_eigen(spark: SparkSession, path: str | list[str], cutoff: float = 0.9999, kind: str = "ldblock", reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(eigen rows, variants) of a block folder or of eigen sets by prefix, cut again where cutoff is below the
+    stored one. kind gene takes a reference (snp, a1, a2), whose missing variants drop a gene."""
+    if isinstance(path, str) and B.file_exists(f"{path}/ldm.info") or isinstance(path, str) and B.file_exists(f"{path}/ldm.info/_SUCCESS"):
+        blocks, variants = R.read_block_folder_info(spark, path)
+        order = blocks.select(F.col("block").alias("region"), F.col("ord").alias("region_ord"))
+        members = variants.select(F.col("block").alias("region"), "snp", F.col("idx").alias("ord")).join(order, "region")
+        return L.retruncate(B.read_eigen(spark, f"{path}/*.eigen.bin", members), cutoff), variants
+    prefixes = [path] if isinstance(path, str) else path
+    # all regions of the files, as blocks follow their order; those that the reference drops go afterwards
+    listed, variants = R.read_eigen_info(spark, prefixes, kind)
+    first = listed.groupBy("region", "file_path").agg(F.min("ord").alias("region_ord"))
+    members = listed.join(first, ["region", "file_path"]).withColumn("name", F.regexp_extract("file_path", r"([^/]*?)\.eigen\.", 1))
+    rows = B.read_eigen(spark, [f"{p}.eigen.{kind}.bin" for p in prefixes], members.select("region", "region_ord", "snp", "ord", "name"))
+    if reference is not None:
+        kept, variants = R.read_eigen_info(spark, prefixes, kind, reference)
+        rows = rows.join(kept.select("region").distinct(), "region", "left_semi")
+    return L.retruncate(rows, cutoff), variants
+
+
+def load_ld(spark: SparkSession, path: str | list[str], keep: DataFrame | None = None, shrink: DataFrame | None = None, **shrinkage: float) -> tuple[DataFrame, DataFrame]:
+    """(info, ld) of one set, several shards, or a .mldm list of shards; with shrink (snp, gen_pos) also J7, on the
+    frequencies of info."""
+    if isinstance(path, str):
+        # one line a shard
+        path = [r.value for r in R.read_lines(spark, path).orderBy("file_path", "ord").collect()] if path.endswith(".mldm") else [path]
+    info, ld = B.read_ld_set(spark, path, keep=keep)
+    if shrink is None:
+        return info, ld
+    v = info.select("idx", "snp", (2 * F.col("af") * (1 - F.col("af"))).alias("twopq")).join(shrink.select("snp", "gen_pos"), "snp")
+    return info, L.shrink(ld, v, **shrinkage)
+
+
 def select_study(
     study: Study, *, variants: DataFrame | None = None, genes: DataFrame | None = None, without_genes: DataFrame | None = None, gene: str | None = None,
     chrom: int = 0, max_p: float = 1.0, window_mb: float | None = None, sizes: DataFrame | None = None,
 ) -> Study:
-    """The study restricted as asked, in this order; genes and variants without a pair go at the end."""
+    """The study restricted as asked, in this order; genes and variants without a pair go at the end.
+
+    The pairs are written once, so that what refers to them does not compute them anew; none left is an error.
+    """
     g, v, p = study["genes"], study["variants"], study["pairs"]
     if variants is not None:
         v = C.include_ids(v, variants)
@@ -53,7 +123,7 @@ def select_study(
         p = D.filter_pairs_by_window(p, v, g, window_mb)
     if sizes is not None:
         p = R.with_gene_sizes(p, sizes)
-    require_rows(p, "pairs")
+    p = require_rows(materialise(p, "study-pairs"), "pairs")
     return {"genes": C.include_ids(g, p, "gene_id"), "variants": C.include_ids(v, p), "pairs": p}
 
 
@@ -62,11 +132,16 @@ def merge_study_files(spark: SparkSession, paths: list[str]) -> Study:
     return H.merge_studies([load_study(spark, "besd", p) for p in paths])
 
 
-def export_study(study: Study, kind: str, path: str, parts: int = 1, array_limit: int = 1000, genes: list[str] | None = None, binary: bool = False) -> DataFrame | None:
-    """besd, query, ma, sumstats or annotation; besd and ma return the list of what was written."""
+#: Pairs that a task writes into one pair-matrix set.
+SET_PAIRS = 2_000_000
+
+
+def export_study(study: Study, kind: str, path: str, parts: int | None = None, array_limit: int = 1000, binary: bool = False) -> DataFrame | None:
+    """besd, query, ma, sumstats or annotation; besd and ma return the list of what was written. parts of a BESD set follow
+    the number of pairs unless they are given."""
     g, v, p = study["genes"], study["variants"], study["pairs"]
     if kind == "besd":
-        return K.write_besd(p, v, g, path, parts).persist()
+        return K.write_besd(p, v, g, path, parts or max(1, -(-p.count() // SET_PAIRS)))
     if kind == "query":
         return K.write_query(p, v, g, path)
     if kind == "ma":
@@ -74,9 +149,8 @@ def export_study(study: Study, kind: str, path: str, parts: int = 1, array_limit
     if kind == "sumstats":
         return K.write_text(K.sumstats_rows(p, v, g), path)
     if kind == "annotation":
-        # the columns of the result: one a gene, as asked for or all
-        names = genes or sorted(r.gene_id for r in g.select("gene_id").distinct().collect())
-        return K.write_text(K.annotation_matrix(p, names, binary), path)
+        # sorted over all partitions, the header first
+        return K.annotation_lines(p, g, binary).orderBy("ord").select("line").write.text(path)
     raise EngineError(f"unknown kind {kind}")
 
 
@@ -97,20 +171,32 @@ def load_genotypes(spark: SparkSession, prefix: str, *, extract: DataFrame | Non
     return B.read_bed(prefix + ".bed", rows, people.count(), chosen)
 
 
-def build_ld(genotypes: DataFrame, kind: str = "full", people: int | None = None, *, least_r: float | None = None, chi2: float = 10.0, width: int | None = None, **shrinkage: float) -> DataFrame:
-    """Full, sparse, band (by r or by distance), shrunk or sparseshrunk matrices."""
-    n = people or F.size("dosage")
-    ld = L.ld_pairs(genotypes)
+def build_ld(
+    genotypes: DataFrame, kind: str = "full", people: int | None = None, *, least_r: float | None = None, chi2: float = 10.0, width: int | None = None, check: bool = True, **shrinkage: float
+) -> DataFrame:
+    """Full, sparse, band (by r or by distance), shrunk or sparseshrunk matrices, i <= j; band by r is mirrored.
+
+    A variant of one dosage only is an error (J1b), unless check is false. Thresholds and reaches go into the tiles: sparse
+    drops small values where they are computed, and shrunk and banded matrices form no pair of tiles out of reach or of two
+    chromosomes. Columns of variants whose skeleton is true stay in sparse matrices.
+    """
+    genotypes = C.require_polymorphic(genotypes) if check else genotypes
     if kind == "full":
-        return ld
-    if kind == "sparse":
-        return L.sparse(ld, people or genotypes.select(n).first()[0], least_r, chi2)
+        return L.ld_pairs(genotypes)
     if kind == "band":
-        return L.band_by_r(ld, least_r) if width is None else L.band_by_distance(ld, genotypes, width)
+        return L.band_by_r(L.mirrored(L.ld_pairs(genotypes)), least_r) if width is None else L.ld_pairs(genotypes, reach=width // 2)
+    n = people or genotypes.select(F.size("dosage")).first()[0]
+    least = least_r * least_r if least_r is not None else chi2 / n
+    # a little below the bound, as the tiles' products and the filter may round apart
+    skeleton = genotypes.filter("skeleton").select("idx") if "skeleton" in genotypes.columns else None
+    if kind == "sparse":
+        ld = L.ld_pairs(genotypes, least_r2=least * (1 - 1e-9))
+        return L.sparse(ld if skeleton is None else L.mirrored(ld), n, least_r, chi2, skeleton=skeleton)
     if kind in ("shrunk", "sparseshrunk"):
         stats = B.genotype_stats(genotypes).select("idx", "gen_pos", "twopq")
+        ld = L.ld_pairs(genotypes, reach=L.shrink_reach(**{k: v for k, v in shrinkage.items() if k in ("ne", "cut", "map_n")}), along="gen_pos")
         out = L.shrink(ld, stats, **shrinkage)
-        return out if kind == "shrunk" else L.sparse(out, people or genotypes.select(n).first()[0], least_r, chi2)
+        return out if kind == "shrunk" else L.sparse(out, n, least_r, chi2)
     raise EngineError(f"unknown kind {kind}")
 
 

@@ -25,7 +25,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
+    """Register a function under its name, with its SQL; the function gets a reader of the tables by name."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +79,13 @@ def blocks(t) -> DataFrame:
 
 
 def genotypes(t) -> DataFrame:
-    rows = t("embeddings").select(F.col("vec_id").alias("idx"), F.concat(F.lit("v"), "vec_id").alias("snp"), F.col("label").alias("region"), F.col("embedding").alias("dosage"))
-    return rows
+    """Regions are runs of 64 variants, so they stay small however many variants there are."""
+    idx = F.col("vec_id").cast("long")
+    return t("embeddings").select(idx.alias("idx"), F.concat(F.lit("v"), idx).alias("snp"), F.floor(idx / 64).alias("region"), F.col("embedding").alias("dosage"))
 
 
 _VIEWS = """
-WITH variants AS (SELECT 'rs' || p_partkey AS snp, p_partkey AS ord, p_size AS chrom, p_partkey * 1000 AS pos,
+WITH RECURSIVE variants AS (SELECT 'rs' || p_partkey AS snp, p_partkey AS ord, p_size AS chrom, p_partkey * 1000 AS pos,
   substr('ACGT', CAST(p_partkey % 4 + 1 AS INTEGER), 1) AS a1, substr('ACGT', CAST((p_partkey // 4) % 4 + 1 AS INTEGER), 1) AS a2,
   (p_partkey * 37 % 100) / 100.0::DOUBLE AS af, p_partkey / 50.0::DOUBLE AS gen_pos, p_brand AS brand, p_type AS kind FROM part),
 genes AS (SELECT s_suppkey AS gene_id, s_suppkey AS ord, CAST(s_suppkey % 50 + 1 AS INTEGER) AS chrom, s_suppkey * 97 % 2000 * 1000 AS mid, s_acctbal AS balance FROM supplier),
@@ -92,8 +93,8 @@ pairs AS (SELECT l_suppkey AS gene_id, 'rs' || l_partkey AS snp, l_orderkey AS l
   l_discount - 0.0501::DOUBLE AS beta, l_tax + 0.01::DOUBLE AS se, l_quantity AS n FROM lineitem),
 blocks AS (SELECT c * 100 + n_nationkey AS ord, c || '_' || n_nationkey AS block_id, c AS chrom, n_nationkey * 80000 AS start, (n_nationkey + 1) * 80000 AS "end"
   FROM nation, (SELECT CAST(unnest(range(1, 51)) AS INTEGER) AS c)),
-z AS (SELECT vec_id AS idx, label AS region, list_transform(e, lambda x: (x - list_avg(e)) / sqrt(list_var_samp(e) * len(e))) AS g
-  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))
+z AS (SELECT vec_id AS idx, vec_id // 64 AS region, list_transform(e, lambda x: (x - list_avg(e)) / sqrt(list_var_samp(e) * len(e))) AS g
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))
 """
 
 
@@ -142,10 +143,10 @@ def mhc_strict(t):
 
 
 @query("""
-SELECT snp, chrom, pos FROM variants v WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.ord = 3 AND v.chrom = b.chrom AND v.pos BETWEEN b.start AND b."end")
+SELECT snp, chrom, pos FROM variants v WHERE EXISTS (SELECT 1 FROM blocks b WHERE b.ord = 701 AND v.chrom = b.chrom AND v.pos BETWEEN b.start AND b."end")
 """)
 def block_filter(t):
-    return C.include_block(variants(t), blocks(t), 4).select("snp", "chrom", "pos")
+    return C.include_block(variants(t), blocks(t), 702).select("snp", "chrom", "pos")
 
 
 @query("SELECT snp, count_if FROM (SELECT v.snp, bool_or(p.snp IS NOT NULL) AS count_if FROM variants v LEFT JOIN (SELECT DISTINCT snp FROM pairs WHERE n > 49) p ON v.snp = p.snp GROUP BY v.snp)")
@@ -250,19 +251,22 @@ def nearest_right(t):
     return D.nearest_at_or_after(asked, variants(t), 100_000).select(F.col("qid").alias("gene_id"), F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("snp", F.lit("none")).alias("snp"))
 
 
-@query("SELECT v.snp, count(DISTINCT m.gene_id) AS n_genes FROM variants v LEFT JOIN (SELECT p.snp, p.gene_id FROM pairs p JOIN variants v USING (snp) JOIN genes g ON g.gene_id = p.gene_id AND g.chrom = v.chrom) m USING (snp) GROUP BY v.snp")
+_CIS = ", c AS (SELECT g.gene_id, v.snp FROM genes g JOIN variants v ON v.chrom = g.chrom AND v.pos BETWEEN g.mid - 400000 AND g.mid + 400000)"
+
+
+def cis(t) -> DataFrame:
+    spans = genes(t).select("gene_id", "chrom", (F.col("mid") - 400_000).alias("start"), (F.col("mid") + 400_000).alias("end"))
+    return D.interval_join(variants(t).select("snp", "chrom", "pos"), spans).select("gene_id", "snp")
+
+
+@query(_CIS + "SELECT v.snp, count(DISTINCT m.gene_id) AS n_genes FROM variants v LEFT JOIN (SELECT c.snp, c.gene_id FROM c JOIN pairs p ON p.snp = c.snp AND p.gene_id = c.gene_id) m USING (snp) GROUP BY v.snp")
 def genes_per_variant(t):
-    cis = variants(t).select("snp", "chrom").join(genes(t).select("gene_id", "chrom"), "chrom")
-    return D.gene_variant_maps(pairs(t), variants(t), cis)["genes_per_variant"].select("snp", "n_genes")
+    return D.gene_variant_maps(pairs(t), variants(t), cis(t))["genes_per_variant"].select("snp", "n_genes")
 
 
-@query("""
-, c AS (SELECT g.gene_id, v.snp FROM variants v JOIN genes g USING (chrom))
-SELECT gene_id, count(*) AS untyped FROM c WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.gene_id = c.gene_id AND p.snp = c.snp) GROUP BY gene_id
-""")
+@query(_CIS + "SELECT gene_id, count(*) AS untyped FROM c WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.gene_id = c.gene_id AND p.snp = c.snp) GROUP BY gene_id")
 def interval_complement(t):
-    cis = variants(t).select("snp", "chrom").join(genes(t).select("gene_id", "chrom"), "chrom")
-    return D.gene_variant_maps(pairs(t), variants(t), cis)["without_effect"].groupBy("gene_id").agg(F.count("*").alias("untyped"))
+    return D.gene_variant_maps(pairs(t), variants(t), cis(t))["without_effect"].groupBy("gene_id").agg(F.count("*").alias("untyped"))
 
 
 @query("""
@@ -305,7 +309,7 @@ def n_mean_sd(t):
 
 @query("SELECT gene_id, round(median(n), 6) AS true_median, list_sort(list(n))[count(*) // 2 + 1] AS upper_median FROM pairs GROUP BY gene_id")
 def medians(t):
-    return pairs(t).groupBy("gene_id").agg(r6(F.median("n")).alias("true_median"), A.upper_median(F.col("n")).alias("upper_median"))
+    return pairs(t).groupBy("gene_id").agg(r6(F.median("n")).alias("true_median"), A.upper_median("n").alias("upper_median"))
 
 
 @query("""
@@ -319,9 +323,9 @@ def biased_statistics(t):
     )
 
 
-@query("SELECT gene_id, round(-1 / regr_slope(se * se, beta * beta - se * se), 4) AS n FROM pairs GROUP BY gene_id")
+@query("SELECT gene_id, trunc(-1 / regr_slope(se * se, beta * beta - se * se))::BIGINT AS n FROM pairs GROUP BY gene_id")
 def ols_sample_size(t):
-    return pairs(t).groupBy("gene_id").agg(F.round(A.regressed_sample_size(F.col("beta"), F.col("se")), 4).alias("n"))
+    return pairs(t).groupBy("gene_id").agg(A.regressed_sample_size(F.col("beta"), F.col("se")).alias("n"))
 
 
 @query("""
@@ -382,7 +386,13 @@ def first_seen_codes(t):
     return W.first_seen_codes(variants(t), "brand", "ord").select("snp", "code")
 
 
-@query(None)
+@query("""
+, p AS (SELECT DISTINCT chrom, pos FROM variants),
+w AS (SELECT chrom, min(pos) AS s FROM p GROUP BY chrom UNION ALL SELECT w.chrom, (SELECT min(p.pos) FROM p WHERE p.chrom = w.chrom AND p.pos > w.s + 300000) AS s FROM w
+  WHERE EXISTS (SELECT 1 FROM p WHERE p.chrom = w.chrom AND p.pos > w.s + 300000)),
+n AS (SELECT chrom, s, row_number() OVER (ORDER BY chrom, s) - 1 AS number FROM w)
+SELECT snp, v.chrom, pos, CAST(max(number) AS INTEGER) AS "window" FROM variants v JOIN n ON n.chrom = v.chrom AND n.s <= v.pos GROUP BY snp, v.chrom, pos
+""")
 def tumbling_greedy(t):
     return W.tumbling_windows(variants(t).select("snp", "chrom", "pos"), 300_000)
 
@@ -449,10 +459,14 @@ def number_formats(t):
     return pairs(t).select("gene_id", "snp", "line_order", "line", S.number_text(F.col("beta"), switch=0.01).alias("beta"), r6(scaled["b_scaled"]).alias("b_scaled"))
 
 
-@query(None)
+#: erfc(x) for x >= 0 by Simpson's rule over [x, x + 8].
+_ERFC = "2 / sqrt(pi()) * 0.01 / 3 * list_sum(list_transform(range(0, 801), lambda k: (CASE WHEN k = 0 OR k = 800 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({x} + k * 0.01, 2))))"
+
+
+@query(f"SELECT gene_id, snp, line_order, line, round({_ERFC.format(x='sqrt(pow(beta / se, 2) / 2)')}, 6) AS p FROM pairs")
 def pair_pvalues(t):
     z2 = (F.col("beta") / F.col("se")) * (F.col("beta") / F.col("se"))
-    return pairs(t).select("gene_id", "snp", "line_order", "line", S.chi2_tail(z2).alias("p"))
+    return pairs(t).select("gene_id", "snp", "line_order", "line", r6(S.chi2_tail(z2)).alias("p"))
 
 
 # ---- LD
@@ -478,11 +492,11 @@ def ld_banded(t):
 
 
 @query("""
-, p AS (SELECT a.idx AS i, list_dot_product(a.g, b.g) AS r FROM z a JOIN z b ON b.idx BETWEEN a.idx AND a.idx + 20)
+, p AS (SELECT a.idx AS i, list_dot_product(a.g, b.g) AS r FROM z a JOIN z b ON b.idx BETWEEN a.idx - 20 AND a.idx + 20)
 SELECT i, round(sum(r), 5) AS ld_sum, round(sum(r * r), 5) AS ldsc, round(sum(pow(1 - r * r, 2) / 64), 5) AS sampling_var FROM p GROUP BY i
 """)
 def ld_scores(t):
-    out = A.ld_row_stats(L.ld_pairs(genotypes(t), tile=64, band=20), 64)
+    out = A.ld_row_stats(L.mirrored(L.ld_pairs(genotypes(t), tile=64, band=20)), 64)
     return out.select("i", *[F.round(c, 5).alias(c) for c in ("ld_sum", "ldsc", "sampling_var")])
 
 
@@ -502,67 +516,261 @@ def eigen_trace(t):
     return L.region_eigen(genotypes(t)).select("region", "m", F.round(F.col("sum_pos") + 0.00001, 4).alias("sum_pos"))
 
 
-@query(None)
+def two(t) -> DataFrame:
+    """Genotypes in regions of two variants, whose decomposition SQL can write down."""
+    return genotypes(t).withColumn("region", F.floor(F.col("idx") / 2))
+
+
+def effects(t) -> DataFrame:
+    return genotypes(t).select("idx", "snp", ((F.col("idx") % 9 - 4.5) / 100).alias("b"), (0.02 + F.col("idx") % 7 / 100).alias("se"), (1000 + F.col("idx") % 50 * 10.0).alias("n"), ((F.col("idx") % 40 + 5) / 100).alias("af"))
+
+
+#: Regions of two variants: r, the diagonal c, and each one's effect, error, size and frequency as x and y; eff as effects().
+_TWO = """
+, eff AS (SELECT idx, (idx % 9 - 4.5::DOUBLE) / 100 AS b, 0.02::DOUBLE + idx % 7 / 100.0::DOUBLE AS se, 1000 + idx % 50 * 10.0::DOUBLE AS n, (idx % 40 + 5) / 100.0::DOUBLE AS af FROM z),
+two AS (SELECT a.idx // 2 AS region, a.idx AS i, b.idx AS j, list_dot_product(a.g, b.g) AS r, 63 / 64.0::DOUBLE AS c, x, y
+  FROM z a JOIN z b ON a.idx % 2 = 0 AND b.idx = a.idx + 1 JOIN eff x ON x.idx = a.idx JOIN eff y ON y.idx = b.idx)
+"""
+
+
+@query(_TWO + """
+SELECT region, 2 AS m, CASE WHEN (c + abs(r)) / (2 * c) > 0.55 THEN 1 ELSE 2 END AS k, round(2 * c, 5) AS sum_pos, 0.55::DOUBLE AS cutoff,
+  round(c + abs(r), 6) AS top, round(CASE WHEN (c + abs(r)) / (2 * c) > 0.55 THEN c + abs(r) ELSE c - abs(r) END, 6) AS least FROM two
+""")
 def eigen_rank(t):
-    e = L.retruncate(L.region_eigen(genotypes(t), 0.9999), 0.95)
-    return e.select("region", "m", "k", F.round("sum_pos", 4).alias("sum_pos"), "cutoff")
+    e = L.retruncate(L.region_eigen(two(t), 0.9999999), 0.55)
+    return e.select("region", "m", "k", F.round("sum_pos", 5).alias("sum_pos"), "cutoff", r6(F.element_at("values", -1)).alias("top"), r6(F.element_at("values", 1)).alias("least"))
 
 
-@query(None)
+@query(_TWO + """
+, l AS (SELECT region, c + abs(r) AS v, c FROM two UNION ALL SELECT region, c - abs(r), c FROM two)
+SELECT region, round(v, 5) AS value, round(sum(v) OVER (PARTITION BY region ORDER BY v DESC) / (2 * c), 5) AS share FROM l
+""")
+def eigen_shares(t):
+    e = L.region_eigen(two(t), 0.9999999).select("region", F.explode("values").alias("lambda"))
+    return W.eigen_shares(e).select("region", F.round("lambda", 5).alias("value"), F.round("share", 5).alias("share"))
+
+
+_IMPUTED = """
+, imp AS (SELECT two.*, r / (c + 0.1) * x.b / x.se AS zi, 2 * x.af * (1 - x.af) * (x.n * x.se * x.se + x.b * x.b) AS v, 2 * y.af * (1 - y.af) AS tpq FROM two),
+filled AS (SELECT i AS idx, x.b AS beta, x.se AS se, x.n AS n, false AS imputed FROM imp
+  UNION ALL SELECT j, zi * sqrt(v) / sqrt(tpq * (x.n + zi * zi)), sqrt(v) / sqrt(tpq * (x.n + zi * zi)), x.n, true FROM imp)
+"""
+
+
+@query(_TWO + _IMPUTED + "SELECT 'v' || idx AS snp, round(beta, 5) AS beta, round(se, 5) AS se, n, imputed FROM filled")
 def impute_z(t):
-    g = genotypes(t)
-    stats = g.select("region", "snp", F.lit(0.3).alias("af"), F.when(F.col("idx") % 5 != 0, F.get("dosage", F.lit(0)).cast("double")).alias("beta"), F.lit(0.1).alias("se"), F.lit(1000.0).alias("n"))
-    return L.impute_summary(stats, L.region_eigen(g, 0.99))
+    g = two(t)
+    known = effects(t).join(g.select("snp", "region"), "snp")
+    stats = known.select("region", "snp", "af", F.when(F.col("idx") % 2 == 0, F.col("b")).alias("beta"), "se", "n")
+    return L.impute_summary(stats, L.region_eigen(g, 0.9999999)).select("snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), "n", "imputed")
 
 
-@query(None)
+@query(_TWO + _IMPUTED + "SELECT idx // 2 AS gene_id, 'v' || idx AS snp, round(beta, 5) AS beta, round(se, 5) AS se, n, imputed FROM filled WHERE idx // 2 % 10 <> 3")
+def aligned_pairs_imputed(t):
+    g = two(t)
+    known = effects(t).join(g.select("snp", F.col("region").alias("gene_id")), "snp")
+    own = known.filter("idx % 2 = 0 and gene_id % 10 <> 3").select("gene_id", "snp", F.col("b").alias("beta"), "se", "n", "af")
+    out = L.align_and_impute(known.select("gene_id", "snp", "af"), own, L.region_eigen(g, 0.9999999), 0.6)
+    return out.select("gene_id", "snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), "n", "imputed")
+
+
+@query(_TWO + "SELECT region, round((x.b + sign(r) * y.b) ^ 2 / 2 / (c + abs(r)), 6) AS top, round((x.b + sign(r) * y.b) ^ 2 / 2 / (c + abs(r)) + (x.b - sign(r) * y.b) ^ 2 / 2 / (c - abs(r)), 6) AS total FROM two")
 def project_effects(t):
-    g = genotypes(t)
-    return L.project_effects(g.select("region", "snp", F.get("dosage", F.lit(0)).cast("double").alias("b")), L.region_eigen(g, 0.9))
+    known = effects(t).join(two(t).select("snp", "region"), "snp")
+    w = L.project_effects(known.select("region", "snp", "b"), L.region_eigen(two(t), 0.9999999))
+    square = F.col("w") * F.col("w")
+    return w.groupBy("region").agg(r6(F.max_by(square, "component")).alias("top"), r6(F.sum(square)).alias("total"))
 
 
-@query(None)
+@query(_TWO + "SELECT region, round(c * 2 * x.af * (1 - x.af), 5) AS first, round(r * sqrt(4 * x.af * (1 - x.af) * y.af * (1 - y.af)), 5) AS both FROM two")
+def projection_matrix(t):
+    variances = effects(t).select("snp", (2 * F.col("af") * (1 - F.col("af"))).alias("twopq"))
+    q = L.projection_matrix(L.region_eigen(two(t), 0.9999999), variances).withColumn("second", F.substring("snp", 2, 18).cast("long") % 2)
+    cells = q.groupBy("region", "component").agg(F.max(F.when(F.col("second") == 0, F.col("q"))).alias("a"), F.max(F.when(F.col("second") == 1, F.col("q"))).alias("b"))
+    return cells.groupBy("region").agg(F.round(F.sum(F.col("a") * F.col("a")), 5).alias("first"), F.round(F.sum(F.col("a") * F.col("b")), 5).alias("both"))
+
+
+@query(_TWO + "SELECT 'v' || idx AS snp, round(b, 6) AS whole FROM eff")
 def pseudo_summary(t):
-    g = genotypes(t)
-    return L.pseudo_summary(g.select("region", "snp", F.get("dosage", F.lit(0)).cast("double").alias("b")), L.region_eigen(g, 0.9), 1000)
+    known = effects(t).join(two(t).select("snp", "region"), "snp")
+    out = L.pseudo_summary(known.select("region", "snp", "b"), L.region_eigen(two(t), 0.9999999), 1000)
+    # by size, training and validation effects make up the given ones
+    return out.select("snp", r6(0.9 * F.col("train") + 0.1 * F.col("valid")).alias("whole"))
 
 
-@query(None)
+_AIM = "round({z} * {v} / sqrt(2 * {a}.af * (1 - {a}.af) * (5000 + pow({z}, 2))), 6) AS beta_new, round({v} / sqrt(2 * {a}.af * (1 - {a}.af) * (5000 + pow({z}, 2))), 6) AS se_new"
+_SPREAD = "sqrt(2 * {a}.af * (1 - {a}.af) * ({a}.n * {a}.se * {a}.se + {a}.b * {a}.b))"
+
+
+@query(_TWO + f"""
+SELECT 'v' || i AS snp, {_AIM.format(a="x", z="(r / (c + 0.1) * y.b / y.se)", v=_SPREAD.format(a="y"))} FROM two
+UNION ALL SELECT 'v' || j, {_AIM.format(a="y", z="(r / (c + 0.1) * x.b / x.se)", v=_SPREAD.format(a="x"))} FROM two
+""")
+def resample_left_out(t):
+    return _resampled(t, False)
+
+
+_SCORE = "((sqrt({a}.n * 5000) * (c + r + 0.1) / 2 + least({a}.n, 5000) / sqrt({a}.n * 5000)) / ({a}.b / {a}.se))"
+
+
+@query(_TWO + f"""
+SELECT 'v' || i AS snp, {_AIM.format(a="x", z=_SCORE.format(a="x"), v="1")} FROM two UNION ALL SELECT 'v' || j, {_AIM.format(a="y", z=_SCORE.format(a="y"), v="1")} FROM two
+""")
+def resample_by_score(t):
+    return _resampled(t, True)
+
+
+def _resampled(t, by_score: bool) -> DataFrame:
+    known = effects(t).join(two(t).select("snp", "region"), "snp")
+    out = L.resample_effects(known.select("region", "snp", "af", F.col("b").alias("beta"), "se", "n"), L.region_eigen(two(t), 0.9999999), 5000, by_score=by_score)
+    return out.select("snp", r6("beta_new").alias("beta_new"), r6("se_new").alias("se_new"))
+
+
+_LINKS = """
+, l AS (SELECT a.idx AS i, b.idx AS j FROM z a JOIN z b ON a.region = b.region AND a.idx <> b.idx WHERE pow(list_dot_product(a.g, b.g), 2) > 0.06),
+near AS (SELECT i, list(j ORDER BY j) AS js, row_number() OVER (ORDER BY i) AS k FROM l GROUP BY i), p AS (SELECT list(idx * 7919 % 1009 ORDER BY idx) AS ps FROM z)
+"""
+
+
+@query(_LINKS + """
+, s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT n.k, CASE WHEN list_contains(gone, i) THEN gone ELSE list_concat(gone, list_filter(js, lambda j: NOT list_contains(gone, j) AND ps[i + 1] < ps[j + 1]),
+    CASE WHEN len(list_filter(js, lambda j: NOT list_contains(gone, j) AND ps[i + 1] >= ps[j + 1])) > 0 THEN [i] ELSE [] END) END
+  FROM s JOIN near n ON n.k = s.k + 1, p)
+SELECT idx FROM z, (SELECT arg_max(gone, k) AS gone FROM s) WHERE NOT list_contains(gone, idx)
+""")
 def prune_greedy(t):
-    g = genotypes(t).withColumn("p", F.get("dosage", F.lit(0)).cast("double"))
-    return W.prune_by_r2(g.select("region", "idx", "p"), L.region_ld(genotypes(t)).select("i", "j", "r"), 0.05, "region")
+    v = genotypes(t).select("idx", (F.col("idx") * 7919 % 1009).alias("p"))
+    return W.prune_by_r2(v, L.region_ld(genotypes(t)), 0.06).select("idx")
 
 
-@query(None)
+@query(_LINKS + """
+, s AS (SELECT 0::BIGINT AS k, range(0, (SELECT count(*) FROM z)) AS label UNION ALL
+  SELECT n.k, list_transform(label, lambda v, place: CASE WHEN list_contains(js, place - 1) THEN label[i + 1] ELSE v END) FROM s JOIN near n ON n.k = s.k + 1),
+f AS (SELECT arg_max(label, k) AS label FROM s)
+SELECT idx, dense_rank() OVER (ORDER BY label[idx + 1]) AS bin FROM z, f
+""")
 def bin_by_r2(t):
-    return W.bin_by_r2(genotypes(t).select("region", "idx"), L.region_ld(genotypes(t)).select("i", "j", "r"), 0.05, "region")
+    return W.bin_by_r2(genotypes(t).select("idx"), L.region_ld(genotypes(t)), 0.06)
 
 
-@query(None)
+@query("""
+, p AS (SELECT a.idx AS i, list_dot_product(a.g, b.g) AS r, list_dot_product(list_transform(a.g, lambda x: x * x), list_transform(b.g, lambda x: x * x)) AS q FROM z a JOIN z b ON b.idx BETWEEN a.idx - 3 AND a.idx + 3)
+SELECT i, round(sum(64 / 63.0::DOUBLE * (q - r * r / 64)), 6) AS jackknife_var FROM p GROUP BY i
+""")
 def jackknife_ld(t):
-    g = genotypes(t)
-    return L.jackknife_variance(g, L.ld_pairs(g, tile=64, band=3))
+    return L.jackknife_variance(genotypes(t), tile=64, band=3).select("i", r6("jackknife_var").alias("jackknife_var"))
 
 
-@query("""
-, s AS (SELECT ord, af, 2 * af * (1 - af) AS v, 100 + ord % 50 AS n, 0.02 + ord % 7 / 100.0::DOUBLE AS se, (ord % 13 - 6) / 100.0::DOUBLE AS b FROM variants WHERE af > 0.02),
-m AS (SELECT median(v * (n * se * se + b * b)) AS y FROM s),
-k AS (SELECT ord, (y - v * b * b) / (v * se * se) AS n FROM s, m),
-a AS (SELECT median(n) AS med, stddev_samp(n) AS sd FROM k)
-SELECT ord, round(n, 4) AS n FROM k, a WHERE abs(n - med) <= 3 * sd
+_SIZES = "SELECT ord, snp, af, 2 * af * (1 - af) AS v, 100 + ord % 50 AS n, 0.02 + ord % 7 / 100.0::DOUBLE AS se, (ord % 13 - 6) / 100.0::DOUBLE AS b FROM variants WHERE af > 0.02"
+
+
+def sizes(t) -> DataFrame:
+    key = F.col("ord")
+    return variants(t).filter("af > 0.02").select("ord", "af", (100 + key % 50).alias("n"), (0.02 + key % 7 / 100).alias("se"), ((key % 13 - 6) / 100).alias("b"))
+
+
+@query(f"""
+, s AS ({_SIZES}),
+m AS (SELECT median(v * n * (n * se * se + b * b)) / median(n) AS y, median(n) AS med FROM s),
+k AS (SELECT ord, (y - v * b * b) / (v * se * se) AS n, med FROM s, m), a AS (SELECT stddev_samp(n) AS sd FROM k)
+SELECT ord, round(n, 4) AS n FROM k, a WHERE n >= med - 3 * sd AND n <= med + 3 * sd
 """)
 def imputed_sample_size(t):
-    key = F.col("ord")
-    stats = variants(t).filter("af > 0.02").select("ord", "af", (100 + key % 50).alias("n"), (0.02 + key % 7 / 100).alias("se"), ((key % 13 - 6) / 100).alias("b"))
-    return L.impute_sample_size(stats, most=1).select("ord", F.round("n", 4).alias("n"))
+    return L.impute_sample_size(sizes(t), most=1, settle=False).select("ord", F.round("n", 4).alias("n"))
+
+
+@query(None)
+def imputed_sample_size_settled(t):
+    return L.impute_sample_size(sizes(t)).select("ord", F.round("n", 4).alias("n"))
 
 
 @query("""
-, s AS (SELECT idx, 1000.0::DOUBLE AS n, 0.05::DOUBLE AS se, (idx % 9 - 4) / 100.0::DOUBLE AS b, g FROM z),
-d AS (SELECT *, 1 / (se * se + b * b / n) AS d FROM s)
-SELECT x.idx AS i, y.idx AS j, round(list_dot_product(x.g, y.g) * sqrt(x.d * y.d), 4) AS zz FROM d x JOIN d y ON y.idx BETWEEN x.idx AND x.idx + 5
+, s AS (SELECT idx, 1000.0::DOUBLE + idx % 50 * 10 AS n, 0.02::DOUBLE + idx % 7 / 100.0::DOUBLE AS se, (idx % 9 - 4.5::DOUBLE) / 100 AS b, (idx % 40 + 5) / 100.0::DOUBLE AS af, g FROM z),
+o AS (SELECT list_sort(list(2 * af * (1 - af) * (n * se * se + b * b)))[count(*) // 2 + 1] AS v, count(*) AS m FROM s),
+d AS (SELECT s.*, v / (se * se + b * b / n) AS d, m FROM s, o),
+e AS (SELECT x.idx AS i, y.idx AS j, list_dot_product(x.g, y.g) AS r, sqrt(x.d * y.d) AS w FROM d x JOIN d y ON y.idx BETWEEN x.idx - 5 AND x.idx + 5),
+k AS (SELECT i, sum(r * w) AS zx, sum(CASE WHEN i = j THEN r * w END) AS zd, sum(r * r) AS score, sum(pow(1 - r * r, 2) / 64) AS sv, count(*) AS nnz FROM e GROUP BY i)
+SELECT idx, round(d, 3) AS d, round(d / n, 6) AS twopq, round(d * (n * se * se + b * b), 3) AS tss, round(zd, 3) AS zz_diag, round(zd * b, 4) AS zy, round(zd * b * b, 4) AS chisq, round(score, 5) AS ld_score,
+  round((n + 64) / m * sv + (m - nnz) / m::DOUBLE, 5) AS sampling_var, round(zx, 3) AS zx FROM d JOIN k ON k.i = d.idx
+""")
+def mixed_model_rows(t):
+    out = L.mixed_model_equations(effects(t), L.mirrored(L.ld_pairs(genotypes(t), tile=64, band=5)), 64)["variants"]
+    digits = {"d": 3, "twopq": 6, "tss": 3, "zz_diag": 3, "zy": 4, "chisq": 4, "ld_score": 5, "sampling_var": 5, "zx": 3}
+    return out.select("idx", *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
+@query(_TWO + """
+, s AS (SELECT *, 2 * af * (1 - af) * (n * se * se + b * b) AS v FROM eff),
+e AS (SELECT a.idx AS i, list_dot_product(a.g, b.g) * sqrt(x.n * y.n) AS zz, a.idx = b.idx AS own FROM z a JOIN z b ON b.idx BETWEEN a.idx - 5 AND a.idx + 5 JOIN eff x ON x.idx = a.idx JOIN eff y ON y.idx = b.idx),
+o AS (SELECT list_sort(list(v))[count(*) // 2 + 1] AS var_p, list_sort(list(v * n))[count(*) // 2 + 1] AS ypy, list_sort(list(n))[count(*) // 2 + 1] AS n_median FROM s)
+SELECT round(var_p, 6) AS var_p, round(ypy, 4) AS ypy, round(n_median, 2) AS n_median, round((SELECT sum(zz) FROM e), 1) AS xx,
+  round((SELECT sum(zz * b * sqrt(var_p / (se * se + b * b / n) / n)) FROM e JOIN eff ON eff.idx = e.i WHERE own), 3) AS xy FROM o
+""")
+def mixed_model_totals(t):
+    out = L.mixed_model_equations(effects(t), L.mirrored(L.ld_pairs(genotypes(t), tile=64, band=5)), 64, overlap=True, noscale=False)["totals"]
+    return out.select(*[F.round(c, k).alias(c) for c, k in {"var_p": 6, "ypy": 4, "n_median": 2, "xx": 1, "xy": 3}.items()])
+
+
+@query(_TWO + """
+, o AS (SELECT list_sort(list(2 * af * (1 - af) * (n * se * se + b * b)))[count(*) // 2 + 1] AS v FROM eff), d AS (SELECT idx, v / (se * se + b * b / n) AS d FROM eff, o)
+SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.g, b.g) * sqrt(x.d * y.d), 4) AS zz FROM z a JOIN z b ON b.idx BETWEEN a.idx - 5 AND a.idx + 5 JOIN d x ON x.idx = a.idx JOIN d y ON y.idx = b.idx
 """)
 def sparse_equations(t):
-    g = genotypes(t)
-    stats = g.select("idx", F.lit(1000.0).alias("n"), F.lit(0.05).alias("se"), ((F.col("idx") % 9 - 4) / 100).alias("b"))
-    return L.sparse_equations(stats, L.ld_pairs(g, tile=64, band=5), 1.0)[1].select("i", "j", F.round("zz", 4).alias("zz"))
+    out = L.mixed_model_equations(effects(t), L.mirrored(L.ld_pairs(genotypes(t), tile=64, band=5)), 64)["zz"]
+    return out.select("i", "j", F.round("zz", 4).alias("zz"))
+
+
+@query("""
+, p AS (SELECT a.idx AS i, b.idx AS j, list_dot_product(a.g, b.g) AS r FROM z a JOIN z b ON a.region = b.region),
+f AS (SELECT i, min(j) AS low, max(j) AS high FROM p WHERE abs(r) > 0.3 GROUP BY i)
+SELECT p.i, j, round(r, 6) AS r FROM p LEFT JOIN f ON f.i = p.i WHERE j BETWEEN least(coalesce(low, p.i), p.i) AND greatest(coalesce(high, p.i), p.i)
+""")
+def band_by_outermost(t):
+    return L.band_by_r(L.mirrored(L.region_ld(genotypes(t)).drop("region")), 0.3).select("i", "j", r6("r").alias("r"))
+
+
+@query("""
+, p AS (SELECT a.idx AS i, b.idx AS j, list_dot_product(a.g, b.g) AS r FROM z a JOIN z b ON a.region = b.region),
+f AS (SELECT i, min(j) AS low, max(j) AS high FROM p WHERE r * r * 64 > 6.0000001 GROUP BY i)
+SELECT p.i, j, round(r, 6) AS r FROM p LEFT JOIN f ON f.i = p.i WHERE j BETWEEN least(coalesce(low, p.i), p.i) AND greatest(coalesce(high, p.i), p.i)
+""")
+def band_by_chi2(t):
+    return L.band_by_r(L.mirrored(L.region_ld(genotypes(t)).drop("region")), n=64, chi2=6.0000001).select("i", "j", r6("r").alias("r"))
+
+
+@query("""
+SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.g, b.g), 6) AS r FROM z a JOIN z b ON a.idx <= b.idx AND (a.idx % 100 // 50) = (b.idx % 100 // 50) AND b.idx - a.idx < 8
+""")
+def ld_by_distance(t):
+    g = genotypes(t).withColumn("chrom", (F.floor(F.col("idx") % 100 / 50)).cast("int")).withColumn("pos", F.col("idx") * 100)
+    return L.ld_pairs(g, tile=32, reach=800).select("i", "j", r6("r").alias("r"))
+
+
+@query("""
+SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.g, b.g), 6) AS r FROM z a JOIN z b ON abs(a.idx - b.idx) <= 30
+WHERE a.idx = b.idx OR abs(list_dot_product(a.g, b.g)) >= 0.3 OR b.idx % 25 = 0
+""")
+def sparse_with_skeleton(t):
+    g = genotypes(t).withColumn("skeleton", F.col("idx") % 25 == 0)
+    ld = L.mirrored(L.ld_pairs(g, tile=64, band=30, least_r2=0.08))
+    return L.sparse(ld, 64, least_r=0.3, skeleton=g.filter("skeleton").select("idx")).select("i", "j", r6("r").alias("r"))
+
+
+@query("""
+SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.g, b.g), 6) AS r FROM z a JOIN z b ON b.idx BETWEEN a.idx AND a.idx + 30
+WHERE a.idx = b.idx OR pow(list_dot_product(a.g, b.g), 2) * 64 > 3.0000001
+""")
+def pruned_directly(t):
+    return L.sparse(L.ld_pairs(genotypes(t), tile=64, band=30), 64, chi2=3.0000001, strict=True).select("i", "j", r6("r").alias("r"))
+
+
+@query("""
+, p AS (SELECT a.idx AS i, b.idx AS j, list_dot_product(a.g, b.g) AS r FROM z a JOIN z b ON abs(a.idx - b.idx) <= 9 WHERE a.idx = b.idx OR abs(list_dot_product(a.g, b.g)) >= 0.15)
+SELECT i, count(*) AS n_cells, min(j) AS first, max(j) - min(j) + 1 AS width, round(sum(r), 6) AS total FROM p GROUP BY i
+""")
+def assembled_rows(t):
+    ld = L.mirrored(L.sparse(L.ld_pairs(genotypes(t), tile=64, band=9), 64, least_r=0.15))
+    full = L.dense_rows(ld).select("i", "first", F.size("values").cast("long").alias("width"), r6(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return L.matrix_rows(ld).select("i", F.size("js").cast("long").alias("n_cells")).join(full, "i")

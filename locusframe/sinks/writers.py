@@ -20,12 +20,49 @@ from ..errors import EngineError
 from ..functions.scalar import chi2_tail, number_text, z_score
 from ..session import ship_package
 from ..sources.binary import BED_MAGIC, SPARSE_3F
+from ..storage import materialise
 
 
 def write_text(rows: DataFrame, path: str, header: bool = True, gzip: bool = False) -> None:
     rows.write.csv(path, sep="\t", header=header, compression="gzip" if gzip else "none", nullValue="NA", emptyValue="")
 
 
+def write_named(lines: DataFrame, folder: str, header: str | None = None) -> DataFrame:
+    """A text file for each name of (name, ord, line) in a folder, in order of ord. Returns (name, n_lines).
+
+    A task writes one file after the other as lines come; a file is moved to its name when it is whole.
+    """
+    ship_package(lines.sparkSession)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, draft, stream, count, done = None, "", None, 0, []
+        fs, at = _create(folder)
+        fs.create_dir(at, recursive=True)
+
+        def close() -> None:
+            if stream is not None:
+                stream.close()
+                fs.move(draft, f"{at}/{name}")
+                done.append((name, count))
+
+        for rows in batches:
+            for own, line in zip(rows["name"], rows["line"], strict=True):
+                if own != name:
+                    close()
+                    name, count, draft = own, 0, f"{at}/.{uuid.uuid4().hex}"
+                    stream = fs.open_output_stream(draft)
+                    if header is not None:
+                        stream.write(header.encode() + b"\n")
+                stream.write(line.encode() + b"\n")
+                count += 1
+        close()
+        if done:
+            yield pd.DataFrame(done, columns=["name", "n_lines"])
+
+    dealt = lines.select("name", "ord", "line").repartition("name").sortWithinPartitions("name", "ord")
+    return materialise(dealt.mapInPandas(write, "name string, n_lines long"), "named-files")
+
+
 def query_rows(pairs: DataFrame, variants: DataFrame, genes: DataFrame) -> DataFrame:
     """B2: the fourteen columns of the pair table; n is the pair's, else the gene's, else NA."""
     v = variants.select("snp", F.col("chrom").alias("SNPChr"), F.col("pos").alias("SNPPhyPos"), F.col("a1").alias("A1"), F.col("a2").alias("A2"), "af")
@@ -47,14 +84,21 @@ def write_query(pairs: DataFrame, variants: DataFrame, genes: DataFrame, path: s
 
 
 def write_ma(pairs: DataFrame, variants: DataFrame, path: str, limit: int = 1000) -> DataFrame:
-    """A folder a gene; returns (chunk, gene_id), `limit` genes a chunk."""
+    """A .ma file for each gene, named by its number and id, and manifests of `limit` files each, 000000.txt and so on.
+    Returns (chunk, ord, file). Pairs without a frequency, size or error have NA there."""
     from ..operators.filters import reindex
 
     z = z_score(F.col("beta"), F.col("se"))
-    rows = pairs.join(variants.select("snp", "a1", "a2", "af"), "snp").select("gene_id", F.col("snp").alias("SNP"), F.col("a1").alias("A1"), F.col("a2").alias("A2"), F.col("af").alias("freq"), F.col("beta").alias("b"), "se", chi2_tail(z * z).alias("p"), F.col("n").alias("N"))
-    rows.repartition("gene_id").write.partitionBy("gene_id").csv(path, sep="\t", header=True, nullValue="NA")
+    p = chi2_tail(z * z)
     genes = reindex(pairs.select("gene_id").distinct(), "gene_id")
-    return genes.select(F.floor(F.col("idx") / limit).alias("chunk"), "gene_id")
+    named = genes.select("gene_id", F.floor(F.col("idx") / limit).alias("chunk"), "idx", F.concat_ws("-", F.col("idx").cast("string"), F.concat("gene_id", F.lit(".ma"))).alias("name"))
+    rows = pairs.join(variants.select("snp", "a1", "a2", "af"), "snp").join(named, "gene_id")
+    size = F.coalesce(F.col("n").cast("string"), F.lit("NA"))
+    line = F.concat_ws(" ", "snp", "a1", "a2", number_text(F.col("af"), 6, 5), number_text(F.col("beta"), 9, 5), number_text(F.col("se"), 9, 5), number_text(p, 15, 5), size)
+    write_named(rows.select("name", F.col("snp").alias("ord"), line.alias("line")), path, "SNP A1 A2 freq b se p N").count()
+    listed = materialise(named.select("chunk", F.col("idx").alias("ord"), F.col("name").alias("file")), "manifest")
+    write_named(listed.select(F.format_string("%06d.txt", "chunk").alias("name"), "ord", F.col("file").alias("line")), path).count()
+    return listed
 
 
 def sumstats_rows(pairs: DataFrame, variants: DataFrame, genes: DataFrame) -> DataFrame:
@@ -64,31 +108,66 @@ def sumstats_rows(pairs: DataFrame, variants: DataFrame, genes: DataFrame) -> Da
     return pairs.join(v, "snp").join(g, "gene_id").select(F.col("gene_id").alias("GENE"), "GENE_COORD", F.col("snp").alias("SNP"), "CHR", "SNP_COORD", F.col("n").alias("N"), z_score(F.col("beta"), F.col("se")).alias("Z"))
 
 
-def annotation_matrix(pairs: DataFrame, genes: list[str], binary: bool = False, reference: DataFrame | None = None) -> DataFrame:
-    """A row a variant; with a reference its membership, else a column a gene with beta or 1, 0 where absent."""
-    if reference is not None:
-        has = pairs.select("snp").distinct().withColumn("member", F.lit(1))
-        return reference.select("snp").join(has, "snp", "left").select(F.col("snp").alias("SNP"), F.lit(1).alias("Intercept"), F.coalesce("member", F.lit(0)).alias("member"))
+def annotation_membership(pairs: DataFrame, reference: DataFrame) -> DataFrame:
+    """A row for each variant of a reference, with its membership of the pairs."""
+    has = pairs.select("snp").distinct().withColumn("member", F.lit(1))
+    return reference.select("snp").join(has, "snp", "left").select(F.col("snp").alias("SNP"), F.lit(1).alias("Intercept"), F.coalesce("member", F.lit(0)).alias("member"))
+
+
+def annotation_matrix(pairs: DataFrame, genes: list[str], binary: bool = False) -> DataFrame:
+    """A row a variant and a column a gene, with beta or 1, 0 where absent; of pairs that stand twice the greater. For a
+    bounded list of genes; annotation_lines has no such bound."""
     value: Column = F.lit(1.0) if binary else F.col("beta")
-    wide = pairs.withColumn("v", value).groupBy(F.col("snp").alias("SNP")).pivot("gene_id", genes).agg(F.first("v")).fillna(0.0)
+    wide = pairs.withColumn("v", value).groupBy(F.col("snp").alias("SNP")).pivot("gene_id", genes).agg(F.max("v")).fillna(0.0)
     return wide.select("SNP", F.lit(1).alias("Intercept"), *[F.col(f"`{g}`") for g in genes])
 
 
-def posterior_summary(samples: DataFrame, draws: int, variants: DataFrame, scale: bool = True) -> DataFrame:
-    """Mean, SE and inclusion rate of each variant over sample rows (draw, snp, effect); flipped variants
-    get their sign and frequency back, and effects their genotype scale."""
+def annotation_lines(pairs: DataFrame, genes: DataFrame, binary: bool = False) -> DataFrame:
+    """The same matrix as (ord, line), the header first: values by tab, a column for each of any number of genes.
+
+    Each line is made from its variant's own pairs and the number of genes, so no plan grows with the columns.
+    """
+    from ..operators.filters import reindex
+
+    codes = reindex(genes.select("gene_id").distinct(), "gene_id", name="at")
+    n = codes.count()
+    # the header is one line, whatever its length
+    names = codes.agg(F.sort_array(F.collect_list(F.struct("at", "gene_id"))).alias("g"))
+    head = names.select(F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit("SNP"), F.lit("Intercept"), F.array_join("g.gene_id", "\t")).alias("line"))
+    value = F.lit("1") if binary else F.col("beta").cast("string")
+    cells = pairs.join(codes, "gene_id").groupBy("snp", "at").agg(F.max(F.struct("beta", value.alias("v"))).alias("c"))
+    rows = cells.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("at", "c.v"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("0")))
+    lines = reindex(rows.select("snp", F.concat_ws("\t", "snp", F.lit("1"), F.array_join(filled, "\t")).alias("line")), "snp", name="ord")
+    return head.unionAll(lines.select("ord", "line"))
+
+
+def posterior_summary(samples: DataFrame, draws: int, variants: DataFrame, scale: bool = True, factor: str | None = None, last: int | None = None) -> DataFrame:
+    """(snp, a1, a2, af, effect, se, pip) over sample rows (draw, snp, effect); absent rows are zero effects.
+
+    Flipped variants get their alleles, frequency and sign back, and effects their genotype scale: sqrt(2pq), or the
+    column factor, if given; last adds last_effect, that draw's effect.
+    """
     x = F.col("effect")
-    sums = samples.groupBy("snp").agg((F.sum(x) / draws).alias("mean"), (F.sum(x * x) / draws).alias("square"), (F.count_if(x != 0) / draws).alias("pip"))
-    rows = variants.join(sums, "snp")
-    sign = F.when(F.col("flipped"), -1).otherwise(1) if "flipped" in rows.columns else F.lit(1)
-    unit = F.sqrt(2 * F.col("af") * (1 - F.col("af"))) if scale else F.lit(1.0)
+    sums = [(F.sum(x) / draws).alias("mean"), (F.sum(x * x) / draws).alias("square"), (F.count_if(x != 0) / draws).alias("pip")]
+    if last is not None:
+        sums.append(F.coalesce(F.max(F.when(F.col("draw") == last, x)), F.lit(0.0)).alias("last"))
+    rows = variants.join(samples.groupBy("snp").agg(*sums), "snp")
+    turned = F.coalesce(F.col("flipped"), F.lit(False)) if "flipped" in rows.columns else F.lit(False)
+    sign = F.when(turned, -1).otherwise(1)
+    unit = F.lit(1.0) if not scale else F.col(factor) if factor else F.sqrt(2 * F.col("af") * (1 - F.col("af")))
     se = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
-    return rows.select("snp", (sign * F.col("mean") / unit).alias("effect"), (se / unit).alias("se"), "pip")
+    alleles = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("a1", "a2"), ("a2", "a1"))]
+    out = rows.select(
+        "snp", *alleles, F.when(turned, 1 - F.col("af")).otherwise(F.col("af")).alias("af"), (sign * F.col("mean") / unit).alias("effect"), (se / unit).alias("se"), "pip",
+        *([(sign * F.col("last") / unit).alias("last_effect")] if last is not None else []),
+    )
+    return out
 
 
 def column_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, mean, population deviation)."""
-    stats = [F.struct(F.lit(c).alias("name"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")) for c in columns]
+    """(name, mean, population deviation, share of rows that are not 0)."""
+    stats = [F.struct(F.lit(c).alias("name"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.avg((F.col(c) != 0).cast("int")).alias("pip")) for c in columns]
     return rows.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
@@ -138,11 +217,19 @@ def besd_bytes(columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> byte
 
 
 def write_besd(pairs: DataFrame, variants: DataFrame, genes: DataFrame, path: str, parts: int) -> DataFrame:
-    """B1: a pair-matrix set for each of `parts` ranges of genes: <name>.besd, .esi and .epi. Returns (name, n_genes).
+    """B1: a pair-matrix set for each of about `parts` ranges of genes: <name>.besd, .esi and .epi. Returns (name, n_genes).
 
-    A set holds its own genes and their variants, so sets are read alone or merged like those of several studies.
+    A set holds its own genes and their variants, so sets are read alone or merged like those of several studies. A task
+    holds the pairs of its range, so parts has to grow with the pairs. With several studies' frequencies and sizes a
+    variant's af is their mean, weighted by size, where variants has n.
     """
+    from ..operators.aggregates import weighted_frequency
+
     ship_package(pairs.sparkSession)
+    if "n" in variants.columns:
+        weight = F.coalesce(F.col("n").cast("double"), F.lit(1.0))
+        af = variants.filter("af is not null").groupBy("snp").agg(weighted_frequency(F.col("af"), weight).alias("af"))
+        variants = variants.drop("af").dropDuplicates(["snp"]).join(af, "snp", "left")
     v = variants.select("snp", F.col("chrom").alias("v_chrom"), F.coalesce("pos", F.lit(-9)).alias("pos"), "a1", "a2", F.coalesce("af", F.lit(-9.0)).alias("af"))
     g = genes.select("gene_id", F.col("chrom").alias("g_chrom"), F.col("mid").cast("long").alias("mid"), F.col("ord").alias("gene_ord"))
     rows = pairs.select("gene_id", "snp", "beta", "se").join(v, "snp").join(g, "gene_id")
@@ -160,15 +247,154 @@ def write_besd(pairs: DataFrame, variants: DataFrame, genes: DataFrame, path: st
             columns.append((own["at"].to_numpy(), own["beta"].to_numpy(), own["se"].to_numpy()))
             epi.append(f"{own['g_chrom'].iloc[0]}\t{gene}\t0\t{own['mid'].iloc[0]}\t{gene}\tNA")
         esi_lines = [f"{r.v_chrom}\t{r.snp}\t0\t{r.pos}\t{r.a1}\t{r.a2}\t{r.af:.6f}" for r in esi.itertuples()]
-        fs, at = _create(name)
-        fs.create_dir(_create(path)[1], recursive=True)
-        for suffix, content in ((".besd", besd_bytes(columns)), (".esi", "\n".join(esi_lines).encode() + b"\n"), (".epi", "\n".join(epi).encode() + b"\n")):
-            with fs.open_output_stream(at + suffix) as out:
-                out.write(content)
+        files = {".besd": besd_bytes(columns), ".esi": "\n".join(esi_lines).encode() + b"\n", ".epi": "\n".join(epi).encode() + b"\n"}
+        _write_files(path, name, files)
         yield pd.DataFrame({"name": [name], "n_genes": [len(epi)]})
 
-    dealt = rows.repartitionByRange(parts, "gene_ord").sortWithinPartitions("gene_ord", "gene_id")
-    return dealt.mapInPandas(write, "name string, n_genes int")
+    dealt = rows.repartitionByRange(parts, "gene_ord", "gene_id").sortWithinPartitions("gene_ord", "gene_id")
+    return materialise(dealt.mapInPandas(write, "name string, n_genes int"), "besd-sets")
+
+
+def _write_files(folder: str, name: str, files: dict[str, bytes]) -> None:
+    """Files name + suffix in a folder."""
+    fs, at = _create(name)
+    fs.create_dir(_create(folder)[1], recursive=True)
+    for suffix, content in files.items():
+        with fs.open_output_stream(at + suffix) as out:
+            out.write(content)
+
+
+def write_bed(genotypes: DataFrame, people: DataFrame, path: str, parts: int = 1) -> DataFrame:
+    """A genotype set .bed, .bim and .fam for each of about `parts` ranges of variants. genotypes: idx, snp, chrom, pos,
+    gen_pos, a1, a2, dosage; people (fid, iid, ord), one for each dosage. Returns (name, n_variants)."""
+    ship_package(genotypes.sparkSession)
+    # one line a person, in every set
+    lines = people.orderBy("ord").select(F.concat_ws(" ", "fid", "iid", F.lit("0 0 0 -9")).alias("line"))
+    fam = genotypes.sparkSession.sparkContext.broadcast(("\n".join(r.line for r in lines.collect()) + "\n").encode())
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, bed, bim, n = f"{path}/{uuid.uuid4().hex}", None, [], 0
+        for rows in batches:
+            if bed is None:
+                fs, at = _create(name)
+                fs.create_dir(_create(path)[1], recursive=True)
+                bed = fs.open_output_stream(at + ".bed")
+                bed.write(BED_MAGIC)
+            for row in rows.itertuples():
+                bed.write(encode_bed([-1 if x is None or x != x else int(x) for x in row.dosage]))
+                bim.append(f"{row.chrom} {row.snp} {row.gen_pos} {row.pos} {row.a1} {row.a2}")
+            n += len(rows)
+        if bed is not None:
+            bed.close()
+            _write_files(path, name, {".bim": ("\n".join(bim) + "\n").encode(), ".fam": fam.value})
+            yield pd.DataFrame({"name": [name], "n_variants": [n]})
+
+    wanted = genotypes.select("idx", "snp", "chrom", "pos", "gen_pos", "a1", "a2", "dosage")
+    dealt = wanted.repartitionByRange(parts, "idx").sortWithinPartitions("idx")
+    return materialise(dealt.mapInPandas(write, "name string, n_variants int"), "bed-sets")
+
+
+def write_ld(ld: DataFrame, variants: DataFrame, n: int, path: str, kind: str = "full", parts: int = 1) -> DataFrame:
+    """A correlation set <name>.info and <name>.bin for each of `parts` ranges of rows of a mirrored matrix.
+
+    variants: idx (dense from 0), snp, chrom, gen_pos, pos, a1, a2, af. kind sparse writes column numbers and values, any
+    other the run of columns from the first to the last entry, with zeros between. Returns (part, name, n_rows), the list
+    of shards in order; write_list turns it into a .mldm file. A task writes row after row and holds one at a time.
+    """
+    from ..operators.ld import dense_rows, matrix_rows
+    from ..operators.merges import part_of
+
+    ship_package(ld.sparkSession)
+    sparse = kind == "sparse"
+    m = variants.count()
+    entries = ld.select("i", "j", "r")
+    r2 = F.col("r") * F.col("r")
+    sums = entries.groupBy("i").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.count("*").alias("k"), F.sum((1 - r2) * (1 - r2) / n).alias("sampling"), F.sum("r").alias("ld_sum"))
+    rows = matrix_rows(entries) if sparse else dense_rows(entries).select("i", F.lit(None).cast("array<bigint>").alias("js"), F.col("values").alias("rs"))
+    ends = variants.select("idx", F.col("chrom").alias("c"), F.col("pos").alias("p"))
+    out = variants.select("idx", "snp", "chrom", "gen_pos", "pos", "a1", "a2", "af").join(rows.join(sums, "i"), F.col("idx") == F.col("i"))
+    out = out.join(ends.select(F.col("idx").alias("first"), F.col("c").alias("c1"), F.col("p").alias("p1")), "first").join(ends.select(F.col("idx").alias("last"), F.col("c").alias("c2"), F.col("p").alias("p2")), "last")
+    width = F.when(F.col("c1") == F.col("c2"), F.col("p2") - F.col("p1")).otherwise(F.col("c1") - F.col("c2"))
+    size = F.col("k") if sparse else F.size("rs").cast("long")
+    head = F.concat_ws(" ", "chrom", "snp", "gen_pos", "pos", "a1", "a2", F.format_string("%f", F.col("af").cast("double")), "idx", "first", "last", size, width, F.lit(n), F.format_string("%.6f", "sampling"), F.format_string("%.6f", "ld_sum"))
+    out = out.select(part_of(F.col("idx"), m, parts).cast("int").alias("part"), "idx", head.alias("line"), "js", "rs")
+    title = "Chrom ID GenPos PhysPos A1 A2 A1Freq Index WindStart WindEnd WindSize WindWidth N SamplVar LDsum"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, name, lines, stream, done = None, "", [], None, []
+
+        def close() -> None:
+            if stream is not None:
+                stream.close()
+                _write_files(path, name, {".info": ("\n".join([title, *lines]) + "\n").encode()})
+                done.append((part, name, len(lines)))
+
+        for rows in batches:
+            for row in rows.itertuples():
+                if row.part != part:
+                    close()
+                    part, lines = row.part, []
+                    name = f"{path}/part{part:05d}-{uuid.uuid4().hex}.ldm.{kind}"
+                    fs, at = _create(name)
+                    fs.create_dir(_create(path)[1], recursive=True)
+                    stream = fs.open_output_stream(at + ".bin")
+                lines.append(row.line)
+                if sparse:
+                    stream.write(np.asarray(row.js, "<u4").tobytes())
+                stream.write(np.asarray(row.rs, "<f8").tobytes())
+        close()
+        if done:
+            yield pd.DataFrame(done, columns=["part", "name", "n_rows"])
+
+    dealt = out.repartition(parts, "part").sortWithinPartitions("part", "idx")
+    return materialise(dealt.mapInPandas(write, "part int, name string, n_rows int"), "ld-sets")
+
+
+def write_list(listed: DataFrame, path: str, order: str = "part", name: str = "name") -> None:
+    """Names of written sets in order as a text file, one a line; one line a set."""
+    listed.orderBy(order).select(name).coalesce(1).write.text(path)
+
+
+def ld_text(ld: DataFrame, variants: DataFrame) -> DataFrame:
+    """(i, id_i, j, id_j, r) of a sparse matrix's text form, numbers from 1."""
+    a, b = (variants.select(F.col("idx").alias(x), F.col("snp").alias(f"id_{x}")) for x in ("i", "j"))
+    return ld.join(a, "i").join(b, "j").select((F.col("i") + 1).alias("i"), "id_i", (F.col("j") + 1).alias("j"), "id_j", "r")
+
+
+def write_block_ld(ld: DataFrame, members: DataFrame, path: str) -> DataFrame:
+    """block<region>.ldm.bin, the whole m m matrix in f32, for each region of (region, i, j, r), i <= j; members:
+    region, snp, idx. Returns (region, file, m). A region's matrix is in one task."""
+    ship_package(ld.sparkSession)
+
+    def write(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        idx = np.sort(rows["idx"].to_numpy())
+        if not len(idx):
+            return pd.DataFrame({"region": [], "file": [], "m": []})
+        i, j = np.searchsorted(idx, cells["i"].to_numpy()), np.searchsorted(idx, cells["j"].to_numpy())
+        full = np.zeros((len(idx), len(idx)), "<f4")
+        full[i, j] = full[j, i] = cells["r"].to_numpy()
+        name = f"{path}/block{key[0]}.ldm.bin"
+        # written whole under a name of its own and then moved, so that a second attempt leaves no half file
+        draft = f"{path}/.{uuid.uuid4().hex}"
+        _write_files(path, draft, {"": full.tobytes()})
+        fs, at = _create(draft)
+        fs.move(at, _create(name)[1])
+        return pd.DataFrame({"region": [str(key[0])], "file": [name], "m": [len(idx)]})
+
+    return materialise(ld.groupBy("region").cogroup(members.select("region", "idx").groupBy("region")).applyInPandas(write, "region string, file string, m int"), "block-ld")
+
+
+def block_folder_info(members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Ldm.info (block_info's columns) and snp.info rows of (block, chrom, idx, snp, gen_pos, pos, a1, a2, af)."""
+    variants = members.select(
+        F.col("chrom").alias("Chrom"), F.col("snp").alias("ID"), F.col("idx").alias("Index"), F.col("gen_pos").alias("GenPos"), F.col("pos").alias("PhysPos"), F.col("a1").alias("A1"), F.col("a2").alias("A2"),
+        F.format_string("%f", F.col("af").cast("double")).alias("A1Freq"), F.lit(n).alias("N"), F.col("block").alias("Block"),
+    )
+    info = block_info(members).select(
+        F.col("block").alias("Block"), F.col("chrom").alias("Chrom"), F.col("start_idx").alias("StartSnpIdx"), F.col("start_snp").alias("StartSnpID"),
+        F.col("end_idx").alias("EndSnpIdx"), F.col("end_snp").alias("EndSnpID"), F.col("n_snps").alias("NumSnps"),
+    )
+    return info, variants
 
 
 def eigen_bytes(row: dict) -> bytes:
@@ -190,9 +416,46 @@ def write_eigen(eigen: DataFrame, path: str) -> DataFrame:
                     out.write(eigen_bytes(row))
             yield pd.DataFrame({"region": rows["region"].astype(str), "file": [f"{path}/block{r}.eigen.bin" for r in rows["region"]]})
 
-    return eigen.mapInPandas(write, "region string, file string")
+    return materialise(eigen.mapInPandas(write, "region string, file string"), "eigen-files")
+
 
+def write_eigen_set(eigen: DataFrame, members: DataFrame, variants: DataFrame, n: int, path: str, kind: str = "ldblock", parts: int = 1) -> DataFrame:
+    """Eigen sets <name>.eigen.<kind>.bin, .info and .snp.info for each of about `parts` groups of regions.
 
-def ld_row_bytes(rows: list[tuple[np.ndarray, np.ndarray]], sparse: bool) -> bytes:
-    """Rows of a correlation file from columns and values."""
-    return b"".join((np.asarray(j, "<u4").tobytes() if sparse else b"") + np.asarray(r, "<f8").tobytes() for j, r in rows)
+    eigen: eigen rows; members: region, chrom, start, end (and window, for genes); variants: snp, chrom, gen_pos, pos, a1,
+    a2, af. Returns (name, n_regions). A set describes its own regions' variants, so it is read alone or with others; a task
+    holds one region's vectors at a time and the description of those before.
+    """
+    ship_package(eigen.sparkSession)
+    gene = kind == "gene"
+    about = members.select(F.col("region").cast("string").alias("__region"), "chrom", "start", "end", *(["window"] if gene else [])).dropDuplicates(["__region"])
+    line = F.concat_ws(" ", "v.chrom", "v.snp", "v.gen_pos", "v.pos", "v.a1", "v.a2", F.format_string("%f", F.col("v.af").cast("double")), F.lit(n))
+    lines = variants.alias("v").select(F.col("v.snp").alias("snp"), line.alias("line"))
+    listed = eigen.select(F.col("region").cast("string").alias("__region"), F.posexplode("snps").alias("at", "snp")).join(lines, "snp")
+    listed = listed.groupBy("__region").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l")).select("__region", F.col("l.line").alias("lines"))
+    rows = eigen.withColumn("__region", F.col("region").cast("string")).drop("region").join(about, "__region").join(listed, "__region").withColumnRenamed("__region", "region")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, stream, info, described, n_regions = f"{path}/{uuid.uuid4().hex}", None, [], {}, 0
+        for rows in batches:
+            for row in rows.to_dict("records"):
+                if stream is None:
+                    fs, at = _create(f"{name}.eigen.{kind}.bin")
+                    fs.create_dir(_create(path)[1], recursive=True)
+                    stream = fs.open_output_stream(at)
+                if len(row["lines"]) != row["m"]:
+                    raise EngineError(f"region {row['region']}: {row['m']} variants, {len(row['lines'])} described")
+                stream.write(eigen_bytes(row))
+                place = f"{row['chrom']} {row['region']} {row['start']} {row['end']}" + (f" {row['window']}" if gene else "")
+                info += [f"{place} {s} {row['m']}" for s in row["snps"]]
+                described |= dict(zip(row["snps"], row["lines"], strict=True))
+                n_regions += 1
+        if stream is not None:
+            stream.close()
+            title = "Chrom probeID start end windows snpInGene NumSnpInGene" if gene else "Chrom LDBLOCK start end snpInLdBlock NumSnpInLdBlock"
+            heads = {".info": [title, *info], ".snp.info": ["Chrom ID GenPos PhysPos A1 A2 A1Freq N", *described.values()]}
+            _write_files(path, f"{name}.eigen.{kind}", {k: ("\n".join(v) + "\n").encode() for k, v in heads.items()})
+            yield pd.DataFrame({"name": [name], "n_regions": [n_regions]})
+
+    dealt = rows.repartitionByRange(parts, "chrom", "start", "region").sortWithinPartitions("chrom", "start", "region")
+    return materialise(dealt.mapInPandas(write, "name string, n_regions int"), "eigen-sets")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, require_unique
 from ..functions.scalar import chromosome, is_missing, positive_integer
+from ..operators.joins import align_alleles, lookup
 from ..operators.merges import first_of_each, only_unique
 
 _GENO_INFO = "snp string, a1 string, a2 string, af double"
@@ -29,7 +30,7 @@ FORMATS: dict[str, tuple[str | None, str]] = {
     "windows": ("SNP", "snp string, window int"),
     "blocks": ("Block", "block_id string, chrom int, start int, end int"),
     "ma": ("SNP", "snp string, a1 string, a2 string, af double, b double, se double, p double, n double"),
-    "snp_results": ("Index", "idx long, snp string, chrom int, pos int, af double, effect double, se double, pip double, window int"),
+    "snp_results": ("Id", "idx long, snp string, chrom int, pos int, af double, effect double, se double, pip double, window int"),
     "esd": ("Chr", "chrom int, snp string, pos int, a1 string, a2 string, af double, beta double, se double, p double"),
     "flist": ("Chr", "chrom int, probe_id string, gen_dist double, mid double, gene string, n long, orientation string, path string"),
     "plist": ("chr", "chrom int, start int, end int, gene_id string, path string"),
@@ -42,7 +43,6 @@ FORMATS: dict[str, tuple[str | None, str]] = {
     "eigen_gene_info": ("Chrom", "chrom int, region string, start int, end int, window double, snp string, n_snps int"),
     "eigen_block_info": ("Chrom", "chrom int, region string, start int, end int, snp string, n_snps int"),
     "eigen_snp_info": ("Chrom", f"chrom int, snp string, gen_pos double, pos int, {_GENO_INFO.split(', ', 1)[1]}, n double"),
-    "ld_row_info": ("Chrom", "chrom int, snp string, gen_pos double, pos int, a1 string, a2 string, af double, idx long, window_start long, window_end long, window_size long, window_width double, n double, sampling_var double, ld_sum double"),
 }
 #: Missing values by column; any other column has none.
 SENTINELS = {"gen_pos": (-9.0, -999.0), "gen_dist": (-999.0,), "af": (-999.0, -9.0), "se": (-9.0, -999.0), "beta": (-999.0,), "b": (-999.0,), "n": (-999.0,), "value": (-9.0,), "phen": ("-9",)}
@@ -112,13 +112,21 @@ def read_residual_weights(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, "residual", path).select("fid", "iid", (1 / F.col("d")).alias("weight"))
 
 
-def read_gene_phenotypes(spark: SparkSession, plist: str, folder: str | None = None) -> DataFrame:
-    """(gene_id, fid, iid, value) of all genes of a list, each file matched by its name."""
+def read_genes(spark: SparkSession, plist: str) -> DataFrame:
+    """(chrom, start, end, mid, gene_id, ord) of a list of genes."""
+    genes = read_table(spark, "plist", plist)
+    return genes.select("chrom", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("mid"), "gene_id", "ord")
+
+
+def read_gene_phenotypes(spark: SparkSession, plist: str, folder: str | None = None, people: DataFrame | None = None) -> DataFrame:
+    """(gene_id, fid, iid, value) of all genes of a list, each file matched by its name; of known people only,
+    where they are given. A person twice in a gene is an error."""
     genes = read_table(spark, "plist", plist).withColumn("file", F.element_at(F.split("path", "/"), -1)).select("gene_id", "file", F.col("path").alias("own"))
     # one name a gene
     names = [(f"{folder}/{r.file}" if folder else r.own) for r in genes.select("file", "own").collect()]
     rows = read_table(spark, "gene_pheno", *names).withColumn("file", F.element_at(F.split("file_path", "/"), -1))
     out = rows.join(genes.select("gene_id", "file"), "file").filter("value is not null").select("gene_id", "fid", "iid", "value")
+    out = out if people is None else out.join(people.select("fid", "iid"), ["fid", "iid"], "left_semi").select("gene_id", "fid", "iid", "value")
     return require_unique(out, "gene_id", "fid", "iid")
 
 
@@ -139,7 +147,11 @@ def read_flist(spark: SparkSession, path: str, folder: str) -> dict[str, DataFra
 
 
 def read_esi(spark: SparkSession, path: str, reference: DataFrame | None = None) -> DataFrame:
-    """Variants of a BESD set, with N if the file has it; X and Y are 23 and 24, missing values null."""
+    """Variants of a BESD set, with N if the file has it; X and Y are 23 and 24, missing values null.
+
+    With a reference (snp, and a1 and a2 if alleles are to be checked), only its variants stay; flipped tells those whose
+    alleles are swapped there, and those with other alleles go.
+    """
     rows = read_lines(spark, path).withColumn("parts", F.split(F.trim("value"), r"[ \t]+"))
     part = [F.get("parts", F.lit(k)) for k in range(8)]
 
@@ -151,7 +163,12 @@ def read_esi(spark: SparkSession, path: str, reference: DataFrame | None = None)
         chromosome(part[0]).alias("chrom"), part[1].alias("snp"), number(2, "double").alias("gen_pos"), number(3, "int").alias("pos"),
         *[F.when(~is_missing(part[k]), F.upper(part[k])).alias(f"a{k - 3}") for k in (4, 5)], number(6, "double").alias("af"), number(7, "double").alias("n"), "ord",
     )
-    return out if reference is None else out.join(reference.select("snp"), "snp", "left_semi")
+    if reference is None:
+        return out
+    if "a1" not in reference.columns:
+        return out.join(reference.select("snp"), "snp", "left_semi")
+    ref = reference.select("snp", F.col("a1").alias("ref_a1"), F.col("a2").alias("ref_a2"))
+    return align_alleles(out.join(ref, "snp"), beta="none", af="none").drop("orient", "ref_a1", "ref_a2")
 
 
 def read_epi(spark: SparkSession, path: str) -> DataFrame:
@@ -205,6 +222,11 @@ def read_protein_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return rows.filter(numbered).withColumn("chrom", F.col("chrom").cast("int")), rows.filter(~numbered)
 
 
+def line_count(spark: SparkSession, *paths: str) -> int:
+    """Lines of plain or compressed files."""
+    return spark.read.text(list(paths)).count()
+
+
 def read_pqtl(spark: SparkSession, paths: list[str], ids: DataFrame, max_p: float = 1.0, negative_log: bool = True) -> DataFrame:
     """Results of one protein over all its chromosome files but that of chromosome 23, with rsids."""
     from ..functions.scalar import p_from_log10
@@ -214,6 +236,105 @@ def read_pqtl(spark: SparkSession, paths: list[str], ids: DataFrame, max_p: floa
     return rows.filter(F.col("p") <= max_p).join(ids.select("id", "rsid"), "id")
 
 
+def read_pqtl_folder(spark: SparkSession, folder: str, ids: DataFrame, chromosomes: list[int] | None = None, max_p: float = 1.0, negative_log: bool = True) -> DataFrame:
+    """read_pqtl over the files of a folder whose names hold _chr<k>_, of the chromosomes given or of all but 23.
+
+    Rows of other files are told by the file's name alone; all files that match are read.
+    """
+    from ..functions.scalar import p_from_log10
+
+    wanted = F.regexp_extract("file_path", r"_chr(\d+)_[^/]*$", 1).try_cast("int")
+    rows = read_table(spark, "pqtl", f"{folder}/*_chr*_*").filter(wanted.isin(chromosomes) if chromosomes else wanted != 23)
+    rows = rows.filter("chrom <> 23").withColumn("p", p_from_log10(F.col("log10p"), negative_log))
+    return rows.filter(F.col("p") <= max_p).join(ids.select("id", "rsid"), "id")
+
+
+def read_snp_results(spark: SparkSession, path: str, mixture: bool = False, variants: DataFrame | None = None) -> DataFrame:
+    """Posterior results (snp, chrom, pos, af, effect, se, pip and window; with mixture a share pi instead of window).
+
+    With variants, those that are listed, with the results' frequency and effect; a listed one that they lack is an error.
+    """
+    rows = read_table(spark, "snp_results", path)
+    if mixture:
+        parts = F.split(F.trim("value"), r"[ \t]+")
+        share = read_lines(spark, path).select(parts[1].alias("snp"), F.get(parts, F.lit(8)).try_cast("double").alias("pi"))
+        rows = rows.drop("window").join(share, "snp")
+    rows = rows.drop("idx", "file_path")
+    if variants is None:
+        return rows
+    return lookup(rows.select("snp", "af", "effect"), variants.drop("af", "effect"), "snp", strict=True)
+
+
+_LD_COLUMNS = "chrom int, snp string, gen_pos double, pos int, a1 string, a2 string, af double, idx long, window_start long, window_end long, window_size long, window_width double, n double, sampling_var double, ld_sum double, skeleton int"
+
+
+def read_ld_info(spark: SparkSession, *paths: str) -> DataFrame:
+    """What the rows of a correlation matrix are about, with ord and file_path. The four layouts are told by their
+    width: 12 columns without frequency and sums (and without a header), 14 without ld_sum, 15, and 16 with skeleton."""
+    rows = read_lines(spark, *paths).withColumn("parts", F.split(F.trim("value"), r"[ \t]+")).filter(F.col("parts")[0] != "Chrom")
+    rows = rows.withColumn("old", F.size("parts") == 12)
+    out = []
+    for k, (name, kind) in enumerate(c.rsplit(" ", 1) for c in _LD_COLUMNS.split(", ")):
+        # the old layout has no frequency, so what follows stands one column to the left
+        at = F.lit(k) if k < 6 else F.when(F.col("old"), k - 1).otherwise(k)
+        value = F.get("parts", at)
+        value = F.when(~F.col("old"), value) if name == "af" else value
+        out.append((value if kind == "string" else value.try_cast(kind)).alias(name))
+    return rows.select(*out, "ord", "file_path")
+
+
+def with_ld_info(variants: DataFrame, info: DataFrame) -> DataFrame:
+    """Variants (snp, idx) with the columns of LD rows of the same id. An LD row without a variant, or with another
+    index, is an error."""
+    given = info.select("snp", F.col("idx").alias("ld_idx"), "window_start", "window_end", "window_size", "n", "sampling_var", "ld_sum", "skeleton")
+    odd = given.join(variants.select("snp", "idx"), "snp", "left").filter(F.col("idx").isNull() | (F.col("idx") != F.col("ld_idx"))).first()
+    if odd is not None:
+        raise EngineError(f"variant {odd.snp} of the matrix " + ("is unknown" if odd.idx is None else "has another index"))
+    return variants.join(given.drop("ld_idx"), "snp", "left")
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, block_id, chrom, start, end); an id twice is an error."""
+    rows = require_unique(read_table(spark, "blocks", path), "block_id")
+    return rows.select("ord", "block_id", "chrom", "start", "end")
+
+
+def read_block_folder_info(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ldm.info and variants of snp.info of a block folder; a variant twice is an error."""
+    variants = require_unique(read_table(spark, "block_snp_info", f"{folder}/snp.info"), "snp")
+    return read_table(spark, "ldm_info", f"{folder}/ldm.info"), variants
+
+
+def read_eigen_info(spark: SparkSession, prefixes: list[str], kind: str = "ldblock", reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (chrom, region, start, end, snp, n_snps, ord, file_path) and variants of eigen sets, of LD
+    blocks or of genes (with window).
+
+    A pair of region and variant twice, a variant twice in one set, a region with another number of members than it states
+    or with one that its variants lack are errors. With a reference (snp, a1, a2), genes with a variant that it lacks
+    go, and a variant with other alleles is an error, swapped ones are flipped.
+    """
+    variants = read_table(spark, "eigen_snp_info", *[f"{p}.eigen.{kind}.snp.info" for p in prefixes])
+    variants = require_unique(variants, "snp", "file_path")
+    members = read_table(spark, f"eigen_{'gene' if kind == 'gene' else 'block'}_info", *[f"{p}.eigen.{kind}.info" for p in prefixes])
+    members = require_unique(members, "region", "snp", "file_path")
+    lost = members.join(variants.select("snp"), "snp", "left_anti").first()
+    if lost is not None:
+        raise EngineError(f"region {lost.region}: variant {lost.snp} is not described")
+    short = members.groupBy("region", "file_path").agg(F.count("*").alias("k"), F.max("n_snps").alias("n")).filter("k <> n").first()
+    if short is not None:
+        raise EngineError(f"region {short.region}: {short.k} members of {short.n}")
+    if reference is None:
+        return members, variants
+    ref = reference.select("snp", F.col("a1").alias("ref_a1"), F.col("a2").alias("ref_a2"))
+    aligned = align_alleles(variants.join(ref, "snp", "left"), beta="none", keep_inconsistent=True)
+    other = aligned.filter("ref_a1 is not null and orient is null").first()
+    if other is not None:
+        raise EngineError(f"variant {other.snp} has other alleles in the reference")
+    known = aligned.filter("ref_a1 is not null").drop("ref_a1", "ref_a2", "orient")
+    gone = members.join(known.select("snp"), "snp", "left_anti").select("region").distinct()
+    return members.join(gone, "region", "left_anti"), known
+
+
 def read_gene_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(gene_id, snp or null, n); a header is told by a size that is no number."""
     parts = F.split(F.trim("value"), r"[ \t]+")

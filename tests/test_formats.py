@@ -120,15 +120,46 @@ def test_eigen_round_trip(spark, tmp_path):
         assert back[r.region].snps == r.snps and np.allclose(back[r.region].vectors, r.vectors, atol=1e-6) and back[r.region].k == r.k
 
 
-def test_ld_rows(spark, tmp_path):
-    dense = [(np.arange(2), [1.0, 0.5]), (np.arange(3), [0.5, 1.0, 0.25])]
-    (tmp_path / "d.bin").write_bytes(K.ld_row_bytes(dense, False))
-    (tmp_path / "s.bin").write_bytes(K.ld_row_bytes(dense, True))
-    info = spark.createDataFrame([(0, 0, 2), (1, 0, 3)], "idx long, window_start long, window_size long")
-    for name, sparse in (("d.bin", False), ("s.bin", True)):
-        got = B.read_ld_rows(B.ld_row_places(info, sparse), str(tmp_path / name), sparse).collect()
-        assert sorted(map(tuple, got)) == [(0, 0, 1.0), (0, 1, 0.5), (1, 0, 0.5), (1, 1, 1.0), (1, 2, 0.25)]
-        assert B.check_diagonal(spark.createDataFrame(got)).count() == 5
+def test_ld_sets(spark, tmp_path):
+    cells = [(0, 0, 1.0), (0, 1, 0.5), (1, 1, 1.0), (1, 2, 0.25), (2, 2, 0.9), (2, 4, 0.1), (3, 3, 1.0), (4, 4, 1.1)]
+    ld = L.mirrored(spark.createDataFrame(cells, "i long, j long, r double"))
+    v = spark.createDataFrame([(i, f"s{i}", 1, i / 10, 10 * i, "A", "G", 0.25) for i in range(5)], "idx long, snp string, chrom int, gen_pos double, pos int, a1 string, a2 string, af double")
+    want = {tuple(r) for r in ld.collect()}
+    for kind, parts in (("sparse", 1), ("sparse", 2), ("full", 3)):
+        names = [r.name for r in K.write_ld(ld, v, 50, str(tmp_path / f"{kind}{parts}"), kind, parts).orderBy("part").collect()]
+        info, back = B.read_ld_set(spark, names)
+        got = {tuple(r) for r in back.collect()}
+        assert len(names) == parts and {c for c in got if c[2]} == want and (kind == "full" or got == want)
+        assert {(r.idx, r.window_start) for r in info.collect()} == {(0, 0), (1, 0), (2, 1), (3, 3), (4, 2)}
+    # shards that begin at 0 again are moved behind one another
+    both = [K.write_ld(ld.filter("i < 2 and j < 2"), v.filter("idx < 2"), 50, str(tmp_path / "again"), "sparse").first().name for _ in range(2)]
+    assert {tuple(r) for r in B.read_ld_set(spark, both)[1].collect()} == {(i + k, j + k, r) for k in (0, 2) for i, j, r in want if i < 2 and j < 2}
+    bad = K.write_ld(ld.withColumn("r", F.lit(0.1)), v, 50, str(tmp_path / "bad"), "sparse").first().name
+    with pytest.raises(EngineError):
+        B.read_ld_set(spark, [bad])
+
+
+def test_ld_info_must_fit(spark, tmp_path):
+    info = R.read_ld_info(spark, put(tmp_path, "x.info", "Chrom ID GenPos PhysPos A1 A2 A1Freq Index WindStart WindEnd WindSize WindWidth N SamplVar LDsum\n1 s1 0 5 A G 0.5 1 0 2 3 10 50 0.1 0.2\n"))
+    v = spark.createDataFrame([("s0", 0), ("s1", 1)], "snp string, idx long")
+    assert {r.snp: r.window_size for r in R.with_ld_info(v, info).collect()} == {"s0": None, "s1": 3}
+    for wrong in (v.filter("idx = 0"), v.withColumn("idx", F.col("idx") + 1)):
+        with pytest.raises(EngineError):
+            R.with_ld_info(wrong, info)
+
+
+def test_eigen_info_must_fit(spark, tmp_path):
+    snps = "Chrom ID GenPos PhysPos A1 A2 A1Freq N\n1 s1 0 5 A G 0.5 50\n1 s2 0 6 A G 0.5 50\n"
+    head = "Chrom LDBLOCK start end snpInLdBlock NumSnpInLdBlock\n"
+    cases = {"good": "1 b 0 9 s1 2\n1 b 0 9 s2 2\n", "twice": "1 b 0 9 s1 2\n1 b 0 9 s1 2\n", "lost": "1 b 0 9 s1 2\n1 b 0 9 s3 2\n", "short": "1 b 0 9 s1 2\n"}
+    for name, members in cases.items():
+        put(tmp_path, f"{name}.eigen.ldblock.info", head + members)
+        prefix = put(tmp_path, f"{name}.eigen.ldblock.snp.info", snps).removesuffix(".eigen.ldblock.snp.info")
+        if name == "good":
+            assert R.read_eigen_info(spark, [prefix])[0].count() == 2
+        else:
+            with pytest.raises(EngineError):
+                R.read_eigen_info(spark, [prefix])
 
 
 def test_maps(spark, tmp_path):

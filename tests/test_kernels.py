@@ -1,25 +1,26 @@
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from locusframe.errors import EngineError, require_rows, require_unique
-from locusframe.functions import matrices
+from locusframe.functions import matrices as X
 from locusframe.functions import scalar as S
+from locusframe.operators import aggregates as A
 from locusframe.operators import filters as C
 from locusframe.operators import ld as L
 from locusframe.operators import merges as H
 from locusframe.operators import windows as W
 from locusframe.operators.joins import map_to_blocks, nearest_at_or_after
-from locusframe.operators.random_variates import Variates
 from pyspark.sql import functions as F
 
 
 def test_chi2_cut_and_tail_agree(spark):
     cut = S.chi2_cut(1e-5)
     assert cut == pytest.approx(19.511421, abs=1e-5)
-    got = spark.createDataFrame([(cut,), (0.0,), (1400.0,), (None,)], "x double").select(S.chi2_tail("x").alias("p")).toPandas()["p"]
+    got = spark.createDataFrame([(cut,), (0.0,), (1400.0,), (None,)], "x double").select(S.chi2_tail(F.col("x")).alias("p")).toPandas()["p"]
     assert got[0] == pytest.approx(1e-5) and got[1] == 1 and 0 < got[2] < 1e-300 and math.isnan(got[3])
 
 
@@ -30,10 +31,30 @@ def test_scalars(spark):
     assert S.elapsed_text(3725) == "1:2:5"
 
 
-def test_reindex_is_dense_over_partitions(spark):
-    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
-    out = C.reindex(rows, "k").toPandas()
-    assert (out["idx"] == out["k"]).all() and len(out) == 1000
+@pytest.mark.parametrize("n", [1000, 300_000])
+def test_reindex_is_dense_over_partitions(spark, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        key = F.col("id") * 7919 % n
+        rows = spark.range(n).select(F.floor(key / 100).alias("a"), (key % 100).alias("b"), F.sha2(key.cast("string"), 256).alias("text"), F.array(key).alias("k")).repartition(16)
+        out = C.reindex(rows, "a", "b")
+        assert out.count() == n and out.filter(F.col("idx") != F.get("k", F.lit(0))).isEmpty()
+        sums = C.running_sum(rows, ("a", "b"), F.col("b"), "before")
+        late = sums.orderBy(F.desc("a"), F.desc("b")).first()
+        assert late.before == sum(range(100)) * (n // 100) - 99
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5, 1000):
+        x = rng.normal(size=n)
+        rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(3)
+        assert A.exact_median(rows, "x") == pytest.approx(np.median(x)) and A.exact_median(rows, "x", upper=True) == np.sort(x)[n // 2]
+        assert rows.agg(A.upper_median("x")).first()[0] == np.sort(x)[n // 2]
+    assert A.exact_median(spark.createDataFrame([], "x double"), "x") is None
 
 
 def test_guards(spark):
@@ -106,30 +127,159 @@ def test_leave_one_out_matches_the_long_way():
     r = np.corrcoef(rng.normal(size=(5, 30)))
     rows = pd.DataFrame({"beta": rng.normal(size=5), "se": 0.1, "n": 500.0, "af": 0.4})
     z = (rows["beta"] / rows["se"]).to_numpy()
-    out = L.resample_effects(rows, r, 1000)
-    k = 2
-    o = [i for i in range(5) if i != k]
-    want = r[k, o] @ np.linalg.solve(r[np.ix_(o, o)] + 0.1 * np.eye(4), z[o])
-    assert out["beta_new"][k] / out["se_new"][k] == pytest.approx(want)
+    out = L.resample_region(rows, r, 1000)
+    for k in range(5):
+        o = [i for i in range(5) if i != k]
+        want = r[k, o] @ np.linalg.solve(r[np.ix_(o, o)] + 0.1 * np.eye(4), z[o])
+        v = np.sort(0.48 * (500 * 0.01 + rows["beta"].to_numpy()[o] ** 2))[2]
+        assert out["beta_new"][k] / out["se_new"][k] == pytest.approx(want)
+        assert out["se_new"][k] == pytest.approx(np.sqrt(v / 0.48 / (1000 + want**2)))
+
+
+def brute_prune(p, r, threshold):
+    n = len(p)
+    stands = [True] * n
+    for i in range(n):
+        if not stands[i]:
+            continue
+        for j in range(n):
+            if stands[j] and i != j and r[i, j] ** 2 > threshold:
+                if p[i] < p[j]:
+                    stands[j] = False
+                else:
+                    stands[i] = False
+    return [i for i in range(n) if stands[i]]
+
+
+def brute_bins(r, threshold):
+    n = len(r)
+    label = list(range(n))
+    for i in range(n):
+        for j in range(n):
+            if r[i, j] ** 2 > threshold:
+                label[j] = label[i]
+    place = {v: k + 1 for k, v in enumerate(sorted(set(label)))}
+    return [place[v] for v in label]
 
 
 def test_greedy_scans(spark):
-    rows = spark.createDataFrame([(f"v{p}", 1, p) for p in (0, 5, 10, 11, 21, 22)], "snp string, chrom int, pos long")
-    assert [r.window for r in W.tumbling_windows(rows, 10).orderBy("pos").collect()] == [0, 0, 0, 1, 1, 2]
-    v = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.1), (1, 2, 0.9), (1, 3, 0.9)], "chrom int, idx long, p double")
-    ld = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.9), (2, 3, 0.1)], "i long, j long, r double")
-    assert sorted(r.idx for r in W.prune_by_r2(v, ld, 0.5).collect()) == [1, 3]
-    assert {r.idx: r.bin for r in W.bin_by_r2(v, ld, 0.5).collect()} == {0: 0, 1: 0, 2: 0, 3: 1}
-
-
-def test_jackknife_against_recomputing(spark):
+    rows = spark.createDataFrame([(f"v{p}", c, p) for c in (1, 2) for p in (0, 5, 10, 11, 21, 22)], "snp string, chrom int, pos long")
+    assert [r.window for r in W.tumbling_windows(rows, 10).orderBy("chrom", "pos").collect()] == [0, 0, 0, 1, 1, 2, 3, 3, 3, 4, 4, 5]
+    v = spark.createDataFrame([(0, 0.1), (1, 0.5), (2, 0.9)], "idx long, p double")
+    chain = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.9)], "i long, j long, r double")
+    assert sorted(r.idx for r in W.prune_by_r2(v, chain, 0.5).collect()) == [0, 2]
+    fork = spark.createDataFrame([(0, 2, 0.9), (1, 2, 0.9)], "i long, j long, r double")
+    assert {r.bin for r in W.bin_by_r2(v, fork, 0.5).collect()} == {1}
+
+
+def test_greedy_scans_brute_force(spark):
+    rng = np.random.default_rng(12)
+    r = np.corrcoef(rng.normal(size=(40, 12)))
+    p = rng.integers(0, 15, 40) / 15
+    rows = spark.createDataFrame([(i, float(p[i])) for i in range(40)], "idx long, p double")
+    ld = spark.createDataFrame([(i, j, float(r[i, j])) for i in range(40) for j in range(i, 40)], "i long, j long, r double")
+    for threshold in (0.2, 0.35, 0.9):
+        assert sorted(x.idx for x in W.prune_by_r2(rows, ld, threshold).collect()) == brute_prune(p, r, threshold)
+        assert [x.bin for x in W.bin_by_r2(rows, ld, threshold).orderBy("idx").collect()] == brute_bins(r, threshold)
+
+
+def test_window_bins_meet_at_their_borders(spark):
+    rng = np.random.default_rng(13)
+    pos = np.sort(rng.integers(-3000, 20_000, 300))
+    rows = spark.createDataFrame([(1, int(p), k) for k, p in enumerate(pos)], "chrom int, pos long, idx long")
+    for r in W.window_info(rows, 900).collect():
+        near = np.flatnonzero(np.abs(pos - r.pos) < 450)
+        assert (r.window_start, r.window_end, r.window_size) == (near[0], near[-1], len(near))
+
+
+def test_jackknife_brute_force(spark):
     rng = np.random.default_rng(5)
-    g = rng.normal(size=(2, 12))
-    rows = spark.createDataFrame([(i, g[i].tolist()) for i in range(2)], "idx long, dosage array<double>")
-    ld = spark.createDataFrame([(0, 1)], "i long, j long")
-    r = np.array([np.corrcoef(np.delete(g, k, axis=1))[0, 1] for k in range(12)])
-    got = L.jackknife_variance(rows, ld).first().jackknife_var
-    assert got == pytest.approx(11 / 12 * ((r - r.mean()) ** 2).sum())
+    g = rng.normal(size=(3, 12))
+    rows = spark.createDataFrame([(i, g[i].tolist()) for i in range(3)], "idx long, dosage array<double>")
+    z = L.standardised(list(g))
+    want = np.zeros(3)
+    for i in range(3):
+        for j in range(3):
+            left = (z[i] @ z[j] - z[i] * z[j]) * 12 / 11
+            want[i] += ((left - left.mean()) ** 2).sum() * 11 / 12
+    got = L.jackknife_variance(rows, tile=2).orderBy("i").toPandas()["jackknife_var"]
+    assert np.allclose(got, want)
+
+
+def test_sample_sizes_settle_as_by_hand(spark):
+    rng = np.random.default_rng(14)
+    k = 200
+    af, n, se, b = rng.uniform(0.1, 0.9, k), rng.integers(500, 600, k).astype(float), rng.uniform(0.04, 0.06, k), rng.normal(0, 0.02, k)
+    rows = spark.createDataFrame([(i, float(af[i]), float(n[i]), float(se[i]), float(b[i])) for i in range(k)], "i long, af double, n double, se double, b double")
+    left, size, sd = np.arange(k), n.copy(), 0.0
+    while True:
+        tpq = 2 * af[left] * (1 - af[left])
+        b2, var = b[left] ** 2, se[left] ** 2
+        new = (np.median(tpq * size**2 * var + tpq * size * b2) / np.median(size) - tpq * b2) / (tpq * var)
+        middle, before, sd = np.median(size), sd, new.std(ddof=1)
+        stay = (new >= middle - 3 * sd) & (new <= middle + 3 * sd)
+        left, size = left[stay], new[stay]
+        if abs(sd - before) <= 0.01:
+            break
+    got = L.impute_sample_size(rows).orderBy("i").toPandas()
+    assert got["i"].tolist() == left.tolist() and np.allclose(got["n"], size)
+    with pytest.raises(EngineError):
+        L.impute_sample_size(rows, most=1)
+
+
+def test_tiles_by_distance(spark):
+    rng = np.random.default_rng(15)
+    n = 90
+    g, chrom, pos = rng.normal(size=(n, 20)), np.repeat([1, 2], 45), np.concatenate([np.sort(rng.integers(0, 3000, 45)) for _ in range(2)])
+    rows = spark.createDataFrame([(i, int(chrom[i]), int(pos[i]), g[i].tolist()) for i in range(n)], "idx long, chrom int, pos long, dosage array<double>")
+    for reach in (1, 200, 10_000):
+        got = {(r.i, r.j) for r in L.ld_pairs(rows, tile=7, reach=reach).collect()}
+        assert got == {(i, j) for i in range(n) for j in range(i, n) if chrom[i] == chrom[j] and abs(pos[i] - pos[j]) < reach}
+
+
+def test_region_tiles_equal_one_product(spark):
+    rng = np.random.default_rng(16)
+    g = rng.normal(size=(31, 15))
+    rows = spark.createDataFrame([("b" if i else "a", i, g[i].tolist()) for i in range(31)], "region string, idx long, dosage array<double>")
+    got = L.region_ld(rows, tile=6).toPandas()
+    want = np.corrcoef(g) * 14 / 15
+    assert got[got["region"] == "a"]["r"].tolist() == [1.0]
+    rest = got[got["region"] == "b"]
+    assert len(rest) == 30 * 31 / 2 and (rest["i"] <= rest["j"]).all() and np.allclose(rest["r"], want[rest["i"], rest["j"]])
+
+
+def test_no_variation_is_an_error(spark):
+    rows = spark.createDataFrame([("a", [0, 1]), ("b", [1, 1])], "snp string, dosage array<int>")
+    with pytest.raises(EngineError, match="b"):
+        C.require_polymorphic(rows)
+    assert C.require_polymorphic(rows.filter("snp = 'a'")).count() == 1
+
+
+def test_functions_against_the_standard_library(spark):
+    x = [-30.0, -5.0, -0.4, 0.0, 1e-9, 0.3, 0.46875, 0.5, 2.0, 3.99, 4.0, 4.01, 10.0, 26.0, 30.0]
+    p = [1e-300, 1e-12, 0.01, 0.075, 0.2, 0.5, 0.7, 0.925, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame([(v, p[k % len(p)]) for k, v in enumerate(x)], "x double, p double")
+    normal = statistics.NormalDist()
+    for r in rows.select("x", "p", S.erfc(F.col("x")).alias("e"), S.normal_cdf(F.col("x")).alias("c"), S.normal_quantile(F.col("p")).alias("q"), S.p_from_z(F.col("x")).alias("z"), S.se_from_p(F.lit(2.0), F.col("p")).alias("s")).collect():
+        assert r.e == pytest.approx(math.erfc(r.x), rel=1e-13) and r.c == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-13)
+        assert r.q == pytest.approx(normal.inv_cdf(r.p), rel=1e-12, abs=1e-14) and r.z == pytest.approx(math.erfc(abs(r.x) / math.sqrt(2)), rel=1e-13)
+        # near 0 the quantile is p sqrt(pi / 2)
+        assert r.s == pytest.approx(2 / normal.inv_cdf((1 + r.p) / 2) if r.p > 1e-3 else 2 / (r.p * math.sqrt(math.pi / 2)), rel=1e-4)
+    odd = spark.createDataFrame([(0.0,), (1.0,), (None,), (2.0,)], "p double").select(S.se_from_p(F.lit(1.0), F.col("p")).alias("s"), S.normal_quantile(F.col("p")).alias("q")).collect()
+    assert [r.s for r in odd] == [None, 1e10, None, None] and [r.q for r in odd] == [None] * 4
+
+
+def test_matrices(spark):
+    m = spark.createDataFrame([(1.0, 2.0, 2.0, 1.0), (2.0, 0.5, 0.5, 1.0), (1.0, 2.0, 0.0, 1.0), (-1.0, 0.0, 0.0, -1.0)], "a double, b double, c double, d double")
+    cells = [F.col(c) for c in "abcd"]
+    fixed = X.make_positive_definite(*cells)
+    out = m.select(X.is_symmetric(cells[1], cells[2]), X.is_positive_definite(*cells), *fixed.values()).collect()
+    assert [tuple(r)[:2] for r in out] == [(True, False), (True, True), (False, False), (True, False)]
+    for r, row in zip(out, m.collect(), strict=True):
+        whole = np.array([[row.a, (row.b + row.c) / 2], [(row.b + row.c) / 2, row.d]])
+        values, vectors = np.linalg.eigh(whole)
+        want = vectors * np.where(values > 0, values, 1e-6) @ vectors.T
+        assert np.allclose([r[2], r[3], r[4]], [want[0, 0], want[0, 1], want[1, 1]], atol=1e-12)
 
 
 def test_merge_keeps_first(spark):
@@ -139,20 +289,3 @@ def test_merge_keeps_first(spark):
     other = {"genes": g.withColumn("mid", F.lit(20)), "variants": v, "pairs": p.withColumn("beta", F.lit(0.2))}
     out = H.merge_studies([{"genes": g, "variants": v, "pairs": p}, other])
     assert out["genes"].first().mid == 10 and out["pairs"].first().beta == 0.1 and out["pairs"].count() == 1
-
-
-def test_matrices():
-    m = np.array([[1.0, 2.0], [2.0, 1.0]])
-    assert matrices.is_symmetric(m) and not matrices.is_positive_definite(m)
-    assert matrices.is_positive_definite(matrices.make_positive_definite(m))
-
-
-def test_variate_moments():
-    v = Variates(1)
-    assert v.chi_squared(5, size=20000).mean() == pytest.approx(5, rel=0.05)
-    assert v.inverse_chi_squared(10, 8, size=20000).mean() == pytest.approx(1, rel=0.05)
-    assert v.truncated_normal(0, 1, low=6, size=500).min() >= 6
-    w = np.mean([v.wishart(7, np.array([[2.0, 0.5], [0.5, 1.0]])) for _ in range(4000)], axis=0)
-    assert np.allclose(w / 7, [[2, 0.5], [0.5, 1]], atol=0.1)
-    with pytest.raises(EngineError):
-        v.inverse_chi_squared(0, 1)
