@@ -31,33 +31,45 @@ from pyspark.sql.window import Window
 from ..session import ship_package
 from .shared import fresh, materialise, shared_dir, text_key
 
-#: Most words that a worker remembers; this bounds memory and changes no result.
-REMEMBERED = 400_000
+#: Most words in each of a worker's two generations of memory; this bounds memory and changes no result.
+REMEMBERED = 600_000
 #: Bytes of text that one writing task takes on average.
 PART_BYTES = 32 << 20
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
 class _Words(dict):
-    """Ids of words, as bytes; a word is encoded when it is first asked for."""
+    """Ids of words, as bytes; a word is encoded when it is first asked for by [].
+
+    When the memory is full it becomes the old generation, and words that are asked for again move over, so frequent
+    words are not encoded anew and rare ones make room.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        ids = self[word] = self.encode(word) if ids is None else ids
+        self.age()
+        return ids
+
+    def age(self) -> None:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word if word[0] == "\n" else " " + word)
-        return ids
 
 
 class WordEncoder:
     """The tokenizers library behind a memory of words.
 
     Byte-level pre-tokenization always cuts before a space that a non-space follows, and around a single line
-    break. Texts whose only white space is of that kind are encoded word by word, each word once, where the
-    first word of a line takes the break before it along; the library encodes other texts whole.
+    break. Texts whose only white space is of that kind are put together from words, each encoded once, where the
+    first word of a line takes the break before it along and a text's first word stands without a space before it.
+    New words of a text go to the library together: a token that begins with a space begins a word. The library
+    encodes other texts whole.
     """
 
     ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -68,14 +80,31 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(vocabulary)
-        small = self.library.get_vocab_size() <= 1 << 16
-        self.kind = np.dtype("<u2" if small else "<u4")
-        self.code = "H" if small else "I"
-        self.words = _Words(self._whole)
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        # byte-level vocabularies write a space as U+0120
+        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.words = _Words(lambda word: self._whole(word if word[0] == "\n" else " " + word))
+        self.firsts = _Words(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are not remembered, and remember them."""
+        words = [w for w in dict.fromkeys(words) if w not in self.words.old and w[0] != "\n"]
+        if len(words) < 2:
+            return
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(words):
+            return
+        raw, at = ids.tobytes(), (starts * self.kind.itemsize).tolist()
+        at.append(len(raw))
+        self.words.update(zip(words, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+        self.words.age()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian bytes of `kind`."""
         if "\n\n" in text or any(map(text.__contains__, self.ODD_ASCII if text.isascii() else self.ODD)):
@@ -83,7 +112,15 @@ class WordEncoder:
         parts = text.replace("\n", " \n").split(" ")
         if "" in parts:
             return self._whole(text)
-        return self._whole(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
+        first = self.firsts[parts.pop(0)]
+        found = list(map(self.words.get, parts))
+        if None in found:
+            new = [k for k, ids in enumerate(found) if ids is None]
+            self._learn([parts[k] for k in new])
+            # what is not learnt yet is encoded by itself
+            for k in new:
+                found[k] = self.words[parts[k]]
+        return first + b"".join(found)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
