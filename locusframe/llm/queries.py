@@ -75,7 +75,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
     out = score_documents(docs, model, fold_of(F.col("doc_id")) != 1)
     return out.select(
-        "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixture_score"
     )
 
 
@@ -165,5 +165,23 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
        sha256(coalesce(items, '')) AS items_sha256,
        (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, text, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 2]) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, source, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+      FROM (SELECT doc_id, source, text, unnest(string_split(t, chr(10))) AS line FROM d)),
+n AS (SELECT doc_id, source, text, line, array_to_string(lw, ' ') AS norm, len(lw) AS k FROM l WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
+hosts AS (SELECT coalesce(source, chr(0)) AS host, greatest(floor((count(DISTINCT text) + CAST(count(*) > count(text) AS INTEGER)) * 0.05::DOUBLE), 5) AS most FROM documents GROUP BY 1),
+freq AS (SELECT coalesce(source, chr(0)) AS host, norm FROM n JOIN hosts ON host = coalesce(source, chr(0)) GROUP BY 1, 2, most HAVING count(DISTINCT text) > most),
+gone AS (SELECT doc_id, sum(k) AS removed_words FROM n JOIN freq ON freq.host = coalesce(source, chr(0)) AND freq.norm = n.norm GROUP BY doc_id),
+s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+      FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 50 AND n_words - removed_words >= 0.5 * n_words AS kept FROM s
 """,
 }
