@@ -26,6 +26,10 @@ ORDERS = (3, 4, 5)
 #: Averages over long bags are small; this fixed factor brings them to the softmax's scale.
 SCALE = 100.0
 PAD = 400
+#: Steps of gradient descent, a text each.
+STEPS = 50_000
+#: A missed toxic document weighs so many times a clean one that is taken for toxic.
+WEIGHT = 3.0
 _M = np.uint32(0x01000193)
 
 
@@ -66,7 +70,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.margin(subwords(text)), -500, 500))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, width: int = 8, rate: float = 0.5, steps: int = 30_000) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, width: int = 8, rate: float = 0.5, steps: int | None = None) -> Model:
     """bags: for each text its different table rows and how often each occurs."""
     rng = np.random.default_rng(5)
     table = np.zeros((ROWS, width), np.float32)
@@ -75,7 +79,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, widt
     out[:, 0] = -out[:, 1]
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = np.log([1 - share, share])
-    rounds = -(-steps // max(1, len(labels)))
+    rounds = -(-(steps or STEPS) // max(1, len(labels)))
     for r in range(rounds):
         step = rate * (1 - r / rounds)
         for k in rng.permutation(len(labels)):
@@ -93,34 +97,36 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, widt
     return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
-    """Scale and shift of the margin by which held-aside labels are likeliest, with a weak pull to no change."""
+def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray, weight: float = WEIGHT) -> Model:
+    """Scale and shift of the margin by which held-aside labels are likeliest, rows of label 1 counted `weight` times, with a
+    weak pull to no change."""
     if labels.min(initial=1) == labels.max(initial=0):
         return model
     a, b = 1.0, 0.0
     x = np.stack([margins, np.ones_like(margins)], 1)
+    heavy = np.where(labels == 1, weight, 1.0)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = x.T @ (p - labels) + 0.5 * np.array([a - 1, b])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 0.5
+        g = x.T @ (heavy * (p - labels)) + 0.5 * np.array([a - 1, b])
+        h = (x * (heavy * p * (1 - p))[:, None]).T @ x + np.eye(2) * 0.5
         move = np.linalg.solve(h, g)
         a, b = a - np.clip(move[0], -0.5, 0.5), b - np.clip(move[1], -0.5, 0.5)
     a = max(a, 0.05)
     return Model((a * model.difference).astype(np.float32), a * model.bias + b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 5_000) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000) -> DataFrame:
     """docs of at most max_rows labels, those with the smallest hash of their id; their number bounds the broadcast.
 
     The sample is drawn before the texts come in, so no text is shuffled. Labels other than 0 and 1 are left
-    out; an id with both has a row for each.
+    out; an id with both has a row for each. A column of docs that is named as the label is replaced.
     """
     known = labels.select(id_col, label_col).filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).distinct()
     chosen = hashed_sample(known, F.xxhash64(F.col(id_col).cast("string"), label_col), known.count(), max_rows)
-    return docs.join(F.broadcast(chosen), id_col)
+    return docs.drop(label_col).join(F.broadcast(chosen), id_col)
 
 
-def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 5_000) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000) -> Model:
     """A model of rows with label 0 or 1; null labels are left out, null texts count as empty. Without rows: always 0.5."""
     ship_package(rows.sparkSession)
 
@@ -145,7 +151,8 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_co
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score and predicted (columns so named are replaced), for every row by its text alone."""
+    """docs with score and predicted (columns so named are replaced), for every row by its text alone; null texts count as
+    empty, equal texts get equal scores, and an empty table gives an empty result."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
