@@ -69,7 +69,7 @@ def assign_shards(
     bounds = {s: total // shards + (s < total % shards) for s in range(shards)}
     room = dict(bounds)
     bits = max(0, (total // (shards * CELL_ROWS)).bit_length())
-    at, turn = fresh(docs, "ring_at", "ring_turn")
+    at, turn, fits = fresh(docs, "ring_at", "ring_turn", "ring_fits")
     id_ = F.col(id_col)
     hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     pending = docs.withColumns(
@@ -85,15 +85,15 @@ def assign_shards(
         open_shards = [s for s in room if room[s]] or list(room)
         placed, demand = _place(pending, points.filter(F.col("shard").isin(open_shards)), at, turn, bits)
         shard_room, taken = (F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("shard")) for m in (room, {s: bounds[s] - room[s] for s in room}))
-        sized = placed.withColumn("slot", F.col("slot") + taken)
-        fits = F.col("slot") < taken + shard_room
-        kept = sized.filter(fits)
+        # written once, so that what is kept and what goes on are of one ranking
+        sized = materialise(placed.withColumn("slot", F.col("slot") + taken).withColumn(fits, F.col("slot") < taken + shard_room), "shard-round")
+        kept = sized.filter(F.col(fits)).drop(fits)
         out = kept if out is None else out.unionByName(kept)
         over = {s: max(0, demand.get(s, 0) - room[s]) for s in room}
         room = {s: max(0, room[s] - demand.get(s, 0)) for s in room}
         if not any(over.values()):
             return out.drop(at, turn)
-        pending = materialise(sized.filter(~fits).drop("shard", "slot"), "shard-surplus")
+        pending = sized.filter(~F.col(fits)).drop("shard", "slot", fits)
         bits = max(0, (sum(over.values()) // (shards * CELL_ROWS)).bit_length())
 
 
