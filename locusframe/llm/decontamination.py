@@ -9,6 +9,7 @@ document's length bound where the window can lie, and the slice there is compare
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,10 @@ def _word_counts(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Occurrences of windows in docs: (id, th, start, n, w1, w2)."""
+    """Occurrences of windows in docs: (id, th, start, n, w1, w2).
+
+    Null and empty texts and an empty set of windows have none; rows equal in id and text give the same rows, once for each.
+    """
     base = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), words_of(F.col(text_col)).alias("ws"))
     spoken = base.select(F.explode_outer("ws").alias("word"))
     distinct = windows.select("w1", "w2", "window").distinct()
@@ -77,6 +81,15 @@ def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def with_items(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """found (id, th, w1, w2) with items, the items of each window: they are gathered by window, a row each, and broadcast in
+    blocks, so that a window that a third of the corpus shares is not dealt to one task."""
+    per_window = materialise(windows.groupBy("w1", "w2").agg(F.collect_set("item").alias("items")), "window-items")
+    blocks = math.ceil(per_window.count() / BROADCAST_WINDOWS) or 1
+    own = [F.broadcast(per_window.filter(F.pmod("w1", F.lit(blocks)) == k)) for k in range(blocks)]
+    return reduce(DataFrame.unionAll, [found.join(part, ["w1", "w2"]) for part in own])
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -103,10 +116,9 @@ def contamination(
         "id", "th", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(run), F.lit(0)))).alias("new")
     ).groupBy("id", "th").agg(F.sum("new").alias("n_hit"))
     items = (
-        found.select("id", "th", "w1", "w2").distinct()
-        .join(windows.select("w1", "w2", "item"), ["w1", "w2"])
+        with_items(found.select("id", "th", "w1", "w2").distinct(), windows)
         .groupBy("id", "th")
-        .agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     )
     hits = covered.join(items.withColumnsRenamed({"id": "id_", "th": "th_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")))
     key, i, t, hit, names = fresh(docs, "row_th", "hit_id", "hit_th", "hit_words", "hit_items")
