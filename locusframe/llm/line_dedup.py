@@ -36,6 +36,8 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """Every window occurrence after the first: (id, th, pos).
 
+    Null and empty texts and those of fewer lines than a window have none; null ids come first, and of one id the
+    smaller text hash. Rows equal in id and text are one document, whose occurrences all count as the first.
     Counts are taken per (window, salt) and only then per window; the repeated windows go back to the salts
     that hold them, so a window that a third of the corpus shares spreads over up to 64 tasks.
     """
@@ -61,7 +63,7 @@ def dedup_lines(
     Null text stays null and an empty text empty; texts of fewer lines than a window are left as they are.
     A text all of whose lines go becomes empty; no row is dropped. Rows equal in id and text are one
     document and get the same result; null ids come first in the order. Other columns pass through.
-    report=True adds n_lines and n_removed.
+    report=True adds n_lines and n_removed; columns of docs so named are replaced.
     """
     i, t, starts, cut, ls = fresh(docs, "dedup_id", "dedup_th", "dedup_starts", "dedup_cut", "dedup_lines")
     later = (

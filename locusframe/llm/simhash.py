@@ -163,7 +163,8 @@ def link(points: np.ndarray, own: np.ndarray, radius: int) -> np.ndarray:
 
 
 def linked_pairs(points: DataFrame, radius: int = 2) -> DataFrame:
-    """points: distinct (fp). A forest (a, b) whose components are those of all pairs within radius bits."""
+    """points: distinct (fp), none null. A forest (a, b) whose components are those of all pairs within radius bits; a point
+    that links to none is in no edge, and no point gives no edge."""
     spark = points.sparkSession
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD_POINTS))))

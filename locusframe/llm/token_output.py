@@ -33,8 +33,9 @@ from .shared import fresh, materialise, shared_dir, text_key
 
 #: Most words in each of a worker's two generations of memory; this bounds memory and changes no result.
 REMEMBERED = 600_000
-#: Bytes of text that one writing task takes on average.
+#: Bytes of text that one writing task takes on average, more where the tasks would be over MOST_PARTS.
 PART_BYTES = 32 << 20
+MOST_PARTS = 100_000
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
@@ -136,7 +137,8 @@ def _encoder(vocabulary: bytes) -> WordEncoder:
 def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     if path.startswith("file:"):
         return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pa.fs.FileSystem.from_uri(path)
+    # Spark's name of the S3 scheme
+    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
 
 
 class _FileWriter:
@@ -231,7 +233,7 @@ def write_sequences(
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("th", text_key(F.col("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    parts = max(1, -(-size // max(PART_BYTES, size // MOST_PARTS)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(shared.value), TaskContext.get().partitionId(), 0
@@ -261,7 +263,11 @@ def write_sequences(
 
 
 def read_documents(files: DataFrame, id_type: T.DataType, id_name: str = "doc_id") -> DataFrame:
-    """From the listed files: (id, start, n_tokens, ids_crc32); start counts the tokens of all documents before."""
+    """From the listed files: (id, start, n_tokens, ids_crc32); start counts the tokens of all documents before.
+
+    Null ids come first and read as null, repeated rows once for each; a document of an empty text has its end id alone.
+    Without files the result is empty.
+    """
     spark = files.sparkSession
     ship_package(spark)
     earlier = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

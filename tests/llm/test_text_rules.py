@@ -50,6 +50,8 @@ def test_line_dedup_odd_rows(spark):
     assert by[1, 0].text is None and by[2, 1].text == ""
     assert sum(r.doc_id == 5 and r.text == "twice here" for r in got) == 2
     assert L.dedup_lines(frame(spark, [])).count() == 0
+    named = frame(spark, rows).withColumns({"n_lines": F.lit("other"), "n_removed": F.lit("other")})
+    assert sorted(map(str, L.dedup_lines(named, report=True).select("doc_id", "n_lines", "n_removed").collect())) == sorted(map(str, out.select("doc_id", "n_lines", "n_removed").collect()))
 
 
 def brute_contamination(text, items):
@@ -156,3 +158,13 @@ def test_quality_limit_follows_the_host(spark):
     assert {v for k, v in large.items() if k % 1000 < 20} == {(False, 80)} and {v for k, v in large.items() if k % 1000 >= 20} == {(True, 0)}
     texts = {r.doc_id: r.text for r in Q.clean_text(table(1)).collect()}
     assert texts[0] == body(0) and texts[20].startswith("a short line") and texts[500].startswith("copied")
+
+
+def test_contamination_in_blocks_of_items(spark, monkeypatch):
+    """A window of many items, and items in several blocks, name the same items as one block does."""
+    bench = spark.createDataFrame([(k, "one two three") for k in range(5)] + [(10 + k, f"four{k} five six") for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three y four3 five six"), (2, "nothing")], "doc_id long, text string")
+    want = sorted(map(str, D.contamination(docs, bench).collect()))
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 2)
+    got = D.contamination(docs, bench)
+    assert sorted(map(str, got.collect())) == want and got.filter("doc_id = 1").first().item_ids == ["0", "1", "13", "2", "3", "4"]
