@@ -646,14 +646,14 @@ def shuffled_variants(t):
 
 
 @query("""
-SELECT p_partkey AS part, list_filter(string_split(replace(replace(p_name, ',', ' '), chr(9), ' '), ' '), lambda x: x <> '') AS words, p_brand || '.' || p_size AS stem, 'gz' AS suffix, p_size % 3 = 0 AS missing,
+SELECT p_partkey AS part, array_to_string(list_filter(string_split(replace(replace(p_name, ',', ' '), chr(9), ' '), ' '), lambda x: x <> ''), '|') AS words, p_brand || '.' || p_size AS stem, 'gz' AS suffix, p_size % 3 = 0 AS missing,
   CASE WHEN p_size % 5 = 0 THEN 23 WHEN p_size % 5 = 1 THEN 24 WHEN p_size = 7 THEN NULL ELSE p_size END AS chrom FROM part
 """)
 def text_functions(t):
     path = F.concat(F.lit("/a/b/"), "p_brand", F.lit("."), "p_size", F.lit(".gz"))
     code = F.when(F.col("p_size") % 5 == 0, "x").when(F.col("p_size") % 5 == 1, "Y").when(F.col("p_size") == 7, "0").otherwise(F.col("p_size").cast("string"))
     absent = S.is_missing(F.when(F.col("p_size") % 3 != 0, "1").when(F.col("p_size") % 2 == 0, "na"))
-    return t("part").select(F.col("p_partkey").alias("part"), S.tokens(F.col("p_name")).alias("words"), S.file_stem(path).alias("stem"), S.file_suffix(path).alias("suffix"), absent.alias("missing"), S.chromosome(code).alias("chrom"))
+    return t("part").select(F.col("p_partkey").alias("part"), F.array_join(S.tokens(F.col("p_name")), "|").alias("words"), S.file_stem(path).alias("stem"), S.file_suffix(path).alias("suffix"), absent.alias("missing"), S.chromosome(code).alias("chrom"))
 
 
 @query("SELECT ord, chrom, 'f' || ord || ':' || snp AS person, chrom IN (1, 11) AND ord % 2 = 0 OR chrom = 1 AND ord % 2 = 1 AS named, round(pow(10.0::DOUBLE, -(ord % 5)), 8) AS p, round(pow(10.0::DOUBLE, ord % 5), 8) AS up FROM variants")
