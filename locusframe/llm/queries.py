@@ -116,6 +116,41 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fold, hex_text, leaf_hash, manifest, siblings_hash, tampered_text
+
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = F.col("text")
+    rows = docs.select("doc_id", "lang", leaf_hash(*fields, text).alias("leaf"), leaf_hash(*fields, tampered_text(F.col("doc_id"), text)).alias("changed"))
+    # most rows are as they were, and need no second digest
+    rows = rows.withColumn("changed", F.when(F.col("changed") != F.col("leaf"), F.col("changed")))
+    out = manifest(rows, "leaf", "lang", "doc_id")
+    folded = fold(hex_text(F.coalesce("changed", "leaf")), F.col("path"))
+    out = out.select(
+        "doc_id", hex_text(F.col("leaf")).alias("leaf"), "subroot", "root", siblings_hash(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import digest_texts
+    from .sentencepiece_codec import read_model
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = digest_texts(docs, read_model(public_tokenizers.path("byte_bpe_50k.json")))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    out = compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -129,9 +164,31 @@ QUERIES = {
         op8_simhash,
         op9_quality_rules,
         op10_sentencepiece,
+        op11_merkle_manifest,
+        op12_bpe,
+        op13_vector_codes,
     )
 }
 
+def _vector_codes_sql() -> str:
+    """All entries compared, for vectors of 64 components: parts of four."""
+    nearest = "(SELECT p.id, p.part, min((power(p.a - e.a, 2) + power(p.b - e.b, 2) + power(p.c - e.c, 2) + power(p.d - e.d, 2))::BIGINT * 64 + entry) AS best FROM p JOIN {} e USING (part) GROUP BY p.id, p.part)"
+    means = ", ".join(f"floor(sum({x})::DOUBLE / count(*))::BIGINT AS {x}" for x in "abcd")
+    taken = ", ".join(f"coalesce(u.{x}, c.{x}) AS {x}" for x in "abcd")
+    update = "(SELECT c.part, c.entry, {} FROM {} c LEFT JOIN (SELECT p.part, best % 64 AS entry, {} FROM p JOIN {} m USING (id, part) GROUP BY 1, 2) u USING (part, entry))"
+    rounds = ", ".join(f"m{k} AS {nearest.format(f'c{k}')}" + (f", c{k + 1} AS {update.format(taken, f'c{k}', means, f'm{k}')}" if k < 2 else "") for k in range(3))
+    return f"""
+WITH k AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+i AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM k),
+p AS (SELECT id, part, v[4 * part + 1] AS a, v[4 * part + 2] AS b, v[4 * part + 3] AS c, v[4 * part + 4] AS d FROM i, (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, id AS entry, a, b, c, d FROM p WHERE id < 64),
+{rounds},
+r AS (SELECT id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM m2 GROUP BY id),
+s AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM i JOIN r USING (id), s
+"""
+
+
 ORACLES = {
     "op1_line_dedup": """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -184,4 +241,48 @@ s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 50 AND n_words - removed_words >= 0.5 * n_words AS kept FROM s
 """,
+    # the polynomial of crc32 is 3988292384
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::UBIGINT) AS k
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+f AS (
+  SELECT d.doc_id, lang, text,
+    coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    CASE WHEN k % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS tampered
+  FROM documents d LEFT JOIN crc USING (doc_id)),
+leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, leaf, changed, row_number() OVER (PARTITION BY coalesce('+' || lang, '') ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+          sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS changed FROM f)),
+tree AS (
+  SELECT g, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, any_value(lvl) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY g, pos // 8),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT any_value(lvl) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY pos // 8),
+nodes AS (
+  SELECT g, lvl, pos, h, n, 0 AS stage FROM tree UNION ALL SELECT '', lvl, pos, h, n, 1 FROM top),
+steps AS (
+  SELECT a.stage, a.g, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.stage = b.stage AND a.g = b.g AND a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL),
+paths AS (
+  SELECT x.g, x.pos, list({'l': l, 'r': r} ORDER BY stage, lvl) AS path FROM (
+    SELECT v.g, v.pos, s.stage, s.lvl, s.l, s.r FROM leaves v JOIN steps s ON s.stage = 0 AND s.g = v.g AND s.pos = v.pos // (8 ** s.lvl)::BIGINT
+    UNION ALL
+    SELECT v.g, v.pos, s.stage, s.lvl, s.l, s.r FROM leaves v JOIN subroots u USING (g) JOIN steps s ON s.stage = 1 AND s.pos = u.pos // (8 ** s.lvl)::BIGINT) x GROUP BY 1, 2),
+found AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(list_reduce([''] || list_transform(path, lambda x: x.l || x.r), lambda a, b: a || b), '')) AS proof_sha256,
+    (list_reduce([{'l': '', 'r': '', 'h': changed}] || list_transform(coalesce(path, []), lambda x: {'l': x.l, 'r': x.r, 'h': ''}),
+      lambda a, b: {'l': '', 'r': '', 'h': sha256(b.l || a.h || b.r)})).h AS folded_root
+  FROM leaves LEFT JOIN paths USING (g, pos) JOIN subroots USING (g))
+SELECT *, folded_root = root AS verified FROM found
+""",
+    "op13_vector_codes": _vector_codes_sql(),
 }
