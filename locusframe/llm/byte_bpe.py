@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +28,11 @@ from .shared import fresh
 
 #: Fixed by the file format: how byte-level pre-tokenization cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most pieces that a worker remembers, and the longest of them; this bounds memory and changes no result.
-REMEMBERED, LONGEST = 300_000, 64
+#: Most words in each of a worker's two generations of memory, the longest of them, and characters of texts encoded together; this
+#: bounds memory and changes no result.
+REMEMBERED, LONGEST, TOGETHER = 250_000, 64, 2_000_000
+#: The widest tree that is a row of an array, and rows at a time.
+_WIDEST, _ROWS = 64, 16_384
 _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
 #: White space other than single blanks and line breaks between words.
@@ -45,6 +48,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class _Memory:
+    """What is known of words, in two generations: when the new one is full it becomes the old one, and words that are asked
+    for again move over."""
+
+    def __init__(self):
+        self.new: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        out = []
+        for word in words.difference(self.new):
+            known = self.old.get(word)
+            if known is None:
+                out.append(word)
+            else:
+                self.new[word] = known
+        return out
+
+
 class Codec:
     """Encoder and decoder for one vocabulary, given as the bytes of its JSON file."""
 
@@ -64,15 +88,17 @@ class Codec:
         #: each id's bytes; a character that stands for no byte makes the whole token stand for its own UTF-8
         self.bytes = {i: b"".join(map(byte.__getitem__, t)) if byte.keys() >= set(t) else t.encode() for i, t in names.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: rank of each pair that merges, 32 bits up, and what each rank makes
+        #: rank of each pair that merges, 32 bits up, and what each rank makes; the same as arrays
         self.rank = {(ids[a] << 32) + ids[b]: r << 32 for r, (a, b) in enumerate(pairs)}
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()], np.int64)
         self.made = [ids[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in added}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.piece = lru_cache(REMEMBERED)(self._piece)
-        self.word = lru_cache(REMEMBERED)(self._word)
+        self.first_ids, self.made_ids = np.array(self.first, np.int64), np.array(self.made, np.int64)
+        self.known, self.words = _Memory(), _Memory()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbols after all merges: lowest rank first, leftmost first of equal ranks."""
@@ -108,40 +134,132 @@ class Codec:
                         break
         return [s for s in symbols if s >= 0]
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the pairs, 32 bits up; _NONE where they do not merge, as where an end is -1."""
+        key = (a << 32) + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], _NONE)
+
+    def _merge_rows(self, rows: list[bytes], width: int) -> list[list[int]]:
+        """merge() of rows of at most width bytes, a power of two, one merge of every row at a time."""
+        flat = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in rows]), np.uint8).reshape(-1, width)
+        symbols = self.first_ids[flat]
+        symbols[np.arange(width) >= np.array([len(r) for r in rows])[:, None]] = -1
+        tree = np.full((len(rows), 2 * width), _NONE)
+        tree[:, width:-1] = self._ranks(symbols[:, :-1], symbols[:, 1:]) + np.arange(width - 1)
+        k = width // 2
+        while k:
+            np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2], out=tree[:, k : 2 * k])
+            k //= 2
+        after = np.tile(np.arange(1, width + 1), (len(rows), 1))
+        before = after - 2
+        live = np.arange(len(rows))
+        while True:
+            top = tree[live, 1]
+            live, top = live[top < _NONE], top[top < _NONE]
+            if not len(live):
+                break
+            at, new = top & _PLACE, self.made_ids[top >> 32]
+            gone, left = after[live, at], before[live, at]
+            right = after[live, gone]
+            symbols[live, at], symbols[live, gone], after[live, at] = new, -1, right
+            some = right < width
+            before[live[some], right[some]] = at[some]
+            follows = np.where(some, symbols[live, np.minimum(right, width - 1)], -1)
+            tree[live, width + gone] = _NONE
+            tree[live, width + at] = self._ranks(new, follows) + at
+            some = left >= 0
+            tree[live[some], width + left[some]] = self._ranks(symbols[live[some], left[some]], new[some]) + left[some]
+            for changed in (gone, at, np.maximum(left, 0)):
+                node = (width + changed) >> 1
+                while node[0]:
+                    tree[live, node] = np.minimum(tree[live, 2 * node], tree[live, 2 * node + 1])
+                    node >>= 1
+        held = symbols >= 0
+        ids, ends = symbols[held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+        return [ids[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+    def merge_all(self, pieces: list[str]) -> list[list[int]]:
+        """merge() of each pre-token's bytes."""
+        out: list[list[int]] = [[] for _ in pieces]
+        widths: dict[int, list[int]] = {}
+        raw = [p.encode() for p in pieces]
+        for k, r in enumerate(raw):
+            if len(r) > _WIDEST:
+                out[k] = self.merge([self.first[b] for b in r])
+            else:
+                widths.setdefault(1 << (max(2, len(r)) - 1).bit_length(), []).append(k)
+        for width, places in widths.items():
+            for at in range(0, len(places), _ROWS):
+                some = places[at : at + _ROWS]
+                for k, ids in zip(some, self._merge_rows([raw[k] for k in some], width), strict=True):
+                    out[k] = ids
+        return out
+
     def _shown(self, ids: list[int]) -> tuple[tuple[int, ...], bytes, bytes]:
         """Ids, the same in decimals with a comma before each, and the bytes that they decode to."""
         return tuple(ids), b"".join([b",%d" % i for i in ids]), b"".join([self.bytes[i] for i in ids])
 
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], bytes, bytes]:
-        """A pre-token."""
-        return self._shown(self.merge(list(map(self.first.__getitem__, piece.encode()))))
-
-    def _word(self, word: str) -> tuple[tuple[int, ...], bytes, bytes]:
-        """What stands between two blanks, with the one before it, or a line break and what follows it."""
-        found = [(self.piece if len(p) <= LONGEST else self._piece)(p) for p in self.pieces(word if word[:1] == "\n" else " " + word)]
-        return found[0] if len(found) == 1 else self._shown(list(chain.from_iterable([p[0] for p in found])))
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], bytes, bytes]]:
-        """The text's ids, decimals and bytes, part by part.
+    def _cut(self, text: str) -> list[int | tuple[list[str], list[str]]]:
+        """The text as ids of special tokens, and for what lies between them (pre-tokens, words behind them).
 
         A blank before a word, and the first of a run of white space, always begin a pre-token. So where single blanks
-        and line breaks part all words, the words are taken from memory; other texts are cut into pre-tokens.
+        and line breaks part all words, all but the first can be words: what follows a blank, or a line break and what
+        follows it. Other texts are cut into pre-tokens.
         """
-        if self.special and self.special.search(text):
+        special = self.special and self.special.search(text)
+        out: list = []
+        for part in self.special.split(text) if special else [text]:
+            if special and part in self.added:
+                out.append(self.added[part])
+                continue
+            words = part.replace("\n", " \n").split(" ")
+            if "" in words or any(map(part.__contains__, _ODD_ASCII if part.isascii() else _ODD)):
+                out.append((self.pieces(part), []))
+            else:
+                out.append((self.pieces(words.pop(0)), words))
+        return out
+
+    def _together(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], bytes, bytes]]]:
+        cut = [self._cut(t) for t in texts]
+        spans = [x for parts in cut for x in parts if isinstance(x, tuple)]
+        words = self.words.missing(set(chain.from_iterable([x[1] for x in spans])))
+        found = {w: self.pieces(w if w[:1] == "\n" else " " + w) for w in words}
+        pieces = self.known.missing(set(chain.from_iterable([x[0] for x in spans])).union(*found.values()))
+        known, of = self.known.new, self.words.new
+        for piece, ids in zip(pieces, self.merge_all(pieces), strict=True):
+            known[piece] = self._shown(ids)
+        for word, parts in found.items():
+            some = [known[p] for p in parts]
+            of[word] = some[0] if len(some) == 1 else (tuple(chain.from_iterable([p[0] for p in some])), b"".join([p[1] for p in some]), b"".join([p[2] for p in some]))
+        for parts in cut:
             out = []
-            for piece in self.special.split(text):
-                out += [self._shown([self.added[piece]])] if piece in self.added else self.parts(piece)
-            return out
-        words = text.replace("\n", " \n").split(" ")
-        if "" in words or any(map(text.__contains__, _ODD_ASCII if text.isascii() else _ODD)):
-            return [(self.piece if len(p) <= LONGEST else self._piece)(p) for p in self.pieces(text)]
-        first = list(map(self._piece, self.pieces(words.pop(0))))
-        if len(max(words, key=len, default="")) <= LONGEST:
-            return first + list(map(self.word, words))
-        return first + [(self.word if len(w) <= LONGEST else self._word)(w) for w in words]
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([p[0] for p in self.parts(text)]))
+            for x in parts:
+                if isinstance(x, tuple):
+                    out.extend(map(known.__getitem__, x[0]))
+                    out.extend(map(of.__getitem__, x[1]))
+                else:
+                    out.append(self._shown([x]))
+            yield out
+        for held, new in ((known, pieces), (of, words)):
+            for long in [x for x in new if len(x) > LONGEST]:
+                del held[long]
+
+    def parts(self, texts: Iterable[str]) -> Iterator[list[tuple[tuple[int, ...], bytes, bytes]]]:
+        """For each text its ids, decimals and bytes, part by part. Some texts are taken together, for their new words' sake."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for parts in self.parts(texts):
+            yield list(chain.from_iterable([p[0] for p in parts]))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special ones too; bytes that are no UTF-8 become U+FFFD."""
@@ -172,7 +290,7 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, text_col: str = "text") ->
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(shared.value)
         for texts in batches:
-            ids = [codec.encode(t or "") for t in texts]
+            ids = list(codec.encode([t or "" for t in texts]))
             yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(i) for i in ids]})
 
     (out,) = fresh(docs, "codec_out")
@@ -190,8 +308,7 @@ def digest_texts(docs: DataFrame, vocabulary: bytes, text_col: str = "text") ->
         codec, sha = _codec(shared.value), hashlib.sha256
         for texts in batches:
             rows = []
-            for text in texts:
-                parts = codec.parts(text or "")
+            for parts in codec.parts([t or "" for t in texts]):
                 decimals = b"".join([p[1] for p in parts])
                 decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
                 rows.append((decimals.count(b","), sha(decimals[1:]).hexdigest(), sha(decoded.encode()).hexdigest()))

@@ -133,13 +133,18 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_bpe_is_the_library(bpe, library):
+def test_bpe_is_the_library(bpe, library, monkeypatch):
     rnd = random.Random(6)
     kinds = [list(" \n\tab"), ["  ", "\n\n", " \n", "a", "'s", " '", "1", "²"], list("the ing er an on .,\n"), ["<|endoftext|>", "<|end", " a", "b "], list("éßñ漢字한🙂a \x00\x1c\x85\xa0　 "), list("etaoin")]
     texts = ["".join(rnd.choices(rnd.choice(kinds), k=rnd.randint(0, 60))) for _ in range(5000)]
     texts += [words(1, 3000), "x" * 30_000, "etaoin" * 5000, " " * 500, "".join(rnd.choices("etaoin", k=40_000)), ""]
-    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert bpe.encode(t) == e.ids and bpe.decode(e.ids) == t
+    for most in (B.REMEMBERED, 50):
+        # a small memory, in which generations change, gives the same
+        monkeypatch.setattr(B, "REMEMBERED", most)
+        monkeypatch.setattr(B, "TOGETHER", 40 * most)
+        for t, i, e in zip(texts, bpe.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert i == e.ids and bpe.decode(e.ids) == t
+    assert len(bpe.known.new) < 3000 and max(map(len, [*bpe.known.new, *bpe.words.new])) <= B.LONGEST
     # any ids, also those whose bytes are no UTF-8
     for _ in range(3000):
         ids = [rnd.randrange(50257) for _ in range(rnd.randint(0, 9))]
@@ -148,15 +153,17 @@ def test_bpe_is_the_library(bpe, library):
 
 def test_bpe_every_character(bpe, library):
     texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}\n {chr(c)}x" for c in range(0x3200) if not 0xD800 <= c < 0xE000]
-    assert [bpe.encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert list(bpe.encode(texts)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_merges_brute_force(bpe):
     """The lowest rank first, the leftmost of equals, one at a time over the whole list."""
     rnd = random.Random(8)
     for n in [1, 2, 3, 4, 5, 8, 9, 17, 120] * 20:
-        symbols = [bpe.first[b] for b in "".join(rnd.choices("aaaeinrst ", k=n)).encode()]
+        text = "".join(rnd.choices("aaaeinrst ", k=n))
+        symbols = [bpe.first[b] for b in text.encode()]
         got, want = bpe.merge(list(symbols)), list(symbols)
+        assert bpe.merge_all([text]) == [got]
         while True:
             ranks = [bpe.rank.get((a << 32) + b, B._NONE) for a, b in zip(want, want[1:], strict=False)]
             if not ranks or min(ranks) == B._NONE:
