@@ -17,6 +17,7 @@ from ..operators import windows as W
 from ..sinks import writers as K
 from ..sources import binary as B
 from ..sources import text as R
+from ..sources.datasource import register
 from ..storage import fresh_path
 from . import pipelines as P
 from .queries import effects, genes, genotypes, pairs, query, r6, two, variants
@@ -308,8 +309,52 @@ def line_counts(t):
 @query(_FIRST + "SELECT gene_id, snp, round(beta, 5) AS beta, round(se, 5) AS se FROM first_pairs")
 def besd_round_trip(t):
     listed = P.export_study(study(t), "besd", folder(t, "besd"), parts=3)
-    sets, _ = P.load_studies(spark_of(t), [r.name for r in listed.collect()])
-    return H.merge_studies(sets)["pairs"].select("gene_id", "snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
+    pairs = P.merge_study_files(spark_of(t), [r.name for r in listed.collect()])["pairs"]
+    return pairs.select("gene_id", "snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
+
+
+@query(_FIRST + "SELECT gene_id, snp, round(beta, 5) AS beta, round(se, 5) AS se FROM first_pairs")
+def besd_one_file(t):
+    """B1: one set of all genes, written by many tasks."""
+    path = folder(t, "besd") + "/all"
+    P.export_study(study(t), "besd_file", path)
+    return P.load_study(spark_of(t), "besd", path)["pairs"].select("gene_id", "snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
+
+
+@query(_FIRST + "SELECT f.gene_id, g.chrom, count(*) AS pairs, round(sum(beta), 3) AS beta FROM first_pairs f JOIN genes g ON f.gene_id = 'g' || g.gene_id GROUP BY ALL")
+def besd_source(t):
+    """The source by itself."""
+    path = folder(t, "besd") + "/all"
+    P.export_study(study(t), "besd_file", path)
+    register(spark_of(t))
+    return spark_of(t).read.format("locus_besd").load(path).groupBy("gene_id", "chrom").agg(F.count("*").alias("pairs"), F.round(F.sum("beta"), 3).alias("beta"))
+
+
+#: Every third variant swapped in the reference, every seventh with another allele.
+_SWAPPED = """
+, seen AS (SELECT snp, ord % 3 = 0 AND a1 <> a2 AS flipped FROM variants WHERE ord % 7 <> 0)
+"""
+
+
+def swapped(t) -> DataFrame:
+    turn, other = F.col("ord") % 3 == 0, F.col("ord") % 7 == 0
+    return variants(t).select("snp", F.when(other, "N").when(turn, F.col("a2")).otherwise(F.col("a1")).alias("a1"), F.when(turn & ~other, F.col("a1")).otherwise(F.col("a2")).alias("a2"))
+
+
+@query(_FIRST + _SWAPPED + "SELECT gene_id, snp, round(beta, 5) AS beta, flipped FROM first_pairs JOIN seen USING (snp)")
+def besd_alleles(t):
+    """Same, swapped and foreign alleles of BESD sets."""
+    listed = P.export_study(study(t), "besd", folder(t, "besd"), parts=2)
+    sets, _ = P.load_sets(spark_of(t), [r.name for r in listed.collect()], swapped(t))
+    return sets["pairs"].select("gene_id", "snp", F.round("beta", 5).alias("beta"), "flipped")
+
+
+@query(_FIRST + _SWAPPED + "SELECT gene_id, snp, round(beta, 5) AS beta, flipped FROM first_pairs JOIN seen USING (snp)")
+def query_alleles(t):
+    """Same, swapped and foreign alleles of a pair table."""
+    at = folder(t, "query")
+    P.export_study(study(t), "query", at)
+    return P.load_study(spark_of(t), "query", at, reference=swapped(t))["pairs"].select("gene_id", "snp", F.round("beta", 5).alias("beta"), "flipped")
 
 
 @query(_FIRST + "SELECT count(DISTINCT gene_id) AS genes, count(DISTINCT snp) AS snps, 1 AS failed FROM first_pairs")
@@ -411,6 +456,15 @@ def bed_round_trip(t):
     return rows.select("snp", F.size(F.array_compact("dosage")).cast("long").alias("known"), r6("af").alias("af"), F.round("sum_squares", 5).alias("sum_squares"))
 
 
+@query(_DOSES + "SELECT snp, len(known) AS known, list_sum(known)::BIGINT AS total FROM k")
+def bed_source(t):
+    """A3: the source by itself."""
+    register(spark_of(t))
+    known = F.array_compact("dosage")
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x))
+    return H.stack([spark_of(t).read.format("locus_bed").load(n) for n in bed(t)]).select("snp", F.size(known).cast("long").alias("known"), total.alias("total"))
+
+
 @query(_DOSES + "SELECT snp, list_sum(list_filter(dosage[1:10], lambda x: x IS NOT NULL))::BIGINT AS total FROM k WHERE idx % 3 <> 0")
 def bed_kept_people(t):
     keep = spark_of(t).range(10).select(F.concat(F.lit("f"), "id").alias("fid"), F.concat(F.lit("i"), "id").alias("iid"))

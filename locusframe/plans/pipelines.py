@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, require_rows
@@ -14,6 +16,7 @@ from ..operators import merges as H
 from ..sinks import writers as K
 from ..sources import binary as B
 from ..sources import text as R
+from ..sources.datasource import register
 from ..storage import materialise
 
 Study = dict[str, DataFrame]
@@ -26,24 +29,69 @@ def load_study(spark: SparkSession, kind: str, path: str, folder: str = "", refe
     if kind == "query":
         return R.read_query(spark, path, reference)
     if kind == "besd":
-        esi, epi = R.read_esi(spark, path + ".esi"), R.read_epi(spark, path + ".epi")
-        pairs = B.read_besd(spark, path + ".besd", esi, epi).join(epi.select("gene_id", F.col("n").cast("long").alias("n")), "gene_id")
-        study = {"genes": epi, "variants": esi, "pairs": pairs}
+        sets, failed = load_sets(spark, [path], reference)
+        if failed:
+            raise EngineError(f"{path}: {failed[path]}")
+        study = {k: rows.drop("set") for k, rows in sets.items()}
         return study if reference is None else select_study(study, variants=reference)
     raise EngineError(f"unknown kind {kind}")
 
 
-def load_studies(spark: SparkSession, paths: list[str], reference: DataFrame | None = None) -> tuple[list[Study], dict[str, str]]:
-    """The BESD sets that can be read, and the reason for each of the others."""
-    found, failed = [], {}
+def load_sets(spark: SparkSession, paths: list[str], reference: DataFrame | None = None) -> tuple[Study, dict[str, str]]:
+    """Genes, variants and pairs of all BESD sets that can be read, with set, the place in paths; and the reason for each
+    of the others. With a reference, its variants only; if it has alleles, flagged and dropped as by read_esi.
+
+    All sets are one scan: headers are looked at beforehand, descriptions are read together, and one source plans the
+    ranges of all matrices. A set without a pair that counts, or with a repeated gene, fails.
+    """
+    failed, good = {}, []
     for path in paths:
         try:
-            study = load_study(spark, "besd", path, reference=reference)
-            require_rows(study["pairs"], "pairs")
-            found.append(study)
-        except (AnalysisException, EngineError, OSError) as e:
+            B.besd_layout(path + ".besd")
+            missing = [x for x in (".esi", ".epi") if not B.file_exists(path + x)]
+            if missing:
+                raise EngineError(f"{path}{missing[0]} is not there")
+            good.append(path)
+        except (EngineError, OSError) as e:
             failed[path] = str(e)
-    return found, failed
+    if not good:
+        return {}, failed
+    register(spark)
+
+    def numbered(rows: DataFrame, suffix: str) -> DataFrame:
+        plain = F.regexp_replace("file_path", "^file:/+", "/")
+        places = F.create_map(*[F.lit(v) for k, p in enumerate(good) for v in (re.sub("^file:/+", "/", p) + suffix, k)])
+        return rows.withColumn("set", F.try_element_at(places, plain)).drop("file_path")
+
+    esi = numbered(R.read_esi(spark, [p + ".esi" for p in good]), ".esi")
+    placed = C.reindex(esi, "set", "ord", name="row")
+    first = placed.groupBy("set").agg(F.min("row").alias("first"))
+    # one row a set
+    variants = placed.join(F.broadcast(first), "set").withColumn("row", F.col("row") - F.col("first")).drop("first")
+    if reference is not None:
+        variants = R.flag_flipped(variants, reference)
+    genes = materialise(numbered(R.read_epi(spark, [p + ".epi" for p in good]), ".epi"), "besd-genes")
+    pairs = spark.read.format("locus_besd").option("prefixes", json.dumps(good)).load().select("set", "gene_id", "row", "beta", "se")
+    flag = ["flipped"] if "flipped" in variants.columns else []
+    pairs = pairs.join(variants.select("set", "row", "snp", *flag), ["set", "row"]).join(genes.select("set", "gene_id", F.col("n").cast("long").alias("n")), ["set", "gene_id"]).drop("row")
+    pairs = materialise(pairs, "besd-pairs")
+    # a row a set
+    there = {r[0] for r in pairs.select("set").distinct().collect()}
+    twice = {r[0]: r[1] for r in genes.groupBy("set", "gene_id").count().filter("count > 1").groupBy("set").agg(F.min("gene_id")).collect()}
+    for k, path in enumerate(good):
+        if k not in there or k in twice:
+            failed[path] = f"repeated gene_id: {twice[k]}" if k in twice else "no pairs left"
+    kept = [k for k, path in enumerate(good) if path not in failed]
+    numbers = F.create_map(*[F.lit(v) for k in kept for v in (k, paths.index(good[k]))]) if kept else None
+    sets = {"genes": genes, "variants": variants.drop("row"), "pairs": pairs}
+    return ({k: rows.filter(F.col("set").isin(kept)).withColumn("set", F.element_at(numbers, F.col("set"))) for k, rows in sets.items()} if kept else {}), failed
+
+
+def load_studies(spark: SparkSession, paths: list[str], reference: DataFrame | None = None) -> tuple[list[Study], dict[str, str]]:
+    """The BESD sets that can be read, one by one, and the reason for each of the others."""
+    sets, failed = load_sets(spark, paths, reference)
+    good = [k for k, path in enumerate(paths) if path not in failed]
+    return [{name: rows.filter(F.col("set") == k).drop("set") for name, rows in sets.items()} for k in good], failed
 
 
 def load_gwas(spark: SparkSession, path: str, reference: DataFrame, impute_n: bool = False, **quality: float) -> DataFrame:
@@ -127,9 +175,16 @@ def select_study(
     return {"genes": C.include_ids(g, p, "gene_id"), "variants": C.include_ids(v, p), "pairs": p}
 
 
-def merge_study_files(spark: SparkSession, paths: list[str]) -> Study:
-    """H1: BESD sets united; a set that cannot be read is an error, not skipped."""
-    return H.merge_studies([load_study(spark, "besd", p) for p in paths])
+def merge_study_files(spark: SparkSession, paths: list[str], soft: bool = False, reference: DataFrame | None = None) -> Study:
+    """H1: BESD sets united from one scan, the first set's row of each gene, variant and pair. A set that cannot be read is an
+    error, unless soft; none left is one in any case."""
+    sets, failed = load_sets(spark, paths, reference)
+    if not sets or failed and not soft:
+        raise EngineError("; ".join(f"{p}: {why}" for p, why in failed.items()) or "no sets")
+    return {
+        "genes": H.first_of_each(sets["genes"], ["gene_id"], ["set", "ord"]), "variants": H.first_of_each(sets["variants"], ["snp"], ["set", "ord"]),
+        "pairs": H.first_of_each(sets["pairs"], ["gene_id", "snp"], ["set"]),
+    }
 
 
 #: Pairs that a task writes into one pair-matrix set.
@@ -137,11 +192,13 @@ SET_PAIRS = 2_000_000
 
 
 def export_study(study: Study, kind: str, path: str, parts: int | None = None, array_limit: int = 1000, binary: bool = False) -> DataFrame | None:
-    """besd, query, ma, sumstats or annotation; besd and ma return the list of what was written. parts of a BESD set follow
-    the number of pairs unless they are given."""
+    """besd, besd_file, query, ma, sumstats or annotation; besd and ma return the list of what was written. parts of a BESD set
+    follow the number of pairs unless they are given; besd_file is one set of all genes, path its prefix."""
     g, v, p = study["genes"], study["variants"], study["pairs"]
     if kind == "besd":
         return K.write_besd(p, v, g, path, parts or max(1, -(-p.count() // SET_PAIRS)))
+    if kind == "besd_file":
+        return K.write_besd_file(p, v, g, path)
     if kind == "query":
         return K.write_query(p, v, g, path)
     if kind == "ma":

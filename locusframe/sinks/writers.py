@@ -1,7 +1,7 @@
 """Writers of the exchange formats.
 
-Text sinks go through Spark's CSV writer. Binary sinks write one self-contained file for each partition of
-genes or regions, under names that only a successful task hands on; the returned table lists them.
+Text sinks go through Spark's CSV writer. Binary sets go through the transactional sink of
+sets.py: self-contained sets for each partition of genes or regions, and a list of them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from ..errors import EngineError
 from ..functions.scalar import chi2_tail, number_text, z_score
 from ..session import ship_package
 from ..sources.binary import BED_MAGIC, SPARSE_3F
-from ..storage import materialise
+from ..storage import fresh_path, materialise
+from .sets import bed_codes, create, pair_columns, save_sets
 
 
 def write_text(rows: DataFrame, path: str, header: bool = True, gzip: bool = False) -> None:
@@ -36,7 +38,7 @@ def write_named(lines: DataFrame, folder: str, header: str | None = None) -> Dat
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, draft, stream, count, done = None, "", None, 0, []
-        fs, at = _create(folder)
+        fs, at = create(folder)
         fs.create_dir(at, recursive=True)
 
         def close() -> None:
@@ -185,21 +187,9 @@ def block_info(members: DataFrame) -> DataFrame:
     )
 
 
-def _create(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return (pyarrow.fs.LocalFileSystem(), path) if "://" not in path else pyarrow.fs.FileSystem.from_uri(path)
-
-
-def encode_bed(dosages: np.ndarray) -> bytes:
-    """One variant, -1 for missing."""
-    code = np.array([3, 2, 0, 1], np.uint8)[np.asarray(dosages, int)]
-    code = np.concatenate([code, np.zeros(-len(code) % 4, np.uint8)]).reshape(-1, 4)
-    return (code << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8).tobytes()
-
-
 def bed_bytes(dosages: list) -> bytes:
-    return BED_MAGIC + b"".join(encode_bed([-1 if x is None else x for x in d]) for d in dosages)
+    """A3: the file of these variants, null for missing."""
+    return BED_MAGIC + bed_codes(pa.array([[None if x is None or x < 0 else x for x in d] for d in dosages], pa.list_(pa.int8())))
 
 
 def besd_bytes(columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> bytes:
@@ -225,40 +215,121 @@ def write_besd(pairs: DataFrame, variants: DataFrame, genes: DataFrame, path: st
     """
     from ..operators.aggregates import weighted_frequency
 
-    ship_package(pairs.sparkSession)
+    rows, _, _ = _described_pairs(pairs, variants, genes)
+    dealt = rows.repartitionByRange(parts, "gene_ord", "gene_id").sortWithinPartitions("gene_ord", "gene_id")
+    return save_sets(dealt, path, "besd")
+
+
+def _described_pairs(pairs: DataFrame, variants: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with what .esi and .epi lines need of their variants and genes; and the two by themselves."""
+    from ..operators.aggregates import weighted_frequency
+
     if "n" in variants.columns:
         weight = F.coalesce(F.col("n").cast("double"), F.lit(1.0))
         af = variants.filter("af is not null").groupBy("snp").agg(weighted_frequency(F.col("af"), weight).alias("af"))
         variants = variants.drop("af").dropDuplicates(["snp"]).join(af, "snp", "left")
     v = variants.select("snp", F.col("chrom").alias("v_chrom"), F.coalesce("pos", F.lit(-9)).alias("pos"), "a1", "a2", F.coalesce("af", F.lit(-9.0)).alias("af"))
     g = genes.select("gene_id", F.col("chrom").alias("g_chrom"), F.col("mid").cast("long").alias("mid"), F.col("ord").alias("gene_ord"))
-    rows = pairs.select("gene_id", "snp", "beta", "se").join(v, "snp").join(g, "gene_id")
+    return pairs.select("gene_id", "snp", "beta", "se").join(v, "snp").join(g, "gene_id"), v, g
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(batches) or [pd.DataFrame()])
-        if not len(held):
-            return
-        name = f"{path}/{uuid.uuid4().hex}"
-        esi = held.drop_duplicates("snp").sort_values(["v_chrom", "pos", "snp"])
-        place = {s: k for k, s in enumerate(esi["snp"])}
-        epi, columns = [], []
-        for gene, own in held.groupby("gene_id", sort=False):
-            own = own.assign(at=own["snp"].map(place)).sort_values("at")
-            columns.append((own["at"].to_numpy(), own["beta"].to_numpy(), own["se"].to_numpy()))
-            epi.append(f"{own['g_chrom'].iloc[0]}\t{gene}\t0\t{own['mid'].iloc[0]}\t{gene}\tNA")
-        esi_lines = [f"{r.v_chrom}\t{r.snp}\t0\t{r.pos}\t{r.a1}\t{r.a2}\t{r.af:.6f}" for r in esi.itertuples()]
-        files = {".besd": besd_bytes(columns), ".esi": "\n".join(esi_lines).encode() + b"\n", ".epi": "\n".join(epi).encode() + b"\n"}
-        _write_files(path, name, files)
-        yield pd.DataFrame({"name": [name], "n_genes": [len(epi)]})
 
-    dealt = rows.repartitionByRange(parts, "gene_ord", "gene_id").sortWithinPartitions("gene_ord", "gene_id")
-    return materialise(dealt.mapInPandas(write, "name string, n_genes int"), "besd-sets")
+#: Bytes of columns that a task writes into a pair matrix of one file.
+COLUMN_BYTES = 64 << 20
+
+
+def write_besd_file(pairs: DataFrame, variants: DataFrame, genes: DataFrame, prefix: str, joined: bool = False) -> None:
+    """B1: one pair-matrix set <prefix>.besd, .esi and .epi of all genes, written by many tasks.
+
+    Places of all columns are known before anything is written: running sums over the genes' pair counts. A task then writes
+    its range of genes to its bytes of the offsets, the variant numbers and the values. A second attempt writes the same
+    bytes to the same places. Stores that cannot write at a place (or joined) get parts instead, which one task copies
+    behind one another, a megabyte at a time. Genes without a pair and variants of none do not get into the set.
+    """
+    from ..operators.filters import reindex, running_sum
+
+    ship_package(pairs.sparkSession)
+    rows, v, g = _described_pairs(pairs, variants, genes)
+    rows = materialise(rows, "besd-pairs")
+    esi = reindex(v.join(rows.select("snp").distinct(), "snp", "left_semi"), "v_chrom", "pos", "snp", name="place")
+    counts = g.join(rows.groupBy("gene_id").agg(F.count("*").alias("k")), "gene_id")
+    epi = running_sum(reindex(counts, "gene_ord", "gene_id", name="gene_idx"), ("gene_idx",), 2 * F.col("k"), "first")
+    esi, epi = materialise(esi, "besd-esi"), materialise(epi, "besd-epi")
+    n_genes, total = epi.agg(F.count("*"), F.coalesce(F.sum(2 * F.col("k")), F.lit(0))).first()
+    if not n_genes:
+        raise EngineError("no pair to write")
+    folder, _, name = prefix.rpartition("/")
+    tab = F.concat_ws
+    for suffix, described, order, line in (
+        (".esi", esi, "place", tab("\t", "v_chrom", "snp", F.lit(0), "pos", "a1", "a2", F.format_string("%.6f", "af"))),
+        (".epi", epi, "gene_idx", tab("\t", "g_chrom", "gene_id", F.lit(0), "mid", "gene_id", F.lit("NA"))),
+    ):
+        write_named(described.select(F.lit(name + suffix).alias("name"), F.col(order).alias("ord"), line.alias("line")), folder).count()
+    fs, at = create(prefix + ".besd")
+    placed = isinstance(fs, pyarrow.fs.LocalFileSystem) and not joined
+    head = struct.pack("<IQ", SPARSE_3F, total)
+    starts = [len(head), len(head) + 8 * (2 * n_genes + 1), len(head) + 8 * (2 * n_genes + 1) + 4 * total]
+    if placed:
+        with open(at, "wb") as out:
+            out.write(head)
+            out.truncate(starts[2] + 4 * total)
+            out.seek(starts[1] - 8)
+            out.write(struct.pack("<Q", total))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        held = pa.Table.from_batches(held)
+        gene, place, first, beta, se = (held.column(c).to_numpy() for c in ("gene_idx", "place", "first", "beta", "se"))
+        low, base, n = int(gene[0]), int(first[0]), int(gene[-1]) - int(gene[0]) + 1
+        offsets, ids, values = pair_columns(gene - low, place, beta, se, n)
+        parts = (base + offsets[:-1]).astype("<u8").tobytes(), ids, values
+        if placed:
+            with open(at, "r+b") as out:
+                for start, content in zip((starts[0] + 16 * low, starts[1] + 4 * base, starts[2] + 4 * base), parts, strict=True):
+                    out.seek(start)
+                    out.write(content)
+            names = [""] * 3
+        else:
+            names = [f"{at}.{uuid.uuid4().hex}" for _ in parts]
+            for part, content in zip(names, parts, strict=True):
+                with fs.open_output_stream(part) as out:
+                    out.write(content)
+        yield pa.record_batch([pa.array([low])] + [pa.array([x]) for x in names], ["low", "p0", "p1", "p2"])
+
+    wanted = rows.select("gene_id", "snp", "beta", "se").join(epi.select("gene_id", "gene_idx", "first"), "gene_id").join(esi.select("snp", "place"), "snp")
+    parts = max(1, -(-8 * total // COLUMN_BYTES))
+    dealt = wanted.repartitionByRange(parts, "gene_idx").sortWithinPartitions("gene_idx", "place").select("gene_idx", "place", "first", "beta", "se")
+    listed = materialise(dealt.mapInArrow(write, "low long, p0 string, p1 string, p2 string"), "besd-parts")
+    if placed:
+        return
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        draft = f"{at}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as out:
+            out.write(head)
+            for k in (1, 2, 3):
+                for row in order:
+                    with fs.open_input_stream(row[k]) as source:
+                        while raw := source.read(1 << 20):
+                            out.write(raw)
+                if k == 1:
+                    out.write(struct.pack("<Q", total))
+        fs.move(draft, at)
+        yield pa.record_batch([pa.array([len(order)])], ["parts"])
+
+    # names of parts, some for each COLUMN_BYTES
+    listed.coalesce(1).mapInArrow(join, "parts long").collect()
+    for row in listed.collect():
+        for part in row[1:]:
+            fs.delete_file(part)
 
 
 def _write_files(folder: str, name: str, files: dict[str, bytes]) -> None:
     """Files name + suffix in a folder."""
-    fs, at = _create(name)
-    fs.create_dir(_create(folder)[1], recursive=True)
+    fs, at = create(name)
+    fs.create_dir(create(folder)[1], recursive=True)
     for suffix, content in files.items():
         with fs.open_output_stream(at + suffix) as out:
             out.write(content)
@@ -267,31 +338,17 @@ def _write_files(folder: str, name: str, files: dict[str, bytes]) -> None:
 def write_bed(genotypes: DataFrame, people: DataFrame, path: str, parts: int = 1) -> DataFrame:
     """A genotype set .bed, .bim and .fam for each of about `parts` ranges of variants. genotypes: idx, snp, chrom, pos,
     gen_pos, a1, a2, dosage; people (fid, iid, ord), one for each dosage. Returns (name, n_variants)."""
-    ship_package(genotypes.sparkSession)
-    # one line a person, in every set
-    lines = people.orderBy("ord").select(F.concat_ws(" ", "fid", "iid", F.lit("0 0 0 -9")).alias("line"))
-    fam = genotypes.sparkSession.sparkContext.broadcast(("\n".join(r.line for r in lines.collect()) + "\n").encode())
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, bed, bim, n = f"{path}/{uuid.uuid4().hex}", None, [], 0
-        for rows in batches:
-            if bed is None:
-                fs, at = _create(name)
-                fs.create_dir(_create(path)[1], recursive=True)
-                bed = fs.open_output_stream(at + ".bed")
-                bed.write(BED_MAGIC)
-            for row in rows.itertuples():
-                bed.write(encode_bed([-1 if x is None or x != x else int(x) for x in row.dosage]))
-                bim.append(f"{row.chrom} {row.snp} {row.gen_pos} {row.pos} {row.a1} {row.a2}")
-            n += len(rows)
-        if bed is not None:
-            bed.close()
-            _write_files(path, name, {".bim": ("\n".join(bim) + "\n").encode(), ".fam": fam.value})
-            yield pd.DataFrame({"name": [name], "n_variants": [n]})
-
+    # one line a person, copied into every set
+    lines = people.select(F.lit(f"people-{uuid.uuid4().hex}").alias("name"), "ord", F.concat_ws(" ", "fid", "iid", F.lit("0 0 0 -9")).alias("line"))
+    fam = materialise(lines, "people")
+    name = fam.first()
+    if name is None:
+        raise EngineError("no people to write")
+    at = fresh_path(people.sparkSession, "fam")
+    write_named(fam, at).count()
     wanted = genotypes.select("idx", "snp", "chrom", "pos", "gen_pos", "a1", "a2", "dosage")
     dealt = wanted.repartitionByRange(parts, "idx").sortWithinPartitions("idx")
-    return materialise(dealt.mapInPandas(write, "name string, n_variants int"), "bed-sets")
+    return save_sets(dealt, path, "bed", people=f"{at}/{name.name}")
 
 
 def write_ld(ld: DataFrame, variants: DataFrame, n: int, path: str, kind: str = "full", parts: int = 1) -> DataFrame:
@@ -304,7 +361,6 @@ def write_ld(ld: DataFrame, variants: DataFrame, n: int, path: str, kind: str =
     from ..operators.ld import dense_rows, matrix_rows
     from ..operators.merges import part_of
 
-    ship_package(ld.sparkSession)
     sparse = kind == "sparse"
     m = variants.count()
     entries = ld.select("i", "j", "r")
@@ -320,34 +376,8 @@ def write_ld(ld: DataFrame, variants: DataFrame, n: int, path: str, kind: str =
     out = out.select(part_of(F.col("idx"), m, parts).cast("int").alias("part"), "idx", head.alias("line"), "js", "rs")
     title = "Chrom ID GenPos PhysPos A1 A2 A1Freq Index WindStart WindEnd WindSize WindWidth N SamplVar LDsum"
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, name, lines, stream, done = None, "", [], None, []
-
-        def close() -> None:
-            if stream is not None:
-                stream.close()
-                _write_files(path, name, {".info": ("\n".join([title, *lines]) + "\n").encode()})
-                done.append((part, name, len(lines)))
-
-        for rows in batches:
-            for row in rows.itertuples():
-                if row.part != part:
-                    close()
-                    part, lines = row.part, []
-                    name = f"{path}/part{part:05d}-{uuid.uuid4().hex}.ldm.{kind}"
-                    fs, at = _create(name)
-                    fs.create_dir(_create(path)[1], recursive=True)
-                    stream = fs.open_output_stream(at + ".bin")
-                lines.append(row.line)
-                if sparse:
-                    stream.write(np.asarray(row.js, "<u4").tobytes())
-                stream.write(np.asarray(row.rs, "<f8").tobytes())
-        close()
-        if done:
-            yield pd.DataFrame(done, columns=["part", "name", "n_rows"])
-
-    dealt = out.repartition(parts, "part").sortWithinPartitions("part", "idx")
-    return materialise(dealt.mapInPandas(write, "part int, name string, n_rows int"), "ld-sets")
+    dealt = out.repartition(parts, "part").sortWithinPartitions("part", "idx").select("part", "line", "js", "rs")
+    return save_sets(dealt, path, "ld", matrix=kind, title=title)
 
 
 def write_list(listed: DataFrame, path: str, order: str = "part", name: str = "name") -> None:
@@ -377,8 +407,8 @@ def write_block_ld(ld: DataFrame, members: DataFrame, path: str) -> DataFrame:
         # written whole under a name of its own and then moved, so that a second attempt leaves no half file
         draft = f"{path}/.{uuid.uuid4().hex}"
         _write_files(path, draft, {"": full.tobytes()})
-        fs, at = _create(draft)
-        fs.move(at, _create(name)[1])
+        fs, at = create(draft)
+        fs.move(at, create(name)[1])
         return pd.DataFrame({"region": [str(key[0])], "file": [name], "m": [len(idx)]})
 
     return materialise(ld.groupBy("region").cogroup(members.select("region", "idx").groupBy("region")).applyInPandas(write, "region string, file string, m int"), "block-ld")
@@ -408,7 +438,7 @@ def write_eigen(eigen: DataFrame, path: str) -> DataFrame:
     ship_package(eigen.sparkSession)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, folder = _create(path)
+        fs, folder = create(path)
         fs.create_dir(folder, recursive=True)
         for rows in batches:
             for row in rows.to_dict("records"):
@@ -435,27 +465,5 @@ def write_eigen_set(eigen: DataFrame, members: DataFrame, variants: DataFrame, n
     listed = listed.groupBy("__region").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l")).select("__region", F.col("l.line").alias("lines"))
     rows = eigen.withColumn("__region", F.col("region").cast("string")).drop("region").join(about, "__region").join(listed, "__region").withColumnRenamed("__region", "region")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, stream, info, described, n_regions = f"{path}/{uuid.uuid4().hex}", None, [], {}, 0
-        for rows in batches:
-            for row in rows.to_dict("records"):
-                if stream is None:
-                    fs, at = _create(f"{name}.eigen.{kind}.bin")
-                    fs.create_dir(_create(path)[1], recursive=True)
-                    stream = fs.open_output_stream(at)
-                if len(row["lines"]) != row["m"]:
-                    raise EngineError(f"region {row['region']}: {row['m']} variants, {len(row['lines'])} described")
-                stream.write(eigen_bytes(row))
-                place = f"{row['chrom']} {row['region']} {row['start']} {row['end']}" + (f" {row['window']}" if gene else "")
-                info += [f"{place} {s} {row['m']}" for s in row["snps"]]
-                described |= dict(zip(row["snps"], row["lines"], strict=True))
-                n_regions += 1
-        if stream is not None:
-            stream.close()
-            title = "Chrom probeID start end windows snpInGene NumSnpInGene" if gene else "Chrom LDBLOCK start end snpInLdBlock NumSnpInLdBlock"
-            heads = {".info": [title, *info], ".snp.info": ["Chrom ID GenPos PhysPos A1 A2 A1Freq N", *described.values()]}
-            _write_files(path, f"{name}.eigen.{kind}", {k: ("\n".join(v) + "\n").encode() for k, v in heads.items()})
-            yield pd.DataFrame({"name": [name], "n_regions": [n_regions]})
-
     dealt = rows.repartitionByRange(parts, "chrom", "start", "region").sortWithinPartitions("chrom", "start", "region")
-    return materialise(dealt.mapInPandas(write, "name string, n_regions int"), "eigen-sets")
+    return save_sets(dealt, path, "eigen", regions=kind)

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..session import ship_package
@@ -22,6 +24,8 @@ from ..storage import materialise
 BED_MAGIC = b"\x6c\x1b\x01"
 #: Sparse pair matrix with a three-word header.
 SPARSE_3F = 0x40400000
+#: Entries of correlation rows in one Arrow batch.
+ENTRIES = 200_000
 _CODES = np.array([2, -1, 1, 0], np.int8)
 _DECODED = _CODES[(np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3]
 
@@ -49,6 +53,15 @@ def decode_bed(raw: bytes, people: int) -> np.ndarray:
     return _DECODED[np.frombuffer(raw, np.uint8)].ravel()[:people]
 
 
+def dosage_array(raw: bytes, variants: int, people: int, keep: np.ndarray | list[int] | None = None) -> pa.ListArray:
+    """Packed variants as Arrow lists of dosages, null where missing, of all or the kept people."""
+    g = _DECODED[np.frombuffer(raw, np.uint8)].reshape(variants, -1)[:, :people]
+    g = np.ascontiguousarray(g if keep is None else g[:, keep])
+    flat = g.ravel()
+    offsets = np.arange(variants + 1, dtype=np.int32) * g.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int8(), mask=flat < 0))
+
+
 def read_bed(path: str, variants: DataFrame, people: int, keep: list[int] | None = None) -> DataFrame:
     """A3: variants (snp, file_idx, any more) with dosage, an array with null for missing, of all or the kept people."""
     ship_package(variants.sparkSession)
@@ -56,20 +69,23 @@ def read_bed(path: str, variants: DataFrame, people: int, keep: list[int] | None
         if file.read(3) != BED_MAGIC:
             raise EngineError(f"{path} is not a variant-major genotype file")
     width = -(-people // 4)
-    schema = variants.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", dosage array<tinyint>"
+    # variants read together, so that their dosages stay some megabytes
+    most = max(1, (4 << 20) // max(1, people))
+    schema = T.StructType([*variants.schema, T.StructField("dosage", T.ArrayType(T.ByteType()))])
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open_file(path) as file:
             for rows in batches:
-                out = []
-                for k in rows["file_idx"].tolist():
-                    file.seek(3 + k * width)
-                    g = decode_bed(file.read(width), people)
-                    g = g if keep is None else g[keep]
-                    out.append([None if x < 0 else int(x) for x in g])
-                yield rows.assign(dosage=out)
+                for at in range(0, len(rows), most):
+                    some = rows.slice(at, most)
+                    raw = []
+                    for k in some.column("file_idx").to_pylist():
+                        file.seek(3 + k * width)
+                        raw.append(file.read(width))
+                    dosage = dosage_array(b"".join(raw), len(some), people, keep)
+                    yield pa.record_batch([*some.columns, dosage], schema.names)
 
-    return variants.repartitionByRange("file_idx").sortWithinPartitions("file_idx").mapInPandas(load, schema)
+    return variants.repartitionByRange("file_idx").sortWithinPartitions("file_idx").mapInArrow(load, schema)
 
 
 def genotype_stats(genotypes: DataFrame, scale: bool = True) -> DataFrame:
@@ -108,40 +124,16 @@ def besd_layout(path: str) -> tuple[str, int]:
 def read_besd(spark: SparkSession, path: str, esi: DataFrame, epi: DataFrame, missing: float = -9.0) -> DataFrame:
     """(gene_id, snp, beta, se); pairs whose se is missing go. esi and epi give the file's order in ord.
 
-    Genes are dealt out by range; a task reads the columns of its own genes.
+    The pairs come from the locus_besd source, a partition for some megabytes of columns.
     """
     from ..operators.filters import reindex
+    from .datasource import register
 
-    ship_package(spark)
-    genes = reindex(epi, "ord", name="gene_idx").select("gene_id", "gene_idx")
+    register(spark)
+    genes = reindex(epi, "ord", name="gene_idx").select(F.col("gene_idx").cast("long").alias("gene_idx"), "gene_id")
     variants = reindex(esi, "ord", name="row").select("snp", F.col("row").cast("long").alias("row"))
-    kind, start = besd_layout(path)
-    n_genes, n_rows = epi.count(), esi.count()
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open_file(path) as file:
-            for rows in batches:
-                for gene, k in zip(rows["gene_id"], rows["gene_idx"].tolist(), strict=True):
-                    if kind == "dense":
-                        file.seek(start + k * 8 * n_rows)
-                        both = np.frombuffer(file.read(8 * n_rows), "<f4")
-                        beta, se, at = both[:n_rows], both[n_rows:], np.arange(n_rows)
-                    else:
-                        file.seek(start + 16 * k)
-                        lo, mid, hi = struct.unpack("<3Q", file.read(24))
-                        file.seek(start - 8)
-                        total = struct.unpack("<Q", file.read(8))[0]
-                        ids = start + 8 * (2 * n_genes + 1)
-                        file.seek(ids + 4 * lo)
-                        at = np.frombuffer(file.read(4 * (mid - lo)), "<u4").astype(np.int64)
-                        file.seek(ids + 4 * total + 4 * lo)
-                        both = np.frombuffer(file.read(4 * (hi - lo)), "<f4")
-                        beta, se = both[: mid - lo], both[mid - lo :]
-                    ok = se != missing
-                    yield pd.DataFrame({"gene_id": gene, "row": at[ok], "beta": beta[ok].astype(float), "se": se[ok].astype(float)})
-
-    found = genes.repartitionByRange("gene_idx").mapInPandas(load, "gene_id string, row long, beta double, se double")
-    return found.join(variants, "row").select("gene_id", "snp", "beta", "se")
+    pairs = spark.read.format("locus_besd").option("genes", epi.count()).option("missing", missing).load(path)
+    return pairs.drop("gene_id").join(genes, "gene_idx").join(variants, "row").select("gene_id", "snp", "beta", "se")
 
 
 def ld_row_places(info: DataFrame, sparse: bool = False) -> DataFrame:
@@ -162,19 +154,31 @@ def read_ld_rows(info: DataFrame, sparse: bool = False) -> DataFrame:
     """
     ship_package(info.sparkSession)
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at_hand, file = None, None
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_hand, file, held, n = None, None, [], 0
+
+        def batch() -> pa.RecordBatch:
+            shard, i, j, r = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.record_batch([pa.array(shard, pa.int32()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(r)], ["shard", "i", "j", "r"])
+
         for rows in batches:
-            for shard, path, i, first, size, at in zip(rows["shard"], rows["path"], rows["idx"], rows["window_start"], rows["window_size"], rows["byte_at"], strict=True):
+            for shard, path, i, first, size, at in zip(*[rows.column(c).to_pylist() for c in ("shard", "path", "idx", "window_start", "window_size", "byte_at")], strict=True):
                 if path != at_hand:
                     at_hand, file = path, open_file(path)
                 file.seek(at)
                 j = np.frombuffer(file.read(4 * size), "<u4").astype(np.int64) if sparse else np.arange(first, first + size)
-                yield pd.DataFrame({"shard": shard, "i": i, "j": j, "r": np.frombuffer(file.read(8 * size), "<f8")})
+                held.append((np.full(size, shard), np.full(size, i), j, np.frombuffer(file.read(8 * size), "<f8")))
+                n += size
+                # some rows of the matrix make a batch
+                if n >= ENTRIES:
+                    yield batch()
+                    held, n = [], 0
+        if held:
+            yield batch()
 
     wanted = info.select("shard", "path", "idx", "window_start", "window_size", "byte_at")
     dealt = wanted.repartitionByRange("path", "byte_at").sortWithinPartitions("path", "byte_at")
-    return dealt.mapInPandas(load, "shard int, i long, j long, r double")
+    return dealt.mapInArrow(load, "shard int, i long, j long, r double")
 
 
 def read_ld_set(spark: SparkSession, prefixes: list[str], sparse: bool | None = None, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

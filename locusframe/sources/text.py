@@ -146,13 +146,15 @@ def read_flist(spark: SparkSession, path: str, folder: str) -> dict[str, DataFra
     return {"genes": genes, "variants": variants, "pairs": pairs.join(genes.select("gene_id", "n"), "gene_id")}
 
 
-def read_esi(spark: SparkSession, path: str, reference: DataFrame | None = None) -> DataFrame:
-    """Variants of a BESD set, with N if the file has it; X and Y are 23 and 24, missing values null.
+def read_esi(spark: SparkSession, path: str | list[str], reference: DataFrame | None = None) -> DataFrame:
+    """Variants of a BESD set, with N if the file has it; X and Y are 23 and 24, missing values null. Of several files
+    each row has its file_path.
 
     With a reference (snp, and a1 and a2 if alleles are to be checked), only its variants stay; flipped tells those whose
     alleles are swapped there, and those with other alleles go.
     """
-    rows = read_lines(spark, path).withColumn("parts", F.split(F.trim("value"), r"[ \t]+"))
+    many = isinstance(path, list)
+    rows = read_lines(spark, *(path if many else [path])).withColumn("parts", F.split(F.trim("value"), r"[ \t]+"))
     part = [F.get("parts", F.lit(k)) for k in range(8)]
 
     def number(k: int, kind: str):
@@ -161,26 +163,32 @@ def read_esi(spark: SparkSession, path: str, reference: DataFrame | None = None)
 
     out = rows.select(
         chromosome(part[0]).alias("chrom"), part[1].alias("snp"), number(2, "double").alias("gen_pos"), number(3, "int").alias("pos"),
-        *[F.when(~is_missing(part[k]), F.upper(part[k])).alias(f"a{k - 3}") for k in (4, 5)], number(6, "double").alias("af"), number(7, "double").alias("n"), "ord",
+        *[F.when(~is_missing(part[k]), F.upper(part[k])).alias(f"a{k - 3}") for k in (4, 5)], number(6, "double").alias("af"), number(7, "double").alias("n"), "ord", *(["file_path"] if many else []),
     )
-    if reference is None:
-        return out
+    return out if reference is None else flag_flipped(out, reference)
+
+
+def flag_flipped(variants: DataFrame, reference: DataFrame) -> DataFrame:
+    """Variants that the reference has. If it has alleles, flipped tells those whose alleles are swapped there, and those
+    with other alleles go; alleles, frequencies and effects stay as they are."""
     if "a1" not in reference.columns:
-        return out.join(reference.select("snp"), "snp", "left_semi")
+        return variants.join(reference.select("snp"), "snp", "left_semi")
     ref = reference.select("snp", F.col("a1").alias("ref_a1"), F.col("a2").alias("ref_a2"))
-    return align_alleles(out.join(ref, "snp"), beta="none", af="none").drop("orient", "ref_a1", "ref_a2")
+    return align_alleles(variants.join(ref, "snp"), beta="none", af="none").drop("orient", "ref_a1", "ref_a2")
 
 
-def read_epi(spark: SparkSession, path: str) -> DataFrame:
-    """Probes, of 6 or 7 columns; the distance column is no position, so start and end stay null."""
-    rows = read_lines(spark, path).withColumn("parts", F.split(F.trim("value"), r"[ \t]+"))
+def read_epi(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Probes, of 6 or 7 columns; the distance column is no position, so start and end stay null. Of several files each
+    row has its file_path, and a gene may stand in each."""
+    many = isinstance(path, list)
+    rows = read_lines(spark, *(path if many else [path])).withColumn("parts", F.split(F.trim("value"), r"[ \t]+"))
     part, wide = [F.get("parts", F.lit(k)) for k in range(7)], F.size("parts") == 7
     distance = part[2].try_cast("double")
     out = rows.select(
         chromosome(part[0]).alias("chrom"), part[1].alias("gene_id"), F.when(distance != -999, distance).alias("gen_dist"), part[3].try_cast("double").alias("mid"), part[4].alias("probe_id"),
-        F.when(wide, part[5].try_cast("long")).alias("n"), F.when(wide, part[6]).otherwise(part[5]).alias("orientation"), "ord",
+        F.when(wide, part[5].try_cast("long")).alias("n"), F.when(wide, part[6]).otherwise(part[5]).alias("orientation"), "ord", *(["file_path"] if many else []),
     )
-    return require_unique(out, "gene_id")
+    return out if many else require_unique(out, "gene_id")
 
 
 QUERY_COLUMNS = "GeneID GeneChr GeneLength GenePhyPos SNPID SNPChr SNPPhyPos A1 A2 A1Freq BETA SE Pvalue N".split()
@@ -189,7 +197,9 @@ QUERY_COLUMNS = "GeneID GeneChr GeneLength GenePhyPos SNPID SNPChr SNPPhyPos A1
 def read_query(spark: SparkSession, path: str, reference: DataFrame | None = None) -> dict[str, DataFrame]:
     """Genes, variants and pairs of a gzipped pair table. Its header must be the fourteen names.
 
-    Pairs whose N is not a positive integer go; n_mean and n_sd are each gene's; has_pairs: more than one pair.
+    Pairs whose N is not a positive integer go; n_mean and n_sd are each gene's; has_pairs: more than one pair. With a
+    reference only its variants stay; if it has alleles, variants with others go with their pairs, and variants and pairs tell in
+    flipped where the alleles are swapped.
     """
     from ..operators.aggregates import sample_size_stats
 
@@ -197,10 +207,12 @@ def read_query(spark: SparkSession, path: str, reference: DataFrame | None = Non
     if rows.columns != QUERY_COLUMNS:
         raise EngineError(f"{path}: header is not {' '.join(QUERY_COLUMNS)}")
     rows = rows.filter(positive_integer(F.col("N"))).withColumn("ord", F.monotonically_increasing_id())
+    flag = []
     if reference is not None:
-        rows = rows.join(reference.select(F.col("snp").alias("SNPID")), "SNPID", "left_semi")
-    pairs = rows.select(F.col("GeneID").alias("gene_id"), F.col("SNPID").alias("snp"), *[F.col(c).try_cast("double").alias(d) for c, d in (("BETA", "beta"), ("SE", "se"), ("Pvalue", "p"))], F.col("N").cast("long").alias("n"), "ord")
-    variants = first_of_each(rows.select(F.col("SNPID").alias("snp"), F.col("SNPChr").cast("int").alias("chrom"), F.col("SNPPhyPos").cast("int").alias("pos"), F.col("A1").alias("a1"), F.col("A2").alias("a2"), F.col("A1Freq").try_cast("double").alias("af"), "ord"), ["snp"], ["ord"])
+        rows = flag_flipped(rows.withColumnsRenamed({"SNPID": "snp", "A1": "a1", "A2": "a2"}), reference).withColumnsRenamed({"snp": "SNPID", "a1": "A1", "a2": "A2"})
+        flag = ["flipped"] if "flipped" in rows.columns else []
+    pairs = rows.select(F.col("GeneID").alias("gene_id"), F.col("SNPID").alias("snp"), *[F.col(c).try_cast("double").alias(d) for c, d in (("BETA", "beta"), ("SE", "se"), ("Pvalue", "p"))], F.col("N").cast("long").alias("n"), "ord", *flag)
+    variants = first_of_each(rows.select(F.col("SNPID").alias("snp"), F.col("SNPChr").cast("int").alias("chrom"), F.col("SNPPhyPos").cast("int").alias("pos"), F.col("A1").alias("a1"), F.col("A2").alias("a2"), F.col("A1Freq").try_cast("double").alias("af"), "ord", *flag), ["snp"], ["ord"])
     genes = first_of_each(rows.select(F.col("GeneID").alias("gene_id"), F.col("GeneChr").cast("int").alias("chrom"), F.col("GeneLength").try_cast("int").alias("length"), F.col("GenePhyPos").try_cast("double").alias("mid"), "ord"), ["gene_id"], ["ord"])
     counts = pairs.groupBy("gene_id").agg((F.count("*") > 1).alias("has_pairs"))
     return {"genes": genes.join(sample_size_stats(pairs), "gene_id").join(counts, "gene_id"), "variants": variants, "pairs": pairs.drop("ord")}
