@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import reindex
-
 
 def biased_correlation(x: Column, y: Column) -> Column:
     """Covariance over n, variances over n-1, so (n-1)/n of the usual correlation."""
@@ -24,19 +22,63 @@ def upper_median(column: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
-def exact_median(rows: DataFrame, column: str, upper: bool = False) -> float | None:
-    """The median of a whole column, or the element floor(n/2) of its sorted values; null if there is none.
+#: Values that selection takes to the driver at most, and how far around a rank, as a share, it looks first.
+SELECT_ROWS, _AROUND = 20_000, 1 / 500
+
+
+def select_ranks(rows: DataFrame, column: str, ranks: list[int], n: int) -> list[float]:
+    """The values of these 0-based ranks among the n known values of a column, ascending.
 
-    The values alone are sorted over all partitions and numbered; one or two of them reach the driver.
+    Selection, not a sort: a pass finds two approximate quantiles around the ranks, another counts what lies below and between
+    them, and what lies between is all that further passes look at, until it is few enough to be taken. All passes
+    aggregate map-side. Where many values are equal, so that a pass gains little, one value parts the rest into lower, equal and higher.
     """
-    known = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    placed = reindex(known, "x", name="at")
-    n = placed.count()
-    if not n:
-        return None
-    wanted = [n // 2] if upper else sorted({(n - 1) // 2, n // 2})
-    found = [r.x for r in placed.filter(F.col("at").isin(wanted)).select("x").collect()]
-    return sum(found) / len(found)
+    values = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    x, below, inside, part = F.col("x"), 0, n, F.lit(True)
+    low, high = min(ranks), max(ranks)
+    around = _AROUND
+    while inside > SELECT_ROWS:
+        shares = [min(1.0, max(0.0, s)) for s in ((low - below) / inside - around, (high - below + 1) / inside + around)]
+        a, z = values.filter(part).agg(F.percentile_approx("x", shares, 10_000)).first()[0]
+        less, between = values.agg(F.count_if(part & (x < a)), F.count_if(part & (x >= a) & (x <= z))).first()
+        if below + less > low or below + less + between <= high:
+            around *= 8
+        elif a == z:
+            return [float(a)] * len(ranks)
+        elif between <= inside / 2:
+            below, inside, part = below + less, between, part & (x >= a) & (x <= z)
+        else:
+            found = {r: _parted(values.filter(part), r - below, inside) for r in set(ranks)}
+            return [found[r] for r in ranks]
+    few = sorted((r.x for r in values.filter(part).collect()), key=lambda v: (v != v, v))
+    return [float(few[r - below]) for r in ranks]
+
+
+def _parted(values: DataFrame, rank: int, n: int) -> float:
+    """The value of a rank by quickselect around approximate quantiles; the one that a pass looks at never comes back."""
+    x, part = F.col("x"), F.lit(True)
+    while True:
+        pivot = values.filter(part).agg(F.percentile_approx("x", min(1.0, (rank + 0.5) / n), 10_000)).first()[0]
+        less, equal = values.agg(F.count_if(part & (x < pivot)), F.count_if(part & (x == pivot))).first()
+        if less <= rank < less + equal:
+            return float(pivot)
+        part, rank, n = (part & (x < pivot), rank, less) if rank < less else (part & (x > pivot), rank - less - equal, n - less - equal)
+
+
+def exact_median(rows: DataFrame, column: str, upper: bool = False) -> float | None:
+    """The median of a whole column, or the element floor(n/2) of its sorted values; null if there is none."""
+    return exact_medians(rows, column, upper=upper)[0]
+
+
+def exact_medians(rows: DataFrame, *columns: str, upper: bool = False) -> list[float | None]:
+    """exact_median of several columns; rows are read a few times, so they should be a written table if they are dear."""
+    counts = rows.agg(*[F.count(c).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    out: list[float | None] = []
+    for column, n in zip(columns, counts, strict=True):
+        ranks = [n // 2] if upper else sorted({(n - 1) // 2, n // 2})
+        found = select_ranks(rows, column, ranks, n) if n else []
+        out.append(sum(found) / len(found) if found else None)
+    return out
 
 
 def weighted_frequency(af: Column, n: Column) -> Column:

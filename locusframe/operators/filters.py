@@ -141,6 +141,8 @@ def gwas_qc(
     rows = rows.withColumn("reason", reason)
     outlier = F.lit(False)
     if outlier_sd is not None:
+        # written once: the median, the deviation and the result read it
+        rows = materialise(rows, "gwas")
         sound = rows.filter("reason is null and n is not null").select(F.col("n").cast("double").alias("n"))
         median, sd = exact_median(sound, "n"), sound.agg(F.stddev_samp("n")).first()[0]
         if sd is not None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..storage import materialise
-from .aggregates import exact_median
+from .aggregates import exact_medians
 
 TILE = 512
 
@@ -238,12 +238,32 @@ def decompose(r: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray, flo
 _EIGEN = "m int, k int, sum_pos double, cutoff double, snps array<string>, values array<double>, vectors array<double>"
 
 
+def decompose_genotypes(dosages: list, cutoff: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """As decompose of the variants' correlation. Of more variants than people n, the n x n matrix Z' Z of the
+    standardised genotypes Z is decomposed instead, which has the same values above 0: it is summed over tiles of variants, and a
+    vector v of it gives Z v / value^1/2, tile by tile. No matrix of variants by variants is formed."""
+    m, n = len(dosages), len(dosages[0])
+    if m <= n or m == 1:
+        return decompose(correlation(dosages), cutoff)
+    tiles = range(0, m, TILE)
+    gram = np.zeros((n, n))
+    for at in tiles:
+        z = standardised(dosages[at : at + TILE])
+        gram += z.T @ z
+    values, v = np.linalg.eigh(gram)
+    total = float(values[values > 1e-10].sum())
+    k = truncate(values, total, cutoff)
+    back = v[:, -k:] / np.sqrt(values[-k:])
+    return values[-k:], np.concatenate([standardised(dosages[at : at + TILE]) @ back for at in tiles]), total
+
+
 def region_eigen(genotypes: DataFrame, cutoff: float = 0.9999, region: str = "region") -> DataFrame:
-    """One row a region: its variants in order, kept eigenvalues (ascending) and vectors (column by column)."""
+    """One row a region: its variants in order, kept eigenvalues (ascending) and vectors (column by column). A task holds a
+    region's genotypes and vectors, and a matrix of the fewer of its variants and people."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
-        values, vectors, total = decompose(correlation(list(rows["dosage"])), cutoff)
+        values, vectors, total = decompose_genotypes(list(rows["dosage"]), cutoff)
         out = {region: key[0], "m": len(rows), "k": len(values), "sum_pos": total, "cutoff": cutoff}
         return pd.DataFrame([out | {"snps": list(rows["snp"]), "values": values.tolist(), "vectors": vectors.T.ravel().tolist()}])
 
@@ -268,10 +288,12 @@ def retruncate(eigen: DataFrame, cutoff: float) -> DataFrame:
     return eigen.mapInPandas(cut, schema)
 
 
-def impute_region(rows: pd.DataFrame, r: np.ndarray, delta: float = 0.1) -> pd.DataFrame:
-    """Fills beta, se, n and p of rows that are not typed, from r = the low-rank correlation of all rows.
+def impute_region(rows: pd.DataFrame, a: np.ndarray, delta: float = 0.1) -> pd.DataFrame:
+    """Fills beta, se, n and p of rows that are not typed, from a (components by rows), where R = a' a is their correlation.
 
-    z_i = R_it (R_tt + delta I)^-1 z_t; variance and n are the upper medians of the typed rows.
+    z_i = R_it (R_tt + delta I)^-1 z_t = a_i' (a_t a_t' + delta I)^-1 a_t z_t, so that a system of as many unknowns as
+    there are components, or typed rows if they are fewer, is solved and no R is formed. Variance and n are the upper medians of
+    the typed rows.
     """
     typed = rows["typed"].to_numpy(bool)
     if typed.all() or not typed.any():
@@ -279,7 +301,12 @@ def impute_region(rows: pd.DataFrame, r: np.ndarray, delta: float = 0.1) -> pd.D
     b, se, n, af = (rows[c].to_numpy(float) for c in ("beta", "se", "n", "af"))
     twopq = 2 * af * (1 - af)
     z = b[typed] / se[typed]
-    zi = r[np.ix_(~typed, typed)] @ np.linalg.solve(r[np.ix_(typed, typed)] + delta * np.eye(typed.sum()), z)
+    at = a[:, typed]
+    if len(a) <= at.shape[1]:
+        w = np.linalg.solve(at @ at.T + delta * np.eye(len(a)), at @ z)
+    else:
+        w = at @ np.linalg.solve(at.T @ at + delta * np.eye(at.shape[1]), z)
+    zi = a[:, ~typed].T @ w
     spread = twopq[typed] * (n[typed] * se[typed] ** 2 + b[typed] ** 2)
     v, m = np.sort(spread)[len(spread) // 2], np.sort(n[typed])[typed.sum() // 2]
     base = np.sqrt(twopq[~typed] * (m + zi**2))
@@ -290,11 +317,11 @@ def impute_region(rows: pd.DataFrame, r: np.ndarray, delta: float = 0.1) -> pd.D
 
 
 def _in_region(rows: pd.DataFrame, e: pd.Series) -> tuple[pd.DataFrame, np.ndarray]:
-    """The rows whose variants an eigen row has, by name, and their low-rank correlation."""
+    """The rows whose variants an eigen row has, by name, and their factor: values^1/2 U', components by rows."""
     at = {s: k for k, s in enumerate(e["snps"])}
     rows = rows[rows["snp"].isin(at)].sort_values("snp").reset_index(drop=True)
     u = np.asarray(e["vectors"]).reshape(e["k"], e["m"])[:, [at[s] for s in rows["snp"]]]
-    return rows, u.T @ (np.asarray(e["values"])[:, None] * u)
+    return rows, np.sqrt(np.maximum(np.asarray(e["values"]), 0))[:, None] * u
 
 
 def impute_summary(stats: DataFrame, eigen: DataFrame, delta: float = 0.1, region: str = "region") -> DataFrame:
@@ -306,9 +333,9 @@ def impute_summary(stats: DataFrame, eigen: DataFrame, delta: float = 0.1, regio
         cols = [region, "snp", "af", "beta", "se", "n", "p", "imputed"]
         if not len(rows) or not len(low):
             return pd.DataFrame(columns=cols)
-        rows, r = _in_region(rows, low.iloc[0])
+        rows, a = _in_region(rows, low.iloc[0])
         rows = rows.assign(typed=rows["beta"].notna(), p=np.nan)
-        filled = impute_region(rows, r, delta)
+        filled = impute_region(rows, a, delta)
         own = filled["p"].isna() & filled["beta"].notna()
         filled.loc[own, "p"] = [math.erfc(abs(x) / math.sqrt(2)) for x in filled.loc[own, "beta"] / filled.loc[own, "se"]]
         return filled[cols]
@@ -382,16 +409,16 @@ def impute_sample_size(stats: DataFrame, tolerance: float = 0.01, outlier_sd: fl
     outlier_sd deviations of the new n from the median of the old n go, and the round repeats with the new n until the
     deviation changes by tolerance at most.
 
-    Rounds that end unsettled are an error, unless settle is false. Medians are exact, of columns sorted over all
-    partitions; three numbers a round reach the driver, and each round's rows are written.
+    Rounds that end unsettled are an error, unless settle is false. Medians are exact, by selection; some numbers a round reach
+    the driver, and each round's rows are written.
     """
     names = stats.columns
+    stats = materialise(stats, "sample-size-given")
     rows = stats.withColumn("__tpq", 2 * F.col("af") * (1 - F.col("af"))).withColumn("n", F.col("n").cast("double"))
     before = 0.0
     for _ in range(most):
         b2, var = F.col("b") * F.col("b"), F.col("se") * F.col("se")
-        ypy = exact_median(rows.select((F.col("__tpq") * F.col("n") * (F.col("n") * var + b2)).alias("y")), "y")
-        size = exact_median(rows, "n")
+        ypy, size = exact_medians(rows.select((F.col("__tpq") * F.col("n") * (F.col("n") * var + b2)).alias("y"), "n"), "y", "n")
         if ypy is None or not size:
             return rows.select(names)
         new = (F.lit(ypy / size) - F.col("__tpq") * b2) / (F.col("__tpq") * var)
@@ -418,8 +445,7 @@ def mixed_model_equations(stats: DataFrame, ld: DataFrame, n_ref: int, overlap:
     n, b2, var = F.col("n").cast("double"), F.col("b") * F.col("b"), F.col("se") * F.col("se")
     given = stats.select("idx", n.alias("n"), "b", "se", (2 * F.col("af") * (1 - F.col("af")) * (n * var + b2)).alias("__v"))
     given = materialise(given, "mme-stats")
-    var_p, n_median = exact_median(given, "__v", upper=True), exact_median(given, "n", upper=True)
-    ypy = exact_median(given.select((F.col("__v") * F.col("n")).alias("y")), "y", upper=True)
+    var_p, n_median, ypy = exact_medians(given.withColumn("__y", F.col("__v") * F.col("n")), "__v", "n", "__y", upper=True)
     m = given.count()
     d = F.lit(var_p) / (var + b2 / F.col("n"))
     rows = given.withColumn("d", d).withColumn("twopq", F.col("d") / F.col("n")).withColumn("tss", F.col("d") * (F.col("n") * var + b2))
@@ -449,17 +475,20 @@ def jackknife_variance(genotypes: DataFrame, **kept: object) -> DataFrame:
     return mirrored(ld_pairs(genotypes, jackknife=True, **kept)).groupBy("i").agg(F.sum("jackknife_var").alias("jackknife_var"))
 
 
-def resample_region(rows: pd.DataFrame, r: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
+def resample_region(rows: pd.DataFrame, a: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
     """Each variant's z from all others (leave one out), and beta and se at sample size aim_n; the variance is the
-    upper median of the others'. Where there is no other variant both are null."""
+    upper median of the others'. Where there is no other variant both are null. a: as in impute_region.
+
+    Only (R + delta I)^-1 z and that inverse's diagonal are needed; both follow from the k x k matrix a a' + delta I.
+    """
     m = len(rows)
     if m < 2:
         return rows.assign(beta_new=np.nan, se_new=np.nan)
     z = (rows["beta"] / rows["se"]).to_numpy(float)
     n, twopq = rows["n"].to_numpy(float), (2 * rows["af"] * (1 - rows["af"])).to_numpy(float)
-    inverse = np.linalg.inv(r + delta * np.eye(m))
-    # the left-out prediction follows from the full inverse
-    fitted = z - (inverse @ z) / np.diag(inverse)
+    x = np.linalg.solve(a @ a.T + delta * np.eye(len(a)), a)
+    # (R + delta I)^-1 = (I - a' x) / delta; the left-out prediction follows from it
+    fitted = z - (z - a.T @ (x @ z)) / (1 - (a * x).sum(axis=0))
     spread = twopq * (n * rows["se"].to_numpy(float) ** 2 + rows["beta"].to_numpy(float) ** 2)
     order = np.argsort(spread, kind="stable")
     rank, ranked, at = np.argsort(order), spread[order], (m - 1) // 2
@@ -468,13 +497,13 @@ def resample_region(rows: pd.DataFrame, r: np.ndarray, aim_n: float, delta: floa
     return rows.assign(beta_new=fitted * np.sqrt(v) / base, se_new=np.sqrt(v) / base)
 
 
-def rescale_region(rows: pd.DataFrame, r: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
+def rescale_region(rows: pd.DataFrame, a: np.ndarray, aim_n: float, delta: float = 0.1) -> pd.DataFrame:
     """Beta and se at sample size aim_n by the expected product of both studies' z, from the LD score and the overlap
     of the two samples, over the known z; null where that is 0."""
     z = (rows["beta"] / rows["se"]).to_numpy(float)
     n, twopq = rows["n"].to_numpy(float), (2 * rows["af"] * (1 - rows["af"])).to_numpy(float)
     both = np.sqrt(n * aim_n)
-    product = both * (r.sum(axis=0) + delta) / len(rows) + np.minimum(n, aim_n) / both
+    product = both * (a.T @ a.sum(axis=1) + delta) / len(rows) + np.minimum(n, aim_n) / both
     z2 = np.divide(product, z, out=np.full(len(z), np.nan), where=z != 0)
     base = np.sqrt(twopq * (aim_n + z2**2))
     return rows.assign(beta_new=z2 / base, se_new=1 / base)
@@ -490,8 +519,8 @@ def resample_effects(stats: DataFrame, eigen: DataFrame, aim_n: float, *, by_sco
     def one(key: tuple, rows: pd.DataFrame, low: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(low):
             return pd.DataFrame(columns=[*cols, "beta_new", "se_new"])
-        rows, r = _in_region(rows, low.iloc[0])
-        return method(rows, r, aim_n, delta)[[*cols, "beta_new", "se_new"]]
+        rows, a = _in_region(rows, low.iloc[0])
+        return method(rows, a, aim_n, delta)[[*cols, "beta_new", "se_new"]]
 
     out = f"{region} {kind}, snp string, af double, beta double, se double, n double, beta_new double, se_new double"
     wanted = stats.select(region, "snp", "af", "beta", "se", F.col("n").cast("double").alias("n"))

@@ -558,14 +558,87 @@ filled AS (SELECT i AS idx, x.b AS beta, x.se AS se, x.n AS n, false AS imputed
 """
 
 
-@query(_TWO + _IMPUTED + "SELECT 'v' || idx AS snp, round(beta, 5) AS beta, round(se, 5) AS se, n, imputed FROM filled")
+#: Regions of 64 variants: r of each pair, and of each variant with its region's first, which gives effects whose solution is known.
+_WHOLE = """
+, q AS (SELECT a.region, a.idx AS i, b.idx AS j, list_dot_product(a.g, b.g) AS r FROM z a JOIN z b ON a.region = b.region),
+lone AS (SELECT region FROM z GROUP BY region HAVING count(*) > 1),
+f AS (SELECT q.* FROM q JOIN lone USING (region) WHERE j % 64 = 0)
+"""
+
+
+def with_first(t, delta: float) -> DataFrame:
+    """Variants of regions of more than one, with z = r with the region's first, plus delta for the first itself: then
+    (R + delta I)^-1 z is 1 at the first and 0 elsewhere, and the first's r is what z of any other follows from."""
+    r = L.region_ld(genotypes(t)).filter("i % 64 = 0").select("region", F.col("j").alias("idx"), "r")
+    size = r.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1")
+    return r.join(size, "region").withColumn("z", F.col("r") + F.when(F.col("idx") % 64 == 0, F.lit(delta)).otherwise(F.lit(0.0)))
+
+
+@query(_WHOLE + "SELECT 'v' || i AS snp, round(CASE WHEN i = j THEN r + 0.1 ELSE r END, 4) AS z, i % 64 % 3 = 2 AS imputed FROM f")
 def impute_z(t):
+    """J9 over whole regions: every third variant has no effect of its own."""
+    known = with_first(t, 0.1).select("region", F.concat(F.lit("v"), "idx").alias("snp"), F.lit(0.3).alias("af"), F.when(F.col("idx") % 64 % 3 != 2, F.col("z")).alias("beta"), F.lit(1.0).alias("se"), F.lit(1000.0).alias("n"))
+    out = L.impute_summary(known, L.region_eigen(genotypes(t), 1.0))
+    return out.select("snp", F.round(F.col("beta") / F.col("se"), 4).alias("z"), "imputed")
+
+
+@query(_TWO + _IMPUTED + "SELECT 'v' || idx AS snp, round(beta, 5) AS beta, round(se, 5) AS se, n, imputed FROM filled")
+def impute_effects(t):
+    """Effects and errors, in regions of two variants."""
     g = two(t)
     known = effects(t).join(g.select("snp", "region"), "snp")
     stats = known.select("region", "snp", "af", F.when(F.col("idx") % 2 == 0, F.col("b")).alias("beta"), "se", "n")
     return L.impute_summary(stats, L.region_eigen(g, 0.9999999)).select("snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), "n", "imputed")
 
 
+@query(_WHOLE + "SELECT 'v' || i AS snp, round(r, 5) AS z FROM f WHERE i <> j")
+def resample_left_out_whole(t):
+    """J10 over whole regions: all but the first are predicted as they are."""
+    known = with_first(t, 0.1).select("region", F.concat(F.lit("v"), "idx").alias("snp"), F.lit(0.3).alias("af"), F.col("z").alias("beta"), F.lit(1.0).alias("se"), F.lit(1000.0).alias("n"))
+    out = L.resample_effects(known, L.region_eigen(genotypes(t), 1.0), 5000).filter("cast(substr(snp, 2) as long) % 64 <> 0")
+    return out.select("snp", F.round(F.col("beta_new") / F.col("se_new"), 5).alias("z"))
+
+
+@query(_WHOLE + """
+, e AS (SELECT idx, (idx % 9 - 4.5::DOUBLE) / 100 / (0.02::DOUBLE + idx % 7 / 100.0::DOUBLE) AS z, 1000 + idx % 50 * 10.0::DOUBLE AS n FROM z),
+s AS (SELECT i, sum(r) AS total, count(*) AS m FROM q JOIN lone USING (region) GROUP BY i)
+SELECT 'v' || i AS snp, round((sqrt(n * 5000) * (total + 0.1) / m + least(n, 5000) / sqrt(n * 5000)) / z, 4) AS z FROM s JOIN e ON e.idx = s.i
+""")
+def resample_by_score_whole(t):
+    """J10 by LD scores over whole regions."""
+    g = genotypes(t)
+    size = g.groupBy("region").count().filter("count > 1").select("region")
+    known = effects(t).join(g.select("snp", "region"), "snp").join(size, "region")
+    out = L.resample_effects(known.select("region", "snp", "af", F.col("b").alias("beta"), "se", "n"), L.region_eigen(g, 1.0), 5000, by_score=True)
+    return out.select("snp", F.round(F.col("beta_new") / F.col("se_new"), 4).alias("z"))
+
+
+@query(_WHOLE + "SELECT region, round(r, 4) AS total FROM f WHERE i = j")
+def project_effects_whole(t):
+    """J13 over whole regions: b is a column of R, so that the squares of its projection add up to its diagonal entry."""
+    known = with_first(t, 0.0).select("region", F.concat(F.lit("v"), "idx").alias("snp"), F.col("z").alias("b"))
+    w = L.project_effects(known, L.region_eigen(genotypes(t), 1.0))
+    return w.groupBy("region").agg(F.round(F.sum(F.col("w") * F.col("w")), 4).alias("total"))
+
+
+#: Of half the people there are more variants than people in a region.
+_HALF = """
+, y AS (SELECT vec_id AS idx, vec_id // 64 AS region, list_transform(e, lambda x: (x - list_avg(e)) / sqrt(list_var_samp(e) * len(e))) AS g
+  FROM (SELECT vec_id, embedding[1:32]::DOUBLE[] AS e FROM embeddings)), many AS (SELECT region FROM y GROUP BY region HAVING count(*) > 1)
+"""
+
+
+@query(_HALF + "SELECT a.region, a.idx AS i, b.idx AS j, round(list_dot_product(a.g, b.g), 5) AS r FROM y a JOIN y b ON a.region = b.region AND a.idx <= b.idx JOIN many ON many.region = a.region")
+def eigen_reconstruction(t):
+    """Vectors and values of regions of 64 variants and 32 people put together again."""
+    g = genotypes(t).withColumn("dosage", F.slice("dosage", 1, 32))
+    q = L.projection_matrix(L.region_eigen(g.join(g.groupBy("region").count().filter("count > 1").select("region"), "region"), 1.0))
+    q = q.select("region", "component", F.substring("snp", 2, 18).cast("long").alias("idx"), "q")
+    a, b = (q.withColumnsRenamed({"idx": x, "q": f"q{x}"}) for x in ("i", "j"))
+    both = a.join(b, ["region", "component"]).filter("i <= j")
+    return both.groupBy("region", "i", "j").agg(F.round(F.sum(F.col("qi") * F.col("qj")) + 1e-12, 5).alias("r"))
+
+
 @query(_TWO + _IMPUTED + "SELECT idx // 2 AS gene_id, 'v' || idx AS snp, round(beta, 5) AS beta, round(se, 5) AS se, n, imputed FROM filled WHERE idx // 2 % 10 <> 3")
 def aligned_pairs_imputed(t):
     g = two(t)

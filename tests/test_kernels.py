@@ -117,7 +117,7 @@ def test_decompose_rebuilds():
 def test_imputation_recovers_a_copy():
     r = np.array([[1, 0.999, 0.1], [0.999, 1, 0.1], [0.1, 0.1, 1]])
     rows = pd.DataFrame({"beta": [0.5, np.nan, 0.0], "se": [0.1, np.nan, 0.1], "n": [1e3, np.nan, 1e3], "af": [0.3] * 3, "typed": [True, False, True], "p": np.nan})
-    out = L.impute_region(rows, r, delta=1e-6)
+    out = L.impute_region(rows, np.linalg.cholesky(r).T, delta=1e-6)
     assert out["imputed"].tolist() == [False, True, False]
     assert out["beta"][1] / out["se"][1] == pytest.approx(5, rel=0.02)
 
@@ -127,7 +127,7 @@ def test_leave_one_out_matches_the_long_way():
     r = np.corrcoef(rng.normal(size=(5, 30)))
     rows = pd.DataFrame({"beta": rng.normal(size=5), "se": 0.1, "n": 500.0, "af": 0.4})
     z = (rows["beta"] / rows["se"]).to_numpy()
-    out = L.resample_region(rows, r, 1000)
+    out = L.resample_region(rows, np.linalg.cholesky(r).T, 1000)
     for k in range(5):
         o = [i for i in range(5) if i != k]
         want = r[k, o] @ np.linalg.solve(r[np.ix_(o, o)] + 0.1 * np.eye(4), z[o])
@@ -136,6 +136,42 @@ def test_leave_one_out_matches_the_long_way():
         assert out["se_new"][k] == pytest.approx(np.sqrt(v / 0.48 / (1000 + want**2)))
 
 
+@pytest.mark.parametrize("people", [120, 900])
+def test_eigen_basis_equals_dense_solutions(people):
+    """Regions of 300 variants, of fewer and of more components than typed variants."""
+    rng = np.random.default_rng(people)
+    g = rng.normal(size=(300, people)) + rng.normal(size=(1, people))
+    values, vectors, total = L.decompose_genotypes(list(g), 0.999999999)
+    r = L.correlation(list(g))
+    dense, _ = np.linalg.eigh(r)
+    k = len(values)
+    assert np.allclose(values, dense[-k:]) and total == pytest.approx(dense[dense > 1e-10].sum())
+    assert np.allclose(vectors @ vectors.T @ r, r, atol=1e-8) and np.allclose(vectors.T @ vectors, np.eye(k), atol=1e-8)
+    a = np.sqrt(values)[:, None] * vectors.T
+    typed = rng.random(300) < 0.6
+    rows = pd.DataFrame({"beta": np.where(typed, rng.normal(size=300), np.nan), "se": 0.1, "n": 500.0, "af": 0.4, "typed": typed, "p": np.nan})
+    out = L.impute_region(rows, a)
+    z = (rows["beta"] / rows["se"]).to_numpy()[typed]
+    want = r[np.ix_(~typed, typed)] @ np.linalg.solve(r[np.ix_(typed, typed)] + 0.1 * np.eye(typed.sum()), z)
+    assert np.allclose((out["beta"] / out["se"])[~typed], want)
+    rows["beta"] = rng.normal(size=300)
+    z, inverse = (rows["beta"] / rows["se"]).to_numpy(), np.linalg.inv(r + 0.1 * np.eye(300))
+    out = L.resample_region(rows, a, 1000)
+    assert np.allclose(out["beta_new"] / out["se_new"], z - inverse @ z / np.diag(inverse))
+    score = np.sqrt(500 * 1000) * (r.sum(axis=0) + 0.1) / 300 + 500 / np.sqrt(500 * 1000)
+    assert np.allclose(L.rescale_region(rows, a, 1000)["beta_new"] / L.rescale_region(rows, a, 1000)["se_new"], score / z)
+
+
+def test_few_typed_variants_of_many_components():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(50, 60)) / 7
+    r, typed = a.T @ a, np.arange(60) < 8
+    rows = pd.DataFrame({"beta": np.where(typed, 0.3, np.nan), "se": 0.1, "n": 500.0, "af": 0.4, "typed": typed, "p": np.nan})
+    out = L.impute_region(rows, a)
+    want = r[np.ix_(~typed, typed)] @ np.linalg.solve(r[np.ix_(typed, typed)] + 0.1 * np.eye(8), np.full(8, 3.0))
+    assert np.allclose((out["beta"] / out["se"])[~typed], want)
+
+
 def brute_prune(p, r, threshold):
     n = len(p)
     stands = [True] * n
@@ -289,3 +325,24 @@ def test_merge_keeps_first(spark):
     other = {"genes": g.withColumn("mid", F.lit(20)), "variants": v, "pairs": p.withColumn("beta", F.lit(0.2))}
     out = H.merge_studies([{"genes": g, "variants": v, "pairs": p}, other])
     assert out["genes"].first().mid == 10 and out["pairs"].first().beta == 0.1 and out["pairs"].count() == 1
+
+
+def test_selection_by_passes(spark, monkeypatch):
+    """Ranks by few passes with few values taken: spread, skewed, equal and signed values, nulls and NaN."""
+    from locusframe.operators import aggregates as A
+
+    monkeypatch.setattr(A, "SELECT_ROWS", 20)
+    rng = np.random.default_rng(5)
+    columns = {
+        "even": rng.normal(size=4001), "skew": np.exp(rng.normal(size=4001) * 40), "two": rng.integers(1, 3, 4001).astype(float), "same": np.full(4001, 2.5),
+        "half": np.where(rng.random(4001) < 0.6, 7.0, rng.normal(size=4001)), "tiny": rng.normal(size=4001) * 1e-300,
+    }
+    data = pd.DataFrame(columns)
+    rows = spark.createDataFrame(data).repartition(3)
+    assert A.exact_medians(rows, *columns) == [float(np.median(v)) for v in columns.values()]
+    assert A.exact_medians(rows.limit(4000), "even", upper=True)[0] == sorted(r.even for r in rows.limit(4000).collect())[2000]
+    for ranks in ([0], [4000], [17, 18], [0, 4000]):
+        assert A.select_ranks(rows, "even", ranks, 4001) == [float(np.sort(columns["even"])[r]) for r in ranks]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (3.0,)], "x double")
+    assert A.exact_median(odd.filter("not isnan(x)"), "x") == 2.0 and A.exact_median(odd, "x") == 3.0
+    assert A.exact_median(odd.limit(0), "x") is None
