@@ -1,11 +1,14 @@
 """Window and ordered-scan operators.
 
-Greedy scans whose next step depends on the one before run in pandas: pruning and binning one connected component
-of links at a time, tumbling windows one chromosome's different positions at a time. All else is a window expression.
+Greedy scans whose next step depends on the one before: tumbling windows compose what each bin of positions does with a
+window that reaches into it; binning follows pointers that double each round; pruning runs in pandas, one connected component of
+links at a time, as each of its steps depends on those before in the whole component. All else is a window expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,32 +40,90 @@ def window_info(variants: DataFrame, width: int) -> DataFrame:
     return spread.filter(F.col("__bin") == own).drop("__bin")
 
 
+#: Bins, or groups of them, that one task composes.
+_GROUP = 64
+
+
+def _first_above(entries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place of the first entry above each number; the length where there is none."""
+    return np.searchsorted(entries, at, side="right")
+
+
+def _through(children: list[tuple[np.ndarray, np.ndarray]], reach: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """How far the last window reaches before each child, and behind the last one. A child is (entries, exits): its first
+    window starts at the first entry out of reach, and its last one at the exit beside; without such an entry it has no start."""
+    for entries, exits in children:
+        yield reach
+        k = _first_above(entries, reach)
+        reach = np.where(k < len(entries), exits[np.minimum(k, len(entries) - 1)] + width, reach)
+    yield reach
+
+
 def tumbling_windows(variants: DataFrame, width: int) -> DataFrame:
     """adds window, numbered from 0 over all chromosomes; a variant farther than width from the window's first
     variant, or on the next chromosome, opens the next.
 
-    Where a window starts depends on all before it. That chain runs over the different positions of one chromosome,
-    so a task holds as many numbers as the chromosome has positions, however many rows there are; rows meet the few
-    windows by position bins.
+    Where a window starts depends on all before it, so the chain is composed: a bin of positions, wider than a window, says
+    for each of the few positions at which its first window may start where its last one does. Runs of bins are
+    composed to one such map, and those again, until a chromosome is one; going down, each bin gets its first start and
+    finds its others. A task holds the positions of one bin or the maps of _GROUP, never a chromosome.
     """
+    size = max(4 * width, 1_000_000)
+    places = variants.select(F.col("chrom").cast("int").alias("chrom"), F.col("pos").cast("long").alias("pos")).distinct()
+    binned = materialise(places.withColumn("bin", F.floor(F.col("pos") / size)), "places")
 
-    def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def describe(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pos = np.sort(rows["pos"].to_numpy())
-        starts, at = [], 0
+        jump = np.minimum(_first_above(pos, pos + width), len(pos))
+        last = np.append(np.where(jump < len(pos), jump, np.arange(len(pos))), len(pos))
+        while (further := last[last]).tobytes() != last.tobytes():
+            last = further
+        # a window that began before the bin ends before its start plus width
+        n = _first_above(pos, key[1] * size + width) + 1
+        return pd.DataFrame({"chrom": [key[0]], "at": [key[1]], "entries": [pos[:n]], "exits": [pos[last[:-1]][:n]]})
+
+    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        children = list(zip(rows["entries"], rows["exits"], strict=True))
+        # of the second child only the first position can be the group's first start
+        entries = np.concatenate([children[0][0], *[c[0][:1] for c in children[1:2]]])
+        *_, reach = _through(children, entries - 1, width)
+        return pd.DataFrame({"chrom": [key[0]], "at": [key[1]], "entries": [entries], "exits": [reach - width]})
+
+    maps, shape = "chrom int, at long, entries array<long>, exits array<long>", "chrom int, at long, reach long"
+    levels = [materialise(binned.groupBy("chrom", "bin").applyInPandas(describe, maps), "bins")]
+    spread = levels[0].agg(F.min("at"), F.max("at")).first()
+    low, high = spread[0] or 0, spread[1] or 0
+    while low != high:
+        up = levels[-1].withColumn("group", F.floor(F.col("at") / _GROUP)).groupBy("chrom", "group").applyInPandas(compose, maps)
+        levels.append(materialise(up, "bins"))
+        low, high = low // _GROUP, high // _GROUP
+
+    def enter(key: tuple, rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        *reach, _ = _through(list(zip(rows["entries"], rows["exits"], strict=True)), above["reach"].to_numpy(), width)
+        return pd.DataFrame({"chrom": key[0], "at": rows["at"], "reach": [int(x[0]) for x in reach]})
+
+    known = levels[-1].select("chrom", "at", F.lit(-(1 << 62)).alias("reach"))
+    for level in reversed(levels[:-1]):
+        below = level.withColumn("group", F.floor(F.col("at") / _GROUP)).groupBy("chrom", "group")
+        known = materialise(below.cogroup(known.groupBy("chrom", "at")).applyInPandas(enter, shape), "bins")
+
+    def scan(key: tuple, rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        pos, starts = np.sort(rows["pos"].to_numpy()), []
+        at = int(_first_above(pos, above["reach"].to_numpy())[0])
         while at < len(pos):
-            starts.append(at)
-            at = int(np.searchsorted(pos, pos[at] + width, side="right"))
-        ends = [pos[k - 1] for k in starts[1:]] + [pos[-1]]
-        return pd.DataFrame({"chrom": key[0], "number": range(len(starts)), "start": pos[starts], "end": ends})
-
-    places = variants.select(F.col("chrom").cast("int").alias("chrom"), F.col("pos").cast("long").alias("pos")).distinct()
-    local = materialise(places.groupBy("chrom").applyInPandas(scan, "chrom int, number int, start long, end long"), "windows")
-    before = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a chromosome
-    offsets = local.groupBy("chrom").count().select("chrom", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    spans = local.join(F.broadcast(offsets), "chrom").select("chrom", "start", "end", (F.col("number") + F.col("first")).cast("int").alias("window"))
+            starts.append(pos[at])
+            at = int(_first_above(pos, pos[at] + width))
+        return pd.DataFrame({"chrom": key[0], "start": np.array(starts, np.int64)})
+
+    starts = binned.groupBy("chrom", "bin").cogroup(known.groupBy("chrom", "at")).applyInPandas(scan, "chrom int, start long")
+    # no window reaches beyond its width, so that its end needs no position
+    spans = reindex(starts, "chrom", "start", name="window").withColumn("window", F.col("window").cast("int"))
+    spans = spans.withColumn("end", F.col("start") + width)
     from .joins import interval_join
 
+    # spans of neighbours do not meet, as the next start is beyond the width
     return interval_join(variants, spans).drop("start", "end")
 
 
@@ -134,22 +195,24 @@ def prune_by_r2(variants: DataFrame, ld: DataFrame, threshold: float) -> DataFra
 
 def bin_by_r2(variants: DataFrame, ld: DataFrame, threshold: float) -> DataFrame:
     """F8: (idx, bin): in index order every j, smaller ones too, with r^2(i, j) above the threshold takes i's label of
-    that moment; labels are then numbered densely from 1. A component of links is one task."""
-    links = _strong(ld, threshold)
-    pairs = links.join(connected(links).withColumnRenamed("idx", "i"), "i")
+    that moment; labels are then numbered densely from 1.
 
-    def scan(pairs: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for i, j in zip(pairs["i"], pairs["j"], strict=True):
-            near.setdefault(i, []).append(j)
-            near.setdefault(j, []).append(i)
-        label = {k: k for k in sorted(near)}
-        for i in sorted(near):
-            for j in near[i]:
-                label[j] = label[i]
-        return pd.DataFrame({"idx": list(label), "label": list(label.values())})
-
-    labels = pairs.groupBy("root").applyInPandas(scan, "idx long, label long")
+    At its own turn i has the label that its largest smaller neighbour had at its turn, or its own if there is none: a chain
+    of pointers, followed in rounds that double their reach. In the end j has the label that its largest neighbour had. So no component of
+    links is gathered, and a chain of n links takes log n rounds.
+    """
+    links = _strong(ld, threshold)
+    near = materialise(links.unionAll(links.select(F.col("j").alias("i"), F.col("i").alias("j"))), "links")
+    ends = near.groupBy(F.col("i").alias("idx")).agg(F.max("j").alias("last"), F.max(F.when(F.col("j") < F.col("i"), F.col("j"))).alias("before"))
+    ends = materialise(ends.select("idx", "last", F.coalesce("before", "idx").alias("to")), "last-links")
+    turn = ends.select("idx", "to")
+    while True:
+        jump = turn.join(turn.select(F.col("idx").alias("to"), F.col("to").alias("further")), "to")
+        new = materialise(jump.select("idx", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")), "turns")
+        turn = new.select("idx", "to")
+        if new.filter("moved").isEmpty():
+            break
+    labels = ends.select("idx", "last").join(turn.withColumnsRenamed({"idx": "last", "to": "label"}), "last").select("idx", "label")
     rows = variants.select("idx").join(labels, "idx", "left").withColumn("label", F.coalesce("label", "idx"))
     return dense_codes(rows, "label", "bin").select("idx", (F.col("bin") + 1).alias("bin"))
 

@@ -346,3 +346,39 @@ def test_selection_by_passes(spark, monkeypatch):
     odd = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (3.0,)], "x double")
     assert A.exact_median(odd.filter("not isnan(x)"), "x") == 2.0 and A.exact_median(odd, "x") == 3.0
     assert A.exact_median(odd.limit(0), "x") is None
+
+
+def test_bins_of_long_chains(spark):
+    """10,000 links in a row, with some between, against the loop."""
+    rng = np.random.default_rng(9)
+    n = 10_001
+    pairs = {(k, k + 1) for k in range(n - 1) if k % 997} | {tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(500)}
+    near = [[] for _ in range(n)]
+    for i, j in pairs:
+        near[i].append(j)
+        near[j].append(i)
+    label = list(range(n))
+    for i in range(n):
+        for j in near[i]:
+            label[j] = label[i]
+    place = {v: k + 1 for k, v in enumerate(sorted(set(label)))}
+    ld = spark.createDataFrame(pd.DataFrame([(i, j, 0.9) for i, j in pairs], columns=["i", "j", "r"]))
+    got = {r.idx: r.bin for r in W.bin_by_r2(spark.range(n).withColumnRenamed("id", "idx"), ld, 0.5).collect()}
+    assert got == {k: place[v] for k, v in enumerate(label)}
+
+
+@pytest.mark.parametrize("width", [1, 40_000, 3_000_000])
+def test_tumbling_windows_over_many_bins(spark, monkeypatch, width):
+    """Chromosomes of some hundred bins, empty stretches among them, composed in groups of three."""
+    monkeypatch.setattr(W, "_GROUP", 3)
+    rng = np.random.default_rng(width)
+    rows = [(f"v{c}_{k}", c, int(p)) for c, n, top in ((1, 900, 90_000_000), (2, 1, 5), (7, 300, 7_000_000), (9, 40, 2_000_000_000)) for k, p in enumerate(rng.integers(0, top, n))]
+    rows += [("twice", 1, rows[0][2]), ("low", 3, 0), ("high", 3, 250_000_000)]
+    want, number, last = {}, -1, (None, 0)
+    for snp, chrom, pos in sorted(rows, key=lambda r: (r[1], r[2])):
+        if chrom != last[0] or pos > last[1] + width:
+            number, last = number + 1, (chrom, pos)
+        want[snp] = number
+    got = W.tumbling_windows(spark.createDataFrame(rows, "snp string, chrom int, pos long"), width)
+    assert {r.snp: r.window for r in got.collect()} == want and got.count() == len(rows)
+    assert W.tumbling_windows(spark.createDataFrame([], "snp string, chrom int, pos long"), width).count() == 0
