@@ -219,6 +219,84 @@ def protein_results(t):
     return R.read_pqtl_folder(spark_of(t), at, ids, max_p=0.05).select("rsid", r6("beta").alias("beta"), r6("p").alias("p"))
 
 
+def protein_folders(t) -> tuple[str, str, str]:
+    """A folder a protein with a file of chromosome 23 and one of all others, and both maps; each ninth protein is on X."""
+    at = folder(t, "proteins-of")
+    rows = first_pairs(t).join(variants(t), "snp")
+    line = F.concat_ws(" ", "chrom", "pos", F.concat_ws(":", "chrom", "pos"), "a2", "a1", F.format_string("%.4f", "af"), F.lit("1"), "n", F.lit("ADD"), F.format_string("%.6f", "beta"), F.format_string("%.6f", "se"), F.lit("3 2 NA"))
+    name = F.concat(F.lit("dir"), F.substring("gene_id", 2, 18), F.lit("/p_chr"), F.when(F.col("chrom") == 23, 23).otherwise(1), F.lit("_r.txt"))
+    named = rows.select(name.alias("name"), "ord", line.alias("line"))
+    K.write_named(named, at, "CHROM GENPOS ID ALLELE0 ALLELE1 A1FREQ INFO N TEST BETA SE CHISQ LOG10P EXTRA").count()
+    return at, _ids(t), _proteins(t)
+
+
+_PROTEINS = _FIRST + f", m AS ({_IDS}), single AS (SELECT rsid FROM m GROUP BY rsid HAVING count(*) = 1)" + """
+, kept AS (SELECT f.gene_id, f.snp, f.beta, f.se, f.n, v.chrom FROM first_pairs f JOIN variants v USING (snp) JOIN single ON rsid = snp
+  WHERE v.chrom <> 23 AND CAST(substr(f.gene_id, 2) AS INTEGER) % 9 <> 0)
+"""
+
+
+@query(_PROTEINS + "SELECT gene_id, snp, round(beta, 5) AS beta, round(se, 5) AS se FROM kept")
+def proteins_to_besd(t):
+    """All proteins' folders to one BESD set."""
+    at, ids, proteins = protein_folders(t)
+    study, _ = P.load_proteins(spark_of(t), ids, proteins, root=at)
+    path = folder(t, "besd") + "/proteins"
+    P.export_study(study, "besd_file", path)
+    return P.load_study(spark_of(t), "besd", path)["pairs"].select("gene_id", "snp", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
+
+
+@query(_PROTEINS + """
+SELECT 'genes' AS name, count(DISTINCT gene_id) AS n, round(sum(n) / count(*), 4) AS size FROM kept
+UNION ALL SELECT 'elsewhere', count(*), 0 FROM genes WHERE gene_id % 9 = 0
+UNION ALL SELECT 'repeated', count(*), 0 FROM m WHERE rsid NOT IN (SELECT rsid FROM single)
+UNION ALL SELECT 'absent', count(*), 0 FROM genes WHERE gene_id % 9 <> 0 AND 'g' || gene_id NOT IN (SELECT gene_id FROM kept)
+""")
+def proteins_set_aside(t):
+    """How many proteins and ids stay and go, and the mean size of all pairs."""
+    at, ids, proteins = protein_folders(t)
+    study, aside = P.load_proteins(spark_of(t), ids, proteins, root=at)
+    kept = study["pairs"].agg(F.lit("genes").alias("name"), F.countDistinct("gene_id").alias("n"), F.round(F.sum("n") / F.count("*"), 4).alias("size"))
+    rest = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.lit(0.0).alias("size")) for name, rows in aside.items()]
+    return kept.unionAll(rest[0]).unionAll(rest[1]).unionAll(rest[2])
+
+
+def block_files(t) -> str:
+    """snp.info files of single blocks, of variants by chromosome, each numbered from 0; the names sort otherwise than the numbers."""
+    at = folder(t, "blocks")
+    name = F.concat(F.lit("block"), "chrom", F.lit(".snp.info"))
+    line = F.concat_ws(" ", "chrom", "snp", F.lit(0), "gen_pos", "pos", "a1", "a2", F.format_string("%.6f", "af"), F.lit(500), F.concat(F.lit("b"), "chrom"))
+    K.write_named(variants(t).select(name.alias("name"), "ord", line.alias("line")), at, "Chrom ID Index GenPos PhysPos A1 A2 A1Freq N Block").count()
+    return at
+
+
+@query("""
+SELECT chrom::VARCHAR AS block, (sum(count(*)) OVER (ORDER BY chrom) - count(*))::BIGINT AS start_idx, arg_min(snp, ord) AS start_snp, (sum(count(*)) OVER (ORDER BY chrom) - 1)::BIGINT AS end_idx,
+  arg_max(snp, ord) AS end_snp, count(*) AS n_snps FROM variants GROUP BY chrom
+""")
+def merged_folder_blocks(t):
+    """H3: blocks of a folder of single files."""
+    return P.merge_block_folder(spark_of(t), block_files(t))[0].drop("chrom")
+
+
+@query("SELECT snp, row_number() OVER (ORDER BY chrom, ord) - 1 AS idx, chrom::VARCHAR AS block, pos::INTEGER AS pos FROM variants")
+def merged_folder_variants(t):
+    """H3: their variants in the merged numbering."""
+    return P.merge_block_folder(spark_of(t), block_files(t))[1].select("snp", "idx", "block", "pos")
+
+
+@query("SELECT chrom::BIGINT AS block_number, snp, round(af, 2) AS af, CASE WHEN chrom % 4 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS b, ord * 1.0::DOUBLE AS n FROM variants")
+def merged_summaries(t):
+    """H4: each block's last file; every fourth block has a second one, whose effects differ."""
+    at = folder(t, "parts")
+    rows = variants(t).select("chrom", "snp", "a1", "a2", "af", "ord", F.lit("a").alias("part"), F.lit(1).alias("b"))
+    rows = rows.unionAll(rows.filter("chrom % 4 = 0").withColumn("part", F.lit("b")).withColumn("b", F.lit(2)))
+    name = F.concat(F.lit("all.block"), "chrom", F.lit("_"), "part", F.lit(".ma"))
+    line = F.concat_ws(" ", "snp", "a1", "a2", F.format_string("%.6f", "af"), "b", F.lit("0.1 0.5"), "ord")
+    K.write_named(rows.select(name.alias("name"), "ord", line.alias("line")), at, "SNP A1 A2 freq b se p N").count()
+    return P.merge_block_summaries(spark_of(t), f"{at}/all").select("block_number", "snp", F.round("af", 2).alias("af"), "b", "n")
+
+
 @query("SELECT 'rs' || p_partkey AS snp, p_size / 10.0::DOUBLE AS gen_pos FROM part WHERE p_size % 4 <> 0 AND p_partkey % 3 = 0")
 def genetic_map_overlay(t):
     v = variants(t).filter("ord % 3 = 0")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import EngineError, require_rows
+from ..errors import EngineError, require_rows, require_unique
 from ..operators import filters as C
 from ..operators import joins as D
 from ..operators import ld as L
 from ..operators import merges as H
+from ..operators.aggregates import sample_size_stats, weighted_frequency
 from ..sinks import writers as K
 from ..sources import binary as B
 from ..sources import text as R
@@ -175,6 +177,73 @@ def select_study(
     return {"genes": C.include_ids(g, p, "gene_id"), "variants": C.include_ids(v, p), "pairs": p}
 
 
+def load_proteins(
+    spark: SparkSession, rsid_map: str, protein_map: str, root: str = "", build: int = 19, max_p: float = 1.0, chromosomes: list[int] | None = None, negative_log: bool = True
+) -> tuple[Study, dict[str, DataFrame]]:
+    """The study of all proteins of a map whose results lie in a folder each, and the tables set aside: `elsewhere`,
+    proteins on no numbered chromosome, `repeated`, ids whose rsid is not alone, and `absent`, proteins without a result that counts.
+
+    All folders are one scan: a file's name tells its folder, which is joined to the map as a dimension, and its
+    chromosome. Files and rows of chromosome 23, or of others than those asked for, are left out. A relative folder lies in root. A
+    protein's size is the mean over its pairs; an rsid twice in a protein is an error.
+    """
+    ids, repeated = R.read_rsid_map(spark, rsid_map, build)
+    proteins, elsewhere = R.read_protein_map(spark, protein_map)
+    proteins = require_unique(proteins, "gene_id")
+    plain = F.regexp_replace(F.when(F.col("folder").startswith("/") | F.col("folder").contains(":"), F.col("folder")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), "folder")), "^file:/+", "/")
+    proteins = materialise(proteins.withColumn("folder", F.rtrim(plain, F.lit("/"))), "proteins")
+    # the folders that hold the proteins' folders: one, or a few
+    parents = [r[0] for r in proteins.select(F.regexp_replace("folder", "/[^/]*$", "")).distinct().collect()]
+    if not parents:
+        raise EngineError("no protein on a numbered chromosome")
+    results = R.read_pqtl_files(spark, [f"{p}/*/*_chr*_*" for p in parents], ids, chromosomes, max_p, negative_log)
+    pairs = results.join(proteins.select("gene_id", "folder"), "folder").select("gene_id", F.col("rsid").alias("snp"), "beta", "se", "p", "n", "af")
+    pairs = require_unique(materialise(pairs, "protein-pairs"), "gene_id", "snp")
+    sizes = sample_size_stats(pairs)
+    genes = proteins.join(sizes.withColumnRenamed("n_mean", "n"), "gene_id").select("gene_id", "chrom", ((F.col("start") + F.col("end")) / 2).alias("mid"), "ord", "n")
+    # frequencies of several proteins are averaged by size
+    seen = pairs.groupBy("snp").agg(weighted_frequency(F.col("af"), F.col("n")).alias("af"))
+    variants = ids.join(seen, ids.rsid == seen.snp).select("snp", "chrom", "pos", "a1", "a2", "af").withColumn("ord", F.struct("chrom", "pos", "snp"))
+    absent = proteins.join(pairs.select("gene_id").distinct(), "gene_id", "left_anti")
+    return {"genes": genes, "variants": variants, "pairs": pairs.drop("af", "p")}, {"elsewhere": elsewhere, "repeated": repeated, "absent": absent}
+
+
+def merge_block_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """H3: (blocks, variants) of the files block<k>.snp.info of a folder, in the order of k, with indices that run on over all
+    blocks; as read_block_folder_info gives them for a merged folder.
+
+    The number stands in the file's name. Sizes of blocks are summed, one row each, and joined to the variants. Only an
+    empty folder is an error.
+    """
+    number = F.regexp_extract("file_path", r"block(\d+)[^/]*$", 1).try_cast("long")
+    try:
+        rows = R.read_table(spark, "block_snp_info", f"{folder}/block*.snp.info").withColumn("number", number).filter("number is not null")
+    except AnalysisException as e:
+        raise EngineError(f"{folder}: no block to merge") from e
+    rows = require_rows(materialise(rows, "block-variants"), "blocks")
+    blocks = H.merge_blocks(rows.select(F.concat(F.lit("block"), "number").alias("block"), "chrom", "snp", F.col("ord").alias("index")))
+    blocks = materialise(blocks, "blocks")
+    within = C.reindex(rows, "ord", name="place", group=("number",))
+    variants = within.join(blocks.select(F.col("block_number").alias("number"), "start_idx"), "number").withColumn("idx", F.col("start_idx") + F.col("place"))
+    info = blocks.select(F.col("block_number").cast("string").alias("block"), "chrom", "start_idx", F.col("first_snp").alias("start_snp"), "end_idx", F.col("last_snp").alias("end_snp"), "n_snps")
+    return info, variants.select("chrom", "snp", "idx", "gen_pos", "pos", "a1", "a2", "af", "n", F.col("number").cast("string").alias("block"))
+
+
+def merge_block_summaries(spark: SparkSession, prefix: str) -> DataFrame:
+    """H4: the rows of the files <prefix>.block<k>*.ma, in the order of k and of the file: (block_number, ord, snp, ...). Of several
+    files of one block the last by name counts; the others are not read.
+
+    Files are listed first, with nothing of them read; what is chosen is a path a block.
+    """
+    number = F.regexp_extract("path", r"\.block(\d+)[^/]*\.ma$", 1).try_cast("long")
+    listed = spark.read.format("binaryFile").load(f"{prefix}.block*.ma").select("path").withColumn("number", number).filter("number is not null")
+    chosen = listed.groupBy("number").agg(F.max("path").alias("path")).collect()
+    if not chosen:
+        raise EngineError(f"{prefix}: no block to merge")
+    rows = R.read_table(spark, "ma", *[r.path for r in chosen])
+    return rows.withColumn("block_number", F.regexp_extract("file_path", r"\.block(\d+)[^/]*\.ma$", 1).cast("long")).drop("file_path")
+
+
 def merge_study_files(spark: SparkSession, paths: list[str], soft: bool = False, reference: DataFrame | None = None) -> Study:
     """H1: BESD sets united from one scan, the first set's row of each gene, variant and pair. A set that cannot be read is an
     error, unless soft; none left is one in any case."""

@@ -44,6 +44,8 @@ def write_named(lines: DataFrame, folder: str, header: str | None = None) -> Dat
         def close() -> None:
             if stream is not None:
                 stream.close()
+                if "/" in name:
+                    fs.create_dir(f"{at}/{name.rpartition('/')[0]}", recursive=True)
                 fs.move(draft, f"{at}/{name}")
                 done.append((name, count))
 

@@ -249,15 +249,19 @@ def read_pqtl(spark: SparkSession, paths: list[str], ids: DataFrame, max_p: floa
 
 
 def read_pqtl_folder(spark: SparkSession, folder: str, ids: DataFrame, chromosomes: list[int] | None = None, max_p: float = 1.0, negative_log: bool = True) -> DataFrame:
-    """read_pqtl over the files of a folder whose names hold _chr<k>_, of the chromosomes given or of all but 23.
+    """read_pqtl over the files of a folder whose names hold _chr<k>_, of the chromosomes given or of all but 23."""
+    return read_pqtl_files(spark, [f"{folder}/*_chr*_*"], ids, chromosomes, max_p, negative_log)
 
-    Rows of other files are told by the file's name alone; all files that match are read.
-    """
+
+def read_pqtl_files(spark: SparkSession, paths: list[str], ids: DataFrame, chromosomes: list[int] | None = None, max_p: float = 1.0, negative_log: bool = True) -> DataFrame:
+    """Results of all files that match, with rsid and folder, the file's. Rows of other files than those of the
+    chromosomes given, or of all but 23, are told by the file's name alone, and such rows in other files go too."""
     from ..functions.scalar import p_from_log10
 
     wanted = F.regexp_extract("file_path", r"_chr(\d+)_[^/]*$", 1).try_cast("int")
-    rows = read_table(spark, "pqtl", f"{folder}/*_chr*_*").filter(wanted.isin(chromosomes) if chromosomes else wanted != 23)
-    rows = rows.filter("chrom <> 23").withColumn("p", p_from_log10(F.col("log10p"), negative_log))
+    rows = read_table(spark, "pqtl", *paths).filter(wanted.isin(chromosomes) if chromosomes else wanted != 23)
+    rows = rows.filter(F.col("chrom").isin(chromosomes) if chromosomes else F.col("chrom") != 23).withColumn("p", p_from_log10(F.col("log10p"), negative_log))
+    rows = rows.withColumn("folder", F.regexp_replace(F.regexp_replace("file_path", "^file:/+", "/"), "/[^/]*$", ""))
     return rows.filter(F.col("p") <= max_p).join(ids.select("id", "rsid"), "id")
 
 
