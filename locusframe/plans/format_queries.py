@@ -88,6 +88,38 @@ def residual_weights(t):
     return R.read_residual_weights(spark_of(t), path).select("fid", r6("weight").alias("weight"))
 
 
+def individual_files(t) -> dict[str, str]:
+    """People with a phenotype, covariates, residual variances and a list of those to keep, each file lacking some."""
+    key, at = F.col("c_custkey").cast("string"), folder(t, "people")
+    who = (F.concat(F.lit("f"), key), F.lit("i"))
+    c = t("customer")
+    return {
+        "fam": one_file(c, at, "fam", "c_custkey", *who, F.lit("0 0 1 -9")),
+        "phenotype": lines(c, folder(t, "phen"), *who, F.when(F.col("c_custkey") % 7 == 0, "NA").otherwise(F.format_string("%.2f", F.col("c_acctbal") / 1000)), header="FID IID trait"),
+        "covariates": one_file(c.filter("c_custkey % 11 <> 0"), at, "cov", "c_custkey", *who, F.col("c_nationkey"), F.col("c_custkey") % 10, header="FID IID nation digit"),
+        "random": one_file(c, at, "rnd", "c_custkey", *who, F.col("c_custkey") % 3, header="FID IID third"),
+        "residual": lines(c.filter("c_custkey % 2 = 0"), folder(t, "diag"), *who, F.col("c_nationkey") + 2),
+        "keep": lines(c.filter("c_custkey % 5 <> 0"), folder(t, "keep"), *who),
+    }
+
+
+@query("""
+, p AS (SELECT 1 / sqrt(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 2 ELSE 1 END::DOUBLE) AS s, round(c_acctbal / 1000, 2) AS v, c_nationkey AS nation, c_custkey % 10 AS digit, c_custkey % 3 AS third
+  FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 <> 0),
+q AS (SELECT v * s AS y, s AS "x:intercept", nation * s AS "x:nation", digit * s AS "x:digit", third * s AS "w:third" FROM p),
+x AS (SELECT row_number() OVER () AS k, * FROM q), long AS (UNPIVOT x ON y, "x:intercept", "x:nation", "x:digit", "w:third" INTO NAME name VALUE value)
+SELECT a.name AS "left", b.name AS "right", round(sum(a.value * b.value), 3) AS value FROM long a JOIN long b USING (k)
+WHERE (a.name LIKE 'x:%' AND (b.name LIKE 'x:%' OR b.name = 'y')) OR (a.name = 'w:third' AND b.name = 'w:third') GROUP BY 1, 2
+UNION ALL SELECT 'y', 'y', round(var_pop(y) * count(*), 3) FROM q
+""")
+def individual_inputs(t):
+    """Y, X and W of the people that stand in all files, weighted, through their products."""
+    files = individual_files(t)
+    people, fixed, random = P.load_individuals(spark_of(t), **files)
+    out = P.individual_products(people, fixed, random)
+    return out.select("left", "right", F.round("value", 3).alias("value"))
+
+
 @query("SELECT s_suppkey::VARCHAR AS gene_id, CAST(s_suppkey % 22 + 1 AS INTEGER) AS chrom, s_suppkey * 1000.0 + 250 AS mid FROM supplier")
 def gene_list_scan(t):
     key = F.col("s_suppkey")
@@ -534,6 +566,18 @@ def bed_round_trip(t):
     return rows.select("snp", F.size(F.array_compact("dosage")).cast("long").alias("known"), r6("af").alias("af"), F.round("sum_squares", 5).alias("sum_squares"))
 
 
+@query(_DOSES + """
+, m AS (SELECT snp, dosage, list_avg(known) AS mean FROM k WHERE list_avg(known) BETWEEN 0.00001 AND 1.99999)
+SELECT snp, round(list_sum(list_transform(range(1, 65), lambda i: pow(coalesce(dosage[i], mean) - mean, 2) / (mean * (1 - mean / 2)) / i)), 5) AS sum_squares FROM m
+""")
+def weighted_genotypes(t):
+    """A3: genotypes weighted by residual variances, the i-th person's being i."""
+    rows = read_back(t, bed(t))
+    people = spark_of(t).range(64).select(F.col("id").alias("idx"), (1 / F.sqrt(F.col("id") + 1)).alias("root_weight"))
+    out = P.weighted_genotypes(rows, people).filter("af > 0.000005 and af < 0.999995")
+    return out.select("snp", F.round("sum_squares", 5).alias("sum_squares"))
+
+
 @query(_DOSES + "SELECT snp, len(known) AS known, list_sum(known)::BIGINT AS total FROM k")
 def bed_source(t):
     """A3: the source by itself."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, require_rows, require_unique
+from ..operators import aggregates as A
 from ..operators import filters as C
 from ..operators import joins as D
 from ..operators import ld as L
@@ -280,6 +281,58 @@ def export_study(study: Study, kind: str, path: str, parts: int | None = None, a
     raise EngineError(f"unknown kind {kind}")
 
 
+def load_individuals(
+    spark: SparkSession, fam: str, phenotype: str, trait: int = 1, covariates: str | None = None, random: str | None = None, residual: str | None = None, keep: str | None = None, most: int | None = None
+) -> tuple[DataFrame, list[str], list[str]]:
+    """(people, names of fixed effects, names of random ones): fid, iid, person (the place in the .fam file), idx (dense,
+    in its order), root_weight, y, x and w of the people that stand in every file given, at most `most` of them.
+
+    root_weight is 1 over the root of the residual variance, 1 without such a file or where it lacks a person; y, x and w are
+    multiplied by it. Without covariates x is the intercept, without random ones w is empty. No one left is an error.
+    """
+    people = C.reindex(R.read_fam(spark, fam).select("fid", "iid", "ord"), "ord", name="person")
+    key, tables = ["fid", "iid"], [R.read_phenotype(spark, phenotype, trait).withColumnRenamed("value", "y")]
+    fixed, names_w = ["intercept"], []
+    if covariates is not None:
+        fixed, rows = R.read_covariates(spark, covariates)
+        tables.append(rows.withColumnRenamed("covariates", "x"))
+    if random is not None:
+        names_w, rows = R.read_covariates(spark, random, intercept=False)
+        tables.append(rows.withColumnRenamed("covariates", "w"))
+    kept = C.keep_individuals(people, *tables, keep=None if keep is None else R.read_table(spark, "keep", keep), most=most)
+    for rows in tables:
+        kept = kept.join(rows, key)
+    weight = F.lit(1.0)
+    if residual is not None:
+        kept = kept.join(R.read_residual_weights(spark, residual), key, "left")
+        weight = F.sqrt(F.coalesce("weight", F.lit(1.0)))
+    kept = kept.withColumn("root_weight", weight)
+    x = F.col("x") if covariates is not None else F.array(F.lit(1.0))
+    w = F.col("w") if random is not None else F.array().cast("array<double>")
+    scaled = [F.transform(c, lambda v: v * F.col("root_weight")).alias(n) for c, n in ((x, "x"), (w, "w"))]
+    out = C.reindex(kept.select("fid", "iid", "person", "root_weight", (F.col("y") * F.col("root_weight")).alias("y"), *scaled), "person")
+    return require_rows(materialise(out, "people"), "people"), fixed, names_w
+
+
+def individual_products(people: DataFrame, fixed: list[str], random: list[str]) -> DataFrame:
+    """(left, right, value) of load_individuals' people: X'X, X'y and W'W by names, and ypy about the mean as (y, y)."""
+    columns = [F.get("x", F.lit(k)).alias(f"x:{n}") for k, n in enumerate(fixed)] + [F.get("w", F.lit(k)).alias(f"w:{n}") for k, n in enumerate(random)]
+    rows = people.select("y", *columns)
+    xs, ws = [f"x:{n}" for n in fixed], [f"w:{n}" for n in random]
+    out = A.cross_products(rows, xs, [*xs, "y"])
+    out = out.unionAll(A.cross_products(rows, ws, ws)) if ws else out
+    return out.unionAll(people.select(F.lit("y").alias("left"), F.lit("y").alias("right"), (F.var_pop("y") * F.count("y")).alias("value")))
+
+
+def weighted_genotypes(genotypes: DataFrame, people: DataFrame, scale: bool = True) -> DataFrame:
+    """A3 with A8: genotype_stats of the people's dosages, each person's multiplied by root_weight; genotypes hold the people in the
+    order of idx. One row, a number a person, meets all variants."""
+    roots = people.agg(F.sort_array(F.collect_list(F.struct("idx", "root_weight"))).alias("p")).select(F.lit(0).alias("__one"), F.col("p.root_weight").alias("__roots"))
+    rows = B.genotype_stats(genotypes, scale).withColumn("__one", F.lit(0)).join(F.broadcast(roots), "__one")
+    rows = rows.withColumn("z", F.zip_with("z", "__roots", lambda z, r: z * r)).drop("__one", "__roots")
+    return rows.withColumn("sum_squares", F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))
+
+
 def load_genotypes(spark: SparkSession, prefix: str, *, extract: DataFrame | None = None, exclude: DataFrame | None = None, chrom: int = 0, keep: DataFrame | None = None) -> DataFrame:
     """(idx, snp, chrom, pos, gen_pos, a1, a2, dosage) of a .bed/.bim/.fam set, variants and people restricted."""
     people = C.reindex(R.read_fam(spark, prefix + ".fam"), "ord", name="person")
