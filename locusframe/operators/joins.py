@@ -58,6 +58,17 @@ def map_to_genes(variants: DataFrame, genes: DataFrame, window_mb: float = 0.1,
     return hits.join(enough, "gene_id", "left_semi")
 
 
+def gene_windows(genes: DataFrame, variants: DataFrame, window_mb: float = 0.1) -> DataFrame:
+    """C14: genes with start and end, window bp to both sides of the midpoint but not beyond the chromosome's first and last
+    variant, and window. Genes of chromosomes without a variant are not clipped."""
+    half = int(window_mb * 1e6)
+    # one row a chromosome
+    ends = variants.groupBy("chrom").agg(F.min("pos").alias("__first"), F.max("pos").alias("__last"))
+    rows = genes.drop("start", "end", "window").join(F.broadcast(ends), "chrom", "left")
+    start, end = F.greatest(F.col("mid") - half, F.col("__first")), F.least(F.col("mid") + half, F.col("__last"))
+    return rows.withColumns({"start": start, "end": end, "window": F.lit(half)}).drop("__first", "__last")
+
+
 def filter_pairs_by_window(pairs: DataFrame, variants: DataFrame, genes: DataFrame, window_mb: float = 0.1) -> DataFrame:
     """C14: pairs whose variant lies in the gene's window."""
     return pairs.join(map_to_genes(variants, genes, window_mb).select("gene_id", "snp"), ["gene_id", "snp"], "left_semi")
@@ -83,12 +94,12 @@ def nearest_at_or_after(queries: DataFrame, points: DataFrame, bin_width: int =
 
 
 def gene_variant_maps(pairs: DataFrame, variants: DataFrame, cis: DataFrame) -> dict[str, DataFrame]:
-    """Cis variants of each gene with and without an effect, and the number of genes of each variant."""
+    """Cis variants of each gene with and without an effect, the number of genes of each variant, and the variants of no gene."""
     typed = cis.select("gene_id", "snp").join(pairs.select("gene_id", "snp"), ["gene_id", "snp"], "left_semi")
     rest = cis.select("gene_id", "snp").join(pairs.select("gene_id", "snp"), ["gene_id", "snp"], "left_anti")
     counts = typed.groupBy("snp").agg(F.countDistinct("gene_id").alias("n_genes"))
     per_variant = variants.select("snp").join(counts, "snp", "left").fillna(0, ["n_genes"])
-    return {"with_effect": typed, "without_effect": rest, "genes_per_variant": per_variant}
+    return {"with_effect": typed, "without_effect": rest, "genes_per_variant": per_variant, "intergenic": per_variant.filter("n_genes = 0").select("snp")}
 
 
 def gene_phenotypes(people: DataFrame, gene_pheno: DataFrame) -> DataFrame:

@@ -813,9 +813,19 @@ def first_listed(t):
     return W.first_rows(variants(t), 25).select("snp")
 
 
-@query("SELECT snp FROM variants")
+@query("SELECT count(*) AS n, true AS moved, true AS again, true AS seeded FROM variants")
 def shuffled_variants(t):
-    return W.shuffled(variants(t), 2023).select("snp")
+    """Nearly all rows elsewhere than before, at the same place each time, and at another one by another seed."""
+    v = variants(t).select("snp", "ord")
+
+    def places(rows: DataFrame, seed: int, name: str) -> DataFrame:
+        key = F.xxhash64(F.lit(seed), *rows.columns)
+        # the order of shuffled, as a column
+        return C.reindex(W.shuffled(rows, seed).withColumn("key", key), "key", *rows.columns, name=name).drop("key")
+
+    both = places(v, 2023, "one").join(places(v.repartition(3), 2023, "two"), ["snp", "ord"]).join(places(v, 1, "other"), ["snp", "ord"])
+    same = F.avg((F.col("one") == F.col("other")).cast("int"))
+    return both.agg(F.count("*").alias("n"), (F.avg((F.col("one") + 1 != F.col("ord")).cast("int")) > 0.9).alias("moved"), F.every(F.col("one") == F.col("two")).alias("again"), (same < 0.1).alias("seeded"))
 
 
 # ---- scalars, projections, samples

@@ -153,7 +153,8 @@ def select_study(
     study: Study, *, variants: DataFrame | None = None, genes: DataFrame | None = None, without_genes: DataFrame | None = None, gene: str | None = None,
     chrom: int = 0, max_p: float = 1.0, window_mb: float | None = None, sizes: DataFrame | None = None,
 ) -> Study:
-    """The study restricted as asked, in this order; genes and variants without a pair go at the end.
+    """The study restricted as asked, in this order; genes and variants without a pair go at the end (C21), and with window_mb genes
+    have their windows (C14).
 
     The pairs are written once, so that what refers to them does not compute them anew; none left is an error.
     """
@@ -172,6 +173,7 @@ def select_study(
         p = C.filter_pairs_by_p(p, max_p)
     if window_mb is not None:
         p = D.filter_pairs_by_window(p, v, g, window_mb)
+        g = D.gene_windows(g, v, window_mb)
     if sizes is not None:
         p = R.with_gene_sizes(p, sizes)
     p = require_rows(materialise(p, "study-pairs"), "pairs")

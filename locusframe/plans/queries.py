@@ -269,6 +269,21 @@ def interval_complement(t):
     return D.gene_variant_maps(pairs(t), variants(t), cis(t))["without_effect"].groupBy("gene_id").agg(F.count("*").alias("untyped"))
 
 
+@query(_CIS + "SELECT snp FROM variants v WHERE NOT EXISTS (SELECT 1 FROM c JOIN pairs p ON p.snp = c.snp AND p.gene_id = c.gene_id WHERE c.snp = v.snp)")
+def intergenic_variants(t):
+    """Variants of no gene."""
+    return D.gene_variant_maps(pairs(t), variants(t), cis(t))["intergenic"]
+
+
+@query("""
+, e AS (SELECT chrom, min(pos) AS low, max(pos) AS high FROM variants GROUP BY chrom)
+SELECT gene_id, greatest(mid - 400000, low)::BIGINT AS start, least(mid + 400000, high)::BIGINT AS "end" FROM genes LEFT JOIN e USING (chrom)
+""")
+def gene_ranges(t):
+    """C14: windows of genes, clipped to their chromosome."""
+    return D.gene_windows(genes(t), variants(t), 0.4).select("gene_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
 @query("""
 , r AS (SELECT o_custkey AS fid, o_orderstatus AS gene_id, o_totalprice AS value FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
 SELECT gene_id, count(*) AS rows, round(var_samp(value) / 1e6, 4) AS variance FROM r GROUP BY gene_id
@@ -672,6 +687,20 @@ def pseudo_summary(t):
     return out.select("snp", r6(0.9 * F.col("train") + 0.1 * F.col("valid")).alias("whole"))
 
 
+@query("SELECT count(*) AS components, true AS spread, true AS centred FROM z JOIN (SELECT region FROM z GROUP BY region HAVING count(*) > 1) USING (region)")
+def pseudo_noise(t):
+    """The noise of training effects, projected on each component and scaled by its root value, is of mean 0 and variance 1."""
+    g = genotypes(t)
+    g = g.join(g.groupBy("region").count().filter("count > 1").select("region"), "region").filter("region is not null")
+    known = effects(t).join(g.select("snp", "region"), "snp").select("region", "snp", "b")
+    # of more people than variants all values are above 0
+    eigen = L.region_eigen(g.withColumn("dosage", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.sin(F.col("idx") * 7.3 + k * k * (F.col("idx") + 1)))), 1.0)
+    out = L.pseudo_summary(known, eigen, 1000)
+    noise = out.join(known, ["region", "snp"]).select("region", "snp", (F.col("train") - F.col("b")).alias("b"))
+    w = L.project_effects(noise, eigen).select((F.col("w") / (1 / 900 - 1 / 1000) ** 0.5).alias("w"))
+    return w.agg(F.count("*").alias("components"), F.avg(F.col("w") * F.col("w")).between(0.4, 1.8).alias("spread"), F.avg("w").between(-0.6, 0.6).alias("centred"))
+
+
 _AIM = "round({z} * {v} / sqrt(2 * {a}.af * (1 - {a}.af) * (5000 + pow({z}, 2))), 6) AS beta_new, round({v} / sqrt(2 * {a}.af * (1 - {a}.af) * (5000 + pow({z}, 2))), 6) AS se_new"
 _SPREAD = "sqrt(2 * {a}.af * (1 - {a}.af) * ({a}.n * {a}.se * {a}.se + {a}.b * {a}.b))"
 
