@@ -742,6 +742,30 @@ def eigen_gene_variants(t):
     return R.read_eigen_info(spark_of(t), eigen_sets(t, "gene", 2), "gene", reference)[1].select("snp", "flipped")
 
 
+@query(_PAIRS_OF_TWO + "SELECT region::VARCHAR AS region, 2 AS m, 2 AS k, round(c + abs(r), 4) AS top, 'v' || i AS first FROM two WHERE region % 3 <> 1")
+def eigen_sets_merged(t):
+    """Two sets that share regions, and one that is not there, written again without the shared ones and read."""
+    e = L.region_eigen(two(t), 0.9999999)
+    parts = [e.filter("region % 3 <> 2"), e.filter("region % 3 <> 0")]
+    names = [r.name for rows in parts for r in K.write_eigen_set(rows, members(t), described(t), 64, folder(t, "eigen"), "gene").collect()]
+    listed, failed = P.merge_eigen_sets(spark_of(t), [*names, folder(t, "none") + "/none"], folder(t, "merged"), cutoff=1.0)
+    if len(failed) != 1:
+        raise ValueError(f"{failed}")
+    return rounded(P.load_eigen(spark_of(t), [r.name for r in listed.collect()], 1.0, "gene")[0])
+
+
+@query("SELECT idx // 64 AS region, count(*)::INTEGER AS m FROM z WHERE idx // 64 % 2 = 1 GROUP BY 1 HAVING count(*) > 8")
+def gene_eigen_of_reference(t):
+    """Genes of which at most three tenths of the variants are missing; every other gene lacks half."""
+    g = genotypes(t)
+    e = L.region_eigen(g.join(g.groupBy("region").count().filter("count > 8").select("region"), "region"), 0.9999)
+    about = g.select("region", F.lit(1).alias("chrom"), (F.col("region") * 6400).alias("start"), (F.col("region") * 6400 + 6300).alias("end"), F.lit(0.5).alias("window")).distinct()
+    names = [r.name for r in K.write_eigen_set(e, about, described(t), 64, folder(t, "eigen"), "gene", 2).collect()]
+    lacking = "(floor(idx / 64) % 2 = 0 and idx % 2 = 1) or idx % 8 = 1"
+    rows = P.load_gene_eigen(spark_of(t), names, described(t).filter(f"not ({lacking})").select("snp", "pos", "a1", "a2"))[0]
+    return rows.select(F.col("region").cast("long").alias("region"), "m")
+
+
 def block_folder(t, from_ld: bool) -> str:
     """A folder of blocks: eigen files, or matrices and the eigen files made from them."""
     at = folder(t, "blockdir")

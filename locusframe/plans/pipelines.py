@@ -6,7 +6,7 @@ import json
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, require_rows, require_unique
@@ -136,6 +136,65 @@ def load_eigen(spark: SparkSession, path: str | list[str], cutoff: float = 0.999
     return L.retruncate(rows, cutoff), variants
 
 
+def load_gene_eigen(spark: SparkSession, prefixes: list[str], reference: DataFrame, max_missing: float = 0.3, cutoff: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """(eigen rows, variants) of gene sets against a reference (snp, pos, a1, a2). Genes of which more than max_missing of the
+    variants are not in it go; a variant at another position, or with other alleles, is an error. Variants have typed, whether the
+    reference has them, flipped, and af turned round where they are."""
+    members, variants = R.read_eigen_info(spark, prefixes, "gene")
+    D.check_positions(variants, reference)
+    ref = reference.select("snp", F.col("a1").alias("ref_a1"), F.col("a2").alias("ref_a2"))
+    known = D.align_alleles(variants.join(ref, "snp", "left"), beta="none", keep_inconsistent=True).withColumn("typed", F.col("ref_a1").isNotNull())
+    known = materialise(known, "gene-variants")
+    other = known.filter("typed and orient is null").first()
+    if other is not None:
+        raise EngineError(f"variant {other.snp} has other alleles in the reference")
+    here = members.withColumn("set", _set_of("file_path")).join(known.select("snp", "typed", _set_of("file_path").alias("set")), ["set", "snp"], "left")
+    rate = here.groupBy("region").agg(F.avg((~F.coalesce("typed", F.lit(False))).cast("int")).alias("missing"))
+    kept = rate.filter(F.col("missing") <= max_missing).select("region")
+    eigen, _ = load_eigen(spark, prefixes, cutoff, "gene")
+    return eigen.join(kept, "region", "left_semi"), known.drop("ref_a1", "ref_a2", "orient", "file_path")
+
+
+def merge_eigen_sets(spark: SparkSession, prefixes: list[str], path: str, kind: str = "gene", cutoff: float = 0.9999, parts: int = 1) -> tuple[DataFrame, dict[str, str]]:
+    """The regions of several eigen sets that stand in one of them only, written as sets again; returns their list and
+    the reason for each set that cannot be read. Of a variant in several sets the first set's row counts.
+
+    Files of all sets are read together, and sets that contradict themselves are told in one pass each rule.
+    """
+    failed = {}
+    for p in prefixes:
+        missing = [x for x in (f".eigen.{kind}.bin", f".eigen.{kind}.info", f".eigen.{kind}.snp.info") if not B.file_exists(p + x)]
+        if missing:
+            failed[p] = f"{p}{missing[0]} is not there"
+    good = [p for p in prefixes if p not in failed]
+    if good:
+        members = materialise(R.read_table(spark, f"eigen_{'gene' if kind == 'gene' else 'block'}_info", *[f"{p}.eigen.{kind}.info" for p in good]), "eigen-members").withColumn("set", _set_of("file_path"))
+        variants = R.read_table(spark, "eigen_snp_info", *[f"{p}.eigen.{kind}.snp.info" for p in good]).withColumn("set", _set_of("file_path"))
+        rules = {
+            "a variant twice": variants.groupBy("set", "snp").count().filter("count > 1").select("set"),
+            "a pair twice": members.groupBy("set", "region", "snp").count().filter("count > 1").select("set"),
+            "a variant is not described": members.join(variants.select("set", "snp"), ["set", "snp"], "left_anti").select("set"),
+            "another number of members": members.groupBy("set", "region").agg(F.count("*").alias("k"), F.max("n_snps").alias("n")).filter("k <> n").select("set"),
+        }
+        for why, found in rules.items():
+            # a row a set
+            bad = {r[0] for r in found.distinct().collect()}
+            failed |= {p: why for p in good if p.rpartition("/")[2] in bad and p not in failed}
+        good = [p for p in good if p not in failed]
+    if not good:
+        raise EngineError("; ".join(f"{p}: {why}" for p, why in failed.items()) or "no sets")
+    eigen = materialise(H.merge_eigen([load_eigen(spark, good, cutoff, kind)[0]]).drop("part"), "eigen-merged")
+    order = F.create_map(*[F.lit(v) for k, p in enumerate(good) for v in (p.rpartition("/")[2], k)])
+    first = H.first_of_each(variants.withColumn("of", F.try_element_at(order, F.col("set"))).filter("of is not null").drop("file_path"), ["snp"], ["of", "ord"])
+    about = members.join(eigen.select("region"), "region", "left_semi").select("region", "chrom", "start", "end", *(["window"] if kind == "gene" else []))
+    return K.write_eigen_set(eigen, about, first, None, path, kind, parts), failed
+
+
+def _set_of(path: str) -> Column:
+    """The name of the set that a file belongs to."""
+    return F.regexp_extract(path, r"([^/]*?)\.eigen\.", 1)
+
+
 def load_ld(spark: SparkSession, path: str | list[str], keep: DataFrame | None = None, shrink: DataFrame | None = None, **shrinkage: float) -> tuple[DataFrame, DataFrame]:
     """(info, ld) of one set, several shards, or a .mldm list of shards; with shrink (snp, gen_pos) also J7, on the
     frequencies of info."""

@@ -451,17 +451,17 @@ def write_eigen(eigen: DataFrame, path: str) -> DataFrame:
     return materialise(eigen.mapInPandas(write, "region string, file string"), "eigen-files")
 
 
-def write_eigen_set(eigen: DataFrame, members: DataFrame, variants: DataFrame, n: int, path: str, kind: str = "ldblock", parts: int = 1) -> DataFrame:
+def write_eigen_set(eigen: DataFrame, members: DataFrame, variants: DataFrame, n: int | None, path: str, kind: str = "ldblock", parts: int = 1) -> DataFrame:
     """Eigen sets <name>.eigen.<kind>.bin, .info and .snp.info for each of about `parts` groups of regions.
 
     eigen: eigen rows; members: region, chrom, start, end (and window, for genes); variants: snp, chrom, gen_pos, pos, a1,
-    a2, af. Returns (name, n_regions). A set describes its own regions' variants, so it is read alone or with others; a task
+    a2, af, and n of its own where n is None. Returns (name, n_regions). A set describes its own regions' variants, so it is read alone or with others; a task
     holds one region's vectors at a time and the description of those before.
     """
     ship_package(eigen.sparkSession)
     gene = kind == "gene"
     about = members.select(F.col("region").cast("string").alias("__region"), "chrom", "start", "end", *(["window"] if gene else [])).dropDuplicates(["__region"])
-    line = F.concat_ws(" ", "v.chrom", "v.snp", "v.gen_pos", "v.pos", "v.a1", "v.a2", F.format_string("%f", F.col("v.af").cast("double")), F.lit(n))
+    line = F.concat_ws(" ", "v.chrom", "v.snp", "v.gen_pos", "v.pos", "v.a1", "v.a2", F.format_string("%f", F.col("v.af").cast("double")), F.col("v.n").cast("long") if n is None else F.lit(n))
     lines = variants.alias("v").select(F.col("v.snp").alias("snp"), line.alias("line"))
     listed = eigen.select(F.col("region").cast("string").alias("__region"), F.posexplode("snps").alias("at", "snp")).join(lines, "snp")
     listed = listed.groupBy("__region").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l")).select("__region", F.col("l.line").alias("lines"))
