@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,10 +37,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialise wrote, once nothing that is still to be computed reads them."""
+    """Delete tables that materialise wrote, once nothing that is still to be computed reads them. Shuffle files that nothing refers to
+    any more go too: Spark deletes them when the driver's garbage is collected, which a driver with little to do puts off."""
     for table in tables:
         files = table.inputFiles()
         if files:
             spark = table.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
