@@ -31,12 +31,12 @@ REMEMBERED = 400_000
 class _Words(dict):
     """Ids of words; a word is encoded when it is first asked for."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         ids = self[word] = self.encode(word if word[0] == "\n" else SPACE + word)
         return ids
@@ -45,7 +45,8 @@ class _Words(dict):
 class Codec:
     """Encoder and decoder for one model, given as the bytes of its file."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -67,7 +68,7 @@ class Codec:
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if cuttable else r"(?s).+")
         self.plain_text = sp.normalize("ﬁ  X ½ ") == "▁ﬁ▁▁X ½▁"
         self.cuttable = cuttable
-        self.words = _Words(self._shown)
+        self.words = _Words(self._shown, remembered)
         self.pairs: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
 
@@ -90,7 +91,7 @@ class Codec:
         key = (last << 32) + token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= self.remembered:
                 self.pairs.clear()
             found = self.pairs[key] = self._compatible(last, token)
         return found
@@ -192,14 +193,14 @@ class Codec:
         return self.library.decode(ids)
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple[int, int], Codec] = {}
 
 
-def _codec(model: bytes) -> Codec:
-    """One codec for each worker and model."""
-    key = hash(model)
+def _codec(model: bytes, remembered: int = REMEMBERED) -> Codec:
+    """One codec for each worker, model and size of memory."""
+    key = hash(model), remembered
     if key not in _CODECS:
-        _CODECS[key] = Codec(model)
+        _CODECS[key] = Codec(model, remembered)
     return _CODECS[key]
 
 
@@ -230,15 +231,16 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", end: boo
     return docs.drop("ids", "decoded").withColumn(out, run(F.col(text_col))).select("*", f"{out}.ids", f"{out}.decoded").drop(out)
 
 
-def digest_texts(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """As encode_texts with an end id, but n_tokens, ids_sha256 and decoded_sha256 in place of ids and text."""
+def digest_texts(docs: DataFrame, model: bytes, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """As encode_texts with an end id, but n_tokens, ids_sha256 and decoded_sha256 in place of ids and text. remembered: words and
+    pairs that a worker holds, for the sake of memory; results do not depend on it."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared.value)
+        codec = _codec(shared.value, remembered)
         names = [str(i) for i in range(codec.library.get_piece_size())]
         sha = hashlib.sha256
         for texts in batches:
