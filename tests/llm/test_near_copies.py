@@ -129,3 +129,24 @@ def test_parities_bound_the_difference():
     for a, x in zip(sets, bits, strict=True):
         for b, y in zip(sets, bits, strict=True):
             assert int(N.apart(x, y[None])[0]) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_the_tree_finds_links_first(spark, monkeypatch):
+    """The stage's fingerprints go through the vantage-point tree, its pairs become links once their sets are similar, and what it has
+    joined makes no pair by prefixes. Pairs further apart in bits are linked all the same."""
+    rows, calls = near_texts(21, 240), []
+    kept, pairs = N._confirmed, N._candidates
+    monkeypatch.setattr(N, "_confirmed", lambda found, *rest: calls.append({(r.a, r.b) for r in found.collect()}) or kept(found, *rest))
+    monkeypatch.setattr(N, "_candidates", lambda members, *rest: calls.append({(r.sid, r.root) for r in members.collect()}) or pairs(members, *rest))
+    got = {r.doc_id for r in P.remove_near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert got == brute_kept(rows)
+    sets = {N.xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63): s for s in (N.shingles(t) for _, t in rows)}
+    bits = {i: np.uint64(N.majority(s) % (1 << 64)) for i, s in sets.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and np.bitwise_count(bits[a] ^ bits[b]) <= N.RADIUS}
+    tree, members, first = calls[:3]
+    assert tree and tree <= near and {x for p in near for x in p} == {x for p in tree for x in p}
+    joined = {p for p in tree if N.similar(sets[p[0]], sets[p[1]])}
+    root = dict(members)
+    assert all(root[a] == root[b] for a, b in joined if a in root and b in root)
+    # by prefixes come others, which the tree's radius does not reach
+    assert not joined & first and first - near

@@ -89,3 +89,16 @@ def test_odd_rows(spark):
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
     assert {r.root for r in S.components(edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("shard", [40, 10**9])
+def test_direct_neighbours(spark, monkeypatch, shard):
+    """Edges whose ends are near each other themselves, for every point that has a near one."""
+    monkeypatch.setattr(S, "SHARD_POINTS", shard)
+    monkeypatch.setattr(S, "_LEAF", 16)
+    points = near_points(1500, 8)
+    rows = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    edges = np.array([(r.a, r.b) for r in S.linked_pairs(rows, 3, direct=True).collect()], np.int64).view(np.uint64)
+    assert (np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= 3).all()
+    near = {int(p) for p in points if (np.bitwise_count(points ^ p) <= 3).sum() > 1}
+    assert near == set(edges.ravel().tolist()) and 100 < len(near) < len(points)
