@@ -433,11 +433,16 @@ def besd_one_file(t):
 
 @query(_FIRST + "SELECT f.gene_id, g.chrom, count(*) AS pairs, round(sum(beta), 3) AS beta FROM first_pairs f JOIN genes g ON f.gene_id = 'g' || g.gene_id GROUP BY ALL")
 def besd_source(t):
-    """The source by itself."""
+    """The source by itself. Effects are stored in single precision; their six digits come back before they are summed, as what
+    is lost would decide sums that lie half-way."""
     path = folder(t, "besd") + "/all"
     P.export_study(study(t), "besd_file", path)
     register(spark_of(t))
-    return spark_of(t).read.format("locus_besd").load(path).groupBy("gene_id", "chrom").agg(F.count("*").alias("pairs"), F.round(F.sum("beta"), 3).alias("beta"))
+    beta = r6("beta")
+    # multiples of 2^-30 and what is left of each value: neither sum is rounded, so that the order of rows does not matter
+    coarse = F.rint(beta * 2.0**30) / 2.0**30
+    total = F.sum(coarse) + F.sum(beta - coarse)
+    return spark_of(t).read.format("locus_besd").load(path).groupBy("gene_id", "chrom").agg(F.count("*").alias("pairs"), F.round(total, 3).alias("beta"))
 
 
 #: Every third variant swapped in the reference, every seventh with another allele.
