@@ -150,3 +150,12 @@ def test_the_tree_finds_links_first(spark, monkeypatch):
     assert all(root[a] == root[b] for a, b in joined if a in root and b in root)
     # by prefixes come others, which the tree's radius does not reach
     assert not joined & first and first - near
+
+
+def test_small_batches(spark, monkeypatch):
+    """Workers get few texts at once, and the session's own number is there again afterwards."""
+    seen, points = [], N.linked
+    monkeypatch.setattr(N, "linked", lambda *given: seen.append(int(spark.conf.get(N._BATCH_KEY))) or points(*given))
+    before = spark.conf.get(N._BATCH_KEY)
+    assert N.drop_near_copies(frame(spark, [(1, "a b"), (2, "A b"), (3, "c")])).count() == 2
+    assert seen == [N._BATCH] and spark.conf.get(N._BATCH_KEY) == before
