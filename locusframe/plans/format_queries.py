@@ -529,10 +529,17 @@ SELECT snp, count(*) AS own, (SELECT len(names) FROM g) + 2 AS columns FROM firs
 """)
 def annotation_file(t):
     at = folder(t, "annotation")
-    P.export_study(study(t), "annotation", at, binary=True)
-    cells = F.split("value", "\t")
-    own = F.size(F.filter(F.slice(cells, 3, 1_000_000), lambda c: c != "0"))
-    return spark_of(t).read.text(at).select(F.get(cells, F.lit(0)).alias("snp"), own.cast("long").alias("own"), F.size(cells).cast("long").alias("columns"))
+    P.export_study(study(t), "annotation", at, binary=True, gzip=True)
+    first = F.substring_index("value", "\t", 2)
+    cells = F.concat(F.substr("value", F.length(first) + 1), F.lit("\t"))
+    rows = spark_of(t).read.text(at).select(F.substring_index("value", "\t", 1).alias("snp"), cells.alias("all"))
+    # counted without an array of all cells: runs of zeros go, and each cell that is left gets tabs of its own
+    rows = rows.withColumn("left", F.replace("all", F.lit("\t" + "0\t" * 64), F.lit("\t")))
+    rows = rows.withColumn("apart", F.replace("left", F.lit("\t"), F.lit("\t\t")))
+    gone = (F.octet_length("all") - F.octet_length("left")) / 2
+    kept = F.octet_length("apart") - F.octet_length("left") - 1
+    zeros = (F.octet_length("apart") - F.octet_length(F.replace("apart", F.lit("\t0\t")))) / 3
+    return rows.select("snp", (kept - zeros).cast("long").alias("own"), (gone + kept + 2).cast("long").alias("columns"))
 
 
 @query("SELECT snp AS \"SNP\", 1 AS \"Intercept\", CAST(snp IN (SELECT snp FROM pairs WHERE n > 49) AS INTEGER) AS member FROM variants")

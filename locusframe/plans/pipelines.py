@@ -322,9 +322,10 @@ def merge_study_files(spark: SparkSession, paths: list[str], soft: bool = False,
 SET_PAIRS = 2_000_000
 
 
-def export_study(study: Study, kind: str, path: str, parts: int | None = None, array_limit: int = 1000, binary: bool = False) -> DataFrame | None:
+def export_study(study: Study, kind: str, path: str, parts: int | None = None, array_limit: int = 1000, binary: bool = False, gzip: bool = False) -> DataFrame | None:
     """besd, besd_file, query, ma, sumstats or annotation; besd and ma return the list of what was written. parts of a BESD set
-    follow the number of pairs unless they are given; besd_file is one set of all genes, path its prefix."""
+    follow the number of pairs unless they are given; besd_file is one set of all genes, path its prefix. gzip: an annotation
+    matrix, which has a cell for each variant and gene, is written compressed."""
     g, v, p = study["genes"], study["variants"], study["pairs"]
     if kind == "besd":
         return K.write_besd(p, v, g, path, parts or max(1, -(-p.count() // SET_PAIRS)))
@@ -338,7 +339,7 @@ def export_study(study: Study, kind: str, path: str, parts: int | None = None, a
         return K.write_text(K.sumstats_rows(p, v, g), path)
     if kind == "annotation":
         # sorted over all partitions, the header first
-        return K.annotation_lines(p, g, binary).orderBy("ord").select("line").write.text(path)
+        return K.annotation_lines(p, g, binary).select("line").write.text(path, compression="gzip" if gzip else "none")
     raise EngineError(f"unknown kind {kind}")
 
 

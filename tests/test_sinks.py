@@ -105,3 +105,22 @@ def test_one_file_by_many_tasks(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in pairs.collect()}
     with pytest.raises(EngineError):
         K.write_besd_file(pairs.limit(0), variants, genes, str(tmp_path / "empty"))
+
+
+def test_annotation_lines_of_many_genes(spark, tmp_path, monkeypatch):
+    from locusframe.plans import pipelines as P
+
+    names = sorted(f"g{i}" for i in range(3000))
+    genes = spark.createDataFrame([(g, k) for k, g in enumerate(names)], "gene_id string, ord long")
+    held = {(f"s{j}", names[(j * 977 + k * k) % 3000]): (j - k) / 4 for j in range(40) for k in range(1 + j % 7)} | {("s9", names[0]): 0.5, ("s9", names[-1]): -0.5}
+    pairs = spark.createDataFrame([(g, s, b) for (s, g), b in held.items()], "gene_id string, snp string, beta double").repartition(3)
+    want = ["\t".join(["SNP", "Intercept", *names])] + ["\t".join([s, "1", *[str(held.get((s, g), 0)) for g in names]]) for s in sorted({s for s, _ in held})]
+    monkeypatch.setattr(K, "LINE_BYTES", 50_000)
+    lines = K.annotation_lines(pairs, genes)
+    # no array with an entry for each column
+    assert "sequence(" not in lines._jdf.queryExecution().toString()
+    assert [r.line for r in lines.collect()] == want
+    P.export_study({"genes": genes, "variants": None, "pairs": pairs}, "annotation", str(tmp_path / "a"), gzip=True)
+    assert len(list((tmp_path / "a").glob("*.gz"))) > 1
+    assert [r.value for r in spark.read.text(str(tmp_path / "a")).collect()].count(want[0]) == 1
+    assert {r.value for r in spark.read.text(str(tmp_path / "a")).collect()} == set(want)
