@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -107,25 +106,43 @@ def pair_columns(gene: np.ndarray, at: np.ndarray, beta: np.ndarray, se: np.ndar
 
 def besd_sets(batches: Iterator[pa.RecordBatch], files: Files, options: dict) -> Iterator[dict]:
     """Pairs in order of their genes, with the descriptions of both, as a .besd, .esi and .epi set of its own genes and
-    variants."""
-    held = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame()])
-    if not len(held):
+    variants. Of a pair 16 bytes are held, and a description is held once."""
+    snps, ids, variants, genes, held = {}, {}, [], [], []
+    for rows in batches:
+        snp, first = _numbered(rows.column("snp"), snps)
+        variants.append(rows.select(["snp", "v_chrom", "pos", "a1", "a2", "af"]).take(first))
+        gene, first = _numbered(rows.column("gene_id"), ids)
+        genes.append(rows.select(["gene_id", "g_chrom", "mid"]).take(first))
+        held.append((gene, snp, *(rows.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in ("beta", "se"))))
+    if not ids:
         return
     name = files.name()
-    esi = held.drop_duplicates("snp").sort_values(["v_chrom", "pos", "snp"])
-    gene, ids = pd.factorize(held["gene_id"])
-    epi = held.drop_duplicates("gene_id")
-    place = pd.Index(esi["snp"]).get_indexer(held["snp"])
+    gene, snp, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    esi = pa.Table.from_batches(variants).to_pandas().sort_values(["v_chrom", "pos", "snp"])
+    place = np.empty(len(esi), np.int32)
+    place[esi.index] = np.arange(len(esi))
+    place = place[snp]
     order = np.lexsort((place, gene))
-    values = [held[c].to_numpy(float)[order] for c in ("beta", "se")]
-    offsets, places, numbers = pair_columns(gene[order], place[order], *values, len(ids))
+    offsets, places, numbers = pair_columns(gene[order], place[order], *(x[order] for x in values), len(ids))
     with files.open(name + ".besd") as out:
-        out.write(struct.pack("<IQ", SPARSE_3F, int(offsets[-1])) + offsets.astype("<u8").tobytes() + places + numbers)
+        for part in (struct.pack("<IQ", SPARSE_3F, int(offsets[-1])), offsets.astype("<u8").tobytes(), places, numbers):
+            out.write(part)
     files.put(name + ".esi", [esi_line(r) for r in esi.itertuples()])
+    epi = pa.Table.from_batches(genes).to_pandas()
     files.put(name + ".epi", [f"{r.g_chrom}\t{r.gene_id}\t0\t{r.mid}\t{r.gene_id}\tNA" for r in epi.itertuples()])
     yield {"name": name, "n_genes": len(ids)}
 
 
+def _numbered(names: pa.Array, numbers: dict[str, int]) -> tuple[np.ndarray, pa.Array]:
+    """The number of each name, new ones going on in the order in which they come; and where in names the new ones come first."""
+    coded, known = names.dictionary_encode(), len(numbers)
+    own = np.array([numbers.setdefault(x, len(numbers)) for x in coded.dictionary.to_pylist()], np.int32)
+    codes = coded.indices.to_numpy()
+    first = np.unique(codes, return_index=True)[1]
+    return own[codes], pa.array(first[own >= known])
+
+
 def esi_line(r) -> str:
     return f"{r.v_chrom}\t{r.snp}\t0\t{r.pos}\t{r.a1}\t{r.a2}\t{r.af:.6f}"
 

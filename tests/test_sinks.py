@@ -124,3 +124,34 @@ def test_annotation_lines_of_many_genes(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "a").glob("*.gz"))) > 1
     assert [r.value for r in spark.read.text(str(tmp_path / "a")).collect()].count(want[0]) == 1
     assert {r.value for r in spark.read.text(str(tmp_path / "a")).collect()} == set(want)
+
+
+def test_besd_sets_follow_the_pairs(spark, tmp_path, monkeypatch):
+    from locusframe.plans import pipelines as P
+    from pyspark.sql import functions as F
+
+    variants = spark.createDataFrame([(f"s{i}", 1 + i % 2, 1000 - i, "A", "G", 0.25) for i in range(50)], "snp string, chrom int, pos int, a1 string, a2 string, af double")
+    genes = spark.createDataFrame([(f"g{i}", 1, 15.0, 100 - i) for i in range(20)], "gene_id string, chrom int, mid double, ord long")
+    pairs = spark.createDataFrame([(f"g{i}", f"s{j}", i + j / 8, 0.5) for i in range(18) for j in range(i, 48, 1 + i % 5)], "gene_id string, snp string, beta double, se double").repartition(5)
+    monkeypatch.setattr(K, "SET_PAIRS", 40)
+    listed = K.write_besd(pairs, variants, genes, str(tmp_path / "out"), 2).collect()
+    assert len(listed) > 4 and sum(r.n_genes for r in listed) == 18
+    sets, failed = P.load_sets(spark, [r.name for r in listed])
+    assert not failed and {tuple(r) for r in sets["pairs"].select("gene_id", "snp", "beta", "se").collect()} == {tuple(r) for r in pairs.collect()}
+    # a set's pairs lie together
+    stored = spark.read.parquet(*{f.rpartition("/")[0] for f in sets["pairs"].inputFiles()}).select("set", F.input_file_name().alias("f")).collect()
+    for f in {r.f for r in stored}:
+        own = [r["set"] for r in stored if r.f == f]
+        assert own == sorted(own)
+
+
+def test_besd_set_from_batches():
+    """Names that come again in later batches, described once, places by chromosome and position."""
+    import pyarrow as pa
+    from locusframe.sinks.sets import _numbered
+
+    numbers = {}
+    own, first = _numbered(pa.array(["b", "a", "b"]), numbers)
+    assert own.tolist() == [0, 1, 0] and first.to_pylist() == [0, 1]
+    own, first = _numbered(pa.array(["a", "c", "b", "c"]), numbers)
+    assert own.tolist() == [1, 2, 0, 2] and first.to_pylist() == [1] and list(numbers) == ["b", "a", "c"]
