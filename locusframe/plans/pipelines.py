@@ -20,7 +20,7 @@ from ..sinks import writers as K
 from ..sources import binary as B
 from ..sources import text as R
 from ..sources.datasource import register
-from ..storage import materialise
+from ..storage import materialise, release
 
 Study = dict[str, DataFrame]
 
@@ -76,8 +76,10 @@ def load_sets(spark: SparkSession, paths: list[str], reference: DataFrame | None
     genes = materialise(numbered(R.read_epi(spark, [p + ".epi" for p in good]), ".epi"), "besd-genes")
     pairs = spark.read.format("locus_besd").option("prefixes", json.dumps(good)).load().select("set", "gene_id", "row", "beta", "se")
     flag = ["flipped"] if "flipped" in variants.columns else []
-    pairs = pairs.join(variants.select("set", "row", "snp", *flag), ["set", "row"]).join(genes.select("set", "gene_id", F.col("n").cast("long").alias("n")), ["set", "gene_id"]).drop("row")
-    pairs = materialise(pairs, "besd-pairs")
+    pairs = pairs.join(variants.select("set", "row", "snp", *flag), ["set", "row"]).join(F.broadcast(genes.select("set", "gene_id", F.col("n").cast("long").alias("n"))), ["set", "gene_id"]).drop("row")
+    # in order of sets, so that who reads one set of many passes over the others' pages
+    pairs = materialise(pairs.sortWithinPartitions("set"), "besd-pairs")
+    release(spark)
     # a row a set
     there = {r[0] for r in pairs.select("set").distinct().collect()}
     twice = {r[0]: r[1] for r in genes.groupBy("set", "gene_id").count().filter("count > 1").groupBy("set").agg(F.min("gene_id")).collect()}
@@ -318,17 +320,13 @@ def merge_study_files(spark: SparkSession, paths: list[str], soft: bool = False,
     }
 
 
-#: Pairs that a task writes into one pair-matrix set.
-SET_PAIRS = 2_000_000
-
-
 def export_study(study: Study, kind: str, path: str, parts: int | None = None, array_limit: int = 1000, binary: bool = False, gzip: bool = False) -> DataFrame | None:
     """besd, besd_file, query, ma, sumstats or annotation; besd and ma return the list of what was written. parts of a BESD set
-    follow the number of pairs unless they are given; besd_file is one set of all genes, path its prefix. gzip: an annotation
+    follow the number of pairs, parts are the least; besd_file is one set of all genes, path its prefix. gzip: an annotation
     matrix, which has a cell for each variant and gene, is written compressed."""
     g, v, p = study["genes"], study["variants"], study["pairs"]
     if kind == "besd":
-        return K.write_besd(p, v, g, path, parts or max(1, -(-p.count() // SET_PAIRS)))
+        return K.write_besd(p, v, g, path, parts or 1)
     if kind == "besd_file":
         return K.write_besd_file(p, v, g, path)
     if kind == "query":
