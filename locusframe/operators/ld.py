@@ -8,9 +8,11 @@ whole matrix of a region in one task: regions are LD blocks or cis windows, some
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from ..storage import materialise
 from .aggregates import exact_medians
 
 TILE = 512
+#: Of a full matrix: bytes of standardised genotypes of a run of variants, how many runs there are at least, products that are formed at
+#: once, and entries of one Arrow batch.
+RUN_BYTES, RUNS, _PRODUCTS, _ENTRIES = 16 << 20, 12, 1 << 20, 200_000
 
 
 def standardised(dosages: list) -> np.ndarray:
@@ -38,15 +43,10 @@ def correlation(dosages: list) -> np.ndarray:
     return z @ z.T
 
 
-def _products(a: pd.DataFrame, b: pd.DataFrame, with_spread: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Index arrays, r, and with_spread the jackknife variance of r, of every pair of two tiles.
-
-    Leaving out person k turns r into n/(n-1) (r - z_ik z_jk), so the variance over k needs but the product of squares.
-    """
+def _products(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index arrays and r of every pair of two tiles."""
     za, zb = standardised(list(a["dosage"])), standardised(list(b["dosage"]))
-    r, n = za @ zb.T, za.shape[1]
-    spread = n / (n - 1) * ((za * za) @ (zb * zb).T - r * r / n) if with_spread else None
-    return a["idx"].to_numpy()[:, None], b["idx"].to_numpy()[None, :], r, spread
+    return a["idx"].to_numpy()[:, None], b["idx"].to_numpy()[None, :], za @ zb.T
 
 
 def near_tiles(rows: DataFrame, along: str, reach: float) -> DataFrame:
@@ -65,6 +65,11 @@ def near_tiles(rows: DataFrame, along: str, reach: float) -> DataFrame:
     return a.join(b, ["chrom", "bin"]).filter(close).select(F.col("t1").alias("lo"), F.col("t2").alias("hi")).distinct()
 
 
+def run_length(variants: int, people: int, tile: int = TILE) -> int:
+    """Variants of a run of a full matrix: as many as RUN_BYTES hold and as leave RUNS runs, a tile at least."""
+    return max(tile, min(RUN_BYTES // (8 * max(1, people)), -(-variants // RUNS)))
+
+
 def ld_pairs(
     genotypes: DataFrame, tile: int = TILE, least_r2: float = 0.0, band: int | None = None, *, reach: float | None = None, along: str = "pos", jackknife: bool = False
 ) -> DataFrame:
@@ -73,43 +78,68 @@ def ld_pairs(
     least_r2 drops small values inside the task, before they are shuffled, but for the diagonal and for pairs with a
     variant whose skeleton is true, where genotypes have that column. band keeps |i - j| <= band, reach keeps variants of
     one chromosome less than reach apart in the column along; tile pairs out of these are never formed. Without any the
-    result has n^2 / 2 rows, as a full matrix has. jackknife adds jackknife_var, each r's leave-one-out variance.
+    result has n^2 / 2 rows, as a full matrix has; its groups are pairs of runs of many tiles, of up to RUN_BYTES each, so that a variant is
+    shuffled once a run and not once a tile. A group's products are formed and given out some tiles at a time. jackknife adds
+    jackknife_var, each r's leave-one-out variance.
     """
     marked = "skeleton" in genotypes.columns
     places = ["chrom", along] if reach is not None else []
-    rows = genotypes.select("idx", "dosage", *places, *(["skeleton"] if marked else [])).withColumn("t", F.floor(F.col("idx") / tile).cast("long"))
+    rows, side = genotypes.select("idx", "dosage", *places, *(["skeleton"] if marked else [])), tile
+    if band is None and reach is None:
+        top, people = rows.agg(F.max("idx"), F.max(F.size("dosage"))).first()
+        side = run_length((top or 0) + 1, people or 1, tile)
+    rows = rows.withColumn("t", F.floor(F.col("idx") / side).cast("long"))
     if reach is not None:
         tiles = near_tiles(rows, along, reach)
         ends = tiles.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("t"))
         dealt = rows.join(ends, "t")
     else:
         last = rows.agg(F.max("t")).first()[0] or 0
-        span = last if band is None else -(-band // tile)
+        span = last if band is None else -(-band // side)
         # the pairs of tiles that tile t is in, as the lower or as the upper one
         mates = F.transform(F.sequence(F.greatest(F.lit(0), F.col("t") - span), F.least(F.lit(last), F.col("t") + span)), lambda u: F.struct(F.least(F.col("t"), u).alias("lo"), F.greatest(F.col("t"), u).alias("hi")))
         dealt = rows.withColumn("m", F.explode(mates)).select(*rows.columns, "m.lo", "m.hi")
     names = ["i", "j", "r", *(["jackknife_var"] if jackknife else [])]
 
-    def product(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        a, b = rows[rows["t"] == lo], rows[rows["t"] == hi]
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in names})
-        i, j, r, spread = _products(a, b, jackknife)
-        keep = r * r >= least_r2
-        if marked:
-            keep |= a["skeleton"].to_numpy(bool)[:, None] | b["skeleton"].to_numpy(bool)[None, :]
-        keep = (i <= j) & (keep | (i == j))
-        if band is not None:
-            keep &= j - i <= band
-        if reach is not None:
-            keep &= (a["chrom"].to_numpy()[:, None] == b["chrom"].to_numpy()) & (np.abs(a[along].to_numpy(float)[:, None] - b[along].to_numpy(float)) < reach)
-        at = np.nonzero(keep)
-        out = {"i": i[at[0], 0], "j": j[0, at[1]], "r": r[at]}
-        return pd.DataFrame(out | ({"jackknife_var": spread[at]} if jackknife else {}))
-
-    return dealt.groupBy("lo", "hi").applyInPandas(product, "i long, j long, r double" + (", jackknife_var double" if jackknife else ""))
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches)
+        about = held.drop_columns(["dosage"]).to_pandas().sort_values("idx", kind="stable")
+        flat = np.concatenate([c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in held.column("dosage").chunks])
+        z = standardised(flat.reshape(len(held), -1))[about.index]
+        idx, t, n = about["idx"].to_numpy(np.int64), about["t"].to_numpy(), z.shape[1]
+        # rows are in order, so those of a tile or run lie together
+        a, b = (slice(*np.searchsorted(t, [about[end].iloc[0], about[end].iloc[0] + 1])) for end in ("lo", "hi"))
+        out, size, wide = [], 0, max(tile, _PRODUCTS // tile)
+        for x in (slice(k, min(k + tile, a.stop)) for k in range(a.start, a.stop, tile)):
+            for y in (slice(k, min(k + wide, b.stop)) for k in range(b.start, b.stop, wide)):
+                if idx[y.stop - 1] < idx[x.start]:
+                    continue
+                i, j = idx[x, None], idx[None, y]
+                r = z[x] @ z[y].T
+                keep = r * r >= least_r2
+                if marked:
+                    keep |= about["skeleton"].to_numpy(bool)[x, None] | about["skeleton"].to_numpy(bool)[None, y]
+                if idx[x.stop - 1] >= idx[y.start]:
+                    keep = (i <= j) & (keep | (i == j))
+                if band is not None:
+                    keep &= j - i <= band
+                if reach is not None:
+                    chrom, at = about["chrom"].to_numpy(), about[along].to_numpy(float)
+                    keep &= (chrom[x, None] == chrom[None, y]) & (np.abs(at[x, None] - at[None, y]) < reach)
+                found = np.nonzero(keep)
+                block = [i[found[0], 0], j[0, found[1]], r[found]]
+                if jackknife:
+                    # leaving out person k turns r into n/(n-1) (r - z_ik z_jk), so the variance over k needs but the product of squares
+                    block.append((n / (n - 1) * ((z[x] * z[x]) @ (z[y] * z[y]).T - r * r / n))[found])
+                out.append(block)
+                size += len(found[0])
+                if size >= _ENTRIES:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                    out, size = [], 0
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    return dealt.groupBy("lo", "hi").applyInArrow(product, "i long, j long, r double" + (", jackknife_var double" if jackknife else ""))
 
 
 def region_ld(genotypes: DataFrame, region: str = "region", tile: int = TILE) -> DataFrame:
@@ -128,7 +158,7 @@ def region_ld(genotypes: DataFrame, region: str = "region", tile: int = TILE) ->
         a, b = rows[rows["t"] == key[1]], rows[rows["t"] == key[2]]
         if not len(a) or not len(b):
             return pd.DataFrame({region: [], "i": [], "j": [], "r": []})
-        i, j, r, _ = _products(a, b, False)
+        i, j, r = _products(a, b)
         if rows["size"].iloc[0] == 1:
             r = np.ones((1, 1))
         keep = np.nonzero((i <= j) if key[1] == key[2] else np.ones(r.shape, bool))

@@ -382,3 +382,27 @@ def test_tumbling_windows_over_many_bins(spark, monkeypatch, width):
     got = W.tumbling_windows(spark.createDataFrame(rows, "snp string, chrom int, pos long"), width)
     assert {r.snp: r.window for r in got.collect()} == want and got.count() == len(rows)
     assert W.tumbling_windows(spark.createDataFrame([], "snp string, chrom int, pos long"), width).count() == 0
+
+
+def test_full_matrix_by_runs(spark, monkeypatch):
+    """Runs of many tiles: all pairs once, whatever the runs, tiles and blocks; a variant is dealt to as many groups as there are runs."""
+    assert L.run_length(1_000_000, 64, 256) == 32_768 and L.run_length(1_000, 64, 256) == 256 and L.run_length(120_000, 10, 256) == 10_000
+    # many people: a run is no longer than its bytes, but for a tile
+    assert L.run_length(1_000_000, 1_000_000, 512) == 512
+    rng = np.random.default_rng(5)
+    dosages = [[None if rng.random() < 0.05 else int(x) for x in rng.integers(0, 3, 9)] for _ in range(83)]
+    rows = spark.createDataFrame([(2 * i + 1, f"v{i}", d, i % 20 == 3) for i, d in enumerate(dosages)], "idx int, snp string, dosage array<tinyint>, skeleton boolean").repartition(7)
+    z = L.standardised([[np.nan if x is None else x for x in d] for d in dosages])
+    r = z @ z.T
+    monkeypatch.setattr(L, "_PRODUCTS", 64)
+    monkeypatch.setattr(L, "_ENTRIES", 30)
+    for length in (8, 30, 500):
+        monkeypatch.setattr(L, "RUN_BYTES", 8 * 9 * length)
+        monkeypatch.setattr(L, "RUNS", 1)
+        got = L.ld_pairs(rows.drop("skeleton"), tile=8, jackknife=True).toPandas()
+        assert len(got) == 83 * 84 // 2 == len(got[["i", "j"]].drop_duplicates()) and (got["i"] <= got["j"]).all()
+        a, b = (got[c].to_numpy() // 2 for c in "ij")
+        assert np.allclose(got["r"], r[a, b])
+        assert np.allclose(got["jackknife_var"], 9 / 8 * (((z * z) @ (z * z).T) - r * r / 9)[a, b])
+        got = {(x.i // 2, x.j // 2) for x in L.ld_pairs(rows, tile=8, least_r2=0.3).collect()}
+        assert got == {(i, j) for i in range(83) for j in range(i, 83) if i == j or r[i, j] ** 2 >= 0.3 or i % 20 == 3 or j % 20 == 3}
