@@ -155,3 +155,21 @@ def test_besd_set_from_batches():
     assert own.tolist() == [0, 1, 0] and first.to_pylist() == [0, 1]
     own, first = _numbered(pa.array(["a", "c", "b", "c"]), numbers)
     assert own.tolist() == [1, 2, 0, 2] and first.to_pylist() == [1] and list(numbers) == ["b", "a", "c"]
+
+
+def test_release_lets_shuffle_files_go(spark, tmp_path):
+    from locusframe.storage import materialise, release
+    from pyspark.sql import functions as F
+
+    release(spark)
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+
+    def stored() -> set:
+        return {p for f in folders for p in Path(str(f)).rglob("shuffle_*.data")}
+
+    before = stored()
+    rows = spark.range(5000).groupBy((F.col("id") % 997).alias("k")).agg(F.count("*").alias("n"))
+    held = materialise(rows, "released")
+    assert stored() - before
+    release(spark)
+    assert not stored() - before and held.count() == 997 == rows.count()
